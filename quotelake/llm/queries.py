@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm import jump_sharding, mixing, simhash
+from quotelake.llm import jump_sharding, mixing, simhash, substring_dedup
 from quotelake.llm.common import documents
 
 SHARDS = 24
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(spark, documents(spark, sf_dir))
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jump_sharding.shard_documents(spark, documents(spark, sf_dir), SHARDS)
 
@@ -28,8 +32,30 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jump_sharding, op9_simhash_near_dedup, op10_mix_sources)}
-
+    return {f.__name__: f for f in (op1_substring_dedup, op3_jump_sharding, op9_simhash_near_dedup, op10_mix_sources)}
+
+
+OP1_SQL = """
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'), []) AS ws FROM documents
+), windows AS (
+  SELECT rid, doc_id, unnest(range(1, greatest(len(ws) - 48, 1))) AS p, ws FROM w
+), keyed AS (
+  SELECT rid, doc_id, p, sha256(array_to_string(ws[p:p + 49], ' ')) AS k FROM windows
+), low AS (
+  SELECT k, min(doc_id) AS m FROM keyed GROUP BY k
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(p, p + 50)) AS i FROM keyed JOIN low USING (k) WHERE m < doc_id
+), sets AS (
+  SELECT rid, list(i) AS gs FROM gone GROUP BY rid
+), long AS (
+  SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS t FROM long ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gs), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN sets USING (rid) LEFT JOIN kept USING (rid)
+"""
 
 #: The jump walk by recursion on (candidate, next); the generator's state needs 128-bit products. Slots follow doc_id, as they do
 #: in the query while a shard is one bucket (up to 20,000 rows).
@@ -91,4 +117,4 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": OP3_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_jump_sharding": OP3_SQL, "op10_mix_sources": OP10_SQL}
