@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm import jump_sharding, mixing, mpeg_audio, quality, simhash, substring_dedup
+from quotelake.llm import jump_sharding, language_id, mixing, mpeg_audio, quality, simhash, substring_dedup
 from quotelake.llm.common import documents
 
 SHARDS = 24
@@ -29,6 +29,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(spark, documents(spark, sf_dir))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit fingerprints over 3-word shingles, linked at 3 or fewer differing bits."""
     found = simhash.near_duplicate_components(spark, documents(spark, sf_dir))
@@ -40,7 +44,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op9_simhash_near_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op8_language_id, op9_simhash_near_dedup, op10_mix_sources)}
 
 
 OP1_SQL = """
