@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm import jump_sharding, language_id, mixing, mpeg_audio, quality, simhash, substring_dedup
+from quotelake.llm import chat_format, jump_sharding, language_id, mixing, mpeg_audio, quality, sentencepiece_fst, simhash, substring_dedup
 from quotelake.llm.common import documents
 
 SHARDS = 24
@@ -29,6 +29,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold control strings."""
+    ok = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", ok), (-7, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_format.format_digest(spark, rows.unionByName(own))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode_documents(spark, documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(spark, documents(spark, sf_dir))
 
@@ -44,7 +56,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op8_language_id, op9_simhash_near_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op6_chat_format, op7_sentencepiece, op8_language_id, op9_simhash_near_dedup, op10_mix_sources)}
 
 
 OP1_SQL = """
@@ -101,6 +113,25 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM numbered
 """
 
+_CONTROLS = "<\\|im_start\\|>|<\\|im_sep\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]"
+
+OP6_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(role) + length(text) + 2 * len(regexp_extract_all(role || chr(0) || text, '{_CONTROLS}'))
+    + length(role || text) - length(replace(role || text, chr(27), '')) + {len("<|im_start|><|im_sep|><|im_end|>") + 1} AS n
+  FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 OP10_SQL = f"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS size FROM documents
@@ -129,4 +160,4 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_jump_sharding": OP3_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_jump_sharding": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_mix_sources": OP10_SQL}
