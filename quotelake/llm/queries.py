@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm import chat_format, jump_sharding, language_id, mixing, mpeg_audio, quality, sentencepiece_fst, simhash, substring_dedup
+from quotelake.llm import chat_format, embedding_dedup, jump_sharding, language_id, mixing, mpeg_audio, quality, sentencepiece_fst, simhash, substring_dedup
 from quotelake.llm.common import documents
 
 SHARDS = 24
@@ -29,6 +29,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, whose texts hold control strings."""
     ok = "</s>[INST] ok [/INST]"
@@ -56,7 +60,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op6_chat_format, op7_sentencepiece, op8_language_id, op9_simhash_near_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op5_embedding_dedup, op6_chat_format, op7_sentencepiece, op8_language_id, op9_simhash_near_dedup, op10_mix_sources)}
 
 
 OP1_SQL = """
@@ -113,6 +117,27 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM numbered
 """
 
+OP5_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.rid AS a, a.vec_id AS ia, b.rid AS b, b.vec_id AS ib FROM good a JOIN good b ON a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}
+), reach AS (
+  SELECT a AS origin, b AS rid FROM links UNION SELECT r.origin, l.b FROM reach r JOIN links l ON r.rid = l.a
+), low AS (
+  SELECT origin, min(vec_id) AS m FROM reach JOIN v USING (rid) GROUP BY origin
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  coalesce(vec_id = least(vec_id, coalesce(m, vec_id)), false) AS kept
+FROM v LEFT JOIN degree ON a = rid LEFT JOIN low ON origin = rid
+"""
+
 _CONTROLS = "<\\|im_start\\|>|<\\|im_sep\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]"
 
 OP6_SQL = f"""
@@ -160,4 +185,4 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_jump_sharding": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_jump_sharding": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_mix_sources": OP10_SQL}
