@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,8 +85,13 @@ def repeated_cells(docs: DataFrame, window: int, bits: int) -> bytes:
     """The merged sketch as a bitmap of the cells that reached two, DEPTH rows of 2**bits bits: its size doesn't follow the input."""
     cells = docs.select("text").mapInArrow(_sketch(window, bits), "cell long, n byte")
     merged = cells.groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
-    maps = merged.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits"))
-    out = bytearray((DEPTH << bits) // 8)
+    return _bitmap(merged, DEPTH << bits)
+
+
+def _bitmap(cells: DataFrame, size: int) -> bytes:
+    """The cells (numbers below ``size``) as a bitmap of ``size`` bits, put together from pieces that Spark aggregates."""
+    maps = cells.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits"))
+    out = bytearray(size // 8)
     for bucket, piece in maps.toLocalIterator():
         at = (bucket - 1) * _BUCKET // 8
         out[at : at + len(piece)] = piece[: max(0, len(out) - at)]
@@ -135,7 +141,8 @@ def _tiles(window: int, bits: int, sketch):
 
 
 _TILE = "anchor long, w0 long, w1 long, n int, doc_id long, doc_key long, start int, wins array<long>"
-_KEY = ["anchor", "w0", "w1", "n"]
+#: A tile's key: its first and last windows hold all its words.
+_KEY = ["w0", "w1", "n"]
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -150,24 +157,38 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     bits = min(MOST_BITS, max(16, int(size / 120 * 8).bit_length()))
     sketch = spark.sparkContext.broadcast(repeated_cells(rows, window, bits))
     tiles = materialize(spark, rows.mapInArrow(_tiles(window, bits, sketch), _TILE))
-    keys = materialize(spark, tiles.groupBy(*_KEY).agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("mx"), F.first("wins").alias("wins")))
+    keys = tiles.groupBy(*_KEY).agg(F.first("anchor").alias("anchor"), F.min("doc_id").alias("m"), F.max("doc_id").alias("mx"), F.first("wins").alias("wins"))
+    keys = materialize(spark, keys.withColumn("kid", F.monotonically_increasing_id()))
     anchors = keys.groupBy("anchor").agg(F.count("*").alias("k"), F.min("m").alias("am"), F.max("mx").alias("amx")).where("am < amx")
-    known = keys.join(anchors.select("anchor", "k"), "anchor")
-    alone = known.where("k = 1").select(*_KEY, F.expr("array_repeat(m, n)").alias("low"))
-    spread = known.where("k > 1").select(*_KEY, "m", F.posexplode("wins").alias("at", "w"))
-    lowest = spread.groupBy("anchor", "w").agg(F.min("m").alias("wm"))
-    shared = (
-        spread.join(lowest, ["anchor", "w"])
-        .groupBy(*_KEY)
-        .agg(F.sort_array(F.collect_list(F.struct("at", "wm"))).alias("pairs"))
-        .select(*_KEY, F.expr("transform(pairs, p -> p.wm)").alias("low"))
-    )
-    low = alone.unionByName(shared)
-    mask = F.expr("aggregate(transform(low, (x, i) -> if(x < doc_id, shiftleft(1L, i), 0L)), 0L, (acc, bit) -> acc | bit)")
-    hits = tiles.select(*_KEY, "doc_id", "doc_key", "start").join(low, _KEY).withColumn("mask", mask).where("mask <> 0")
+    # windows of tiles whose anchor has other tiles take the smallest document of all of these
+    spread = keys.join(anchors.where("k > 1").select("anchor"), "anchor").select("kid", "m", F.expr("cast(anchor & 2147483647 as int)").alias("half"), F.posexplode("wins").alias("at", "w"))
+    lowest = spread.groupBy("half", "w").agg(F.min("m").alias("wm"), F.max("m").alias("most")).where("wm < most").drop("most")
+    lower = spread.join(lowest, ["half", "w"]).where("wm < m").groupBy("kid").agg(F.expr("bit_or(shiftleft(1L, at))").alias("lower"))
+    known = keys.select("kid", *_KEY, "m", "mx").join(lower, "kid", "left").where("m < mx or lower is not null")
+    # in a tile's first document the windows that other tiles hold earlier are covered, in its later documents all are
+    mask = F.expr("if(m < doc_id, shiftleft(1L, n) - 1, coalesce(lower, 0L))")
+    hits = tiles.select(*_KEY, "doc_id", "doc_key", "start").join(known.drop("kid", "mx"), _KEY).withColumn("mask", mask).where("mask <> 0")
     return hits.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
+def _touched(spark: SparkSession, spans: DataFrame):
+    """A column function of a text's key: may the text repeat something? Never false for one that does.
+
+    A bitmap of the keys' hashes, at most 2**MOST_BITS bits, is broadcast, so that most texts needn't be shuffled to meet their spans.
+    """
+    n = spans.count()
+    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
+    cells = spans.select(F.shiftrightunsigned("doc_key", 64 - bits).alias("cell"))
+    shared = spark.sparkContext.broadcast(_bitmap(cells, 1 << bits))
+
+    @F.pandas_udf("boolean")
+    def touched(key: pd.Series) -> pd.Series:
+        cell = (key.to_numpy(np.int64).view(U64) >> U64(64 - bits)).astype(np.int64)
+        return pd.Series((np.frombuffer(shared.value, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1)
+
+    return touched
+
+
 def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
     """Which words the marked windows cover."""
     edge = np.zeros(n_words + 1, np.int64)
@@ -223,9 +244,13 @@ def _cut_texts(window: int):
     return run
 
 
-def _with_spans(spark: SparkSession, docs: DataFrame, window: int) -> DataFrame:
-    spans = repeated_spans(spark, docs, window).select(F.col("doc_id").alias("__doc"), F.col("doc_key").alias("__key"), F.col("spans").alias("__spans"))
-    return docs.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__doc", "__key")
+def _with_spans(spark: SparkSession, docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(the documents that surely repeat nothing, the others with their ``__spans``, which may be null)."""
+    spans = materialize(spark, repeated_spans(spark, docs, window))
+    touched = _touched(spark, spans)(F.xxhash64("text"))
+    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("doc_key").alias("__key"), F.col("spans").alias("__spans"))
+    marked = docs.where(touched).join(spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__doc", "__key")
+    return docs.where(~touched), marked
 
 
 def removal_digest(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -234,17 +259,19 @@ def removal_digest(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     Null and empty texts have no words. Rows with a null id keep all words. Repeated rows are one document: each loses what the
     others lose. Texts are read whole, whatever their length. Other columns are ignored; an empty table gives an empty table.
     """
-    rows = _with_spans(spark, docs.select("doc_id", "text"), window).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"), F.col("__spans").alias("spans"))
+    clean, marked = _with_spans(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window)
+    rows = marked.select("doc_id", utf8().alias("text"), F.col("__spans").alias("spans"))
+    rows = rows.unionByName(clean.select("doc_id", utf8().alias("text"), F.lit(None).cast(rows.schema["spans"].dataType).alias("spans")))
     return rows.mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, all columns kept, without repeated passages. A text that repeats nothing stays byte for byte; one of which
     nothing is left is dropped. ``docs`` must be a table that reads the same each time, since it is read twice."""
-    marked = _with_spans(spark, docs, window)
+    clean, marked = _with_spans(spark, docs, window)
     names = [c for c in docs.columns if c != "text"]
     inner = marked.select(utf8().alias("text"), F.col("__spans").alias("spans"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     kinds = ", ".join(f"c{i} {inner.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(names)))
     cut_ = inner.where("spans is not null").mapInArrow(_cut_texts(window), f"__new string{', ' + kinds if kinds else ''}").where("trim(__new) <> ''")
     done = cut_.select(*(F.col("__new").alias("text") if c == "text" else F.col(f"c{names.index(c)}").alias(c) for c in docs.columns))
-    return marked.where("__spans is null").select(docs.columns).unionByName(done)
+    return clean.unionByName(marked.where("__spans is null").select(docs.columns)).unionByName(done)
