@@ -24,7 +24,6 @@ from quotelake.llm.components import connected_components
 SEED = 42
 #: Node pairs that are split at once; the rest waits on a stack.
 FRONTIER = 1 << 18
-#: Texts up to this many rows per trie task; more rows in a block group are dealt again by a second block.
 _LANES = [U64(0x0001000100010001)] + [U64(k) for k in range(1, 16)]
 
 
@@ -65,10 +64,12 @@ def bit_majorities(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprint_batches(width: int, n_words: int):
+def _fingerprint_batches(width: int, n_words: int, distinct: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             hashes = [shingle_hashes(t or b"", width) for t in part.column("text").to_pylist()]
+            if distinct:
+                hashes = [np.unique(h) for h in hashes]
             bounds = np.zeros(len(hashes) + 1, np.int64)
             np.cumsum([len(h) for h in hashes], out=bounds[1:])
             flat = np.concatenate(hashes) if hashes else np.zeros(0, U64)
@@ -80,10 +81,10 @@ def _fingerprint_batches(width: int, n_words: int):
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, fp array<long>): SimHash words over shingles of ``width`` words. The first word hashes by XXH64 with seed 42;
-    further ones remix those hashes. Null and empty texts, and texts of white space alone, give zeros."""
-    return docs.select("doc_id", utf8().alias("text")).mapInArrow(_fingerprint_batches(width, n_words), "doc_id long, fp array<long>")
+    further ones remix those hashes. ``distinct``: a shingle that repeats counts once. Null and empty texts, and texts of white space alone, give zeros."""
+    return docs.select("doc_id", utf8().alias("text")).mapInArrow(_fingerprint_batches(width, n_words, distinct), "doc_id long, fp array<long>")
 
 
 # ---- the trie self-join
@@ -288,14 +289,14 @@ def link_fingerprints(spark: SparkSession, reps: DataFrame, n_words: int = 1, bi
     return connected_components(spark, links)
 
 
-def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int = 3, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None) -> DataFrame:
+def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int = 3, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) of every document: component_id is the smallest doc_id reachable by links, itself included.
 
     Equal fingerprints always link (also those of empty and null texts, which are zero). Rows with a null doc_id keep a null
     component and link nothing; repeated rows appear as often as they come; other columns are ignored; an empty table gives
     an empty table. Very long texts are counted whole.
     """
-    fps = materialize(spark, fingerprints(docs, width, n_words))
+    fps = materialize(spark, fingerprints(docs, width, n_words, distinct))
     reps = materialize(spark, fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = link_fingerprints(spark, reps, n_words, bits, budget, most)
     named = reps.join(found, reps["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("__component"))
@@ -303,6 +304,33 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int =
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("__component")).alias("component_id"))
 
 
+#: For similarities rather than bits: eight words of hash bits over distinct five-word shingles, cut into sixteen segments.
+SIMILAR = {"width": 5, "n_words": 8, "bits": 32, "budget": 3, "distinct": True}
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """How many of so many bits two texts of that Jaccard similarity differ in, with one and a half standard deviations added: shingle counts of
+    Jaccard similarity s have a cosine of about 2s / (1 + s), and a bit differs with probability angle / pi."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return round(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns kept, without near-duplicates: of each component the one with the smallest doc_id stays.
+
+    Texts link if their SimHash over five-word shingles tells a Jaccard similarity of about ``similarity`` or more: some of sixteen
+    32-bit segments differs in at most three bits, and all 512 bits in no more than such texts do. Rows with null ids stay, as do
+    texts without words other than the first; of rows repeated under one id one stays.
+    """
+    most = most_bits(similarity, SIMILAR["n_words"] * 64)
+    found = near_duplicate_components(spark, docs.select("doc_id", "text"), most=most, **SIMILAR)
+    found = materialize(spark, found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__component"), F.count("*").alias("__times")))
+    gone = found.where("doc_id <> __component").select(F.col("doc_id").alias("__gone"))
+    again = found.where("doc_id = __component and __times > 1").select(F.col("doc_id").alias("__gone"))
+    once = docs.join(gone.unionByName(again), F.col("doc_id") == F.col("__gone"), "left_anti")
+    return once.unionByName(docs.join(again, F.col("doc_id") == F.col("__gone"), "left_semi").dropDuplicates(["doc_id"]))
+
+
 def hex_digits(fp: Column) -> Column:
     """A fingerprint word as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
