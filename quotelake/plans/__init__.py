@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quotelake.plans.registry import QUERIES, Query
 
-MODULES = ("relational",)
+MODULES = ("relational", "scalars", "pages")
 
 
 def load() -> dict[str, Query]:
