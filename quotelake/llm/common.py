@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -63,7 +65,7 @@ def remainder(column: Column, by: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(by)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice holds about ``limit`` bytes of ``column`` (or one longer value)."""
     for batch in batches:
         if not batch.num_rows:
@@ -73,6 +75,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20)
         starts = np.flatnonzero(np.diff(group, prepend=-1))
         for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: Spark keeps Python workers waiting for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def flat_words(texts: list[bytes | None]) -> tuple[list[list[bytes]], np.ndarray]:

@@ -39,7 +39,7 @@ MARK = "\u2581"
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-_REMEMBERED = 250_000
+_REMEMBERED = 160_000
 #: Longer stretches are walked without recursion and not remembered.
 _SHORT = 64
 
@@ -134,9 +134,9 @@ class Transducer:
         self.unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
         self.longest = max(map(len, self.arcs), default=1)
         self.lowest = min((s for _, s in self.arcs.values()), default=0.0) - 10
-        self.neighbours: dict[tuple[str, str], bool] = {}
+        self.neighbours: dict[str, bool] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
-        self.lasts: dict[str, str] = {}
+        self.lasts: dict[str, int] = {}
         self.ends = {p[i:] for p in self.arcs for i in range(len(p))}
         long = {c for p in self.arcs if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\r\t0123456789" if c not in long)
@@ -192,18 +192,18 @@ class Transducer:
 
     def _apart(self, a: str, b: str) -> bool:
         """The acceptor's arc: may piece b follow a? (a empty: may b begin?)"""
-        known = self.neighbours.get((a, b))
+        known = self.neighbours.get(f"{a}\0\0{b}")
         if known is None:
-            if len(self.neighbours) > 4 * _REMEMBERED:
+            if len(self.neighbours) > _REMEMBERED:
                 self.neighbours.clear()
-            known = self.neighbours[a, b] = self._merged(a + b) == ([a, b] if a else [b])
+            known = self.neighbours[f"{a}\0\0{b}"] = self._merged(a + b) == ([a, b] if a else [b])
         return known
 
     def _last(self, text: str) -> str:
         """The last piece on the one finite path of a short stretch's beginning; remembered, since many stretches begin alike."""
         found = self.lasts.get(text)
         if found is not None:
-            return found
+            return text[-found:]
         j, arcs, ends = len(text) - 1, self.arcs, self.ends
         fits = [text[j:]]
         while j and text[j - 1 :] in ends:
@@ -214,11 +214,11 @@ class Transducer:
         for piece in reversed(fits):
             rest = text[: -len(piece)]
             before = self._last(rest) if rest else ""
-            apart = known((before, piece))
+            apart = known(f"{before}\0\0{piece}")
             if apart if apart is not None else self._apart(before, piece):
-                if len(self.lasts) > 2 * _REMEMBERED:
+                if len(self.lasts) > _REMEMBERED:
                     self.lasts.clear()
-                self.lasts[text] = piece
+                self.lasts[text] = len(piece)
                 return piece
         raise AssertionError("every text has an encoding")
 
@@ -239,7 +239,7 @@ class Transducer:
                     piece = text[j:i]
                     if piece in arcs or j == i - 1:
                         before = last[j]
-                        fits = known((before, piece))
+                        fits = known(f"{before}\0\0{piece}")
                         if fits if fits is not None else apart(before, piece):
                             last[i] = piece
                             break

@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import U64, materialize, mix, slices, utf8
+from quotelake.llm.common import U64, give_back, materialize, mix, slices, utf8
 from quotelake.llm.components import connected_components
 
 SEED = 42
 #: Node pairs that are split at once; the rest waits on a stack.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 17
+#: A task joins its block groups once it holds so many rows (a larger group is joined whole).
+HELD = 100_000
 _LANES = [U64(0x0001000100010001)] + [U64(k) for k in range(1, 16)]
 
 
@@ -138,16 +140,21 @@ def trie_self_join(keys: np.ndarray, full: np.ndarray, bits: int, lead: int, bud
         done = small | bottom
         if done.any():
             la, lb = (a1 - a0)[done], (b1 - b0)[done]
-            size = la * lb
             base_a, base_b = a0[done], b0[done]
-            for c0 in range(0, len(size), 1 << 14):
-                s = size[c0 : c0 + (1 << 14)]
-                if not s.sum():
-                    continue
+            # nodes of many rows are compared a few rows at a time
+            step = np.maximum(1, FRONTIER // np.maximum(1, lb))
+            times = -(-la // step)
+            own = np.repeat(np.arange(len(la)), times)
+            skip = (np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)) * step[own]
+            base_a, base_b, la, lb = base_a[own] + skip, base_b[own], np.minimum(la[own] - skip, step[own]), lb[own]
+            size = la * lb
+            part = np.cumsum(size) // FRONTIER
+            for c0, c1 in zip(*(lambda x: (x, [*x[1:], len(size)]))(np.flatnonzero(np.diff(part, prepend=-1)).tolist()), strict=True):
+                s = size[c0:c1]
                 row = np.repeat(np.arange(len(s)), s)
                 at = np.arange(len(row)) - np.repeat(np.cumsum(s) - s, s)
-                width = lb[c0 : c0 + (1 << 14)][row]
-                i, j = base_a[c0 : c0 + (1 << 14)][row] + at // width, base_b[c0 : c0 + (1 << 14)][row] + at % width
+                width = lb[c0:c1][row]
+                i, j = base_a[c0:c1][row] + at // width, base_b[c0:c1][row] + at % width
                 ok = i < j
                 i, j = i[ok], j[ok]
                 ok = label[i] != label[j]
@@ -210,29 +217,33 @@ def _turned(fp: np.ndarray, segment: int, bits: int, first: int) -> np.ndarray:
     return (x << U64(first)) | (x >> U64(64 - first)) if first else x
 
 
-def _deal(n_words: int, bits: int, budget: int):
-    """Rows (rep, fp) dealt once for each segment and block: deal is a code of segment, block and the block's value."""
+def _words(column: pa.Array, n_words: int) -> np.ndarray:
+    """A column of packed fingerprints as rows of words."""
+    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, n_words)
+
+
+def _deal(n_words: int, bits: int, budget: int, segments: int):
+    """Rows (rep, fp) dealt once for each segment and block: ``code`` is the segment, the block and the block's value."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp = np.array(batch.column("fp").to_pylist(), np.int64).view(U64).reshape(-1, n_words)
-            for segment in range(n_words * 64 // bits):
+            fp = batch.column("fp").flatten().to_numpy(zero_copy_only=False).view(U64).reshape(-1, n_words)
+            packed = pa.array([row.tobytes() for row in fp], pa.binary())
+            for segment in range(segments):
                 for block, (first, width) in enumerate(_blocks(bits, budget)):
-                    key = _turned(fp, segment, bits, first)
-                    value = (key >> U64(64 - width)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), segment * 16 + block, np.int32)), pa.array(value), batch.column("rep"), batch.column("fp")], ["deal", "value", "rep", "fp"]
-                    )
+                    value = _turned(fp, segment, bits, first) >> U64(64 - width)
+                    code = value.astype(np.int64) | (segment * 16 + block) << 40
+                    yield pa.RecordBatch.from_arrays([pa.array(code), batch.column("rep"), packed], ["code", "rep", "fp"])
 
     return run
 
 
 def _join(n_words: int, bits: int, budget: int, most: int):
-    """Sorted dealt rows of a partition to (a, b): a spanning forest of the links found there."""
+    """Dealt rows in order of code to (a, b): a spanning forest of the links found there."""
 
-    def flush(deal: int, value: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def flush(deal: int, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         segment, block = divmod(deal, 16)
         first, width = _blocks(bits, budget)[block]
         key = _turned(fp, segment, bits, first)
@@ -247,49 +258,48 @@ def _join(n_words: int, bits: int, budget: int, most: int):
 
         def emit() -> Iterator[pa.RecordBatch]:
             if held:
-                deal, value, rep, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                code, rep, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                deal = code >> 40
                 for d in np.unique(deal):
                     at = deal == d
-                    yield flush(int(d), value[at], rep[at], fp[at])
+                    yield flush(int(d), rep[at], fp[at])
                 held.clear()
 
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            deal, value, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("deal", "value", "rep"))
-            fp = np.array(batch.column("fp").to_pylist(), np.int64).view(U64).reshape(-1, n_words)
-            code = np.stack([deal.astype(np.int64), value], axis=1)
-            # rows come in order of (deal, value): all but the last block group are whole
-            if held and rows > 200_000:
-                last = (held[-1][0][-1], held[-1][1][-1])
-                cut = np.flatnonzero((code != last).any(axis=1))
+            code, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("code", "rep"))
+            fp = _words(batch.column("fp"), n_words)
+            if held and rows > HELD:  # all but the last block group are whole
+                cut = np.flatnonzero(code != held[-1][0][-1])
                 if len(cut):
                     c = cut[0]
-                    held.append((deal[:c], value[:c], rep[:c], fp[:c]))
+                    held.append((code[:c], rep[:c], fp[:c]))
                     yield from emit()
-                    deal, value, rep, fp, rows = deal[c:], value[c:], rep[c:], fp[c:], 0
-            held.append((deal, value, rep, fp))
-            rows += len(deal)
+                    code, rep, fp, rows = code[c:], rep[c:], fp[c:], 0
+            held.append((code, rep, fp))
+            rows += len(code)
         yield from emit()
+        give_back()
 
     return run
 
 
-def link_fingerprints(spark: SparkSession, reps: DataFrame, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None) -> DataFrame:
+def link_fingerprints(spark: SparkSession, reps: DataFrame, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None, segments: int | None = None) -> DataFrame:
     """(id, component) of the representatives (rep, fp) that link with another one.
 
-    Fingerprints of ``n_words`` words are cut into segments of ``bits`` bits. Two link if some segment differs in at most
+    Fingerprints of ``n_words`` words are cut into segments of ``bits`` bits. Two link if some of the first ``segments`` (default: all) differs in at most
     ``budget`` bits and all segments together in at most ``most`` (default: budget; then all links of one segment are found).
     """
-    dealt = reps.select("rep", "fp").mapInArrow(_deal(n_words, bits, budget), "deal int, value long, rep long, fp array<long>")
+    dealt = reps.select("rep", "fp").mapInArrow(_deal(n_words, bits, budget, segments or n_words * 64 // bits), "code long, rep long, fp binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = dealt.repartition(parts, "deal", "value").sortWithinPartitions("deal", "value")
+    sorted_ = dealt.repartition(parts, "code").sortWithinPartitions("code")
     links = sorted_.mapInArrow(_join(n_words, bits, budget, budget if most is None else most), "a long, b long")
     return connected_components(spark, links)
 
 
-def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int = 3, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None, distinct: bool = False) -> DataFrame:
+def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int = 3, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None, segments: int | None = None, distinct: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) of every document: component_id is the smallest doc_id reachable by links, itself included.
 
     Equal fingerprints always link (also those of empty and null texts, which are zero). Rows with a null doc_id keep a null
@@ -298,14 +308,14 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int =
     """
     fps = materialize(spark, fingerprints(docs, width, n_words, distinct))
     reps = materialize(spark, fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = link_fingerprints(spark, reps, n_words, bits, budget, most)
+    found = link_fingerprints(spark, reps, n_words, bits, budget, most, segments)
     named = reps.join(found, reps["rep"] == found["id"], "left").select("fp", F.coalesce("component", "rep").alias("__component"))
     joined = fps.join(named, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("__component")).alias("component_id"))
 
 
-#: For similarities rather than bits: eight words of hash bits over distinct five-word shingles, cut into sixteen segments.
-SIMILAR = {"width": 5, "n_words": 8, "bits": 32, "budget": 3, "distinct": True}
+#: For similarities rather than bits: eight words of hash bits over distinct five-word shingles, the first six cut into twelve segments.
+SIMILAR = {"width": 5, "n_words": 8, "bits": 32, "budget": 3, "segments": 12, "distinct": True}
 
 
 def most_bits(similarity: float, bits: int) -> int:
