@@ -15,6 +15,16 @@ def channel(words: Column) -> Column:
     return rules.first_match(words, V.insensitive(V.CHANNELS))
 
 
+def concept(name: Column, path: Column, context: Column, table: list[tuple[str, str]], least_words: int = 3) -> Column:
+    """The concept of a service by an ordered table of (label, pattern): by its name; a name of fewer than ``least_words`` words is a fragment and also asks the
+    levels of its section path, the nearest first, each together with the name, and last the context."""
+    own = rules.first_match(name, table)
+    levels = F.reverse(F.split(F.coalesce(path, F.lit("")), " > "))
+    by_level = F.get(F.filter(F.transform(levels, lambda x: rules.first_match(F.concat_ws(" ", name, x), table)), lambda x: x.isNotNull()), F.lit(0))
+    fragment = F.size(F.split(F.trim(F.coalesce(name, F.lit(""))), r"\s+")) < least_words
+    return F.coalesce(own, F.when(fragment, F.coalesce(by_level, rules.first_match(F.concat_ws(" ", name, context), table))))
+
+
 def destination(concept: Column, name: Column, context: Column) -> Column:
     """Where money goes, for concepts that move it: what the name says beats the context; what excludes each other gives none."""
     own, around = (rules.all_matches(F.coalesce(c, F.lit("")), V.insensitive(V.DESTINATIONS)) for c in (name, context))

@@ -128,6 +128,12 @@ def test_vocabulary(spark):
     assert values(spark, [("Credit de nevoi personale cu ipotecă", None), ("x", "depozit la termen")], "t string, p string", normalise.rate_product(F.col("t"), F.col("p"))) == [("credit_nevoi_personale",), ("depozit_termen",)]
 
 
+def test_concept(spark):
+    table = [("retragere", "(?iu)retrager"), ("card", "(?iu)card"), ("cont", "(?iu)cont")]
+    rows = [("Retragere cu cardul", "Cont", None), ("pe zi", "Cont > Carduri", None), ("pe zi", "Alta", "cont curent"), ("un nume lung fără sens", "Carduri", "card"), (None, None, None)]
+    assert values(spark, rows, "n string, p string, c string", normalise.concept(F.col("n"), F.col("p"), F.col("c"), table)) == [("retragere",), ("card",), ("cont",), (None,), (None,)]
+
+
 def test_normalise(spark):
     base = dict.fromkeys(f.split()[0] for f in schemas.RAW_RECORD.split(", "))
     rows = [
