@@ -6,10 +6,11 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -17,6 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: A bitmap that is broadcast has at most so many bits for each of its rows: 2**28 bits are 32 MB.
+MOST_BITS = 28
+#: A bitmap of Spark's bitmap_construct_agg holds so many bits.
+_BUCKET = 32_768
 #: An odd base of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -146,3 +151,30 @@ def global_index(spark: SparkSession, df: DataFrame, order: list[Column], name:
         total += n
     table = spark.createDataFrame(offsets or [(0, 0)], "__part int, __base long")
     return placed.join(F.broadcast(table), "__part").withColumn(name, F.col("__base") + F.col("__at")).drop("__part", "__at", "__base")
+
+
+def bitmap(cells: DataFrame, size: int) -> bytes:
+    """The cells (column ``cell``, numbers below ``size``) as a bitmap of ``size`` bits, put together from pieces that Spark aggregates."""
+    maps = cells.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits"))
+    out = bytearray(size // 8)
+    for bucket, piece in maps.toLocalIterator():
+        at = (bucket - 1) * _BUCKET // 8
+        out[at : at + len(piece)] = piece[: max(0, len(out) - at)]
+    return bytes(out)
+
+
+def maybe_among(spark: SparkSession, keys: DataFrame) -> Callable[[Column], Column]:
+    """A column function: may this 64-bit hash be among ``keys`` (column ``key``)? Never false for one that is.
+
+    The keys' leading bits make a bitmap of at most 2**MOST_BITS bits, which is broadcast: rows that surely have no partner needn't be
+    shuffled to find that out. With more keys than bits it only lets more rows through.
+    """
+    bits = min(MOST_BITS, max(16, (16 * keys.count()).bit_length()))
+    shared = spark.sparkContext.broadcast(bitmap(keys.select(F.shiftrightunsigned("key", 64 - bits).alias("cell")), 1 << bits))
+
+    @F.pandas_udf("boolean")
+    def among(key: pd.Series) -> pd.Series:
+        cell = (key.to_numpy(np.int64).view(U64) >> U64(64 - bits)).astype(np.int64)
+        return pd.Series((np.frombuffer(shared.value, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1)
+
+    return among

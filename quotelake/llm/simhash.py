@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import U64, give_back, materialize, mix, slices, utf8
+from quotelake.llm.common import U64, give_back, materialize, maybe_among, mix, slices, utf8
 from quotelake.llm.components import connected_components
 
 SEED = 42
@@ -314,8 +314,8 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int =
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("__component")).alias("component_id"))
 
 
-#: For similarities rather than bits: eight words of hash bits over distinct five-word shingles, the first six cut into twelve segments.
-SIMILAR = {"width": 5, "n_words": 8, "bits": 32, "budget": 3, "segments": 12, "distinct": True}
+#: For similarities rather than bits: eight words of hash bits over distinct five-word shingles, cut into sixteen segments.
+SIMILAR = {"width": 5, "n_words": 8, "bits": 32, "budget": 3, "distinct": True}
 
 
 def most_bits(similarity: float, bits: int) -> int:
@@ -337,8 +337,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, similarity: float = 0
     found = materialize(spark, found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__component"), F.count("*").alias("__times")))
     gone = found.where("doc_id <> __component").select(F.col("doc_id").alias("__gone"))
     again = found.where("doc_id = __component and __times > 1").select(F.col("doc_id").alias("__gone"))
-    once = docs.join(gone.unionByName(again), F.col("doc_id") == F.col("__gone"), "left_anti")
-    return once.unionByName(docs.join(again, F.col("doc_id") == F.col("__gone"), "left_semi").dropDuplicates(["doc_id"]))
+    # the rest, most of the documents, meets nothing and isn't shuffled
+    listed = gone.unionByName(again)
+    near = maybe_among(spark, listed.select(F.xxhash64("__gone").alias("key")))(F.xxhash64("doc_id"))
+    rest, some = docs.where(~near), docs.where(near)
+    once = some.join(listed, F.col("doc_id") == F.col("__gone"), "left_anti")
+    out = rest.unionByName(once)
+    if again.isEmpty():
+        return out
+    return out.unionByName(some.join(again, F.col("doc_id") == F.col("__gone"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def hex_digits(fp: Column) -> Column:

@@ -18,19 +18,16 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import U64, flat_words, materialize, mix, rolling, slices, utf8, word_hashes
+from quotelake.llm.common import MOST_BITS, U64, bitmap, flat_words, materialize, maybe_among, mix, rolling, slices, utf8, word_hashes
 
 WINDOW = 50
 GRAM = 10
-#: Rows of the sketch, and the most cells in a row (2**28 bits are 32 MB); the bitmap that is broadcast is never larger than both.
-DEPTH, MOST_BITS = 2, 28
-#: A bitmap of Spark's bitmap_construct_agg holds so many bits.
-_BUCKET = 32_768
+#: Rows of the sketch; each has at most 2**MOST_BITS cells, and the bitmap that is broadcast never more bits.
+DEPTH = 2
 
 
 def _anchored(texts: list[bytes | None], window: int) -> tuple[np.ndarray, ...]:
@@ -85,17 +82,7 @@ def repeated_cells(docs: DataFrame, window: int, bits: int) -> bytes:
     """The merged sketch as a bitmap of the cells that reached two, DEPTH rows of 2**bits bits: its size doesn't follow the input."""
     cells = docs.select("text").mapInArrow(_sketch(window, bits), "cell long, n byte")
     merged = cells.groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
-    return _bitmap(merged, DEPTH << bits)
-
-
-def _bitmap(cells: DataFrame, size: int) -> bytes:
-    """The cells (numbers below ``size``) as a bitmap of ``size`` bits, put together from pieces that Spark aggregates."""
-    maps = cells.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("bits"))
-    out = bytearray(size // 8)
-    for bucket, piece in maps.toLocalIterator():
-        at = (bucket - 1) * _BUCKET // 8
-        out[at : at + len(piece)] = piece[: max(0, len(out) - at)]
-    return bytes(out)
+    return bitmap(merged, DEPTH << bits)
 
 
 def _tiles(window: int, bits: int, sketch):
@@ -103,7 +90,7 @@ def _tiles(window: int, bits: int, sketch):
     longest = window - min(GRAM, window) + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(sketch.value, np.uint8)
+        held = np.frombuffer(sketch.value, np.uint8)
         for part in slices(batches, "text"):
             owner, at, anchor, hashes = _anchored(part.column("text").to_pylist(), window)
             if not len(at):
@@ -111,7 +98,7 @@ def _tiles(window: int, bits: int, sketch):
             likely = np.ones(len(at), bool)
             for row in range(DEPTH):
                 cell = _cells(anchor, row, bits)
-                likely &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+                likely &= (held[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
             starts = _run_starts(owner, anchor)
             in_run = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
             starts = np.flatnonzero(in_run % longest == 0)
@@ -171,24 +158,6 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     return hits.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
-def _touched(spark: SparkSession, spans: DataFrame):
-    """A column function of a text's key: may the text repeat something? Never false for one that does.
-
-    A bitmap of the keys' hashes, at most 2**MOST_BITS bits, is broadcast, so that most texts needn't be shuffled to meet their spans.
-    """
-    n = spans.count()
-    bits = min(MOST_BITS, max(16, (16 * n).bit_length()))
-    cells = spans.select(F.shiftrightunsigned("doc_key", 64 - bits).alias("cell"))
-    shared = spark.sparkContext.broadcast(_bitmap(cells, 1 << bits))
-
-    @F.pandas_udf("boolean")
-    def touched(key: pd.Series) -> pd.Series:
-        cell = (key.to_numpy(np.int64).view(U64) >> U64(64 - bits)).astype(np.int64)
-        return pd.Series((np.frombuffer(shared.value, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1)
-
-    return touched
-
-
 def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
     """Which words the marked windows cover."""
     edge = np.zeros(n_words + 1, np.int64)
@@ -247,7 +216,7 @@ def _cut_texts(window: int):
 def _with_spans(spark: SparkSession, docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """(the documents that surely repeat nothing, the others with their ``__spans``, which may be null)."""
     spans = materialize(spark, repeated_spans(spark, docs, window))
-    touched = _touched(spark, spans)(F.xxhash64("text"))
+    touched = maybe_among(spark, spans.select(F.col("doc_key").alias("key")))(F.xxhash64("text"))
     spans = spans.select(F.col("doc_id").alias("__doc"), F.col("doc_key").alias("__key"), F.col("spans").alias("__spans"))
     marked = docs.where(touched).join(spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__doc", "__key")
     return docs.where(~touched), marked
