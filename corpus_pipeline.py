@@ -10,32 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm import mixing, quality, sentencepiece_fst, simhash, substring_dedup
-from quotelake.llm.common import materialize
+from quotelake.llm.common import bounded_batches, materialize
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores below 0.5."""
+    bounded_batches(spark)
     return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one with the smallest id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    bounded_batches(spark)
     return simhash.keep_one_of_each(spark, docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more out of all but the first document that holds them; n_chars follows the text."""
+    bounded_batches(spark)
     cut = substring_dedup.remove_repeats(spark, docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources meet their targets."""
+    bounded_batches(spark)
     return mixing.mix_documents(spark, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document the mix took."""
+    bounded_batches(spark)
     return sentencepiece_fst.encode_documents(spark, docs)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import slices, utf8
+from quotelake.llm.common import give_back, slices, utf8
 
 codecs.register_error("sp_bytes", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 #: A public merge model with byte fallback; any path of a SentencePiece model can be given.
@@ -326,6 +326,10 @@ def _encode_batches(model, key: str):
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in names), pa.array(counts), lists, pa.array(sha, pa.string()), pa.array(same)], [*names, "n_tokens", "ids", "decoded_sha256", "lossless"]
             )
+        # neighbours, which cost most to find and are fewest, stay for the worker's next task
+        t.paths.clear()
+        t.lasts.clear()
+        give_back()
 
     return run
 
