@@ -33,10 +33,8 @@ def connected_components(spark: SparkSession, links: DataFrame, limit: int = 60)
         if links_ == ids and edges.join(roots, F.col("u") == F.col("id"), "left_semi").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _stars(large)
-        edges = materialize(
-            spark,
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-        )
+        # written once, since the next step reads it twice
+        large = materialize(spark, _stars(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _stars(large).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
+        edges = materialize(spark, small.where("u <> v").distinct())
     raise RuntimeError("components did not converge")

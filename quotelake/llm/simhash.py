@@ -250,8 +250,12 @@ def _join(n_words: int, bits: int, budget: int, most: int):
         order = np.argsort(key, kind="stable")
         label = trie_self_join(key[order], fp[order], bits, width, budget, most)
         rep = rep[order]
-        child = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[label[child]])], ["a", "b"])
+        # stars around the smallest id: deals that find the same group return the same links, which then collapse
+        hub = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(hub, label, rep)
+        hub = hub[label]
+        child = rep != hub
+        return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(hub[child])], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
