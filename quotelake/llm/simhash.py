@@ -10,6 +10,7 @@ returns a spanning forest of what it linked (at most one row for each row it rea
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -207,9 +208,17 @@ def _blocks(bits: int, budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _recut(fp: np.ndarray) -> np.ndarray:
+    """The fingerprints with their bytes in another order: each byte of a segment of 32 bits comes from another quarter."""
+    n_words = fp.shape[1]
+    return np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 4, 2 * n_words).transpose(0, 2, 1).reshape(-1, 8 * n_words).copy().view(U64)
+
+
 def _turned(fp: np.ndarray, segment: int, bits: int, first: int) -> np.ndarray:
-    """The segment's bits at the top of a word, turned so that bit ``first`` leads."""
+    """The segment's bits at the top of a word, turned so that bit ``first`` leads. Segments beyond the last are cut from the reordered bytes."""
     per = 64 // bits
+    if segment >= per * fp.shape[1]:
+        fp, segment = _recut(fp), segment - per * fp.shape[1]
     x = fp[:, segment // per] << U64(bits * (segment % per))
     if bits < 64:
         x &= ~U64((1 << (64 - bits)) - 1)
@@ -293,7 +302,8 @@ def _join(n_words: int, bits: int, budget: int, most: int):
 def link_fingerprints(spark: SparkSession, reps: DataFrame, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None, segments: int | None = None) -> DataFrame:
     """(id, component) of the representatives (rep, fp) that link with another one.
 
-    Fingerprints of ``n_words`` words are cut into segments of ``bits`` bits. Two link if some of the first ``segments`` (default: all) differs in at most
+    Fingerprints of ``n_words`` words are cut into segments of ``bits`` bits; beyond the last of them, up to twice as many, into segments of the same bytes
+    in another order. Two link if some of the first ``segments`` (default: all of the first order) differs in at most
     ``budget`` bits and all segments together in at most ``most`` (default: budget; then all links of one segment are found).
     """
     dealt = reps.select("rep", "fp").mapInArrow(_deal(n_words, bits, budget, segments or n_words * 64 // bits), "code long, rep long, fp binary")
@@ -318,26 +328,146 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int =
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("__component")).alias("component_id"))
 
 
-#: For similarities rather than bits: eight words of hash bits over distinct five-word shingles, cut into sixteen segments.
-SIMILAR = {"width": 5, "n_words": 8, "bits": 32, "budget": 3, "distinct": True}
+#: Candidates for similarities: eight words of hash bits over distinct five-word shingles, cut in two ways into sixteen segments each.
+SHINGLE = 5
+SIMILAR = {"n_words": 8, "bits": 32, "budget": 3, "segments": 32}
+#: A group of candidates is compared in parts of about so many texts and so many shingles, each pair of parts on its own.
+PART_ROWS, PART_SHINGLES = 1_000, 4_000_000
 
 
 def most_bits(similarity: float, bits: int) -> int:
-    """How many of so many bits two texts of that Jaccard similarity differ in, with one and a half standard deviations added: shingle counts of
+    """How many of so many bits two texts of that Jaccard similarity differ in, with four standard deviations added: shingle counts of
     Jaccard similarity s have a cosine of about 2s / (1 + s), and a bit differs with probability angle / pi."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return round(bits * p + 1.5 * (bits * p * (1 - p)) ** 0.5)
+    return round(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
+
+
+def _shingle_batches(width: int):
+    """Texts to their distinct shingles: ``key`` stands for the set, ``shingles`` holds its sorted hashes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            packed = [np.unique(shingle_hashes(t or b"", width)).tobytes() for t in part.column("text").to_pylist()]
+            keys = [hashlib.sha256(x).digest()[:16] for x in packed]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "key", "shingles"])
+
+    return run
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, shingles): each text's distinct shingles of ``width`` words and a key that equal sets share."""
+    return docs.select("doc_id", utf8().alias("text")).mapInArrow(_shingle_batches(width), "doc_id long, key binary, shingles binary")
+
+
+def _fingerprint_sets(n_words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "shingles"):
+            hashes = [np.frombuffer(x, U64) for x in part.column("shingles").to_pylist()]
+            bounds = np.zeros(len(hashes) + 1, np.int64)
+            np.cumsum([len(h) for h in hashes], out=bounds[1:])
+            flat = np.concatenate(hashes)
+            table = np.stack([bit_majorities(mix(flat, k) if k else flat, bounds) for k in range(n_words)], axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, table.size + 1, n_words, dtype=np.int32), table.reshape(-1))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), lists], ["doc_id", "key", "fp"])
+
+    return run
+
+
+def alike(sets: list[np.ndarray], similarity: float, part: np.ndarray | None = None) -> np.ndarray:
+    """Labels (a position) of sets linked directly or by others: two link if their Jaccard similarity is ``similarity`` or more.
+
+    Where ``part`` holds two values, only sets of different parts are compared. Pairs that are linked already, or whose sizes alone keep them
+    below, aren't compared.
+    """
+    n = len(sets)
+    label, sizes = np.arange(n), np.array([len(x) for x in sets], np.int64)
+    dense = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.zeros(0, np.int64)
+    ids = np.split(dense, np.cumsum(sizes)[:-1])
+    own = np.zeros(int(dense.max(initial=-1)) + 1, np.int64)
+    cross = part is not None and len(np.unique(part)) > 1
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        open_ = (label[j] != label[i]) & (sizes[j] > 0) & (np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) * (1 - 1e-9))
+        if cross:
+            open_ &= part[j] != part[i]
+        j = j[open_]
+        if not len(j) or not sizes[i]:
+            continue
+        own[ids[i]] = 1
+        starts = np.cumsum(sizes[j]) - sizes[j]
+        shared = np.add.reduceat(own[np.concatenate([ids[k] for k in j])], starts)
+        own[ids[i]] = 0
+        hit = j[shared / (sizes[i] + sizes[j] - shared) >= similarity]
+        if len(hit):
+            merged = np.unique(np.append(label[hit], label[i]))
+            label[np.isin(label, merged)] = merged[0]
+    return label
+
+
+def _verify(similarity: float):
+    """Rows of groups of candidates, in order of ``code``, to (a, b): stars of those that are alike."""
+
+    def stars(rows: list[tuple]) -> pa.RecordBatch:
+        rep = np.array([r[0] for r in rows], np.int64)
+        label = alike([np.frombuffer(r[2], U64) for r in rows], similarity, np.array([r[1] for r in rows], np.int64))
+        hub = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(hub, label, rep)
+        hub = hub[label]
+        child = rep != hub
+        return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(hub[child])], ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:
+            for group, low, high, *row in zip(*(batch.column(c).to_pylist() for c in ("component", "low", "high", "rep", "part", "shingles")), strict=True):
+                if held and (group, low, high) != last:
+                    yield stars(held)
+                    held = []
+                last = group, low, high
+                held.append(tuple(row))
+        if held:
+            yield stars(held)
+        give_back()
+
+    return run
+
+
+def similar_components(spark: SparkSession, docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, component_id) of every document: component_id is the smallest doc_id reachable by pairs whose distinct five-word shingles have a
+    Jaccard similarity of ``similarity`` or more.
+
+    Equal sets of shingles (also those of texts without words) are one class. Classes meet as candidates by their SimHash, and each group of
+    candidates is compared by the shingles themselves. Rows with a null doc_id keep a null component and link nothing.
+    """
+    n_words = SIMILAR["n_words"]
+    fps = materialize(spark, shingle_sets(docs, SHINGLE).mapInArrow(_fingerprint_sets(n_words), "doc_id long, key binary, fp array<long>"))
+    classes = materialize(spark, fps.where("doc_id is not null").groupBy("key", "fp").agg(F.min("doc_id").alias("rep")))
+    loose = materialize(spark, link_fingerprints(spark, classes, most=most_bits(similarity, n_words * 64), **SIMILAR))
+    near = maybe_among(spark, loose.select(F.xxhash64("id").alias("key")))(F.xxhash64("doc_id"))
+    # a class's shingles come from a text of its smallest id, which may be repeated with other texts
+    members = loose.join(classes, F.col("id") == F.col("rep")).select("component", "rep", "key")
+    sets = shingle_sets(docs.where(near), SHINGLE).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "key"])
+    rows = materialize(spark, members.join(sets, ["rep", "key"]))
+    size = rows.groupBy("component").agg(F.count("*").alias("__n"), F.sum(F.length("shingles") / 8).alias("__size"))
+    parts = F.greatest(F.ceil(F.col("__n") / PART_ROWS), F.ceil(F.col("__size") / PART_SHINGLES), F.lit(1)).cast("int")
+    dealt = rows.join(size.select("component", parts.alias("__parts")), "component").withColumn("part", F.pmod(F.xxhash64("key"), F.col("__parts")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    dealt = dealt.select("component", F.least("part", "__other").alias("low"), F.greatest("part", "__other").alias("high"), "rep", "part", "shingles")
+    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = dealt.repartition(count, "component", "low", "high").sortWithinPartitions("component", "low", "high")
+    found = connected_components(spark, sorted_.mapInArrow(_verify(similarity), "a long, b long"))
+    named = classes.join(found, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("__component"))
+    return fps.join(named, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("__component")).alias("component_id"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns kept, without near-duplicates: of each component the one with the smallest doc_id stays.
 
-    Texts link if their SimHash over five-word shingles tells a Jaccard similarity of about ``similarity`` or more: some of sixteen
-    32-bit segments differs in at most three bits, and all 512 bits in no more than such texts do. Rows with null ids stay, as do
-    texts without words other than the first; of rows repeated under one id one stays.
+    Texts link if the Jaccard similarity of their distinct five-word shingles is ``similarity`` or more; see ``similar_components``. Rows with
+    null ids stay, as do texts without words other than the first; of rows repeated under one id one stays.
     """
-    most = most_bits(similarity, SIMILAR["n_words"] * 64)
-    found = near_duplicate_components(spark, docs.select("doc_id", "text"), most=most, **SIMILAR)
+    found = similar_components(spark, docs.select("doc_id", "text"), similarity)
     found = materialize(spark, found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__component"), F.count("*").alias("__times")))
     gone = found.where("doc_id <> __component").select(F.col("doc_id").alias("__gone"))
     again = found.where("doc_id = __component and __times > 1").select(F.col("doc_id").alias("__gone"))

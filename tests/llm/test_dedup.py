@@ -171,6 +171,38 @@ def test_keep_one_of_each(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*(str(i) for i in range(20)), "None"])
 
 
+@pytest.mark.parametrize("shingles,goes", [(45, True), (44, False)])
+def test_keep_one_of_each_at_the_threshold(spark, shingles, goes):
+    """One word changed in the middle replaces five shingles: 40 / 50 = 0.8 links, 39 / 49 doesn't."""
+    rows = []
+    for k in range(150):
+        words = [f"k{k}w{i}" for i in range(shingles + 4)]
+        rows += [(k, " ".join(words)), (1000 + k, " ".join([*words[:20], "other", *words[21:]]))]
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(spark, simhash.materialize(spark, docs_frame(spark, rows))).collect()}
+    assert kept == set(range(150)) | (set() if goes else set(range(1000, 1150)))
+
+
+def test_keep_one_of_each_compares_parts_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join([*words[: 10 * k], "other", *words[10 * k + 1 :]])) for k in range(1, 29)]
+    rows += [(100 + k, " ".join([*words[:200], *(f"x{k}y{i}" for i in range(60))])) for k in range(3)]
+    kept = {r["doc_id"] for r in simhash.keep_one_of_each(spark, simhash.materialize(spark, docs_frame(spark, rows))).collect()}
+    assert kept == {1, 100, 101, 102}
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_alike_equals_brute_force(parts):
+    r = random.Random(parts)
+    sets = [set(r.sample(range(100, 130), r.randrange(0, 25))) for _ in range(20)]
+    sets += [s ^ set(r.sample(range(100, 130), r.randrange(1, 4))) for s in sets for _ in range(3)]
+    part = np.array([r.randrange(parts) for _ in sets])
+    label = simhash.alike([np.array(sorted(s), np.uint64) for s in sets], 0.8, part)
+    near = lambda a, b: len(a | b) > 0 and 10 * len(a & b) >= 8 * len(a | b)
+    low = roots(range(len(sets)), [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if near(sets[i], sets[j]) and (parts == 1 or part[i] != part[j])])
+    assert label.tolist() == [low[i] for i in range(len(sets))]
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 40)] + [(7, 7)]
     got = dict(tuple(r) for r in components.connected_components(spark, spark.createDataFrame(links, "a long, b long")).collect())
