@@ -142,15 +142,18 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     return min(len(data), end + (10 if flags & 0x10 else 0))
 
 
-def _tail(data: bytes, tags: dict[str, str]) -> int:
-    """Where audio ends: before ID3v1 and APE tags."""
+def _tails(data: bytes, start: int) -> list[tuple[int, dict[str, str]]]:
+    """Where audio may end, and the tags behind it: the data's end first, then before what looks like ID3v1 and APE tags."""
     end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        tags["id3v1_title"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        end -= min(end, int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0))
-    return end
+    found: list[tuple[int, dict[str, str]]] = [(end, {})]
+    # an APE tag stands at the end or before an ID3v1 tag
+    if end - 128 >= start and data[end - 128 : end - 125] == b"TAG":
+        found.append((end - 128, {"id3v1_title": data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")}))
+    end, tags = found[-1]
+    if end - 32 >= start and data[end - 32 : end - 24] == b"APETAGEX":
+        end -= int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
+        found.append((max(start, end), tags))
+    return found
 
 
 def _bitrate_table(frame: bytes, h: Header) -> dict:
@@ -189,11 +192,26 @@ def _sound(data: bytes, at: int, h: Header) -> bool | None:
 
 
 def parse(data: bytes) -> Stream:
-    """Reads a whole stream. Bytes that are no audio give a stream without frames; a cut last frame isn't counted."""
-    s = Stream()
-    end, at = _tail(data, s.tags), 0
-    while data[at : at + 3] == b"ID3" and at + 10 <= end:
-        at = _id3v2(data, at, s.tags)
+    """Reads a whole stream. Bytes that are no audio give a stream without frames; a cut last frame isn't counted.
+
+    What looks like a tag at the end is none if frames without a gap cover it from its beginning to its end.
+    """
+    tags: dict[str, str] = {}
+    start = 0
+    while data[start : start + 3] == b"ID3" and start + 10 <= len(data):
+        start = _id3v2(data, start, tags)
+    ends = _tails(data, start)
+    for k, (end, more) in enumerate(ends):
+        s, run, last = _walk(data, start, end)
+        if k + 1 == len(ends) or last == end and run <= ends[k + 1][0]:
+            break
+    s.tags = tags | more
+    return s
+
+
+def _walk(data: bytes, at: int, end: int) -> tuple[Stream, int, int]:
+    """The frames between two offsets, and where the last run of frames without a gap begins and ends."""
+    s, run, last = Stream(), end, -1
     held = None  # the header that the stream holds to
     while at + 4 <= end:
         h = header(data[at : at + 4])
@@ -218,10 +236,13 @@ def parse(data: bytes) -> Stream:
             s.headers.append(h)
             s.samples += h.samples
             s.rate = s.rate or h.rate
+        if at != last:
+            run = at
         held = h
         at += h.size
+        last = at
     s.junk += end - at
-    return s
+    return s, run, last
 
 
 # ---- the writer

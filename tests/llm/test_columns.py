@@ -64,6 +64,46 @@ def test_reader_never_fails_on_noise(data):
     mpeg_audio.parse(b"ID3\x04\0\0\0\0\0\x30" + data)
 
 
+@pytest.mark.parametrize("mark,back", [(b"TAG", 128), (b"APETAGEX", 32)])
+def test_texts_that_look_like_tags_are_kept(mark, back):
+    """The mark stands so many bytes before the stream's end, wherever the payload reaches there, in last frames of every size."""
+    met = 0
+    for size in range(64, 64 * 19, 64):
+        media = bytearray(mpeg_audio.encode(b"x" * size))
+        at = len(media) - back
+        if media[at : at + len(mark)] != b"x" * len(mark):
+            continue
+        payload = bytearray(b"x" * size)
+        frames = mpeg_audio.parse(bytes(media)).offsets
+        rest = size - 384 * (len(frames) - 1)
+        offset = size - rest + at - frames[-1] - 22 - mpeg_audio._subbands(rest) * 6 // 8
+        for length in (0, 60, 900, 1 << 24):
+            payload[offset : offset + len(mark)] = mark
+            if mark == b"APETAGEX" and offset + 16 <= size:
+                payload[offset + 12 : offset + 16] = (length & 0x7F7F7F7F).to_bytes(4, "little")
+            stream = mpeg_audio.encode(bytes(payload))
+            assert stream[at : at + len(mark)] == mark
+            s = mpeg_audio.parse(stream)
+            assert mpeg_audio.decode(stream, s) == payload and s.junk == 0
+        met += 1
+    assert met
+
+
+def test_text_that_looks_like_a_tag_fails_no_query(spark):
+    text = "x" * (384 - 110) + "TAG" + "y" * 107
+    got = mpeg_audio.media_features(spark, docs_frame(spark, [(1, text, "en", "s")])).collect()
+    assert [(r["doc_id"], r["n_bytes"], r["payload_bytes"]) for r in got] == [(1, 384, 384)]
+
+
+def test_real_tags_after_frames_are_still_read():
+    media = mpeg_audio.encode(mpeg_audio.pad(b"some text"))
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(4) + b"\0\0\0\0" + bytes(8)
+    for tail in (b"TAG" + b"Title".ljust(125, b"\0"), ape, ape + b"TAG" + b"Title".ljust(125, b"\0")):
+        s = mpeg_audio.parse(media + tail)
+        assert s.junk == 0 and mpeg_audio.decode(media + tail, s) == mpeg_audio.pad(b"some text")
+        assert s.tags.get("id3v1_title") == ("Title" if b"Title" in tail else None)
+
+
 def test_media_rows(spark):
     rows = {(r["doc_id"], r["n_bytes"]): r for r in mpeg_audio.media_features(spark, docs_frame(spark, ODD)).collect()}
     for d, t, *_ in ODD:
