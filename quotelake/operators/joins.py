@@ -62,10 +62,12 @@ def first_rule(facts: DataFrame, text: str, rules: DataFrame, pattern: str, labe
     return facts.join(best, facts.columns, "left")
 
 
-def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.95) -> DataFrame:
+def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.95, ids: tuple[str, str] | None = None) -> DataFrame:
     """For each left row the right row of its block whose text is most alike (matching share of both texts), if at least ``least``.
 
-    Pairs exist only within a block and only if a bound on the share (from both lengths) reaches ``least``; the share itself is worked out in Arrow batches.
+    Pairs exist only within a block and only if a bound on the share (from both lengths) reaches ``least``: rows meet by length, so others are never
+    formed. The share itself is worked out in Arrow batches. Repeated left rows each stay. ``ids`` (a left and a right column): rows of equal ids
+    aren't compared, and the right id is given too; of equally alike texts the greatest wins, of equal texts the smallest id.
     """
 
     @F.pandas_udf("double")
@@ -73,11 +75,24 @@ def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, le
         for x, y in parts:
             yield pd.Series([SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    pairs = left.join(right, block).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    # the bound 2 min / (min + max) >= least leaves these lengths, and a little more for rounding
+    n, reach = F.length(a), F.lit(least / (2 - least))
+    low, high = F.floor(n * reach - 1e-6).cast("int"), F.ceil(n / reach + 1e-6).cast("int")
+    # equal rows are compared once; the last join gives each its best
+    keyed = left.where(F.col(a).isNotNull()).distinct().withColumn("__length", F.explode(F.sequence(low, high)))
+    pairs = keyed.join(right.where(F.col(b).isNotNull()).withColumn("__length", F.length(b)), [block, "__length"])
+    if ids:
+        pairs = pairs.where(F.col(ids[0]) != F.col(ids[1]))
     bound = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
     scored = pairs.where(bound >= least).withColumn("share", share(F.col(a), F.col(b))).where(F.col("share") >= least)
-    best = F.max_by(F.struct(F.col(b), F.col("share")), F.struct(F.col("share"), F.col(b))).alias("__best")
-    return scored.groupBy(*left.columns).agg(best).select(*left.columns, "__best.*")
+    out = [F.col(b), F.col("share"), *([F.col(ids[1])] if ids else [])]
+    best = F.max_by(F.struct(*out), F.struct(F.col("share"), F.col(b), *([-F.col(ids[1])] if ids else []))).alias("__best")
+    found = scored.groupBy(*left.columns).agg(best)
+    on = None
+    for c in left.columns:
+        same = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        on = same if on is None else on & same
+    return left.alias("l").join(found.alias("r"), on).select("l.*", "r.__best.*")
 
 
 def reachable(links: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> DataFrame:

@@ -523,12 +523,12 @@ def agg01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join20_most_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and the name most like theirs among other parts of the same brand and size."""
+    """Parts and the name most like theirs (and its part) among other parts of the same brand, size and type."""
     parts = table(spark, sf_dir, "part")
     block = F.concat_ws("/", "p_brand", "p_size", "p_type")
     left = parts.select(F.col("p_partkey"), "p_name", block.alias("block"))
-    right = parts.select(F.concat(F.col("p_name"), F.lit(" ")).alias("other"), block.alias("block"))
-    return joins.most_alike(left, right, "block", "p_name", "other", 0.9)
+    right = parts.select(F.col("p_partkey").alias("other_partkey"), F.col("p_name").alias("other"), block.alias("block"))
+    return joins.most_alike(left, right, "block", "p_name", "other", 0.9, ids=("p_partkey", "other_partkey"))
 
 
 query()(join20_most_alike)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quotelake.functions import arrays, rules
 from quotelake.operators import ads, changes, joins, quality, representative, summaries, upsert
+from quotelake.plans import relational
 from quotelake.sources import readers, sinks
 from quotelake.streaming import incremental
 
@@ -205,3 +206,26 @@ def test_summaries(spark):
     assert rows(summaries.page_furniture(lines, "doc", "page", "line"), "line") == [("footer",), ("twice",)]
     frame = spark.createDataFrame([("b",), ("",), (None,), ("a",)], "x string")
     assert [r["x"] for r in frame.orderBy(*summaries.blanks_last(F.col("x"), True)).collect()][:2] == ["b", "a"]
+
+
+def test_most_alike_part_is_another_part(spark, small):
+    from difflib import SequenceMatcher
+
+    parts = spark.createDataFrame(
+        [(k, f"{name}{k % 3}", brand, 1, "T") for k, (name, brand) in enumerate([("green steel plate ", "A"), ("green steel plates ", "A"), ("rose tin cup ", "B")] * 4)] + [(90, "alone in its block", "C", 1, "T")],
+        "p_partkey long, p_name string, p_brand string, p_size int, p_type string",
+    )
+    left = parts.select("p_partkey", "p_name", F.col("p_brand").alias("block"))
+    right = parts.select(F.col("p_partkey").alias("other_partkey"), F.col("p_name").alias("other"), F.col("p_brand").alias("block"))
+    twice = left.unionByName(left.where("p_partkey = 0"))
+    got = sorted((r["p_partkey"], r["other_partkey"], r["other"]) for r in joins.most_alike(twice, right, "block", "p_name", "other", 0.9, ids=("p_partkey", "other_partkey")).collect())
+    rows_ = parts.collect()
+    want = []
+    for p in rows_:
+        near = [(SequenceMatcher(None, p["p_name"], o["p_name"], autojunk=False).ratio(), o["p_name"], -o["p_partkey"]) for o in rows_ if o["p_brand"] == p["p_brand"] and o["p_partkey"] != p["p_partkey"]]
+        near = [x for x in near if x[0] >= 0.9]
+        if near:
+            want += [(p["p_partkey"], -max(near)[2], max(near)[1])] * (2 if p["p_partkey"] == 0 else 1)
+    assert got == sorted(want) and len(got) > 10
+    registered = relational.join20_most_alike(spark, small)
+    assert registered.where("p_partkey = other_partkey").isEmpty()
