@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotelake.llm.common import materialize
+
 #: Fixed value: the multiplier of the published algorithm.
 MULTIPLIER = 2862933555777941757
 _LOW = (1 << 32) - 1
@@ -56,23 +58,24 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int, bucket_ro
     Columns: doc_id, size (UTF-8 bytes of the text, null: none, plus 8), text_crc32 (of the UTF-8 bytes, null: of none),
     law ``key``, shard, slot (gapless from 0 in each shard), grown_shard.
 
-    Slots: rows are numbered within buckets (shard, hash of the key), whose expected size is ``bucket_rows``, and
-    offset by the counts of the shard's buckets before them, so no task holds a whole shard. Only doc_id, two numbers and
-    the shard are shuffled, never texts. Repeated rows share a shard and get slots of their own; null keys count as key 0;
+    Slots follow (doc_id, text_crc32, size) at every size: rows are sorted by ranges of (shard, doc_id, text_crc32, size) of about
+    ``bucket_rows`` rows, numbered within a range and offset by the shard's counts in the ranges before it, so no task holds a whole shard. Only
+    doc_id, two numbers and the shard are shuffled, never texts. Repeated rows share a shard and get slots of their own; null keys count as key 0;
     an empty table gives no rows; other columns are ignored. The result does not depend on partitioning.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.length(body).cast("long") + F.lit(8)).alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
-    buckets = max(1, -(-docs.count() // (shards * bucket_rows)))
+    ranges = max(1, -(-docs.count() // bucket_rows))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
-    rows = rows.withColumns(
-        {"shard": jump_hash(key, shards), "grown_shard": jump_hash(key, shards + 1), "__bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")}
-    )
-    counts = rows.groupBy("shard", "__bucket").agg(F.count("*").alias("__n"))
-    base = counts.withColumn("__base", F.expr("sum(__n) over (partition by shard order by __bucket) - __n")).drop("__n")
-    local = F.expr("row_number() over (partition by shard, __bucket order by doc_id, text_crc32, size) - 1")
-    return (
-        rows.withColumn("__local", local)
-        .join(base, ["shard", "__bucket"])
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__base") + F.col("__local")).cast("long").alias("slot"), "grown_shard")
+    rows = rows.withColumns({"shard": jump_hash(key, shards), "grown_shard": jump_hash(key, shards + 1)})
+    order = [F.col("shard"), F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")]
+    # rows equal in all columns may fall into two ranges: the last column keeps them apart
+    spread = F.rand(0).alias("__spread")
+    placed = rows.select("*", spread).repartitionByRange(ranges, *order, F.col("__spread")).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    placed = materialize(spark, placed.withColumns({"__part": F.spark_partition_id(), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}))
+    counts = placed.groupBy("shard", "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    base = counts.select("shard", "__part", F.expr("sum(__n) over (partition by shard order by __part) - __n - __first").alias("__base"))
+    return placed.join(F.broadcast(base), ["shard", "__part"]).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("__base") + F.col("__at")).cast("long").alias("slot"), "grown_shard"
     )

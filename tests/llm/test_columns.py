@@ -146,6 +146,16 @@ def test_sharding_rows(spark):
     assert jump_sharding.shard_documents(spark, docs_frame(spark, []), 24).count() == 0
 
 
+def test_slots_follow_the_ids_at_every_size(spark):
+    rows = [(k * 37 % 1000, f"t{k % 7}", "en", "s") for k in range(1000)] + [(5, "same", "en", "s")] * 50 + [(None, f"n{k}", "en", "s") for k in range(30)]
+    got = jump_sharding.shard_documents(spark, docs_frame(spark, rows), 3, bucket_rows=40).collect()
+    assert len(got) == len(rows)
+    for shard in range(3):
+        own = [r for r in got if r["shard"] == shard]
+        in_order = sorted(own, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text_crc32"], r["size"], r["slot"]))
+        assert [r["slot"] for r in in_order] == list(range(len(own)))
+
+
 def test_quality_learns_and_is_honest(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
