@@ -39,7 +39,7 @@ def rates_of(line: Column) -> Column:
 def _with_columns(line: Column, found: Column) -> Column:
     """Adds the values of the cells that follow the only kind found in a table row."""
     cells = F.split(line, "\t")
-    rest = F.slice(cells, 3, 100)
+    rest = F.slice(cells, F.lit(3), F.greatest(F.size(cells), F.lit(0)))
     state = F.struct(F.lit(True).alias("on"), F.array().cast("array<double>").alias("out"))
     value = lambda c: numbers.decimal_number(numbers.percent(c), True)
 

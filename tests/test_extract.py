@@ -163,3 +163,10 @@ def test_figure_in_text(spark):
     rows = [(1234.5, "costă 1.234,50 lei"), (5.9, "DAE 5,9%"), (7.0, "doar 6"), (12.0, "12 luni"), (None, "x")]
     assert values(spark, rows, "v double, t string", extract.figure_in_text(F.col("v"), F.col("t"))) == [(True,), (True,), (False,), (True,), (False,)]
     assert V.RATES[0][0] == "ircc_valoare"
+
+
+def test_rates_of_long_rows(spark):
+    line = "dobanda\t" + "\t".join(f"{k / 100 + 1:.2f}%".replace(".", ",") for k in range(130))
+    frame = spark.createDataFrame([(line,)], "line string")
+    got = frame.select(extract._with_columns(F.col("line"), F.array(extract._rate(F.lit("k"), F.lit(1.0)))).alias("r")).first()["r"]
+    assert [round(x["value"], 2) for x in got] == [round(k / 100 + 1, 2) for k in range(130)]
