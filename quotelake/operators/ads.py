@@ -12,7 +12,7 @@ OPEN = 2**63 - 1
 
 def enrich_ads(ads: DataFrame, advertisers: DataFrame, roles: tuple[str, ...] = ("banca", "filiala")) -> DataFrame:
     """Ads of known advertisers in wanted roles, with bank, main platform, open interval and days shown."""
-    known = advertisers.where(F.col("rol").isin(*roles)).select("advertiser_id", "banca", "rol").dropDuplicates(["advertiser_id"])
+    known = advertisers.where(F.col("rol").isin(*roles)).groupBy("advertiser_id").agg(F.min(F.struct("banca", "rol")).alias("__a")).select("advertiser_id", "__a.*")
     return ads.join(known, "advertiser_id").withColumns(
         {
             "platform": arrays.main_platform(F.col("platforme")),

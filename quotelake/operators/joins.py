@@ -2,64 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _months(start: Column, end: Column) -> Column:
+    """The first days of the months from ``start`` to ``end``; none if the end comes first."""
+    return F.when(start <= end, F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))
+
+
+def _placed(series: DataFrame, facts: DataFrame, day: str, start: str, end: str) -> DataFrame:
+    """The series' rows dealt to each month (``__month``) that their interval shares with the facts' days; an open end is the facts' last day."""
+    reach = facts.agg(F.min(F.col(day).cast("date")).alias("__first"), F.max(F.col(day).cast("date")).alias("__last"))
+    from_ = F.greatest(F.col(start).cast("date"), F.col("__first"))
+    to = F.least(F.coalesce(F.col(end).cast("date"), F.col("__last")), F.col("__last"))
+    return series.crossJoin(F.broadcast(reach)).withColumn("__month", F.explode(_months(from_, to))).drop("__first", "__last")
+
+
 def in_interval(facts: DataFrame, day: str, series: DataFrame, start: str, end: str) -> DataFrame:
-    """Facts with the rows of a dimension whose interval holds their day (an open end is null); facts without one drop out."""
-    return facts.join(series, (F.col(day) >= F.col(start)) & (F.col(end).isNull() | (F.col(day) <= F.col(end))))
+    """Facts with the rows of a dimension whose interval holds their day (an open end is null); facts without one drop out.
+
+    Intervals are dealt to the months they touch and meet the facts' month by equality, so it stays a hash join. Null days meet nothing.
+    """
+    dealt = _placed(series, facts, day, start, end)
+    inside = (F.col(day) >= F.col(start)) & (F.col(end).isNull() | (F.col(day) <= F.col(end)))
+    return facts.withColumn("__month", F.trunc(F.col(day).cast("date"), "month")).join(dealt, "__month").where(inside).drop("__month")
 
 
-def as_of(facts: DataFrame, day: str, unique: Sequence[str], series: DataFrame, start: str, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Facts with ``value`` of the latest row of the series that starts on or before their day (null if none does).
+def as_of(facts: DataFrame, day: str, series: DataFrame, start: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Facts with ``value`` of the latest row of the series that starts on or before their day (null if none does; of rows that start together the greatest).
 
-    Both tables are merged into one order by ``by`` and day, and the last value seen is carried on: one shuffle by ``by`` and no pairing of facts
-    with the series. Without ``by`` or with few series keys, days are cut into ranges: see ``as_of_ranges``.
+    Each row of the series holds from its start to the day before the next one's; these intervals meet the facts by ``by`` and month, so the facts are
+    neither sorted nor windowed, and a month with most of them is split like any skewed join. Only the series, one row a day at most for each ``by``, is put in order.
     """
-    tag = F.struct(F.col(start).alias("d"), F.lit(0).alias("o"))
-    s = series.select(*by, tag.alias("__at"), F.col(value).alias("__v"), F.lit(None).cast("string").alias("__f"))
-    columns = [c for c in facts.columns if c not in by]
-    f = facts.select(*by, F.struct(F.col(day).cast(series.schema[start].dataType).alias("d"), F.lit(1).alias("o")).alias("__at"), F.lit(None).cast(series.schema[value].dataType).alias("__v"), F.struct(*columns).alias("__row"))
-    both = s.drop("__f").withColumn("__row", F.lit(None).cast(f.schema["__row"].dataType)).unionByName(f)
-    month = F.trunc(F.col("__at")["d"].cast("date"), "month")
-    # ranges of a month: within one the window carries values on; what a range begins with comes from the ranges before it
-    both = both.withColumn("__month", month)
-    ends = s.withColumn("__month", month).groupBy(*by, "__month").agg(F.max_by("__v", "__at").alias("__last"))
-    spread = both.select(*by, "__month").distinct().join(ends, [*by, "__month"], "left")
-    before = Window.partitionBy(*by).orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spread.withColumn("__carried", F.last("__last", ignorenulls=True).over(before)).drop("__last")
-    inside = Window.partitionBy(*by, "__month").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__seen", F.last("__v", ignorenulls=True).over(inside)).where("__row is not null")
-    right = carried.select(*(F.col(c).alias(f"__b_{c}") for c in by), F.col("__month").alias("__m"), "__carried")
-    on = F.col("__month").eqNullSafe(F.col("__m"))
+    s = series.where(F.col(start).isNotNull()).groupBy(*(F.col(c).alias(f"__b_{c}") for c in by), F.col(start).cast("date").alias("__from")).agg(F.max(value).alias("__v"))
+    after = F.lead("__from").over(Window.partitionBy(*(f"__b_{c}" for c in by)).orderBy("__from"))
+    dealt = _placed(s.withColumn("__to", F.date_sub(after, 1)), facts, day, "__from", "__to").withColumnRenamed("__month", "__m")
+    on = F.trunc(F.col(day).cast("date"), "month") == F.col("__m")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
-    return seen.join(right, on, "left").select(*by, "__row.*", F.coalesce("__seen", "__carried").alias(value)).select(*facts.columns, value)
+    on = on & (F.col(day).cast("date") >= F.col("__from")) & (F.col("__to").isNull() | (F.col(day).cast("date") <= F.col("__to")))
+    return facts.join(dealt, on, "left").select(*(F.col(c) for c in facts.columns), F.col("__v").alias(value))
 
 
 def within_band(facts: DataFrame, x: str, series: DataFrame, y: str, tolerance: float, order: str) -> DataFrame:
-    """Facts with the first row (in ``order``) of the series whose ``y`` is within ``tolerance`` of ``x``; facts without one drop out.
+    """Facts with the first row (in ``order``) of the series whose ``y`` is within ``tolerance`` of ``x``; facts without one drop out, repeated ones all stay.
 
-    Values are dealt to cells of the tolerance's width and meet the series' three nearest cells by equality, so it stays a hash join.
+    Values are dealt to cells of the tolerance's width and meet the series' three nearest cells by equality, so it stays a hash join. The answer hangs on
+    ``x`` alone: each different value is looked up once.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(tolerance)).cast("long")
     s = series.select(*(F.col(c).alias(f"s_{c}") for c in series.columns), F.explode(F.sequence(cell(y) - 1, cell(y) + 1)).alias("__cell"))
-    key = [c for c in facts.columns]
-    best = F.min_by(F.struct(*(f"s_{c}" for c in series.columns)), F.col(f"s_{order}")).alias("__s")
-    hit = facts.withColumn("__cell", cell(x)).join(s, "__cell").where(F.abs(F.col(x) - F.col(f"s_{y}")) <= tolerance)
-    return hit.groupBy(*key).agg(best).select(*key, "__s.*")
+    best = F.min_by(F.struct(*(f"s_{c}" for c in series.columns)), F.struct(f"s_{order}", *(f"s_{c}" for c in series.columns))).alias("__s")
+    values = facts.select(F.col(x).alias("__x")).distinct().withColumn("__cell", cell("__x"))
+    found = values.join(s, "__cell").where(F.abs(F.col("__x") - F.col(f"s_{y}")) <= tolerance).groupBy("__x").agg(best)
+    return facts.join(found, F.col(x) == F.col("__x")).select(*(F.col(c) for c in facts.columns), "__s.*")
 
 
 def first_rule(facts: DataFrame, text: str, rules: DataFrame, pattern: str, label: str, order: str) -> DataFrame:
-    """Facts with the label of the first rule whose pattern matches; a rule table is short and fixed, so it is broadcast."""
-    r = F.broadcast(rules.select(F.col(pattern).alias("__p"), F.col(label).alias("__l"), F.col(order).alias("__o")))
-    best = facts.join(r, F.expr(f"{text} rlike __p")).groupBy(*facts.columns).agg(F.min_by("__l", "__o").alias(label))
-    return facts.join(best, facts.columns, "left")
+    """Facts with the label of the first rule whose pattern matches, null where none does. The rules, a short and fixed table, are one array in order
+    that each row goes through: facts aren't shuffled, and nulls in their columns don't matter."""
+    rule = F.struct(F.col(order).alias("o"), F.col(pattern).alias("p"), F.col(label).alias("l"))
+    table = rules.where(F.col(pattern).isNotNull()).agg(F.sort_array(F.collect_list(rule)).alias("__rules"))
+    hit = F.get(F.filter("__rules", lambda r: F.coalesce(F.rlike(F.col(text), r["p"]), F.lit(False))), F.lit(0))
+    return facts.crossJoin(F.broadcast(table)).withColumn(label, hit["l"]).drop("__rules")
 
 
 def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.95, ids: tuple[str, str] | None = None) -> DataFrame:
@@ -104,10 +114,3 @@ def reachable(links: DataFrame, start: DataFrame, depth: int, most: int | None =
         frontier = nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
         seen = seen.unionByName(frontier)
     return seen if most is None else seen.orderBy("depth", "node").limit(most)
-
-
-def combined(conditions: Iterable) -> object:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out

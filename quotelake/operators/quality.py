@@ -45,7 +45,7 @@ def mark_ambiguous(df: DataFrame, group: Sequence[str], value: str, signs: Seque
         known = known & k
     agg = df.where(known).groupBy(*group).agg(
         F.countDistinct(value).alias("__values"),
-        F.size(F.collect_set(F.struct(*(F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(s) for s in signs)))).alias("__signs"),
+        F.countDistinct(F.struct(*signs)).alias("__signs"),
         *(F.count(s).alias(f"__has_{s}") for s in signs),
         F.count("*").alias("__n"),
     )
@@ -60,22 +60,33 @@ def mark_ambiguous(df: DataFrame, group: Sequence[str], value: str, signs: Seque
 def mark_versions(df: DataFrame, owner: str, segment: str, family: str, day: str, stale_days: int = 365, translated: Column | None = None, state: str | None = None) -> DataFrame:
     """Adds version_state: DUBLURA for a translation whose owner also has an original, ISTORIC for a document older than its family's newest or in a
     family whose newest is over ``stale_days`` behind the newest of its owner and segment, else the state it had (a decided one is never changed) or IN_VIGOARE."""
-    in_family, in_segment = Window.partitionBy(owner, segment, family), Window.partitionBy(owner, segment)
-    newest, lead = F.max(day).over(in_family), F.max(day).over(in_segment)
+    # what a family and a segment know is aggregated, combined before the shuffle, and joined back: no window holds a segment's rows
+    original = F.max((~translated).cast("int")) if translated is not None else F.max(F.lit(0))
+    families = df.groupBy(owner, segment, family).agg(F.max(day).alias("__newest"), original.alias("__original"))
+    leads = families.groupBy(owner, segment).agg(F.max("__newest").alias("__lead"))
+    owners = families.groupBy(owner).agg(F.max("__original").alias("__has"))
+    rows = df
+    for right, keys in ((families.drop("__original"), (owner, segment, family)), (leads, (owner, segment)), *(((owners, (owner,)),) if translated is not None else ())):
+        named = right.select(*(F.col(c).alias(f"__{c}") for c in keys), *(c for c in right.columns if c not in keys))
+        on = F.lit(True)
+        for c in keys:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        rows = rows.join(named, on, "left").drop(*(f"__{c}" for c in keys))
     had = F.lit(None).cast("string") if state is None else F.col(state)
     free = had.isNull() | had.isin("IN_VIGOARE", "DATA_NECUNOSCUTA")
     verdict = F.when(~free, had)
     if translated is not None:
-        original = F.max((~translated).cast("int")).over(Window.partitionBy(owner)) == 1
-        verdict = verdict.when(translated & original, "DUBLURA")
-    verdict = verdict.when(F.col(day) < newest, "ISTORIC").when(F.datediff(lead, newest) > stale_days, "ISTORIC")
-    return df.withColumn("version_state", verdict.otherwise(F.coalesce(had, F.lit("IN_VIGOARE"))))
+        verdict = verdict.when(translated & (F.col("__has") == 1), "DUBLURA")
+    verdict = verdict.when(F.col(day) < F.col("__newest"), "ISTORIC").when(F.datediff("__lead", "__newest") > stale_days, "ISTORIC")
+    return rows.withColumn("version_state", verdict.otherwise(F.coalesce(had, F.lit("IN_VIGOARE")))).select(*df.columns, "version_state")
 
 
 def mark_copies(df: DataFrame, content: str, name: str) -> DataFrame:
     """Adds copy_of: of rows with equal content the one with the longest name (the last of equals) stays, the others point to it."""
-    best = F.max(F.struct(F.length(name).alias("n"), F.col(name).alias("name"))).over(Window.partitionBy(content))["name"]
-    return df.withColumn("copy_of", F.when(F.col(content).isNotNull() & (best != F.col(name)), best))
+    best = F.max(F.struct(F.length(name).alias("n"), F.col(name).alias("name"))).alias("__best")
+    held = df.where(F.col(content).isNotNull()).groupBy(F.col(content).alias("__content")).agg(best, F.count("*").alias("__n")).where("__n > 1")
+    joined = df.join(held, F.col(content) == F.col("__content"), "left")
+    return joined.withColumn("copy_of", F.when(F.col("__best.name") != F.col(name), F.col("__best.name"))).select(*df.columns, "copy_of")
 
 
 def queue(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -8,43 +8,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def representative_rows(df: DataFrame, cell: Sequence[str], value: str, ties: Sequence[str]) -> DataFrame:
-    """For each cell the row at the lower middle of its rows in order of value, then ``ties``; with n, low, high and mean of the cell.
+#: A cell's range is cut into so many parts to find the one that holds its middle.
+PARTS = 1000
+
+
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
+
+
+def counted_values(df: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
+    """(cell, value, __c): how often each value occurs, combined before the shuffle. Rows without a value don't count."""
+    return df.where(F.col(value).isNotNull()).groupBy(*cell, value).agg(F.count("*").alias("__c"))
+
 
-    Rows without a value don't count. Values are first counted by cell (combined before the shuffle), and the middle is found among
-    the distinct values; only rows that hold the middle value are ranked, so a cell with most of all rows is never sorted in one task.
+def middles(counted: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
+    """(cell as __k0.., __v, __at, n, low, high, mean): each cell's lower middle value, and which of the rows that hold it is the middle one.
+
+    The cell's range is cut into PARTS; the part that holds the middle is found among at most so many sums, and only that part's values are put in order.
     """
-    known = df.where(F.col(value).isNotNull())
-    counted = known.groupBy(*cell, value).agg(F.count("*").alias("__c"))
-    whole = Window.partitionBy(*cell)
-    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    counted = counted.withColumns(
-        {
-            "__upto": F.sum("__c").over(upto),
-            "n": F.sum("__c").over(whole),
-            "low": F.min(value).over(whole),
-            "high": F.max(value).over(whole),
-            "mean": F.sum(F.col(value) * F.col("__c")).over(whole) / F.sum("__c").over(whole),
-        }
+    keys = [f"__k{i}" for i in range(len(cell))]
+    named = counted.select(*(F.col(c).alias(k) for c, k in zip(cell, keys, strict=True)), F.col(value).alias("__v"), "__c")
+    whole = named.groupBy(*keys).agg(
+        F.sum("__c").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("mean")
     )
+    right = whole.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", "low", "high", "mean")
+    share = F.try_divide((F.col("__v") - F.col("low")).cast("double"), (F.col("high") - F.col("low")).cast("double"))
+    placed = named.join(right, _same(keys, [f"_{k}" for k in keys])).drop(*(f"_{k}" for k in keys)).withColumn("__part", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * PARTS), F.lit(PARTS - 1)))
+    upto = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.groupBy(*keys, "__part", "n").agg(F.sum("__c").alias("__c")).withColumn("__upto", F.sum("__c").over(upto))
     middle = F.floor((F.col("n") + 1) / 2)
-    found = counted.where((F.col("__upto") >= middle) & (F.col("__upto") - F.col("__c") < middle)).withColumn("__at", middle - (F.col("__upto") - F.col("__c")))
-    keys = [F.col(f"__k{i}") for i in range(len(cell))]
-    right = found.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(cell)), F.col(value).alias("__v"), "__at", "n", "low", "high", "mean")
-    on = F.col(value) == F.col("__v")
-    for c, k in zip(cell, keys, strict=True):
-        on = on & F.col(c).eqNullSafe(k)
-    rows = known.join(right, on)
+    holds = (F.col("__upto") >= middle) & (F.col("__upto") - F.col("__c") < middle)
+    part = sums.where(holds).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("__part").alias("__p"), (F.col("__upto") - F.col("__c")).alias("__before"))
+    inside = placed.join(part, _same(keys, [f"_{k}" for k in keys]) & (F.col("__part") == F.col("__p"))).drop(*(f"_{k}" for k in keys), "__part", "__p")
+    ordered = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("__upto", F.col("__before") + F.sum("__c").over(ordered))
+    return inside.where(holds).select(*keys, "__v", (middle - (F.col("__upto") - F.col("__c"))).alias("__at"), "n", "low", "high", "mean")
+
+
+def representative_rows(df: DataFrame, cell: Sequence[str], value: str, ties: Sequence[str], counted: DataFrame | None = None) -> DataFrame:
+    """For each cell the row at the lower middle of its rows in order of value, then ``ties``; with n, low, high and mean of the cell.
+
+    Rows without a value don't count. ``counted`` may give the cells' ``counted_values``; only rows that hold a middle value are ranked.
+    """
+    found = middles(counted_values(df, cell, value) if counted is None else counted, cell, value)
+    keys = [f"__k{i}" for i in range(len(cell))]
+    rows = df.join(found, (F.col(value) == F.col("__v")) & _same(cell, keys))
     ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*cell).orderBy(*ties)))
-    return ranked.where("__rn = __at").drop("__rn", "__at", "__v", *(f"__k{i}" for i in range(len(cell))))
+    return ranked.where("__rn = __at").drop("__rn", "__at", "__v", *keys)
 
 
 def matrix(df: DataFrame, row: str, column: str, value: str, ties: Sequence[str], cap: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Long form of the matrix row x column: the representative value of each cell among plausible rows, and the counts left out."""
-    plausible = F.lit(True) if cap is None else F.coalesce(F.col(value) <= cap, F.lit(False))
-    left_out = df.groupBy(row, column).agg(F.count_if(~plausible & F.col(value).isNotNull()).alias("implausible"))
-    best = representative_rows(df.where(plausible), [row, column], value, ties)
-    return best.select(row, column, F.col(value).alias("value"), *keep, "n", "low", "high", "mean").join(left_out, [row, column])
+    counted = counted_values(df, [row, column], value)
+    plausible = F.lit(True) if cap is None else F.col(value) <= cap
+    best = representative_rows(df.where(plausible), [row, column], value, ties, counted.where(plausible))
+    odd = counted.where(~plausible).groupBy(F.col(row).alias("__r"), F.col(column).alias("__s")).agg(F.sum("__c").alias("__odd"))
+    out = best.join(odd, _same([row, column], ["__r", "__s"]), "left")
+    return out.select(row, column, F.col(value).alias("value"), *keep, "n", "low", "high", "mean", F.coalesce("__odd", F.lit(0)).alias("implausible"))
 
 
 def wide(cells: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:

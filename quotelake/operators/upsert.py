@@ -8,16 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _matched(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    n = new.dropDuplicates(list(key)).select(*(F.col(c).alias(c if c in key else f"n_{c}") for c in new.columns), F.lit(True).alias("__new"))
+def one_of_each(new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Of rows with one key the last in ``order``, then in order of all their columns: the same whatever order they arrive in. Combines before the shuffle."""
+    rest = [c for c in new.columns if c not in key]
+    if not rest:
+        return new.distinct()
+    best = F.max_by(F.struct(*rest), F.struct(*order, *(c for c in rest if c not in order))).alias("__best")
+    return new.groupBy(*key).agg(best).select(*key, "__best.*").select(new.columns)
+
+
+def _matched(target: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    n = one_of_each(new, key, order).select(*(F.col(c).alias(c if c in key else f"n_{c}") for c in new.columns), F.lit(True).alias("__new"))
     return target.withColumn("__old", F.lit(True)).join(n, list(key), "full_outer")
 
 
-def upsert(target: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[str, str] | None = None, keep_old: Column | None = None) -> DataFrame:
+def upsert(target: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[str, str] | None = None, keep_old: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Insert or update by key. Each column follows its rule: ``fill`` (the new value, the old one where it is null; default), ``new``, ``old`` (first value
-    stays), ``greatest`` or ``least``. ``keep_old`` (over old columns and ``n_`` columns) names rows that stay as they were."""
+    stays), ``greatest`` or ``least``. ``keep_old`` (over old columns and ``n_`` columns) names rows that stay as they were.
+    Of several new rows with one key the last in ``order`` counts (then in order of their columns)."""
     rules = rules or {}
-    both = _matched(target, new, key)
+    both = _matched(target, new, key, order)
     inserted, matched = F.col("__old").isNull(), F.col("__old").isNotNull() & F.col("__new").isNotNull()
     out = []
     for c in target.columns:
@@ -32,8 +42,8 @@ def upsert(target: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[st
 
 
 def insert_new(target: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows whose key isn't there yet are added; of a new key repeated in one batch one row is."""
-    fresh = new.dropDuplicates(list(key)).join(target.select(*key), list(key), "left_anti")
+    """Rows whose key isn't there yet are added; of a new key repeated in one batch one row is (see ``one_of_each``)."""
+    fresh = one_of_each(new, key).join(target.select(*key), list(key), "left_anti")
     return target.unionByName(fresh.select(target.columns))
 
 
@@ -44,7 +54,7 @@ def replace_by(target: DataFrame, new: DataFrame, replaced: Column) -> DataFrame
 
 def annotate(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
     """Columns of ``updates`` overwrite the target's where they aren't null."""
-    u = updates.dropDuplicates(list(key)).select(*(F.col(c).alias(c if c in key else f"n_{c}") for c in updates.columns))
+    u = one_of_each(updates, key).select(*(F.col(c).alias(c if c in key else f"n_{c}") for c in updates.columns))
     joined = target.join(u, list(key), "left")
     return joined.select(*(F.coalesce(f"n_{c}", c).alias(c) if c in updates.columns and c not in key else F.col(c) for c in target.columns))
 

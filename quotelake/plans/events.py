@@ -23,24 +23,35 @@ def stm09_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "8 hours")
 
 
-@query("""
-WITH known AS (SELECT doc_id, source, left(sha256(text), 16) AS h FROM documents WHERE doc_id % 3 <> 0),
-seen AS (SELECT doc_id, source, left(sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END), 16) AS h FROM documents WHERE doc_id % 7 <> 0)
+_STATES_SQL = """
+WITH known AS (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, source, left(sha256(text), 16) AS h FROM documents),
+seen AS (SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + 2000000000 ELSE doc_id END AS doc_id, source, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE left(sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END), 16) END AS h,
+  CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END AS n FROM documents)
+"""
+
+
+@query(_STATES_SQL + """
 SELECT coalesce(k.doc_id, s.doc_id) AS doc_id, coalesce(s.source, k.source) AS owner,
-  CASE WHEN s.doc_id IS NULL AND k.source IN ('src1', 'src2') THEN 'NEVERIFICAT' WHEN s.doc_id IS NULL THEN 'LIPSA' WHEN k.doc_id IS NULL THEN 'NOU' WHEN k.h = s.h THEN 'NESCHIMBAT' ELSE 'SCHIMBAT' END AS state
+  CASE WHEN s.doc_id IS NULL AND k.source IN ('src1', 'src2') THEN 'NEVERIFICAT' WHEN s.doc_id IS NULL THEN 'LIPSA' WHEN s.h IS NULL THEN 'NEDESCARCAT' WHEN s.n = 2 THEN 'AMBIGUU'
+    WHEN k.doc_id IS NULL THEN 'NOU' WHEN k.h = s.h THEN 'NESCHIMBAT' ELSE 'SCHIMBAT' END AS state
 FROM known k FULL JOIN seen s ON k.doc_id = s.doc_id
 """)
 def stm02_document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents known, a third under addresses that weren't seen again, and all seen: some moved, changed, unread, or with two contents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("owner"), "text")
-    digest = lambda c: F.left(F.sha2(c, 256), F.lit(16)).alias("hash")
-    known = docs.where("doc_id % 3 <> 0").select("doc_id", "owner", digest(F.col("text")))
+    digest = lambda c: F.left(F.sha2(c, 256), F.lit(16))
+    moved = lambda by, to: F.when(F.col("doc_id") % by == 0, F.col("doc_id") + to).otherwise(F.col("doc_id")).alias("doc_id")
+    known = docs.select(moved(3, 1_000_000_000), "owner", digest(F.col("text")).alias("hash"))
     changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    seen = docs.where("doc_id % 7 <> 0").select("doc_id", "owner", digest(changed), F.lit(True).alias("ok"))
+    read = F.when(F.col("doc_id") % 11 != 0, digest(changed))
+    twice = F.when(F.col("doc_id") % 13 == 0, F.array(read, F.concat(read, F.lit("+")))).otherwise(F.array(read))
+    seen = docs.select(moved(7, 2_000_000_000), "owner", F.explode(twice).alias("hash")).withColumn("ok", F.col("hash").isNotNull())
     crawled = docs.select("owner").distinct().where("owner not in ('src1', 'src2')")
     return incremental.document_states(known, seen, crawled, "doc_id")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND left(sha256(text), 16) NOT IN (SELECT left(sha256(text), 16) FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT doc_id FROM documents WHERE left(sha256(text), 16) NOT IN (SELECT left(sha256(text), 16) FROM documents WHERE lang = 'en')")
 def stm01_skip_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left(F.sha2("text", 256), F.lit(16)).alias("hash"))
-    return incremental.skip_known(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), ["hash"]).select("doc_id")
+    """Of all documents those whose content no English one holds: what an earlier run over that part has read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.left(F.sha2("text", 256), F.lit(16)).alias("hash"))
+    return incremental.skip_known(docs, docs.where("lang = 'en'"), ["hash"]).select("doc_id")

@@ -90,7 +90,7 @@ def test_version_diff(spark):
 def test_as_of_with_keys_and_gaps(spark):
     facts = spark.createDataFrame([(1, "a", D(2026, 1, 1)), (2, "a", D(2026, 3, 15)), (3, "a", D(2026, 9, 1)), (4, "b", D(2026, 9, 1)), (5, None, D(2026, 9, 1)), (6, "a", D(2026, 3, 10))], "id int, k string, day date")
     series = spark.createDataFrame([("a", D(2026, 3, 10), 1.0), ("a", D(2026, 3, 20), 2.0), ("b", D(2026, 10, 1), 3.0)], "k string, d date, v double")
-    assert rows(joins.as_of(facts, "day", ["id"], series, "d", "v", ["k"]), "id", "v") == [(1, None), (2, 1.0), (3, 2.0), (4, None), (5, None), (6, 1.0)]
+    assert rows(joins.as_of(facts, "day", series, "d", "v", ["k"]), "id", "v") == [(1, None), (2, 1.0), (3, 2.0), (4, None), (5, None), (6, 1.0)]
 
 
 def test_most_alike_and_reachable(spark):
