@@ -1,18 +1,19 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-The model is compiled to three transducers: the normaliser (its character map, white space marks and the dummy prefix), the
-pieces (an arc for each piece, weighted by its negated score) with byte fallback (a character that is no piece reads as its
-bytes), and, for a merge model, the acceptor of neighbours. They are composed with each input, and the encoding is the
-shortest path in the tropical semiring.
+The model is compiled to machines given by their arcs: the normaliser (a trie of its character map, longest path first), the
+pieces (a trie whose paths write a piece at a weight), byte fallback (a character that is no piece is read as its bytes), and
+for a merge model the acceptor of neighbours. They are composed with each input on the fly, and the encoding is the shortest
+path in the tropical semiring, found by one best-first search for both kinds of model.
 
-* Unigram models: weights add up along the path; a character without an arc costs the model's lowest score less 10.
-* Merge (BPE) models: scores order merges and don't add up. But a sequence of pieces is the model's encoding exactly if each piece
-  merges up by itself and each two neighbours, merged anew, stay apart: merges inside two neighbours happen in the same order
-  as in the whole text, so a merge across their border would happen there too. The acceptor of neighbours gives such pairs weight
-  0 and others infinity. Each prefix of the input then has one finite path, and a state needs only its last piece.
+* Unigram models: a piece weighs its negated score; a character without a piece costs the model's lowest score less 10.
+* Merge (BPE) models: scores order merges and don't add up, so pieces weigh 0 and the borders decide. A sequence of pieces is the
+  model's encoding exactly if each piece merges up by itself and each two neighbours, merged anew, stay apart: merges inside two
+  neighbours happen in the same order as in the whole text, so a merge across their border would happen there too. The
+  acceptor gives a border weight 0 if its pieces stay apart, and infinity if not. Each prefix then has one path of finite weight.
 
 No piece crosses from another character to a white space mark, or from a letter to a punctuation sign that the model never
-joins to one, and some characters are in no longer piece; paths therefore split there, and the shortest path of each such stretch is remembered (a bounded cache) for the next time it occurs.
+joins to one, and some characters are in no longer piece; paths therefore split there, and the path of each such stretch is
+remembered (a bounded memory) for the next time it occurs.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import codecs
 import hashlib
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -39,9 +41,11 @@ MARK = "\u2581"
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: A worker remembers so many paths of stretches, and so many borders, at most.
 _REMEMBERED = 160_000
-#: Longer stretches are walked without recursion and not remembered.
+#: Paths of longer stretches aren't remembered.
 _SHORT = 64
+_RUNS = re.compile(rf"[{MARK}\w]+|[^{MARK}\w]+")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -124,49 +128,98 @@ def read_model(data: bytes) -> Model:
     return m
 
 
+def _trie(paths: Iterable[tuple]) -> dict:
+    """Arcs of a machine that reads each key and writes its value."""
+    root: dict = {}
+    for key, value in paths:
+        node = root
+        for sign in key:
+            node = node.setdefault(sign, {})
+        node[None] = value
+    return root
+
+
+class _Remembered(dict):
+    """What ``work`` makes of a key, remembered: once ``most`` are held, those not asked for lately go. Long keys aren't kept."""
+
+    def __init__(self, work: Callable, most: int):
+        super().__init__()
+        self.work, self.most, self.older = work, most // 2, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.work(key)
+        if len(key) <= _SHORT:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Transducer:
-    """The compiled model. Made from ``Model`` in each Python worker (the model is broadcast)."""
+    """The compiled model: the machines' arcs. Made from ``Model`` in each Python worker (the model is broadcast).
+
+    A machine is a trie of dictionaries: a node's arcs by their sign, and under ``None`` what the path from the root to it writes.
+    """
 
     def __init__(self, model: Model):
         self.model = model
-        self.arcs = {p: (i, s) for i, (p, s, kind) in enumerate(model.pieces) if kind == NORMAL}
+        self.merges = model.kind == BPE
+        self.scores = {p: s for p, s, kind in model.pieces if kind == NORMAL}
+        self.rewriting = _trie((k, v) for k, v in (model.rules or {}).items())
+        # weights: a constant for each character keeps them from being negative and adds the same to every path
+        lift = 0.0 if self.merges else max(0.0, max(self.scores.values(), default=0.0))
+        self.weight = {p: 0.0 if self.merges else lift * len(p) - s for p, s in self.scores.items()}
+        self.lowest = 0.0 if self.merges else lift + 10 - min(self.scores.values(), default=0.0)
+        self.parts = self._parts() if self.merges else {}
+        self.formed = {p: self.scores[p] if len(p) > 1 else float("inf") for p in self.scores}
+        # pieces with a merge that scores no worse than one before it: for the others time runs along the scores
+        self.astray: set[str] = set()
+        for p in sorted(self.parts, key=len):
+            if any(x in self.astray or self.formed[p] >= self.formed.get(x, float("inf")) for x in self.parts[p]):
+                self.astray.add(p)
+        self.joined = {a + b for p in self.scores for a, b in zip(p, p[1:], strict=False)}
+        self.longest = max(map(len, self.scores), default=1)
+        self.reading = _trie((p, p) for p in self.scores if not self.merges or len(p) == 1 or p in self.parts)
+        # what is written for a piece: its id; for a character that is none: its bytes' ids, or the unknown piece
+        self.ids = {p: (i,) for i, (p, _, kind) in enumerate(model.pieces) if kind == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
-        self.longest = max(map(len, self.arcs), default=1)
-        self.lowest = min((s for _, s in self.arcs.values()), default=0.0) - 10
-        self.neighbours: dict[str, bool] = {}
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.lasts: dict[str, int] = {}
-        self.ends = {p[i:] for p in self.arcs for i in range(len(p))}
-        long = {c for p in self.arcs if len(p) > 1 for c in p}
+        self.borders = _Remembered(self._apart, _REMEMBERED)
+        self.paths = _Remembered(self._stretch, _REMEMBERED)
+        self.stretches = self._stretches()
+        spoken = {NORMAL: lambda p: p.replace(MARK, " ").encode(), UNUSED: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode()}
+        self.sounds = [spoken.get(kind, lambda p: b"")(p) for p, _, kind in model.pieces]
+
+    def _stretches(self) -> re.Pattern | None:
+        """Where every path may be cut: no piece crosses these borders. None if the model's pieces cross white space marks."""
+        long = {c for p in self.scores if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\r\t0123456789" if c not in long)
         # signs that in no piece follow another character than a mark or a sign: a stretch ends before them
         signs = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-        pairs = {a + b for p in self.arcs for a, b in zip(p, p[1:], strict=False)}
-        while joined := [c for c in signs if any(b == c and a != MARK and a not in signs for a, b in pairs)]:
-            signs = "".join(c for c in signs if c not in joined)
-        self.rule_lengths = sorted({len(k) for k in model.rules or {}}, reverse=True)
-        crossing = any(MARK in p.lstrip(MARK) for p in self.arcs)
+        while crossed := [c for c in signs if any(b == c and a != MARK and a not in signs for a, b in self.joined)]:
+            signs = "".join(c for c in signs if c not in crossed)
         other = f"[^{MARK}{re.escape(alone + signs)}]"
         options = [f"{MARK}+[{re.escape(signs)}]*{other}*", f"[{re.escape(signs)}]+{other}*"] if signs else [f"{MARK}+{other}*"]
-        self.stretches = None if crossing else re.compile("|".join([*([f"[{re.escape(alone)}]"] if alone else []), *options, f"{other}+"]))
-        spoken = {NORMAL: lambda p: p.replace(MARK, " ").encode(), UNUSED: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode()}
-        self.sounds = [spoken.get(kind, lambda p: b"")(p) for p, _, kind in model.pieces]
+        if any(MARK in p.lstrip(MARK) for p in self.scores) or not self.model.byte_fallback:
+            return None
+        return re.compile("|".join([*([f"[{re.escape(alone)}]"] if alone else []), *options, f"{other}+"]))
 
     def normalise(self, text: str) -> str:
-        """The normaliser's output: longest rules first from the left, then white space."""
+        """The normaliser's output: at each place the longest path of its rules, else the character itself; then white space."""
         if self.model.rules:
             data, out, at = text.encode(), [], 0
             while at < len(data):
-                for n in self.rule_lengths:
-                    if data[at : at + n] in self.model.rules and len(data[at : at + n]) == n:
-                        out.append(self.model.rules[data[at : at + n]])
-                        at += n
-                        break
-                else:
-                    n = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
-                    out.append(data[at : at + n])
-                    at += n
+                b = data[at]
+                node, end, best = self.rewriting, at, (1 if b < 128 else 2 if b < 224 else 3 if b < 240 else 4, None)
+                while end < len(data) and (node := node.get(data[end])) is not None:
+                    end += 1
+                    if None in node:
+                        best = end - at, node[None]
+                out.append(data[at : at + best[0]] if best[1] is None else best[1])
+                at += best[0]
             text = b"".join(out).decode("utf-8", "replace")
         if self.model.trim:
             text = re.sub(" +", " ", text).strip(" ")
@@ -176,118 +229,123 @@ class Transducer:
             text = " " + text
         return text.replace(" ", MARK) if self.model.mark_spaces else text
 
-    def _merged(self, text: str) -> list[str]:
-        """What merging alone makes of a short text: the best-scored pair first, the leftmost of equals."""
-        parts = list(text)
+    def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What merging alone makes of a short text (the best-scored pair first, the leftmost of equals), and the last pair that merged."""
+        parts, last = list(text), None
         while True:
             best = None
             for i in range(len(parts) - 1):
-                arc = self.arcs.get(parts[i] + parts[i + 1])
-                if arc and (best is None or arc[1] > best[0]):
-                    best = (arc[1], i)
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best[0]):
+                    best = (score, i)
             if best is None:
-                return parts
+                return parts, last
             i = best[1]
+            last = parts[i], parts[i + 1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _apart(self, a: str, b: str) -> bool:
-        """The acceptor's arc: may piece b follow a? (a empty: may b begin?)"""
-        known = self.neighbours.get(f"{a}\0\0{b}")
-        if known is None:
-            if len(self.neighbours) > _REMEMBERED:
-                self.neighbours.clear()
-            known = self.neighbours[f"{a}\0\0{b}"] = self._merged(a + b) == ([a, b] if a else [b])
-        return known
-
-    def _last(self, text: str) -> str:
-        """The last piece on the one finite path of a short stretch's beginning; remembered, since many stretches begin alike."""
-        found = self.lasts.get(text)
-        if found is not None:
-            return text[-found:]
-        j, arcs, ends = len(text) - 1, self.arcs, self.ends
-        fits = [text[j:]]
-        while j and text[j - 1 :] in ends:
-            j -= 1
-            if text[j:] in arcs:
-                fits.append(text[j:])
-        known = self.neighbours.get
-        for piece in reversed(fits):
-            rest = text[: -len(piece)]
-            before = self._last(rest) if rest else ""
-            apart = known(f"{before}\0\0{piece}")
-            if apart if apart is not None else self._apart(before, piece):
-                if len(self.lasts) > _REMEMBERED:
-                    self.lasts.clear()
-                self.lasts[text] = len(piece)
-                return piece
-        raise AssertionError("every text has an encoding")
+    def _parts(self) -> dict[str, tuple[str, str]]:
+        """The two parts of each longer piece's last merge; a piece that doesn't merge up by itself is left out: it is on no path."""
+        found = {}
+        for p in self.scores:
+            if len(p) > 1:
+                made, last = self._merged(p)
+                if made == [p]:
+                    found[p] = last
+        return found
+
+    def _apart(self, pair: tuple[str, str]) -> bool:
+        """The acceptor of neighbours: is the border's weight 0 (else infinity)? Time runs back through the merges on both sides of the
+        border; pieces stay apart unless two that stood there at one time merge before either is used up."""
+        a, b = pair
+        if a in self.astray or b in self.astray:
+            return self._merged(a + b)[0] == [a, b]
+        scores, formed, always = self.scores.get, self.formed.get, float("inf")
+        used_a = used_b = -always
+        while True:
+            score = scores(a + b)
+            if score is not None and score > used_a and score >= used_b:
+                return False
+            made_a, made_b = formed(a, always), formed(b, always)
+            if made_a == made_b == always:
+                return True
+            if made_a < made_b:
+                a, used_a = self.parts[a][1], made_a
+            else:
+                b, used_b = self.parts[b][0], made_b
 
     def _shortest(self, text: str) -> list[str]:
-        """The pieces on the shortest path of a normalised stretch; single characters may be none."""
-        n, arcs, longest = len(text), self.arcs, self.longest
-        if self.model.kind == BPE and n <= _SHORT:
-            out = []
-            while text:
-                out.append(self._last(text))
-                text = text[: -len(out[-1])]
-            return out[::-1]
-        last: list[str | None] = ["", *[None] * n]
-        if self.model.kind == BPE:
-            apart, known = self._apart, self.neighbours.get
-            for i in range(1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    piece = text[j:i]
-                    if piece in arcs or j == i - 1:
-                        before = last[j]
-                        fits = known(f"{before}\0\0{piece}")
-                        if fits if fits is not None else apart(before, piece):
-                            last[i] = piece
-                            break
-        else:
-            cost = [0.0] + [float("inf")] * n
-            for i in range(1, n + 1):
-                for j in range(max(0, i - longest), i):
-                    piece = text[j:i]
-                    arc = arcs.get(piece)
-                    if arc or j == i - 1:
-                        c = cost[j] - (arc[1] if arc else self.lowest)
-                        if c < cost[i]:
-                            cost[i], last[i] = c, piece
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
+        """The pieces on the shortest path of the input composed with the machines; single characters may be none.
+
+        Best first, and of equals the furthest first. A place of the input is one state of the composition: for unigram models nothing
+        else is remembered, and for merge models only one path of finite weight reaches it, whose last piece is the state of the
+        acceptor of neighbours. A border's weight is looked up when its arc is taken.
+        """
+        n, came = len(text), [None] * (len(text) + 1)
+        borders, weight, merges, reading = self.borders, self.weight, self.merges, self.reading
+        # where no arc weighs anything the order doesn't matter, and a stack does
+        push, pop = (list.append, list.pop) if merges else (heappush, heappop)
+        waiting = [(0.0, 0, 0, "")]
+        while True:
+            cost, at, begin, piece = pop(waiting)
+            at = -at
+            if came[at] is not None or merges and begin and not borders[came[begin][1], piece]:
+                continue
+            came[at] = begin, piece
+            if at == n:
+                break
+            node, end = reading, at
+            if text[at] not in weight:
+                push(waiting, (cost + self.lowest, -at - 1, at, text[at]))
+            for sign in text[at : at + self.longest]:
+                if sign not in node:
+                    break
+                node = node[sign]
+                end += 1
+                if None in node:
+                    read = node[None]
+                    push(waiting, (cost + weight[read], -end, at, read))
+        out, at = [], n
+        while at:
+            at, piece = came[at]
+            out.append(piece)
         return out[::-1]
 
-    def _ids(self, pieces: list[str]) -> tuple[int, ...]:
+    def _cut(self, text: str) -> list[str]:
+        """The stretch cut where letters and signs meet that stand together in no piece."""
+        runs = _RUNS.findall(text)
+        out = runs[:1]
+        for run in runs[1:]:
+            if out[-1][-1] + run[0] in self.joined:
+                out[-1] += run
+            else:
+                out.append(run)
+        return out
+
+    def _stretch(self, text: str) -> tuple[int, ...]:
+        runs = self._cut(text)
+        return self._written(text) if len(runs) == 1 else tuple(chain.from_iterable(map(self.paths.__getitem__, runs)))
+
+    def _written(self, text: str) -> tuple[int, ...]:
+        """The ids that the shortest path of a text writes."""
         out: list[int] = []
-        for p in pieces:
-            arc = self.arcs.get(p)
-            if arc:
-                out.append(arc[0])
-            elif self.model.byte_fallback and self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
+        for p in self._shortest(text):
+            own = self.ids.get(p)
+            if own is None and self.model.byte_fallback and self.bytes:
+                own = tuple(self.bytes[b] for b in p.encode())
+            if own is not None:
+                out += own
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
         return tuple(out)
 
-    def _stretch(self, text: str) -> tuple[int, ...]:
-        found = self.paths.get(text)
-        if found is None:
-            found = self._ids(self._shortest(text))
-            if len(text) <= _SHORT:
-                if len(self.paths) > _REMEMBERED:
-                    self.paths.clear()
-                self.paths[text] = found
-        return found
-
     def encode(self, text: str) -> list[int]:
         whole = self.normalise(text)
         if not whole:
             return []
-        if self.stretches is None or not self.model.byte_fallback and self.model.kind == UNIGRAM:
-            return list(self._ids(self._shortest(whole)))
-        return list(chain.from_iterable(map(self._stretch, self.stretches.findall(whole))))
+        if self.stretches is None:
+            return list(self._written(whole))
+        return list(chain.from_iterable(map(self.paths.__getitem__, self.stretches.findall(whole))))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: marks become spaces, bytes join to characters (one U+FFFD for each that doesn't), the dummy prefix goes."""
@@ -326,9 +384,6 @@ def _encode_batches(model, key: str):
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in names), pa.array(counts), lists, pa.array(sha, pa.string()), pa.array(same)], [*names, "n_tokens", "ids", "decoded_sha256", "lossless"]
             )
-        # neighbours, which cost most to find and are fewest, stay for the worker's next task
-        t.paths.clear()
-        t.lasts.clear()
         give_back()
 
     return run

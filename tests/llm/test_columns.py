@@ -243,6 +243,44 @@ def test_tokens_equal_the_library(spark):
     assert sentencepiece_fst.encode_documents(spark, docs_frame(spark, [])).count() == 0
 
 
+def merged(text, scores):
+    """Plain merging of a whole text: the best-scored neighbours first, the leftmost of equals."""
+    parts = list(text)
+    while True:
+        best = max(((scores[parts[i] + parts[i + 1]], -i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in scores), default=None)
+        if best is None:
+            return parts
+        i = -best[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc▁", min_size=2, max_size=5), max_size=25, unique=True), st.lists(st.integers(1, 12), min_size=25, max_size=25), st.text("abc▁d", max_size=24))
+def test_merge_paths_equal_plain_merging(longer, ranks, text):
+    """Any merge model, with pieces that are never reached, equal scores, and merges out of their scores' order."""
+    own = [("<unk>", 0.0, 2), *((c, -20.0, 1) for c in "abc▁"), *((p, -float(r), 1) for p, r in zip(longer, ranks, strict=False))]
+    t = sentencepiece_fst.Transducer(sentencepiece_fst.Model(own, kind=sentencepiece_fst.BPE))
+    scores = {p: s for p, s, k in own if k == 1 and len(p) > 1}
+    assert t._shortest(text) == merged(text, scores) if text else True
+
+
+def test_merge_model_equals_plain_merging():
+    t = sentencepiece_fst.Transducer(sentencepiece_fst.read_model(open(sentencepiece_fst.MODEL_PATH, "rb").read()))
+    scores = {p: s for p, s in t.scores.items() if len(p) > 1}
+    r = random.Random(5)
+    pieces = [p for p in scores if len(p) < 8]
+    for _ in range(400):
+        text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 8))) + r.choice(["", "é", "日", "\n"])
+        want = [i for p in merged(text, scores) for i in (t.ids[p] if p in t.ids else [t.bytes[b] for b in p.encode()])]
+        assert list(t._written(text)) == want, text
+
+
+def test_remembered_paths_are_bounded():
+    found = sentencepiece_fst._Remembered(len, 10)
+    assert [found["x" * (k % 40)] for k in range(400)] == [k % 40 for k in range(400)]
+    assert len(found) + len(found.older) <= 10 and found["y" * 100] == 100 and "y" * 100 not in found
+
+
 def test_unigram_shortest_path_equals_brute_force():
     model = sentencepiece_fst.Model([("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.5, 1), ("ab", -2.0, 1), ("ba", -2.1, 1), ("aba", -3.2, 1), ("▁", -0.5, 1), ("▁a", -1.2, 1)])
     t = sentencepiece_fst.Transducer(model)
