@@ -15,10 +15,10 @@ def platform_shares(text: Column) -> Column:
 
 
 def main_platform(text: Column, small: int = 1000) -> Column:
-    """The platform(s) with the largest lower bound, joined by ``+``; ``sub_1000`` if none has one, ``fara_date`` without any."""
+    """The platform(s) with the largest lower bound, joined by ``+`` in their order; ``sub_1000`` if none has one, ``fara_date`` without any."""
     parts = platform_shares(text)
     top = F.array_max(F.transform(parts, lambda x: F.coalesce(x["low"], F.lit(0))))
-    best = F.array_sort(F.transform(F.filter(parts, lambda x: F.coalesce(x["low"], F.lit(0)) == top), lambda x: x["name"]))
+    best = F.transform(F.filter(parts, lambda x: F.coalesce(x["low"], F.lit(0)) == top), lambda x: x["name"])
     return F.when(F.size(parts) == 0, "fara_date").when(top <= 0, F.lit(f"sub_{small}")).otherwise(F.array_join(best, "+"))
 
 

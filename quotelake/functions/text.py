@@ -103,14 +103,16 @@ def family_key(name: Column) -> Column:
 
 
 def anchor(url: Column, page: Column, quote: Column, limit: int = 60) -> Column:
-    """A link to the evidence: the page and a search in a PDF, else a text fragment; the quote is cut at its last blank within ``limit``."""
+    """A link to the evidence: the page (if it is known) and a search in a PDF, else a text fragment
+    (of more than eight characters); the quote is cut at its last blank within ``limit``."""
     text = collapse(quote)
     cut = F.when(F.length(text) <= limit, text).otherwise(F.regexp_replace(F.substring(text, 1, limit), r"\s+\S*$", ""))
     coded = F.regexp_replace(F.url_encode(cut), r"\+", "%20")
+    known = F.coalesce(coded, F.lit("")) != ""
     pdf = F.lower(url).rlike(r"\.pdf([?#]|$)")
-    page_part = F.concat(F.lit("#page="), F.coalesce(page, F.lit(1)).cast("string"))
-    search = F.when(F.coalesce(coded, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.when(pdf, F.lit("&search=")).otherwise(F.lit("#:~:text=")), coded))
-    return F.when(url.isNotNull(), F.concat(F.regexp_replace(url, "#.*$", ""), F.when(pdf, page_part).otherwise(F.lit("")), search))
+    in_pdf = F.when(page.isNotNull(), F.concat(F.lit("#page="), page.cast("string"), F.when(known, F.concat(F.lit("&search="), coded)).otherwise(""))).otherwise("")
+    in_page = F.when(known & (F.length(cut) > 8), F.concat(F.lit("#:~:text="), coded)).otherwise("")
+    return F.when(url.isNotNull(), F.concat(F.regexp_replace(url, "#.*$", ""), F.when(pdf, in_pdf).otherwise(in_page)))
 
 
 def fingerprint(text: Column, digits: int = 16) -> Column:

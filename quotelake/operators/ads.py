@@ -24,6 +24,11 @@ def enrich_ads(ads: DataFrame, advertisers: DataFrame, roles: tuple[str, ...] =
     )
 
 
+def on_platform(ads: DataFrame, name: str) -> DataFrame:
+    """Ads whose main platforms (``A+B``) hold this one."""
+    return ads.where(F.array_contains(F.split("platform", "[+]"), name))
+
+
 def ads_summary(ads: DataFrame, by: list[str]) -> DataFrame:
     """Sums of both ends, whether any is open, and activity relative to the last day in the data, not the clock."""
     last = ads.agg(F.max("last_shown").alias("__d"))

@@ -79,3 +79,21 @@ def blanks_last(column: Column, descending: bool = False) -> list[Column]:
 def active_on(first: Column, last: Column, day: Column, days: int) -> Column:
     """Was it seen within so many days before the day?"""
     return (last >= F.date_sub(day, days)) & (first <= day)
+
+
+def order_by(key: str, allowed: dict[str, Column], descending: bool = False, *ties: Column) -> list[Column]:
+    """A total order by one of the keys that may be asked for (nulls last either way); an unknown key is an error."""
+    if key not in allowed:
+        raise ValueError(f"order by one of {', '.join(sorted(allowed))}")
+    return [allowed[key].desc_nulls_last() if descending else allowed[key].asc_nulls_last(), *ties]
+
+
+def distribution(df: DataFrame, by: str, kind: str, kinds: Sequence[str]) -> DataFrame:
+    """(by, n, a column for each kind): rows of each group and the share of each kind in per cent, one decimal."""
+    shares = [F.round(F.lit(100.0) * F.count_if(F.col(kind) == k) / F.count("*"), 1).alias(k) for k in kinds]
+    return df.groupBy(by).agg(F.count("*").alias("n"), *shares)
+
+
+def same_day(df: DataFrame, by: str, day: str, least: int) -> DataFrame:
+    """(by, day, n) of days on which at least so many rows of a group fall: a bulk change, not so many single ones."""
+    return df.where(F.col(day).isNotNull()).groupBy(by, day).agg(F.count("*").alias("n")).where(F.col("n") >= least)

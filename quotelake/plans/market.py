@@ -161,13 +161,13 @@ def index_now(index: DataFrame, as_of: Column) -> DataFrame:
 
 
 def index_series(index: DataFrame, tenors: Sequence[str]) -> DataFrame:
-    """One row for each day and index with a column for each tenor."""
-    return index.groupBy("indice", "valabil_din").pivot("scadenta", list(tenors)).agg(F.first("valoare"))
+    """One row for each day and index with a column for each tenor; of several values of one day the smallest."""
+    return index.groupBy("indice", "valabil_din").pivot("scadenta", list(tenors)).agg(F.min("valoare"))
 
 
 def networks(presence: DataFrame, names: Sequence[str]) -> DataFrame:
     """Bank by network: the account, or NEGASIT."""
-    wide = presence.groupBy("banca").pivot("retea", list(names)).agg(F.first("cont"))
+    wide = presence.groupBy("banca").pivot("retea", list(names)).agg(F.min("cont"))
     return wide.select("banca", *(F.coalesce(n, F.lit("NEGASIT")).alias(n) for n in names))
 
 
@@ -178,3 +178,139 @@ def run_estimate(runs: DataFrame, default: float) -> DataFrame:
     any_ = good.groupBy("command").agg(F.median("seconds").alias("__any"))
     every = runs.select("command", "bank").distinct()
     return every.join(own, ["command", "bank"], "left").join(any_, "command", "left").select("command", "bank", F.coalesce("__own", "__any", F.lit(default)).alias("seconds"))
+
+
+def versus_mobile(releases: DataFrame, screenshots: DataFrame) -> DataFrame:
+    """Each bank's current app with its rating, volume and number of screenshots."""
+    shots = screenshots.groupBy("banca").agg(F.count("*").alias("capturi"))
+    rows = releases.select("banca", "platforma", "versiune", F.col("rating").cast("double").alias("rating"), F.col("volum").cast("long").alias("volum"))
+    return rows.join(shots, "banca", "left").withColumn("capturi", F.coalesce("capturi", F.lit(0)).cast("long"))
+
+
+def versus_network(locations: DataFrame) -> DataFrame:
+    """Each bank's branches, own machines, and mean rating of its branches."""
+    branch, own = F.col("tip") == "sucursala", (F.col("tip") == "atm") & (F.col("retea") == "proprie")
+    return locations.groupBy("banca").agg(F.count_if(branch).alias("sucursale"), F.count_if(own).alias("atm"), F.round(F.avg(F.when(branch, F.col("rating"))), 2).alias("rating_sucursale"))
+
+
+def versus_sentiment(reviews: DataFrame) -> DataFrame:
+    """Each bank's reviews, their mean and the share of bad ones in whole per cent."""
+    return reviews.groupBy("banca").agg(F.count("*").alias("review_uri"), F.round(F.avg("stars"), 2).alias("medie_text"), F.round(F.lit(100.0) * F.count_if(F.col("stars") <= 2) / F.count("*"), 0).alias("pct_negative"))
+
+
+def versus_coverage(banks: DataFrame, obs: DataFrame) -> DataFrame:
+    """Each bank's known fields and values, banks without any too."""
+    n = obs.groupBy("banca").agg(F.countDistinct("camp").alias("servicii_cunoscute"), F.count("id").alias("valori"))
+    return banks.select(F.col("slug").alias("banca")).join(n, "banca", "left").select("banca", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("servicii_cunoscute", "valori")))
+
+
+def freshness(domains: Sequence[tuple[str, DataFrame, str | None, str | Column]]) -> DataFrame:
+    """(domeniu, randuri, ultima, provenienta) of each (name, table, time column or None, origin): rows, newest time, and where they come from; an origin
+    given as a column is the sorted list of its different values."""
+    out = None
+    for name, df, at, origin in domains:
+        last = F.lit(None).cast("timestamp_ntz") if at is None else F.max(F.col(at).cast("timestamp_ntz"))
+        source = F.lit(origin) if isinstance(origin, str) else arrays.joined_distinct(F.collect_set(origin), " + ")
+        row = df.agg(F.count("*").alias("randuri"), last.alias("ultima"), source.alias("provenienta")).select(F.lit(name).alias("domeniu"), "randuri", "ultima", "provenienta")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def history_view(changes_: DataFrame, bank: str | None = None, field: str | None = None, direction: str | None = None) -> DataFrame:
+    """Price changes of a bank, a field and a direction (scumpire, ieftinire), the newest first and of one day the largest."""
+    way = {"scumpire": F.col("delta") > 0, "ieftinire": F.col("delta") < 0, None: None}[direction]
+    rows = changes_.where(rules.both([None if bank is None else F.col("banca") == bank, None if field is None else F.col("camp") == field, way]))
+    return rows.orderBy(F.desc("data_vigoare"), F.abs("percent").desc_nulls_last())
+
+
+def history_by_bank(changes_: DataFrame) -> DataFrame:
+    return changes_.groupBy("banca").agg(F.count("*").alias("n"), F.count_if(F.col("delta") > 0).alias("scumpiri"), F.count_if(F.col("delta") < 0).alias("ieftiniri"))
+
+
+def dating(obs: DataFrame) -> DataFrame:
+    """How many observations have which state of dating."""
+    return obs.groupBy(F.coalesce("stare_data", F.lit("fara datare")).alias("stare")).agg(F.count("*").alias("n"))
+
+
+def mobile_reviews(reviews: DataFrame, releases: DataFrame) -> DataFrame:
+    """(bank, storefront): reviews, their mean, and the rating that the store itself shows. The store's rating is joined after the count, so it multiplies nothing."""
+    stores = releases.groupBy("banca").agg(F.max("rating").alias("rating_agregat_store"))
+    return reviews.groupBy("banca", "storefront").agg(F.count("*").alias("review_uri"), F.round(F.avg("stars"), 2).alias("rating_mediu_text")).join(stores, "banca", "left")
+
+
+def mobile_recent(reviews: DataFrame, most: int = 40) -> DataFrame:
+    """The newest reviews, texts and pseudonyms cut."""
+    cut = reviews.select("banca", "storefront", "stars", F.left("text", F.lit(240)).alias("text"), F.left("autor_hash", F.lit(12)).alias("autor"), "posted", "id")
+    return cut.orderBy(F.col("posted").desc_nulls_last(), "id").limit(most)
+
+
+def android_apps(apps: DataFrame, versions: DataFrame, reference: str) -> DataFrame:
+    """Apps with the figures of their newest version and the number of versions; the reference bank's come first, and its main app before others."""
+    n = versions.groupBy("package").agg(F.count("*").alias("nr_versiuni"))
+    newest = versions.select("package", F.col("version_name").alias("versiune_cea_mai_noua"), "nr_trackere", "nr_biblioteci")
+    rows = apps.join(newest, ["package", "versiune_cea_mai_noua"], "left").join(n, "package", "left").withColumn("nr_versiuni", F.coalesce("nr_versiuni", F.lit(0)).cast("long"))
+    return rows.orderBy(F.col("banca") != reference, "banca", F.col("rol") != "principal", "aplicatie")
+
+
+def android_groups(permissions: DataFrame, apps: DataFrame, groups: Sequence[tuple[str, str]]) -> DataFrame:
+    """(package, group, n) of the permissions of each app's newest version, by ordered (group, pattern); others are in no group."""
+    newest = apps.select("package", F.col("versiune_cea_mai_noua").alias("version_name"))
+    return permissions.join(newest, ["package", "version_name"], "left_semi").groupBy("package", rules.first_match(F.col("permisiune"), groups, F.lit("altele")).alias("grup")).agg(F.count("*").alias("n"))
+
+
+#: Verdicts on a feature, the surest first.
+VERDICTS = ("prezent", "probabil", "absent")
+
+
+def verdict_rank(verdict: Column) -> Column:
+    """Place of a verdict, unknown ones last."""
+    chain = None
+    for i, v in enumerate(VERDICTS):
+        chain = F.when(verdict == v, i) if chain is None else chain.when(verdict == v, i)
+    return chain.otherwise(len(VERDICTS))
+
+
+def product_catalogue(products: DataFrame) -> DataFrame:
+    """Products, the priority ones first, then by category (none last) and name."""
+    return products.orderBy(F.col("produs_prioritar").desc_nulls_last(), F.coalesce("categorie_cod", F.lit("ZZ")), "denumire")
+
+
+def country_share(countries: Column, country: str = "Romania") -> Column:
+    """The share of a country in an array of structs (Country, ImpressionShare), as a number of per cent; null without it."""
+    own = F.get(F.filter(countries, lambda x: x["Country"] == country), F.lit(0))
+    return F.regexp_replace(F.translate(own["ImpressionShare"], "%", ""), ",", ".").try_cast("double")
+
+
+def search_ads(banks: DataFrame) -> DataFrame:
+    """A row for each ad of banks (banca, reclame array of ads as the library shows them), with the home country's share and whether it is the larger part."""
+    rows = banks.select("banca", F.explode("reclame").alias("r"))
+    d = F.col("r.AdDetails")
+    share = country_share(d["ImpressionsByCountry"])
+    return rows.select(
+        "banca", F.col("r.AdvertiserName").alias("advertiser"), F.col("r.Title").alias("titlu"), d["StartDate"].alias("start"), d["EndDate"].alias("sfarsit"),
+        d["TotalImpressionsRange"].alias("afisari"), share.alias("pondere_ro"), F.coalesce(share >= 50, F.lit(False)).alias("mai_ales_ro"),
+    )
+
+
+def search_ads_by_bank(ads_: DataFrame) -> DataFrame:
+    return ads_.groupBy("banca").agg(F.count_if("mai_ales_ro").alias("ro"), F.count_if(~F.col("mai_ales_ro")).alias("altele"))
+
+
+def videos(snapshot: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """Videos of a dated snapshot (data_extragerii, sterge_la, nou_fata_de, banca, canal, videoclipuri array), while it may be shown: before its day of
+    deletion (``days`` after the extraction where none is given). Banks without a channel don't appear, and nothing is new without a reference."""
+    taken = F.try_to_date("data_extragerii")
+    until = F.coalesce(F.try_to_date("sterge_la"), F.date_add(taken, days))
+    kept = snapshot.where((as_of < until) & (F.datediff(as_of, taken) < days) & F.col("canal").isNotNull())
+    fresh = F.coalesce(F.col("v.nou"), F.lit(False)) & F.col("nou_fata_de").isNotNull()
+    return kept.select("banca", "canal", "nou_fata_de", F.explode_outer("videoclipuri").alias("v")).select("banca", "canal", F.col("v.id").alias("id"), F.col("v.publicat_la").alias("publicat_la"), fresh.alias("nou"))
+
+
+def campaign_tallies(campaigns: DataFrame) -> DataFrame:
+    """Each bank's campaigns by state, with how many compare."""
+    return campaigns.groupBy("banca", "state").agg(F.count("*").alias("n"), F.count_if("in_comparison").alias("in_comparison"))
+
+
+def commonest_motives(queue: DataFrame, k: int = 5) -> DataFrame:
+    """The k commonest motives of a review queue."""
+    return queue.groupBy("motive").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "motive").limit(k)

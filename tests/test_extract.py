@@ -88,7 +88,7 @@ def test_urls_and_names(spark):
     assert values(spark, [("Tarife_si_Comisioane_PJ.pdf",), ("lista-tarife-persoane-fizice.pdf",), ("document.pdf",)], "u string", normalise.name_segment(F.col("u"))) == [("pj",), ("pf",), (None,)]
     families = values(spark, [("https://b.ro/tarife_PF_iulie_2026.pdf",), ("tarife_pf_01.09.2026.pdf",), ("Tarife-PF-v2.pdf",)], "u string", text.family_key(F.col("u")))
     assert {f[0] for f in families} == {"tarife_pf"}
-    assert values(spark, [("http://a/x.pdf", 3, "doar   atât"), ("http://a/x#y", None, "p q")], "u string, p int, q string", text.anchor(F.col("u"), F.col("p"), F.col("q"))) == [("http://a/x.pdf#page=3&search=doar%20at%C3%A2t",), ("http://a/x#:~:text=p%20q",)]
+    assert values(spark, [("http://a/x.pdf", 3, "doar   atât"), ("http://a/x#y", None, "p q"), ("http://a/x#y", None, "nine words"), ("http://a/x.pdf", None, "nine words")], "u string, p int, q string", text.anchor(F.col("u"), F.col("p"), F.col("q"))) == [("http://a/x.pdf#page=3&search=doar%20at%C3%A2t",), ("http://a/x",), ("http://a/x#:~:text=nine%20words",), ("http://a/x.pdf",)]
     assert values(spark, [("Com",), ("taxa de",), ("Cost 5 lei pe an",), ("Administrare cont",)], "s string", text.label_faults(F.col("s"))) == [(["too_short"],), (["starts_lower", "ends_with_connector"],), (["holds_price"],), ([],)]
 
 

@@ -64,7 +64,7 @@ def test_lists(spark, obs):
     sources = spark.createDataFrame([(1, "http://a/x.pdf", None, "note: more"), (2, "http://a/y", datetime.datetime(2026, 1, 1), None), (3, "http://a/z", None, None)], "id long, sursa string, ultima_rulare timestamp, nota_extractie string")
     assert got(market.source_list(sources, obs), "id", "state", "note", "file") == [(1, "has_data", "note", "x.pdf"), (2, "tried", "", "y"), (3, "untouched", "", "z")]
     evidence = market.cell(obs, sources.withColumn("url_public", F.lit(None).cast("string")), "a", "administrare_cont").first()
-    assert (evidence["evidence"], evidence["link"]) == ("link", "http://a/x.pdf#page=1&search=cost%205%20lei")
+    assert (evidence["evidence"], evidence["link"]) == ("link", "http://a/x.pdf")
     locations = spark.createDataFrame([("a", "atm", "own", 44.4, 26.1, 4.5), ("a", "atm", "own", 10.0, 26.1, None)], "banca string, tip string, retea string, lat double, lon double, rating double")
     assert got(market.locations_summary(locations), "tip", "n", "rating", "inside") == [("atm", 2, 4.5, 1)]
     cover = market.coverage(banks, sources.withColumn("banca", F.lit("a")), obs, locations)
