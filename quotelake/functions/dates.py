@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quotelake.functions import text
+
 # Term buckets in months.
 TERMS = (("1-3", 1, 3), ("4-6", 4, 6), ("7-12", 7, 12), (">12", 13, None))
 _MONTH_NO = {m: i % 12 + 1 for i, m in enumerate("ianuarie februarie martie aprilie mai iunie iulie august septembrie octombrie noiembrie decembrie".split())}
@@ -68,20 +70,84 @@ def months_before(day: Column, n: int) -> Column:
     return F.add_months(day, -n)
 
 
-def date_in_name(name: Column) -> Column:
-    """(date, precision) in a file name as a struct: day, month and year in either order, glued digits, or month name and year."""
-    low = F.lower(name)
-    sep = r"[._\- ]"
-    dmy, ymd = rf"(?<!\d)(\d{{1,2}}){sep}(\d{{1,2}}){sep}(20\d{{2}})(?!\d)", rf"(?<!\d)(20\d{{2}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})(?!\d)"
-    glued = r"(?<!\d)(\d{2})(\d{2})(20\d{2})(?!\d)"
-    glued_ymd = r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)"
-    g = lambda p, i: F.regexp_extract(low, p, i)
-    made = lambda y, m, d: F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-M-d")
-    day = F.coalesce(made(g(dmy, 3), g(dmy, 2), g(dmy, 1)), made(g(ymd, 1), g(ymd, 2), g(ymd, 3)), made(g(glued, 3), g(glued, 2), g(glued, 1)), made(g(glued_ymd, 1), g(glued_ymd, 2), g(glued_ymd, 3)))
-    month_pattern = r"(" + "|".join(_MONTH_NO) + rf"){sep}*(20\d{{2}})"
-    number = F.coalesce(*(F.when(g(month_pattern, 1) == m, F.lit(str(i))) for m, i in _MONTH_NO.items()))
-    month = made(g(month_pattern, 2), number, F.lit("1"))
-    return F.when(day.isNotNull(), F.struct(day.alias("date"), F.lit("day").alias("precision"))).when(month.isNotNull(), F.struct(month.alias("date"), F.lit("month").alias("precision")))
+# Short month names, and the anchors of a document's date in order of authority.
+_SHORT_NO = {"ian": 1, "feb": 2, "mar": 3, "apr": 4, "iun": 6, "iul": 7, "aug": 8, "sept": 9, "sep": 9, "oct": 10, "noi": 11, "nov": 11, "dec": 12}
+ANCHORS = (
+    ("vigoare", r"in\s*vigoare(?:\s*(?:incepand\s*cu|de\s*la|din|la))?(?:\s*data\s*de)?"),
+    ("valabil", r"valabil\w*(?:\s*(?:incepand\s*cu|de\s*la|din|pentru))?(?:\s*data\s*de)?"),
+    ("aplicabil", r"aplicabil\w*(?:\s*(?:incepand\s*cu|de\s*la|din))?(?:\s*data\s*de)?"),
+    ("incepand", r"incepand\s*cu(?:\s*data\s*de)?"),
+    ("camp_data", r"\bdata\s*:"),
+    ("versiune", r"(?:versiun\w*|editi\w*)(?:\s*din)?"),
+    ("la_data_de", r"la\s*data\s*de"),
+    ("actualizat", r"(?:actualizat\w*|ultima\s*actualizare)(?:\s*la)?"),
+)
+HEADER, WINDOW, FIRST_YEAR, YEARS_AHEAD = 1200, 40, 2015, 2
+
+
+def _month_number(name: Column) -> Column:
+    known = {**_MONTH_NO, **_SHORT_NO}
+    return F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[name]
+
+
+def _first_date(text_: Column, last_year: Column) -> Column:
+    """The first plausible date among the forms, one after the other, as a struct (date, precision): day.month.year, year-month-day, day month-name year,
+    then month-name year and short month-name year, which know the month only."""
+    names, short = "|".join(_MONTH_NO), "|".join(sorted(_SHORT_NO, key=len, reverse=True))
+    mark = r"\s*[.\-/]\s*"
+    forms = [
+        (rf"(\d{{1,2}}){mark}(\d{{1,2}}){mark}(\d{{4}})", (3, 2, 1), "day"), (rf"(\d{{4}}){mark}(\d{{1,2}}){mark}(\d{{1,2}})", (1, 2, 3), "day"),
+        (rf"(\d{{1,2}})\s*[.,]?\s*({names})\s*(\d{{4}})", (3, 2, 1), "day"), (rf"({names})\s*(\d{{4}})", (2, 1, None), "month"), (rf"\b({short})\.?\s*(\d{{4}})", (2, 1, None), "month"),
+    ]
+
+    def made(pattern: str, places: tuple, precision: str) -> Column:
+        g = lambda i: F.regexp_extract(text_, pattern, i)
+        month = F.coalesce(g(places[1]).try_cast("int"), _month_number(g(places[1])))
+        day = F.lit(1) if places[2] is None else g(places[2]).try_cast("int")
+        year = g(places[0]).try_cast("int")
+        date = F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d")
+        good = date.isNotNull() & month.isNotNull() & year.between(F.lit(FIRST_YEAR), last_year)
+        return F.when(good, F.struct(date.alias("date"), F.lit(precision).alias("precision")))
+
+    return F.coalesce(*(made(*form) for form in forms))
+
+
+def date_in_text(text_: Column, as_of: Column) -> Column:
+    """A document's date by anchors in its header: struct (date, precision, anchor), null without one.
+
+    Anchors are tried in order of authority; after each place where one stands, a plausible date within 40 characters counts, unless the words there say "until".
+    """
+    flat = F.left(text.fold(F.regexp_replace(text_, r"\s+", " ")), F.lit(HEADER))
+    last_year = F.year(as_of) + YEARS_AHEAD
+
+    def by(name: str, pattern: str) -> Column:
+        zones = F.filter(F.regexp_extract_all(flat, F.lit(f"{pattern}(?=(.{{0,{WINDOW}}}))"), F.lit(1)), lambda z: ~z.rlike(r"^\s*pana\s*(?:la|in)\b"))
+        found = F.get(F.filter(F.transform(zones, lambda z: _first_date(z, last_year)), lambda d: d.isNotNull()), F.lit(0))
+        return F.when(found.isNotNull(), F.struct(found["date"].alias("date"), found["precision"].alias("precision"), F.lit(name).alias("anchor")))
+
+    return F.coalesce(*(by(name, pattern) for name, pattern in ANCHORS))
+
+
+def date_in_name(name: Column, last_year: int = 2100) -> Column:
+    """(date, precision) in a file name as a struct: as it stands, then with dashes and underscores as blanks, then glued digits; null without one. A prefix
+    of eight hexadecimal digits isn't part of the name, and a year alone is no date."""
+    base = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.coalesce(name, F.lit("")), "/"), -1), r"(?i)\.pdf$", ""), "^[0-9a-f]{8}_", "")
+    low, limit = text.fold(base), F.lit(last_year)
+    spaced = text.fold(F.regexp_replace(base, "[-_]+", " "))
+    g = lambda p, i: F.regexp_extract(base, p, i)
+    glued = [(r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", (1, 2, 3)), (r"(?<!\d)(\d{2})(\d{2})(20\d{2})(?!\d)", (3, 2, 1))]
+    joined = F.coalesce(*(_first_date(F.concat_ws("-", g(p, i[0]), g(p, i[1]), g(p, i[2])), limit) for p, i in glued))
+    return F.coalesce(_first_date(low, limit), _first_date(spaced, limit), joined)
+
+
+def header_date(value: Column) -> Column:
+    """The day of an HTTP date (``Wed, 16 Sep 2026 10:00:00 GMT``); null if it is none."""
+    return F.try_to_date(F.regexp_extract(value, r"(\d{1,2} [A-Z][a-z]{2} \d{4})", 1), "d MMM yyyy")
+
+
+def agrees_with_name(modified: Column, named: Column, precision: Column, days: int = 14) -> Column:
+    """Is a file's modification within ``days`` of the day in its name, or in its month where only that is known?"""
+    return F.when(precision == "month", F.trunc(modified, "month") == F.trunc(named, "month")).otherwise(F.abs(F.datediff(modified, named)) <= days)
 
 
 def text_beats_name(text_date: Column, name_date: Column) -> Column:

@@ -72,6 +72,7 @@ NAME_SEGMENTS = (
 RATES = (
     ("ircc_valoare", rf"IRCC\b[^+%]{{0,70}}?(?:=|:|valoarea\s+de|este|egal\s+cu)\s*({NUMBER})\s*%"),
     ("ircc_valoare", rf"IRCC\b[^+%]{{0,30}}?\d{{2}}\.\d{{2}}\.\d{{4}}\s*({NUMBER})\s*%"),
+    ("ircc_valoare", rf"IRCC[^()]{{0,140}}?\(\s*({NUMBER})\s*%\s*\)"),
     ("euribor_valoare", rf"EURIBOR[^()+%]{{0,40}}?\(\s*({NUMBER})\s*%\s*\)"),
     ("euribor_valoare", rf"EURIBOR[^+%]{{0,70}}?(?:=|:|valoarea\s+de|este|egal\s+cu)\s*({NUMBER})\s*%"),
     ("euribor_valoare", rf"EURIBOR\s*(?:\d+\s*(?:luni|M))\s+({NUMBER})\s*%"),
@@ -132,9 +133,20 @@ RATE_PRODUCT = {
     "euribor_valoare": "robor-euribor", "marja_euribor": "robor-euribor", "marja_robor": "robor-euribor", "comision_procent": "comisioane", "cashback": "card-de-credit",
 }
 UNITS = {"LEI": "lei", "RON": "lei", "EUR": "eur", "USD": "usd"}
-STOP_EN = ("the", "of", "and", "to", "in", "for", "with", "on", "is", "by")
 ROMANIA = (43.6, 48.3, 20.2, 29.8)
 
+# A value in brackets after a margin and an index is the total, not the index.
+TOTAL_IN_BRACKETS = rf"{NUMBER}\s*%\s*%?\s*\+\s*(?:IRCC|EURIBOR|ROBOR)"
+# Periods and currencies in a line of rates.
+PERIOD = r"(prim(?:ii|ul|ele)\s+\d+\s+(?:ani|an|luni)|pe\s+\d+\s+(?:ani|an|luni)|\d+\s+(?:ani|luni)|pe\s+toat[ăa]\s+perioada)"
+CURRENCY = r"\b(lei|RON|EUR|euro|USD)\b"
+# Pages that block, and shells that need scripts.
+BLOCKED = r"access denied|acces blocat|request (was )?rejected|support id|incapsula|cf-chl|just a moment|attention required|captcha|/TSPD/|reference #\d"
+SCRIPT_SHELL = r"id=\"(root|app|__next)\"|enable javascript"
+LEAST_TEXT, BLOCKED_TEXT = 400, 1500
+# Branches before machines; a partner's machines.
+BRANCH, MACHINE, PARTNER = r"agenc|agenti|branch|sucursal|filial", r"\batm\b|bancomat", r"euronet|partener|parteneri|bancomat\s+partener"
+
 
 def insensitive(rules: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return [(label, I + pattern) for label, pattern in rules]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,11 @@ def rates_of(line: Column) -> Column:
     count = F.coalesce(*(F.regexp_extract(line, V.I + p, 1).try_cast("int") for p in V.INSTALMENTS))
 
     def of_kind(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(line, F.lit(V.I + pattern), F.lit(1)), lambda v: _rate(F.lit(kind), numbers.decimal_number(v, True)))
+        values = F.transform(F.regexp_extract_all(line, F.lit(V.I + pattern), F.lit(1)), lambda v: _rate(F.lit(kind), numbers.decimal_number(v, True)))
+        if kind.endswith("_valoare") and pattern.endswith(r"\)"):
+            # brackets after a margin and an index hold the total
+            return F.when(line.rlike(V.I + V.TOTAL_IN_BRACKETS), F.array().cast(f"array<{_RATE}>")).otherwise(values)
+        return values
 
     found = F.flatten(F.array(*(of_kind(kind, pattern) for kind, pattern in V.RATES)))
     taken = lambda acc, x: F.exists(acc, lambda y: F.abs(y["value"] - x["value"]) <= 0.001)
@@ -61,8 +67,8 @@ def extract_rates(lines: DataFrame, line: str = "line") -> DataFrame:
     found = lines.select("*", F.explode(rates_of(F.col(line))).alias("__r")).select("*", "__r.*").drop("__r")
     limit = F.create_map(*(F.lit(x) for k, (a, b) in V.INTERVALS.items() for x in (k, f"{a},{b}")))
     ends = F.split(limit[F.col("kind")], ",")
-    currency = F.upper(F.regexp_extract(F.col(line), V.I + r"\b(lei|RON|EUR|euro|USD)\b", 1))
-    period = F.regexp_extract(F.col(line), V.I + r"(prim(?:ii|ul|ele)\s+\d+\s+(?:ani|an|luni)|pe\s+\d+\s+(?:ani|an|luni)|\d+\s+(?:ani|luni)|pe\s+toat[ăa]\s+perioada)", 1)
+    currency = F.upper(F.regexp_extract(F.col(line), V.I + V.CURRENCY, 1))
+    period = F.regexp_extract(F.col(line), V.I + V.PERIOD, 1)
     return found.withColumns(
         {
             "currency": F.when(currency == "EURO", "EUR").when(currency != "", currency),
@@ -116,20 +122,39 @@ def figure_in_text(value: Column, words: Column) -> Column:
     return F.coalesce(F.exists(forms, lambda f: F.contains(squeezed, f)), F.lit(False))
 
 
-def extract_points(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Branches and machines in a page's embedded JSON: coordinates under their usual names, within the country, once for each kind and place."""
-    objects = F.concat(*(F.regexp_extract_all(F.col(html), F.lit(rf'(\{{[^{{}}]*"{k}"\s*:[^{{}}]*\}})'), F.lit(1)) for k in ("lat", "latitude")))
-    key = lambda *names: F.coalesce(*(F.get_json_object("__o", f"$.{k}") for k in names))
-    found = pages.select("*", F.explode(objects).alias("__o")).withColumns(
+def place_kind(words: Column) -> Column:
+    """A branch or a machine; branches are asked first, since many name their machine too."""
+    low = F.lower(F.coalesce(words, F.lit("")))
+    return F.when(low.rlike(V.BRANCH), "branch").when(low.rlike(V.MACHINE), "atm").otherwise("branch")
+
+
+def extract_points(pages: DataFrame, html: str = "html", within: Sequence[str] | None = None) -> DataFrame:
+    """Branches and machines of each page: from embedded JSON with coordinates under their usual names, and from elements with data-lat; within the country, and once
+    for each kind and place among the rows that ``within`` (default: all other columns) tells apart. ``network`` says whose it is."""
+    body = F.col(html)
+    objects = F.concat(*(F.regexp_extract_all(body, F.lit(rf'(?s)(\{{[^{{}}]*"{k}"\s*:[^{{}}]*\}})'), F.lit(1)) for k in ("lat", "latitude")))
+    tags = F.regexp_extract_all(body, F.lit(r"(?is)(<[a-z][^>]*\bdata-lat\s*=[^>]*>[^<]*)"), F.lit(1))
+    key = lambda *names: F.coalesce(*(F.nullif(F.get_json_object("__o", f"$.{k}"), F.lit("")) for k in names))
+    attribute = lambda *names: F.coalesce(*(F.nullif(F.regexp_extract("__o", rf"(?i)\b{k}\s*=\s*[\"']?([^\"'\s>]*)", 1), F.lit("")) for k in names))
+    inner = text.collapse(F.regexp_extract("__o", r"(?s)>([^<]*)$", 1))
+    json_words = F.concat_ws(" ", key("type"), key("tip"), key("kind"), key("category"), key("name"))
+    tag_words = F.concat_ws(" ", F.regexp_extract("__o", r"(?i)\bclass\s*=\s*[\"']([^\"']*)", 1), inner)
+    json = F.col("__o").startswith("{")
+    rows = pages.select("*", F.explode(F.concat(objects, tags)).alias("__o")).withColumns(
         {
-            "lat": F.round(key("lat", "latitude").try_cast("double"), 6),
-            "lon": F.round(key("lng", "lon", "long", "longitude").try_cast("double"), 6),
-            "name": key("name", "title"),
-            "kind": rules.first_match(F.lower(F.coalesce(key("type", "kind", "category"), F.lit(""))), [("atm", "atm|bancomat"), ("branch", ".*")]),
+            "lat": F.round(F.when(json, key("lat", "latitude")).otherwise(attribute("data-lat")).try_cast("double"), 6),
+            "lon": F.round(F.when(json, key("lng", "lon", "long", "longitude")).otherwise(attribute("data-lng", "data-lon")).try_cast("double"), 6),
+            "name": F.when(json, key("name", "nume", "title", "denumire")).otherwise(F.nullif(F.left(inner, F.lit(120)), F.lit(""))),
+            "kind": place_kind(F.when(json, json_words).otherwise(tag_words)),
         }
     )
     south, north, west, east = V.ROMANIA
-    return found.where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).drop("__o").dropDuplicates(["kind", "lat", "lon"])
+    found = rows.withColumn("network", F.when(F.lower(F.coalesce("name", F.lit(""))).rlike(V.PARTNER), "partener").otherwise("proprie"))
+    own = [c for c in pages.columns if c != html] if within is None else list(within)
+    found = found.where(F.col("lat").between(south, north) & F.col("lon").between(west, east)).drop("__o")
+    rest = [c for c in found.columns if c not in (*own, "kind", "lat", "lon", html)]
+    best = found.groupBy(*own, "kind", "lat", "lon").agg(F.min(F.struct(F.col("name").isNull().alias("__none"), *rest)).alias("__b"))
+    return best.select(*own, "kind", "lat", "lon", *(f"__b.{c}" for c in rest))
 
 
 def sitemap_entries(files: DataFrame, body: str = "body") -> DataFrame:
@@ -155,15 +180,23 @@ def robots_verdict(urls: DataFrame, rules_: DataFrame, agent: str) -> DataFrame:
     return best.join(delays, "host", "left").select("host", "path", F.coalesce("__ok", F.lit(True)).alias("allowed"), "crawl_delay")
 
 
-def response_class(status: Column, content_type: Column, body: Column, least: int = 200) -> Column:
-    """What a response is: blocked, gone, to be tried again, an empty script shell, or fine."""
-    low = F.lower(F.coalesce(body, F.lit("")))
-    words = F.length(text.collapse(F.regexp_replace(F.regexp_replace(low, r"(?s)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]*>", " ")))
+def response_class(status: Column, content_type: Column, body: Column) -> Column:
+    """What a response is: blocked, gone, to be tried again, a redirect written into the body, an empty script shell, or fine. A page that blocks is nearly
+    empty: the word captcha in a full page, such as a contact form, says nothing; with a server error it does."""
+    raw = F.coalesce(body, F.lit(""))
+    low = F.lower(raw)
+    visible = F.length(text.collapse(F.regexp_replace(F.regexp_replace(low, r"(?s)<(script|style)[^>]*>.*?</\1>", " "), "<[^>]*>", " ")))
+    blocks = F.left(raw, F.lit(5000)).rlike("(?i)" + V.BLOCKED)
     html = F.coalesce(content_type, F.lit("")).contains("html")
+    shell = raw.rlike("(?i)" + V.SCRIPT_SHELL) | (F.size(F.split(low, "<script")) > 16)
     return (
-        F.when(status.isin(404, 410), "DISPARUT")
-        .when(status.isin(401, 403, 451) | (html & low.rlike("captcha|access denied|attention required|request unsuccessful")), "BLOCAT")
-        .when(status.isNull() | status.isin(408, 425, 429) | (status >= 500), "REINCEARCA")
-        .when(html & (words < least) & low.contains("<script"), "JS")
+        F.when(status.isin(401, 403, 407, 429, 451), "BLOCAT")
+        .when(status.isin(404, 410), "DISPARUT")
+        .when(status.between(500, 599) & blocks, "BLOCAT")
+        .when(status.isNull() | (status >= 500), "REINCEARCA")
+        .when(raw.startswith("HTTP/"), "REDIRECT_SERIALIZAT")
+        .when(raw.startswith("%PDF"), "OK")
+        .when(blocks & (visible < V.BLOCKED_TEXT), "BLOCAT")
+        .when(html & (visible < V.LEAST_TEXT) & shell, "JS")
         .otherwise("OK")
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions import numbers, rules
+from quotelake.functions import concepts as C
+from quotelake.functions import numbers, rules, text
 from quotelake.functions import vocabulary as V
 
 _PERCENT = ("comision_procent", "rata", "nominala", "dae", "marja_ircc", "marja_euribor", "marja_robor", "marja_fixa", "ircc_valoare", "euribor_valoare", "robor_valoare", "cashback", "rate_fara_dobanda")
@@ -25,6 +26,37 @@ def concept(name: Column, path: Column, context: Column, table: list[tuple[str,
     return F.coalesce(own, F.when(fragment, F.coalesce(by_level, rules.first_match(F.concat_ws(" ", name, context), table))))
 
 
+_IU = "(?iuU)"
+
+
+def clean_label(label: Column) -> Column:
+    """A label with comma letters, a known misspelling mended, and the account for payments called an account."""
+    text_ = F.regexp_replace(text.cedilla_to_comma(F.coalesce(label, F.lit(""))), r"(?iuU)\badministar", "administrar")
+    return F.regexp_replace(text_, _IU + C.PAYMENT_ACCOUNT, " cont ")
+
+
+def is_fragment(name: Column) -> Column:
+    """Does a label not say by itself which service it is about? Notes, sentences and services without a concept do."""
+    whole = name.rlike(_IU + C.NOTE) | name.rlike(_IU + C.UNNAMED) | (name.rlike("(?U)" + C.SENTENCE) & (F.size(F.split(F.trim(name), r"\s+")) >= C.SENTENCE_WORDS))
+    return ~whole & ((F.length(name) < C.FRAGMENT_LENGTH) | name.rlike(_IU + C.FRAGMENT))
+
+
+def service_concept(service: Column, section: Column, column: Column, detail: Column, source: Column) -> Column:
+    """The concept of a fee by the ordered table of ``concepts``: by the service's own name; a fragment also asks the table column, then its
+    section's levels from the innermost out, then all context. A label that lists its content is a package's; a transfer under standing orders is one of those."""
+    table = [(label, _IU + pattern) for label, pattern in C.CONCEPTS]
+    whole = clean_label(service)
+    name = F.regexp_replace(whole, _IU + C.CONTENT_LIST, "")
+    levels = F.split(clean_label(section), " > ")
+    depths = F.when(F.size(levels) > 1, F.sequence(F.size(levels), F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    steps = F.concat(F.array(F.concat_ws(" ", name, clean_label(column))), F.transform(depths, lambda k: F.concat_ws(" ", name, F.array_join(F.slice(levels, k, F.size(levels)), " > "))))
+    context = F.concat_ws(" ", name, clean_label(section), clean_label(column), clean_label(detail), clean_label(source))
+    around = F.get(F.filter(F.transform(F.array_append(steps, context), lambda x: rules.first_match(x, table)), lambda x: x.isNotNull()), F.lit(0))
+    found = F.coalesce(rules.first_match(name, table), F.when(is_fragment(name), around))
+    found = F.coalesce(found, F.when(whole.rlike(_IU + C.CONTENT_LIST), "administrare_cont"))
+    return F.when((found == "transfer_credit") & F.coalesce(section, F.lit("")).rlike(_IU + C.STANDING_ORDER), "plata_programata").otherwise(found)
+
+
 def destination(concept: Column, name: Column, context: Column) -> Column:
     """Where money goes, for concepts that move it: what the name says beats the context; what excludes each other gives none."""
     own, around = (rules.all_matches(F.coalesce(c, F.lit("")), V.insensitive(V.DESTINATIONS)) for c in (name, context))

@@ -116,7 +116,7 @@ def test_sitemap_points_robots_and_responses(spark):
     assert {(r["host"], r["path"]): (r["allowed"], r["crawl_delay"]) for r in verdict.collect()} == {
         ("h", "/a"): (True, 5.0), ("h", "/private/x"): (False, 5.0), ("h", "/private/ok/1"): (True, 5.0), ("h", "/d/a.pdf"): (False, 5.0), ("h", "/d/a.pdf?x"): (True, 5.0), ("g", "/x1"): (False, None), ("k", "/x"): (True, None),
     }
-    shell = "<html><script>" + "x" * 500 + "</script></html>"
+    shell = '<html><div id="root"></div><script>' + "x" * 500 + "</script></html>"
     rows = [(200, "text/html", "<p>" + "words " * 60), (404, None, None), (403, None, ""), (503, None, ""), (None, None, None), (200, "text/html", shell), (200, "text/html", "Captcha please")]
     assert values(spark, rows, "s int, t string, b string", extract.response_class(F.col("s"), F.col("t"), F.col("b"))) == [("OK",), ("DISPARUT",), ("BLOCAT",), ("REINCEARCA",), ("REINCEARCA",), ("JS",), ("BLOCAT",)]
 
