@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,3 +179,30 @@ def interval_ends(rates: DataFrame) -> DataFrame:
     """Rates with a stated interval get a second row with its upper end."""
     top = rates.where("high is not null and high <> value").withColumn("value", F.col("high"))
     return rates.unionByName(top)
+
+
+def page_invariants(rates: DataFrame) -> DataFrame:
+    """Rates (url, kind, value, verdict) with the verdict SUSPECT on effective rates of a page all of which are below all its nominal ones: they include the fees, so
+    that can't be. One aggregate for each page, joined back."""
+    page = rates.groupBy(F.col("url").alias("__u")).agg(F.max(F.when(F.col("kind") == "dae", F.col("value"))).alias("__dae"), F.min(F.when((F.col("kind") == "nominala") & (F.col("value") > 0), F.col("value"))).alias("__nominal"))
+    odd = page.where("__dae < __nominal").select("__u")
+    joined = rates.join(odd, F.col("url") == F.col("__u"), "left")
+    return joined.withColumn("verdict", F.when(F.col("__u").isNotNull() & (F.col("kind") == "dae"), "SUSPECT").otherwise(F.col("verdict"))).drop("__u")
+
+
+def implied_verdicts(rates: DataFrame, now: Column, older: Sequence[float], tolerance: float = 0.05, stale: float = 0.5) -> DataFrame:
+    """Rates (text, verdict) with the verdict SURSA_VECHE where the index that the line's total and margin imply is an older quarter's, or far from the one in
+    force (``now``), unless they had another verdict than OK. Adds implied."""
+    index = numbers.implied_index(F.col("text"))
+    off = (F.abs(index - now) > tolerance) & (F.exists(F.array(*map(F.lit, older)), lambda v: F.abs(v - index) <= tolerance) | (F.abs(index - now) > stale))
+    return rates.withColumns({"implied": index, "verdict": F.when((F.col("verdict") == "OK") & F.coalesce(off, F.lit(False)), "SURSA_VECHE").otherwise(F.col("verdict"))})
+
+
+def consistent_margins(rates: DataFrame, now: Column, tolerance: float = 0.1) -> DataFrame:
+    """(url, kind, value, consistent): margins over the index in force whose sum with it is one of their page's nominal rates. Rates meet in cells of the tolerance's width."""
+    cell = lambda c: F.floor(c / F.lit(tolerance)).cast("long")
+    nominal = rates.where("kind = 'nominala'").select(F.col("url").alias("__u"), F.col("value").alias("__n"), F.explode(F.sequence(cell(F.col("value")) - 1, cell(F.col("value")) + 1)).alias("__c")).distinct()
+    margins = rates.where("kind = 'marja_ircc'").select("url", "kind", "value").distinct().withColumn("__total", F.col("value") + now)
+    met = margins.join(nominal, (F.col("url") == F.col("__u")) & (cell(F.col("__total")) == F.col("__c")) & (F.abs(F.col("__n") - F.col("__total")) <= tolerance + 1e-9), "left_semi").select("url", "value")
+    found = margins.join(met.select(F.col("url").alias("__u"), F.col("value").alias("__v")).distinct(), (F.col("url") == F.col("__u")) & (F.col("value") == F.col("__v")), "left")
+    return found.select("url", "kind", "value", F.col("__u").isNotNull().alias("consistent"))

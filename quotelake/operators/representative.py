@@ -114,3 +114,14 @@ def versus(df: DataFrame, line: Sequence[str], seller: str, value: str, referenc
     worse = F.col("mine") >= F.col(worst) if smaller_wins else F.col("mine") <= F.col(worst)
     verdict = F.when(F.col("mine").isNull(), "none").when(F.col("others") == 0, "alone").when(better, "wins").when(worse, "loses").otherwise("middle")
     return agg.withColumn("verdict", verdict)
+
+
+def comparable_rates(rates: DataFrame, most: float = 8.0, least: int = 3, spread_over: int = 3) -> DataFrame:
+    """Comparable lines of rates (bank, product, segment, category, kind, way, value, text): promotions, benefits, fees and index values aren't compared, and texts that a bank shows with
+    ``spread_over`` products or more belong to its site, not to a product. A page that names no segment is for natural persons unless it is a business page."""
+    known = rates.where("product is not null and value is not null")
+    furniture = known.groupBy(F.col("bank").alias("__b"), F.left("text", F.lit(70)).alias("__t")).agg(F.countDistinct("product").alias("__n")).where(F.col("__n") >= spread_over).select("__b", "__t")
+    rows = known.where(~F.col("kind").isin("rate_fara_dobanda", "cashback", "comision_procent", "ircc_valoare", "robor_valoare", "euribor_valoare"))
+    rows = rows.join(furniture, (F.col("bank") == F.col("__b")) & (F.left("text", F.lit(70)) == F.col("__t")), "left_anti")
+    segment = F.coalesce("segment", F.when(F.col("category") == "business", "-").otherwise("pf"))
+    return comparable_lines(rows.withColumn("segment", segment), ["product", "segment", "kind", "way"], "bank", "value", least, most)

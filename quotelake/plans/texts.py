@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.functions import dates, numbers, text
-from quotelake.operators import campaigns, changes, extract, normalise, summaries
+from quotelake.operators import campaigns, changes, discovery, extract, normalise, representative, summaries
 from quotelake.plans.registry import query, table
 from quotelake.streaming import incremental
 
@@ -302,11 +302,9 @@ def str03_str15_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, length(regexp_replace(left(text, 60), '[ \\t\\n\\x0B\\f\\r\\x{00A0}]+', '', 'g')) > 0 AND doc_id % 3 <> 0 AS found FROM documents")
 def d31_quote_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Is a quote's beginning in the text? Two thirds are the text's own beginnings in capitals, the others stand nowhere."""
-    quote = F.when(F.col("doc_id") % 3 != 0, F.upper(F.left("text", F.lit(60)))).otherwise("☃ ☃ ☃")
-    docs = table(spark, sf_dir, "documents")
-    plain = F.when(F.lower(F.upper("text")) == F.lower("text"), quote).otherwise(F.when(F.col("doc_id") % 3 != 0, F.left("text", F.lit(60))).otherwise("☃"))
-    return docs.select("doc_id", text.quote_found(plain, F.col("text")).alias("found"))
+    """Is a quote's beginning in the text? Two thirds are the text's own beginnings, spaced out, the others stand nowhere."""
+    quote = F.when(F.col("doc_id") % 3 != 0, F.regexp_replace(F.left("text", F.lit(60)), " ", " \n ")).otherwise("☃ ☃ ☃")
+    return table(spark, sf_dir, "documents").select("doc_id", text.quote_found(quote, F.col("text")).alias("found"))
 
 
 # ---- counts and changes
@@ -344,3 +342,136 @@ def stm06_version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = old.withColumns({"v": F.when(F.col("s") % 3 == 0, F.col("v") + 5).otherwise(F.col("v")), "id": F.col("id") + 10**12})
     found = changes.version_diff(old, new, ["s", "label"], "band", "v", ["s", "label"], "id")
     return found.where("kind = 'price'").select("s", "label", "old_value", "new_value")
+
+
+# ---- what addresses, documents and places are
+
+_URLS = (
+    ("https://b.ro/x?promotion=1", "recomandare", "produs"), ("https://b.ro/Câștigători-iulie", "castigatori", "produs"), ("https://online.b.ro/cont", "onboarding", "produs"), ("https://staging.b.ro/card", "previzualizare", "produs"),
+    ("https://b.ro/credite/nevoi-personale", None, "produs"), ("https://b.ro/documente/tarife.pdf", None, "conditii"), ("https://b.ro/harta-bancomat", None, "locator"), ("https://b.ro/blog/x", None, None),
+)
+
+
+@query(f"SELECT c_custkey, {_case('c_custkey', [r for _, r, _ in _URLS])} AS reason, {_case('c_custkey', [r for *_, r in _URLS])} AS role, {_case('c_custkey', ['html'] * 5 + ['pdf', 'html', None])} AS format FROM customer")
+def str18_ext22_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = _pick(F.col("c_custkey"), [u for u, *_ in _URLS])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", discovery.exclusion_reason(url).alias("reason"), discovery.url_role(url, F.lit("")).alias("r"))
+    return rows.select("c_custkey", "reason", "r.role", "r.format")
+
+
+_STATED = (("Dobândă fixă 5,9% pe an", "true"), ("Comision 10.000 lei anual", "true"), ("Dobândă avantajoasă", "false"), ("Reducere 5%", "false"), ("", "false"))
+
+
+@query(f"SELECT c_custkey, {_case('c_custkey', [b for _, b in _STATED], False)} AS may FROM customer")
+def ext23_rate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", discovery.may_state_rate(_pick(F.col("c_custkey"), [t for t, _ in _STATED])).alias("may"))
+
+
+_LISTS = (("raport_2026.pdf", "Tarife", "raport"), ("tarife.pdf", "Lista de tarife", None), ("doc.pdf", "Informații esențiale pentru investitori", "Informații esențiale"), ("api-website-aisp.pdf", "", "api"), ("rapid.pdf", "", None))
+
+
+@query(f"SELECT c_custkey, {_case('c_custkey', [w for *_, w in _LISTS])} AS why FROM customer")
+def ext24_no_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, title = (_pick(F.col("c_custkey"), [x[i] for x in _LISTS]) for i in (0, 1))
+    return table(spark, sf_dir, "customer").select("c_custkey", discovery.no_price_list(name, title).alias("why"))
+
+
+_PAGES = (("/ro/persoane-fizice/informatii-utile/comisioane", "produs", 75 + 5 + 10 - 4), ("/tarife-si-comisioane", "conditii", 95 + 25 - 1), ("/business/tarife", "hub", 80 + 15 - 10 - 2), ("/tombola", "produs", 5 - 1), ("/doc/tarife.pdf", "conditii", 0))
+
+
+@query(f"""WITH s AS (SELECT c_nationkey AS bank, 'https://b.ro' || {_case('c_custkey', [p for p, *_ in _PAGES])} AS url, {_case('c_custkey', [str(n) for *_, n in _PAGES], False)} AS points FROM customer WHERE c_nationkey % 3 <> 0 OR c_custkey % 5 > 2)
+SELECT bank, min(url) AS url, max(points) AS points FROM s JOIN (SELECT bank, max(points) AS best FROM s GROUP BY 1) USING (bank) WHERE points = best AND best >= 35 GROUP BY bank""")
+def join21_best_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bank's best page for price lists; some have only pages that fit none."""
+    c = table(spark, sf_dir, "customer").where("c_nationkey % 3 <> 0 or c_custkey % 5 > 2")
+    rows = c.select(F.col("c_nationkey").alias("bank"), F.concat(F.lit("https://b.ro"), _pick(F.col("c_custkey"), [p for p, *_ in _PAGES])).alias("url"), _pick(F.col("c_custkey"), [r for _, r, _ in _PAGES]).alias("role"))
+    return discovery.best_pages(rows, "bank", "url", "role")
+
+
+_FIRMS = (("Banca Transilvania S.A.", "true"), ("Transilvania Tour SRL", "false"), ("BT Leasing", "true"), ("BTX", "false"))
+
+
+@query(f"SELECT c_custkey, {_case('c_custkey', [b for _, b in _FIRMS], False)} AS own FROM customer")
+def aux12_legal_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", discovery.belongs_to(_pick(F.col("c_custkey"), [n for n, _ in _FIRMS]), ["bt leasing"], ["banca transilvania"]).alias("own"))
+
+
+_SPOTS = (("Agenție BRD", "BRD", "open", "brd", "sucursala", None), ("Bitcoin ATM BRD", None, "open", "brd", "atm", "cripto"), ("Bancomat", "Banca Comercială Română", "open", "bcr", "atm", None), ("Cafenea", None, "open", None, "sucursala", "banca"), ("BCR", None, "closed", "bcr", "sucursala", "stare_closed"))
+
+
+@query(f"SELECT c_custkey, {_case('c_custkey', [s[3] for s in _SPOTS])} AS bank, {_case('c_custkey', [s[4] for s in _SPOTS])} AS kind, CASE WHEN c_custkey % 5 = 4 THEN 'stare_closed' WHEN c_custkey % 7 = 0 THEN 'incredere' ELSE {_case('c_custkey', [s[5] for s in _SPOTS])} END AS left_out FROM customer")
+def d30_bank_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name, brand, status = (_pick(k, [s[i] for s in _SPOTS]) for i in (0, 1, 2))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), brand.alias("brand"), F.lit("bank").alias("category"), status.alias("status"), F.when(k % 7 == 0, 0.2).otherwise(0.9).alias("confidence"))
+    return discovery.bank_places(rows, [("brd", r"\bbrd\b"), ("bcr", r"\bbcr\b|comerciala romana")]).select("c_custkey", "bank", "kind", "left_out")
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_custkey % 30 AS owner, o_custkey % 4 AS fam, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate::DATE END AS day, lpad(o_orderkey::VARCHAR, 10, '0') AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'c' || o_orderkey % 100 ELSE 'u' || o_orderkey END AS h FROM orders),
+f AS (SELECT h, min(name) AS first FROM d GROUP BY 1), o AS (SELECT d.*, name = first AS own, coalesce(day > DATE '2000-01-01', false) AS future FROM d JOIN f USING (h)),
+n AS (SELECT owner, fam, max({'a': day IS NOT NULL, 'b': coalesce(day, DATE '1900-01-01'), 'c': name}) AS newest FROM o WHERE own AND NOT future GROUP BY 1, 2)
+SELECT o_orderkey, own AND (future OR coalesce(newest.c = name, false)) AS kept FROM o LEFT JOIN n USING (owner, fam)""")
+def d32_kept_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identical documents once; of each family the newest in force and all future ones."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 30).alias("owner"), (F.col("o_custkey") % 4).alias("fam"), F.when(k % 9 != 0, F.col("o_orderdate").cast("date")).alias("day"), F.lpad(k.cast("string"), 10, "0").alias("name"),
+        F.when(k % 5 == 0, F.concat(F.lit("c"), (k % 100).cast("string"))).otherwise(F.concat(F.lit("u"), k.cast("string"))).alias("h"),
+    )
+    found = discovery.kept_versions(rows, "owner", "h", "fam", "day", "name", F.lit("2000-01-01").cast("date"))
+    return found.select("o_orderkey", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query("""WITH l AS (SELECT c_nationkey, c_custkey, 'line ' || left(c_mktsegment, 3) || c_custkey % 40 AS line FROM customer), f AS (SELECT c_nationkey, line, min(c_custkey) AS c_custkey FROM l GROUP BY 1, 2)
+SELECT c_nationkey, c_custkey, line FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey, line) AS rn FROM f) WHERE rn <= 25""")
+def aux15_first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat(F.lit("line "), F.left("c_mktsegment", F.lit(3)), (F.col("c_custkey") % 40).cast("string")).alias("line"))
+    return discovery.first_lines(lines, "c_nationkey", "line", "c_custkey")
+
+
+@query("""SELECT DISTINCT s_suppkey, x.c FROM supplier CROSS JOIN LATERAL (SELECT n_name AS c FROM nation WHERE n_nationkey = s_nationkey UNION SELECT n_name FROM nation WHERE n_nationkey = s_suppkey % 25) x""")
+def join12_lateral_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correlated union: suppliers with the nations they meet by one key or the other."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_suppkey") % 25).alias("other"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("c"))
+    return discovery.either_match(supplier, nation, [("s_nationkey", "n_nationkey"), ("other", "n_nationkey")], ["s_suppkey", "c"])
+
+
+_PAGE_RATES = "r AS (SELECT o_custkey AS url, CASE o_orderkey % 3 WHEN 0 THEN 'dae' WHEN 1 THEN 'nominala' ELSE 'marja_ircc' END AS kind, (1 + o_orderkey % 9) / 2.0 AS value, o_orderkey FROM orders)"
+
+
+def _page_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), _pick(k, ["dae", "nominala", "marja_ircc"]).alias("kind"), ((k % 9 + 1) / 2).alias("value"), F.lit("OK").alias("verdict"), "o_orderkey")
+
+
+@query(f"WITH {_PAGE_RATES}, p AS (SELECT url, max(value) FILTER (WHERE kind = 'dae') < min(value) FILTER (WHERE kind = 'nominala' AND value > 0) AS odd FROM r GROUP BY 1) SELECT o_orderkey, CASE WHEN odd AND kind = 'dae' THEN 'SUSPECT' ELSE 'OK' END AS verdict FROM r JOIN p USING (url)")
+def d13_page_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective rates below the nominal ones of their page are suspect."""
+    return normalise.page_invariants(_page_rates(spark, sf_dir)).select("o_orderkey", "verdict")
+
+
+@query(f"WITH {_PAGE_RATES}, n AS (SELECT DISTINCT url, value AS v FROM r WHERE kind = 'nominala'), m AS (SELECT DISTINCT url, value FROM r WHERE kind = 'marja_ircc') SELECT url, value, EXISTS (SELECT 1 FROM n WHERE n.url = m.url AND abs(v - (m.value + 1.0)) <= 0.1 + 1e-9) AS consistent FROM m")
+def d13_consistent_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins that, with the index, make a nominal rate of their page."""
+    return normalise.consistent_margins(_page_rates(spark, sf_dir), F.lit(1.0)).select("url", "value", "consistent")
+
+
+@query("""WITH r AS (SELECT slug AS bank, CASE l_linenumber WHEN 1 THEN NULL ELSE 'p' || l_linenumber % 4 END AS product, CASE WHEN l_orderkey % 3 = 0 THEN 'pj' END AS segment, CASE WHEN l_orderkey % 5 = 0 THEN 'business' ELSE 'retail' END AS category,
+  CASE l_orderkey % 4 WHEN 0 THEN 'dae' WHEN 1 THEN 'cashback' ELSE 'nominala' END AS kind, '-' AS way, 1 + l_discount * 100 AS value, CASE WHEN l_partkey % 10 = 0 THEN 'footer' ELSE 't' || l_linenumber || l_orderkey END AS text
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN (SELECT n_nationkey, lower(n_name) AS slug FROM nation) ON s_nationkey = n_nationkey),
+k AS (SELECT * FROM r WHERE product IS NOT NULL), fu AS (SELECT bank, left(text, 70) AS t FROM k GROUP BY 1, 2 HAVING count(DISTINCT product) >= 3),
+g AS (SELECT product, coalesce(segment, CASE WHEN category = 'business' THEN '-' ELSE 'pf' END) AS segment, kind, way, bank, value FROM k WHERE kind <> 'cashback' AND NOT EXISTS (SELECT 1 FROM fu WHERE fu.bank = k.bank AND t = left(k.text, 70))),
+o AS (SELECT product, segment, kind, way, bank, median(value) AS m, max(value) / min(value) AS w FROM g GROUP BY ALL)
+SELECT product, segment, kind, count(*) AS sellers, round(median(m), 4) AS median, max(m) / min(m) <= 8 AND max(w) <= 8 AS trusted FROM o GROUP BY product, segment, kind, way HAVING count(*) >= 3""")
+def d24_comparable_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quotelake.plans import domain
+
+    supplier = domain._of_bank(spark, sf_dir, table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey").withColumnRenamed("banca", "bank")
+    line, k, n = table(spark, sf_dir, "lineitem"), F.col("l_orderkey"), F.col("l_linenumber")
+    rows = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "bank", F.when(n != 1, F.concat(F.lit("p"), (n % 4).cast("string"))).alias("product"), F.when(k % 3 == 0, "pj").alias("segment"), F.when(k % 5 == 0, "business").otherwise("retail").alias("category"),
+        F.when(k % 4 == 0, "dae").when(k % 4 == 1, "cashback").otherwise("nominala").alias("kind"), F.lit("-").alias("way"), (F.lit(1) + F.col("l_discount") * 100).alias("value"),
+        F.when(F.col("l_partkey") % 10 == 0, "footer").otherwise(F.concat(F.lit("t"), n.cast("string"), k.cast("string"))).alias("text"),
+    )
+    return representative.comparable_rates(rows).select("product", "segment", "kind", "sellers", F.round("median", 4).alias("median"), "trusted")
