@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by PCA-ordered tiled comparison, exact for every pair.
 
-Unit vectors are turned to their principal axes, strongest first, and dealt by ranges of the first coordinate into tiles of at
-most TILE rows. A pair of tiles is compared only if their ranges come near enough. Within it, products over the LEAD leading
+Unit vectors are turned to their principal axes, strongest first, put in order of the first coordinate and cut into tiles of TILE
+rows. Tiles are dealt to pairs of blocks, SPAN tiles each, and two of them are compared only if their ranges come near enough. Within it, products over the LEAD leading
 coordinates are accumulated as one matrix product; what the others can add is at most the product of the two suffix norms, so
 a pair is dropped once that bound is below the threshold. The survivors go on LEAD coordinates at a time, and what is left at
 the end is decided by the cosine of the original components in double precision.
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import materialize
+from quotelake.llm.common import global_index, materialize
 from quotelake.llm.components import connected_components
 
 THRESHOLD = 0.95
 TILE = 2048
+#: So many neighbouring tiles are a block; a task reads two blocks and compares their tiles.
+SPAN = 4
 LEAD = 16
 #: Turning to the axes rounds in the last digits: bounds give way by so much.
 SLACK = 1e-9
@@ -74,40 +76,35 @@ def _first_coordinate(axes):
 
 
 def _to_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (d, first) to tiles: packed ids, counts of equal vectors, and components."""
+    """Rows of whole tiles, in order of (tile, d, place), to tiles of one dimension each: packed ids, counts of equal vectors, and components."""
     held: list[pa.RecordBatch] = []
 
-    def tile(table: pa.Table, d: int) -> pa.RecordBatch:
-        first = table.column("first").to_numpy()
-        v = np.ascontiguousarray(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-        packed = [[table.column(c).to_numpy().astype(np.int64).tobytes()] for c in ("vec_id", "times")]
-        row = [[d], [first.min()], [first.max()], [table.num_rows], packed[0], [v.tobytes()], packed[1]]
-        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["d", "low", "high", "n", "ids", "body", "times"])
-
-    def flush(all_: bool) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        dims = table.column("d").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1), len(dims)]
-        held.clear()
+    def tiles(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        number, dims = table.column("tile").to_numpy(), table.column("d").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(number) != 0) | (np.diff(dims) != 0)) + 1), len(dims)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            while b - a >= TILE or (b > a and (all_ or b < len(dims))):
-                size = min(TILE, b - a)
-                yield tile(table.slice(a, size), int(dims[a]))
-                a += size
-            if b > a:
-                held.extend(table.slice(a, b - a).to_batches())
-
-    rows = 0
+            part = table.slice(a, b - a)
+            first = part.column("first").to_numpy()
+            v = np.ascontiguousarray(part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+            packed = [part.column(c).to_numpy().astype(np.int64).tobytes() for c in ("vec_id", "times")]
+            row = [int(number[a]), int(dims[a]), first.min(), first.max(), packed[0], v.tobytes(), packed[1]]
+            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["tile", "d", "low", "high", "ids", "body", "times"])
+
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= 4 * TILE:
-            yield from flush(False)
-            rows = sum(b.num_rows for b in held)
+        if not batch.num_rows:
+            continue
+        tile = batch.column("tile").to_numpy()
+        if held and tile[0] != held[-1].column("tile")[-1].as_py():
+            yield from tiles(pa.Table.from_batches(held))
+            held = []
+        cut = int(np.flatnonzero(tile == tile[-1])[0])
+        if cut:
+            yield from tiles(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
     if held:
-        yield from flush(True)
+        yield from tiles(pa.Table.from_batches(held))
 
 
 def link_mask(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> np.ndarray:
@@ -156,32 +153,51 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _compare(axes, threshold: float):
-    """Pairs of tiles to (id, other, n): n links found for id (other null), and the forest's links (n 0)."""
+def _compare(axes, threshold: float, reach: float):
+    """Tiles dealt to pairs of blocks, in order of (block_a, block_b), to (id, other, n): n links found for id (other null), and the forest's links
+    (n 0), stars at the smallest id. Of a pair of blocks each two tiles of one dimension whose ranges come near enough are compared."""
+
+    def links(x: dict, y: dict) -> pa.RecordBatch | None:
+        own, d = x["tile"] == y["tile"], x["d"]
+        ids, times = ([np.frombuffer(t[c], np.int64) for t in (x, y)] for c in ("ids", "times"))
+        a, b = (np.frombuffer(t["body"], np.float64).reshape(-1, d) for t in (x, y))
+        pairs = link_mask(a, b, axes.value[d], threshold)
+        if own:
+            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        if not len(pairs):
+            return None
+        # sums of how many vectors the other row stands for
+        na = np.bincount(pairs[:, 0], times[1][pairs[:, 1]], len(a)).astype(np.int64)
+        nb = np.bincount(pairs[:, 1], times[0][pairs[:, 0]], len(b)).astype(np.int64)
+        both, counts = np.concatenate(ids), np.concatenate([na, nb])
+        label = _spanning(len(both), pairs[:, 0], pairs[:, 1] + (0 if own else len(a)))
+        hub = np.full(len(both), np.iinfo(np.int64).max)
+        np.minimum.at(hub, label, both)
+        hub = hub[label]
+        hit, child = np.flatnonzero(counts), np.flatnonzero(hub != both)
+        other = pa.array(np.concatenate([np.zeros(len(hit), np.int64), hub[child]]), mask=np.arange(len(hit) + len(child)) < len(hit))
+        return pa.RecordBatch.from_arrays([pa.array(both[np.concatenate([hit, child])]), other, pa.array(np.concatenate([counts[hit], np.zeros(len(child), np.int64)]))], ["id", "other", "n"])
+
+    def compared(block_a: int, block_b: int, tiles: list[dict]) -> Iterator[pa.RecordBatch]:
+        for x in tiles:
+            for y in tiles:
+                if x["block"] == block_a and y["block"] == block_b and x["d"] == y["d"] and x["tile"] <= y["tile"] and x["low"] <= y["high"] + reach and y["low"] <= x["high"] + reach:
+                    found = links(x, y)
+                    if found is not None:
+                        yield found
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        pair = None
         for batch in batches:
             for row in batch.to_pylist():
-                d = row["d"]
-                ids = [np.frombuffer(row[x], np.int64) for x in ("ids_a", "ids_b")]
-                a, b = (np.frombuffer(row[x], np.float64).reshape(-1, d) for x in ("body_a", "body_b"))
-                pairs = link_mask(a, b, axes.value[d], threshold)
-                if row["own"]:
-                    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-                if not len(pairs):
-                    continue
-                # sums of how many vectors the other row stands for
-                times = [np.frombuffer(row[x], np.int64) for x in ("times_a", "times_b")]
-                na = np.bincount(pairs[:, 0], times[1][pairs[:, 1]], len(a)).astype(np.int64)
-                nb = np.bincount(pairs[:, 1], times[0][pairs[:, 0]], len(b)).astype(np.int64)
-                both = np.concatenate(ids)
-                counts = np.concatenate([na, nb])
-                label = _spanning(len(both), pairs[:, 0], pairs[:, 1] + (0 if row["own"] else len(a)))
-                hit, child = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(both)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([both[hit], both[child]])), pa.array([*[None] * len(hit), *both[label[child]].tolist()], pa.int64()), pa.array(np.concatenate([counts[hit], np.zeros(len(child), np.int64)]))],
-                    ["id", "other", "n"],
-                )
+                if held and (row["block_a"], row["block_b"]) != pair:
+                    yield from compared(*pair, held)
+                    held = []
+                pair = row["block_a"], row["block_b"]
+                held.append(row)
+        if held:
+            yield from compared(*pair, held)
 
     return run
 
@@ -197,34 +213,42 @@ def near_duplicate_vectors(spark: SparkSession, embeddings: DataFrame, threshold
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    reps = materialize(spark, rows.where(usable).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")).withColumn("d", F.size("v")))
+    # two hashes stand for a vector; equal vectors collapse
+    hashes = [F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")]
+    reps = rows.where(usable).withColumns({"h": hashes[0], "g": hashes[1]}).groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times"), F.first("v").alias("v"))
+    reps = materialize(spark, reps.withColumn("d", F.size("v")))
     axes = spark.sparkContext.broadcast(principal_axes(reps.select("d", "v")))
     kinds = "vec_id long, times long, d int, v array<double>, first double"
     placed = reps.select(F.col("rep").alias("vec_id"), "times", "d", "v").mapInArrow(_first_coordinate(axes), kinds)
+    # tiles are runs of TILE rows of the whole order, however many partitions hold it
+    ordered = global_index(spark, placed, [F.col("d"), F.col("first"), F.col("vec_id")], "place").withColumn("tile", F.floor(F.col("place") / TILE).cast("long"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = placed.repartitionByRange(parts, "d", "first", "vec_id").sortWithinPartitions("d", "first", "vec_id")
-    tiles = materialize(spark, ranged.mapInArrow(_to_tiles, "d int, low double, high double, n int, ids binary, body binary, times binary").withColumn("tile", F.monotonically_increasing_id()))
+    dealt = ordered.repartition(parts, "tile").sortWithinPartitions("tile", "d", "place").select("tile", "d", "first", "vec_id", "times", "v")
+    tiles = dealt.mapInArrow(_to_tiles, "tile long, d int, low double, high double, ids binary, body binary, times binary")
+    tiles = materialize(spark, tiles.withColumn("block", F.floor(F.col("tile") / SPAN).cast("long")))
     # unit vectors whose cosine reaches the threshold are at most this far apart, in any coordinate
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-    meta = tiles.select("tile", "d", "low", "high")
     band = lambda c: F.floor(c / F.lit(reach)).cast("int")
-    left = meta.select("tile", "d", "low", "high", F.explode(F.sequence(band(F.col("low")), band(F.col("high") + reach))).alias("band"))
-    right = meta.select(F.col("tile").alias("tile_b"), "d", F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(band(F.col("low")), band(F.col("high") + reach))).alias("band"))
-    near = left.join(right, ["d", "band"]).where(f"tile <= tile_b and low_b <= high + {reach} and low <= high_b + {reach}")
-    pairs = near.groupBy("tile", "tile_b").agg(F.first("d").alias("d"))
-    a = tiles.select("tile", F.col("ids").alias("ids_a"), F.col("body").alias("body_a"), F.col("times").alias("times_a"))
-    b = tiles.select(F.col("tile").alias("tile_b"), F.col("ids").alias("ids_b"), F.col("body").alias("body_b"), F.col("times").alias("times_b"))
-    dealt = pairs.repartition(parts, "tile", "tile_b").join(a, "tile").join(b, "tile_b").withColumn("own", F.col("tile") == F.col("tile_b"))
-    found = materialize(spark, dealt.drop("tile", "tile_b").mapInArrow(_compare(axes, threshold), "id long, other long, n long"))
+    meta = tiles.groupBy("block", "d").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    meta = meta.withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("high") + reach))))
+    right = meta.select("d", "band", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    near = meta.withColumnRenamed("block", "block_a").join(right, ["d", "band"]).where(f"block_a <= block_b and low_b <= high + {reach} and low <= high_b + {reach}")
+    pairs = near.select("block_a", "block_b").distinct()
+    met = pairs.withColumn("block", F.explode(F.array_distinct(F.array("block_a", "block_b")))).join(tiles, "block")
+    grid = met.repartition(parts, "block_a", "block_b").sortWithinPartitions("block_a", "block_b", "tile")
+    found = materialize(spark, grid.mapInArrow(_compare(axes, threshold, reach), "id long, other long, n long"))
     counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     components = connected_components(spark, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    # only vectors with a link or an equal are joined back
+    linked = counts.join(components, "id", "left").select("id", "n", "component")
     named = (
-        reps.join(counts, reps["rep"] == counts["id"], "left")
-        .drop("id")
-        .join(components, reps["rep"] == components["id"], "left")
-        .select(F.col("v").alias("__v"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("__n"), F.coalesce("component", "rep").alias("__component"))
+        reps.select("h", "g", "rep", "times")
+        .join(linked, F.col("rep") == F.col("id"), "left")
+        .where("id is not null or times > 1")
+        .select(F.col("h").alias("__h"), F.col("g").alias("__g"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("__n"), F.coalesce("component", "rep").alias("__component"))
     )
-    joined = rows.join(named, usable & (F.col("v") == F.col("__v")), "left")
+    keyed = rows.select("vec_id", F.when(usable, hashes[0]).alias("h"), F.when(usable, hashes[1]).alias("g"))
+    joined = keyed.join(named, (F.col("h") == F.col("__h")) & (F.col("g") == F.col("__g")), "left")
     component = F.coalesce("__component", "vec_id")
     return joined.select(
         "vec_id", F.coalesce("__n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
