@@ -7,7 +7,7 @@ many links is never gathered into one task: the adaptive skew join splits its ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm.common import materialize
@@ -22,19 +22,21 @@ def _stars(pairs: DataFrame) -> DataFrame:
 def connected_components(spark: SparkSession, links: DataFrame, limit: int = 60) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): component is the smallest id reachable. Self links and repeats are allowed.
 
-    An empty table gives an empty table. ``limit`` guards against a fault only: the steps converge in O(log n) rounds,
-    and an error is raised if they don't.
+    An empty table gives an empty table. Whether the links are stars at the smallest id already is counted while a step is written, so no
+    job of its own asks for it. ``limit`` guards against a fault only: the steps converge in O(log n) rounds, and an error is raised if they don't.
     """
     edges = materialize(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(limit):
-        # stars already: every id has one link down, and nobody's lower end has a link down itself
-        links_, ids = edges.agg(F.count("*"), F.countDistinct("u")).first()
-        roots = edges.select(F.col("v").alias("id")).distinct()
-        if links_ == ids and edges.join(roots, F.col("u") == F.col("id"), "left_semi").isEmpty():
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # an id between two others, or with two lower neighbours, is no star's
+        astray = (F.col("v") > F.col("u")) & (F.col("m") < F.col("u")) | (F.col("v") < F.col("u")) & (F.col("v") != F.col("m"))
+        seen = Observation()
+        starred = _stars(both).observe(seen, F.count_if(astray).alias("astray"))
         # written once, since the next step reads it twice
-        large = materialize(spark, _stars(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = materialize(spark, starred.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        if not seen.get["astray"]:
+            roots = edges.select(F.col("v").alias("id")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
         small = _stars(large).select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))))
         edges = materialize(spark, small.where("u <> v").distinct())
     raise RuntimeError("components did not converge")

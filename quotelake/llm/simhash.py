@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import U64, give_back, materialize, maybe_among, mix, slices, utf8
+from quotelake.llm.common import U64, flat_words, give_back, materialize, maybe_among, mix, rolling, slices, utf8, word_hashes
 from quotelake.llm.components import connected_components
 
 SEED = 42
@@ -331,6 +331,10 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int =
 #: Candidates for similarities: eight words of hash bits over distinct five-word shingles, cut in two ways into sixteen segments each.
 SHINGLE = 5
 SIMILAR = {"n_words": 8, "bits": 32, "budget": 3, "segments": 32}
+#: A text may have a near copy if so many (as a share) of its SKETCH smallest shingle hashes are found in another text's.
+SKETCH, SHARED = 16, 0.375
+#: Keys that many rows share are cut into so many.
+SALTS = 16
 #: A group of candidates is compared in parts of about so many texts and so many shingles, each pair of parts on its own.
 PART_ROWS, PART_SHINGLES = 1_000, 4_000_000
 
@@ -342,37 +346,63 @@ def most_bits(similarity: float, bits: int) -> int:
     return round(bits * p + 4 * (bits * p * (1 - p)) ** 0.5)
 
 
-def _shingle_batches(width: int):
-    """Texts to their distinct shingles: ``key`` stands for the set, ``shingles`` holds its sorted hashes."""
+def distinct_shingles(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Each text's distinct runs of ``width`` words, A-Z lower-cased, as sorted 64-bit hashes; of fewer words the whole sequence."""
+    words, counts = flat_words([t.lower() if t else t for t in texts])
+    hashes = rolling(word_hashes(words, int(counts.sum())), range(1, width + 1))
+    hashes = [mix(h, w) for w, h in enumerate(hashes, 1)]
+    first = (np.cumsum(counts) - counts).tolist()
+    return [np.unique(hashes[min(n, width) - 1][a : a + max(1, n - width + 1)]) if n else np.zeros(0, U64) for a, n in zip(first, counts.tolist(), strict=True)]
+
+
+def _sketch_batches(width: int):
+    """Texts to ``key``, which stands for the set of their shingles, and ``sketch``, its smallest hashes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            packed = [np.unique(shingle_hashes(t or b"", width)).tobytes() for t in part.column("text").to_pylist()]
-            keys = [hashlib.sha256(x).digest()[:16] for x in packed]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "key", "shingles"])
+            sets = distinct_shingles(part.column("text").to_pylist(), width)
+            keys = [hashlib.sha256(x.tobytes()).digest()[:16] for x in sets]
+            heads = [x[:SKETCH].view(np.int64) for x in sets]
+            offsets = np.zeros(len(sets) + 1, np.int32)
+            np.cumsum([len(x) for x in heads], out=offsets[1:])
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate(heads) if heads else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(keys, pa.binary()), lists], ["doc_id", "text_hash", "key", "sketch"])
 
     return run
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, shingles): each text's distinct shingles of ``width`` words and a key that equal sets share."""
-    return docs.select("doc_id", utf8().alias("text")).mapInArrow(_shingle_batches(width), "doc_id long, key binary, shingles binary")
+def _set_batches(width: int, n_words: int):
+    """Texts to ``key``, their packed distinct ``shingles``, and ``fp``, the SimHash over them."""
 
-
-def _fingerprint_sets(n_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "shingles"):
-            hashes = [np.frombuffer(x, U64) for x in part.column("shingles").to_pylist()]
-            bounds = np.zeros(len(hashes) + 1, np.int64)
-            np.cumsum([len(h) for h in hashes], out=bounds[1:])
-            flat = np.concatenate(hashes)
+        for part in slices(batches, "text"):
+            sets = distinct_shingles(part.column("text").to_pylist(), width)
+            packed = [x.tobytes() for x in sets]
+            keys = [hashlib.sha256(x).digest()[:16] for x in packed]
+            bounds = np.zeros(len(sets) + 1, np.int64)
+            np.cumsum([len(x) for x in sets], out=bounds[1:])
+            flat = np.concatenate(sets) if sets else np.zeros(0, U64)
             table = np.stack([bit_majorities(mix(flat, k) if k else flat, bounds) for k in range(n_words)], axis=1).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, table.size + 1, n_words, dtype=np.int32), table.reshape(-1))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), lists], ["doc_id", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(packed, pa.binary()), lists], ["doc_id", "key", "shingles", "fp"])
 
     return run
 
 
+def maybe_near(classes: DataFrame) -> DataFrame:
+    """Of classes (key, rep, sketch) those that may have a near copy.
+
+    Two texts of similarity 0.8 have on average 0.8 of the smallest hashes of both in common, and each such hash is in both sketches. A class that shares
+    fewer than SHARED of its sketch with others is alone but for a chance of 3 in 100,000 (exactly so if the sketch holds all shingles), and is spared the
+    trie join. Counting combines before the shuffle; a hash that many classes share is cut into SALTS parts.
+    """
+    hashes = classes.select("rep", "key", F.explode("sketch").alias("hash"))
+    shared = hashes.groupBy("hash").agg(F.count("*").alias("__n")).where("__n > 1").select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = hashes.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(shared, ["hash", "salt"])
+    counts = found.groupBy("key").agg(F.count("*").alias("__shared"))
+    return classes.join(counts, "key").where(F.col("__shared") >= F.size("sketch") * SHARED)
+
+
 def alike(sets: list[np.ndarray], similarity: float, part: np.ndarray | None = None) -> np.ndarray:
     """Labels (a position) of sets linked directly or by others: two link if their Jaccard similarity is ``similarity`` or more.
 
@@ -434,52 +464,66 @@ def _verify(similarity: float):
 
 
 def similar_components(spark: SparkSession, docs: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, component_id) of every document: component_id is the smallest doc_id reachable by pairs whose distinct five-word shingles have a
-    Jaccard similarity of ``similarity`` or more.
+    """(doc_id, text_hash, component_id, stays) of every document: component_id is the smallest doc_id reachable by pairs whose distinct five-word shingles
+    have a Jaccard similarity of ``similarity`` or more, text_hash is xxhash64 of the text, and stays marks one text of each component, of those under its
+    smallest doc_id.
 
-    Equal sets of shingles (also those of texts without words) are one class. Classes meet as candidates by their SimHash, and each group of
-    candidates is compared by the shingles themselves. Rows with a null doc_id keep a null component and link nothing.
+    Equal sets of shingles (also those of texts without words) are one class. Classes that may have near copies meet by their SimHash, and each group of
+    candidates is compared by the shingles themselves. Rows with a null doc_id keep a null component and link nothing. Several texts under one id are
+    documents of their own.
     """
     n_words = SIMILAR["n_words"]
-    fps = materialize(spark, shingle_sets(docs, SHINGLE).mapInArrow(_fingerprint_sets(n_words), "doc_id long, key binary, fp array<long>"))
-    classes = materialize(spark, fps.where("doc_id is not null").groupBy("key", "fp").agg(F.min("doc_id").alias("rep")))
-    loose = materialize(spark, link_fingerprints(spark, classes, most=most_bits(similarity, n_words * 64), **SIMILAR))
-    near = maybe_among(spark, loose.select(F.xxhash64("id").alias("key")))(F.xxhash64("doc_id"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
+    keys = materialize(spark, texts.mapInArrow(_sketch_batches(SHINGLE), "doc_id long, text_hash long, key binary, sketch array<long>"))
+    name = F.struct(F.col("doc_id").alias("rep"), "key", "text_hash")
+    classes = materialize(spark, keys.where("doc_id is not null").groupBy("key").agg(F.min(name).alias("name"), F.first("sketch").alias("sketch")).withColumn("rep", F.col("name.rep")))
+    some = materialize(spark, maybe_near(classes).select("key", "rep", "name", F.xxhash64("key").alias("node")))
+    near = maybe_among(spark, some.select(F.xxhash64("rep").alias("key")))(F.xxhash64("doc_id"))
     # a class's shingles come from a text of its smallest id, which may be repeated with other texts
-    members = loose.join(classes, F.col("id") == F.col("rep")).select("component", "rep", "key")
-    sets = shingle_sets(docs.where(near), SHINGLE).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "key"])
-    rows = materialize(spark, members.join(sets, ["rep", "key"]))
+    sets = texts.where(near).select("doc_id", "text").mapInArrow(_set_batches(SHINGLE, n_words), "doc_id long, key binary, shingles binary, fp array<long>").withColumnRenamed("doc_id", "rep")
+    sets = materialize(spark, sets.join(some.select("rep", "key", "node"), ["rep", "key"]).dropDuplicates(["node"]).select("node", "shingles", "fp"))
+    loose = link_fingerprints(spark, sets.select(F.col("node").alias("rep"), "fp"), most=most_bits(similarity, n_words * 64), **SIMILAR)
+    rows = materialize(spark, loose.join(sets, F.col("id") == F.col("node")).select("component", F.col("node").alias("rep"), "shingles"))
     size = rows.groupBy("component").agg(F.count("*").alias("__n"), F.sum(F.length("shingles") / 8).alias("__size"))
     parts = F.greatest(F.ceil(F.col("__n") / PART_ROWS), F.ceil(F.col("__size") / PART_SHINGLES), F.lit(1)).cast("int")
-    dealt = rows.join(size.select("component", parts.alias("__parts")), "component").withColumn("part", F.pmod(F.xxhash64("key"), F.col("__parts")).cast("int"))
+    dealt = rows.join(size.select("component", parts.alias("__parts")), "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("__parts")).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
     dealt = dealt.select("component", F.least("part", "__other").alias("low"), F.greatest("part", "__other").alias("high"), "rep", "part", "shingles")
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = dealt.repartition(count, "component", "low", "high").sortWithinPartitions("component", "low", "high")
     found = connected_components(spark, sorted_.mapInArrow(_verify(similarity), "a long, b long"))
-    named = classes.join(found, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("__component"))
-    return fps.join(named, "key", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("__component")).alias("component_id"))
+    # a component is called by the smallest name of its classes
+    named = materialize(spark, found.join(some, F.col("id") == F.col("node")).select("component", "key", "name"))
+    linked = named.join(named.groupBy("component").agg(F.min("name").alias("first")), "component").select("key", "first")
+    every = classes.select("key", "name").join(linked, "key", "left").select("key", F.coalesce("first", "name").alias("first"))
+    stays = (F.col("doc_id") == F.col("first.rep")) & (F.col("key") == F.col("first.key")) & (F.col("text_hash") == F.col("first.text_hash"))
+    known = F.col("doc_id").isNotNull()
+    return keys.drop("sketch").join(every, "key", "left").select("doc_id", "text_hash", F.when(known, F.col("first.rep")).alias("component_id"), F.when(known, stays).otherwise(True).alias("stays"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The documents, all columns kept, without near-duplicates: of each component the one with the smallest doc_id stays.
+    """The documents, all columns kept, without near-duplicates: of each component one text under its smallest doc_id stays.
 
     Texts link if the Jaccard similarity of their distinct five-word shingles is ``similarity`` or more; see ``similar_components``. Rows with
-    null ids stay, as do texts without words other than the first; of rows repeated under one id one stays.
+    null ids stay, as does the first of the texts without words; of rows with one id and one text one stays; different texts under one id
+    are compared like any others, so none is lost without a near copy. An empty table gives an empty table.
     """
-    found = similar_components(spark, docs.select("doc_id", "text"), similarity)
-    found = materialize(spark, found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("__component"), F.count("*").alias("__times")))
-    gone = found.where("doc_id <> __component").select(F.col("doc_id").alias("__gone"))
-    again = found.where("doc_id = __component and __times > 1").select(F.col("doc_id").alias("__gone"))
+    found = similar_components(spark, docs.select("doc_id", "text"), similarity).where("doc_id is not null")
+    found = materialize(spark, found.groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("__stays"), F.count("*").alias("__times")).where("not __stays or __times > 1"))
+    listed = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__stays")
     # the rest, most of the documents, meets nothing and isn't shuffled
-    listed = gone.unionByName(again)
-    near = maybe_among(spark, listed.select(F.xxhash64("__gone").alias("key")))(F.xxhash64("doc_id"))
+    near = maybe_among(spark, listed.select(F.xxhash64("__doc", "__hash").alias("key")))(F.xxhash64("doc_id", F.xxhash64("text")))
+    same = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
     rest, some = docs.where(~near), docs.where(near)
-    once = some.join(listed, F.col("doc_id") == F.col("__gone"), "left_anti")
-    out = rest.unionByName(once)
+    out = rest.unionByName(some.join(listed, same, "left_anti"))
+    again = listed.where("__stays")
     if again.isEmpty():
         return out
-    return out.unionByName(some.join(again, F.col("doc_id") == F.col("__gone"), "left_semi").dropDuplicates(["doc_id"]))
+    # of rows repeated under one id and text the same one whatever their order
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    ordered = F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+    once = some.join(again, same).groupBy("__doc", "__hash").agg(F.min_by(row, ordered).alias("__row")).select("__row.*")
+    return out.unionByName(once)
 
 
 def hex_digits(fp: Column) -> Column:

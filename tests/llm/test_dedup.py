@@ -82,6 +82,20 @@ def test_remove_repeats_keeps_clean_texts_byte_for_byte(spark):
     assert substring_dedup.remove_repeats(spark, table).columns == table.columns
 
 
+def test_remove_repeats_drops_texts_of_which_only_white_space_is_left(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage), (2, "\n\t" + passage), (3, passage + "\x0b\n"), (4, "\n\t"), (5, passage + " x")]
+    table = substring_dedup.materialize(spark, docs_frame(spark, rows))
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(spark, table).collect()} == {1: passage, 4: "\n\t", 5: "x"}
+
+
+def test_substring_dedup_of_a_very_long_text(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["new"] + words[30_000:30_500] + ["end"])), (3, " ".join(words[100:149]))]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.removal_digest(spark, docs_frame(spark, rows)).collect()}
+    assert got == {1: (60_000, 0), 2: (502, 500), 3: (49, 0)}
+
+
 def test_count_min_never_underestimates(spark):
     texts = [" ".join(f"w{(i * j) % 97}" for i in range(80)).encode() for j in range(1, 30)] * 2
     frame = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
@@ -171,6 +185,28 @@ def test_keep_one_of_each(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*(str(i) for i in range(20)), "None"])
 
 
+def test_keep_one_of_each_loses_no_text_under_a_repeated_id(spark):
+    words = lambda k, n=40: " ".join(f"k{k}w{i}" for i in range(n))
+    rows = [(1, words(1)), (1, words(2)), (1, words(2)), (2, words(1) + " more"), (3, words(3)), (3, words(3).upper()), (4, None), (4, ""), (5, " \t"), (6, words(3) + " x")]
+    kept = simhash.keep_one_of_each(spark, simhash.materialize(spark, docs_frame(spark, rows))).collect()
+    assert sorted((r["doc_id"], (r["text"] or "").lower().strip()) for r in kept) == sorted([(1, words(1)), (1, words(2)), (3, words(3)), (4, "")])
+    assert simhash.keep_one_of_each(spark, simhash.materialize(spark, docs_frame(spark, []))).count() == 0
+
+
+def test_near_copies_pass_the_sketch_and_others_dont(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"t{k}w{r.randrange(10**6)}" for _ in range(r.randrange(1, 120))) for k in range(150)]
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(k, f"{t} {common}") for k, t in enumerate(texts)] + [(1000 + k, f"{t} {common} end") for k, t in enumerate(texts) if k % 3 == 0]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for k, t in rows}
+    frame = docs_frame(spark, rows).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    keys = frame.mapInArrow(simhash._sketch_batches(5), "doc_id long, text_hash long, key binary, sketch array<long>")
+    near = {x["rep"] for x in simhash.maybe_near(keys.select(F.col("doc_id").alias("rep"), "key", "sketch")).collect()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(a in near and b in near for a, b in itertools.combinations(sets, 2) if like(a, b) >= 0.8)
+    assert len(near) < 0.8 * len(rows)
+
+
 @pytest.mark.parametrize("shingles,goes", [(45, True), (44, False)])
 def test_keep_one_of_each_at_the_threshold(spark, shingles, goes):
     """One word changed in the middle replaces five shingles: 40 / 50 = 0.8 links, 39 / 49 doesn't."""
