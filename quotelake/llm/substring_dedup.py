@@ -128,8 +128,10 @@ def _tiles(window: int, bits: int, sketch):
 
 
 _TILE = "anchor long, w0 long, w1 long, n int, doc_id long, doc_key long, start int, wins array<long>"
-#: A tile's key: its first and last windows hold all its words.
-_KEY = ["w0", "w1", "n"]
+#: A tile's key: its first and last windows hold all its words, and its anchor is another hash of some of them: 128 bits at least.
+_KEY = ["anchor", "w0", "w1", "n"]
+#: The tiles of an anchor that many share are cut into so many parts.
+SALTS = 16
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,11 +146,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     bits = min(MOST_BITS, max(16, int(size / 120 * 8).bit_length()))
     sketch = spark.sparkContext.broadcast(repeated_cells(rows, window, bits))
     tiles = materialize(spark, rows.mapInArrow(_tiles(window, bits, sketch), _TILE))
-    keys = tiles.groupBy(*_KEY).agg(F.first("anchor").alias("anchor"), F.min("doc_id").alias("m"), F.max("doc_id").alias("mx"), F.first("wins").alias("wins"))
+    keys = tiles.groupBy(*_KEY).agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("mx"), F.first("wins").alias("wins"))
     keys = materialize(spark, keys.withColumn("kid", F.monotonically_increasing_id()))
     anchors = keys.groupBy("anchor").agg(F.count("*").alias("k"), F.min("m").alias("am"), F.max("mx").alias("amx")).where("am < amx")
     # windows of tiles whose anchor has other tiles take the smallest document of all of these
-    spread = keys.join(anchors.where("k > 1").select("anchor"), "anchor").select("kid", "m", F.expr("cast(anchor & 2147483647 as int)").alias("half"), F.posexplode("wins").alias("at", "w"))
+    several = anchors.where("k > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("w0"), F.lit(SALTS)).cast("int"))
+    spread = salted.join(several, ["anchor", "salt"]).select("kid", "m", F.expr("cast(anchor & 2147483647 as int)").alias("half"), F.posexplode("wins").alias("at", "w"))
     lowest = spread.groupBy("half", "w").agg(F.min("m").alias("wm"), F.max("m").alias("most")).where("wm < most").drop("most")
     lower = spread.join(lowest, ["half", "w"]).where("wm < m").groupBy("kid").agg(F.expr("bit_or(shiftleft(1L, at))").alias("lower"))
     known = keys.select("kid", *_KEY, "m", "mx").join(lower, "kid", "left").where("m < mx or lower is not null")
@@ -241,6 +245,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     names = [c for c in docs.columns if c != "text"]
     inner = marked.select(utf8().alias("text"), F.col("__spans").alias("spans"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     kinds = ", ".join(f"c{i} {inner.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(names)))
-    cut_ = inner.where("spans is not null").mapInArrow(_cut_texts(window), f"__new string{', ' + kinds if kinds else ''}").where("trim(__new) <> ''")
+    cut_ = inner.where("spans is not null").mapInArrow(_cut_texts(window), f"__new string{', ' + kinds if kinds else ''}").where(F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
     done = cut_.select(*(F.col("__new").alias("text") if c == "text" else F.col(f"c{names.index(c)}").alias(c) for c in docs.columns))
     return clean.unionByName(marked.where("__spans is null").select(docs.columns)).unionByName(done)
