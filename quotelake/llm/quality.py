@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
-Features are n-grams of the whole text's words and of their shapes, hashed to 2**BITS places; a document's values are its
-counts over the square root of their number. Training is FTRL-proximal (McMahan et al., 2013), per coordinate, over a bounded
+Features are the whole text's words and pairs of neighbouring words, and besides the shapes of words and of such pairs, all
+hashed to 2**BITS places; a document's values are its counts over the square root of their number. Training is FTRL-proximal (McMahan et al., 2013), per coordinate, over a bounded
 sample of labelled rows: SHARDS learners see disjoint shares, and their weights are averaged. L1 keeps the weights sparse.
 Scoring is a sparse dot product of a text's features with the weights, which are broadcast (2**BITS floats, 4 MB).
 """
@@ -42,29 +42,47 @@ _shapes = _Shapes()
 _MAP = bytes(ord("a") if chr(b).islower() and b < 128 or b >= 128 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in range(256))
 #: The place of "the same word again".
 _AGAIN = 0x5851F42D4C957F2D
+_PAIR = 0x9E3779B97F4A7C15
 
 
 def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(places of all n-grams, text by text; bounds of each text's): words, shapes of words, and pairs of neighbouring words, which
-    count by their shapes, or as a repeat if the words are equal. So pairs of words that training never saw still tell something."""
+    """(places of all n-grams, text by text; bounds of each text's): words, pairs of neighbouring words, shapes of words, and pairs of shapes, or a
+    repeat where the two words are equal. So words and pairs that training never saw still tell something by their shapes."""
     words, counts = flat_words(texts)
     total = int(counts.sum())
     h = word_hashes(words, total)
     shape = np.fromiter(map(_shapes.__getitem__, chain.from_iterable(t.translate(_MAP).split() if t else () for t in texts)), U64, total)
     owner = np.repeat(np.arange(len(counts)), counts)
-    joined = np.full((total, 3), -1, np.int64)
-    joined[:, 0] = mix(h) >> U64(64 - BITS)
-    joined[:, 1] = mix(shape, 1) >> U64(64 - BITS)
+    place = lambda x, salt: (mix(x, salt) >> U64(64 - BITS)).astype(np.int64)
+    joined = np.full((total, 4), -1, np.int64)
+    joined[:, 0], joined[:, 1] = place(h, 0), place(shape, 1)
     if total > 1:
-        pair = np.where(h[:-1] == h[1:], U64(_AGAIN), shape[:-1] * U64(0x9E3779B97F4A7C15) + shape[1:])
-        joined[:-1, 2] = np.where(owner[:-1] == owner[1:], (mix(pair, 2) >> U64(64 - BITS)).astype(np.int64), -1)
-    n = np.maximum(0, 3 * counts - 1)
+        inside = owner[:-1] == owner[1:]
+        shapes = np.where(h[:-1] == h[1:], U64(_AGAIN), shape[:-1] * U64(_PAIR) + shape[1:])
+        joined[:-1, 2] = np.where(inside, place(shapes, 2), -1)
+        joined[:-1, 3] = np.where(inside, place(h[:-1] * U64(_PAIR) + h[1:], 3), -1)
+    n = np.maximum(0, 4 * counts - 2)
     bounds = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(n, out=bounds[1:])
     flat = joined.reshape(-1)
     return flat[flat >= 0], bounds
 
 
+def ftrl_step(z: np.ndarray, n: np.ndarray, at: np.ndarray, x: np.ndarray, y: float) -> None:
+    """One update of the accumulators at a document's places, in place."""
+    zi, ni = z[at], n[at]
+    w = weights_of(zi, ni)
+    p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
+    g = (p - y) * x
+    z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
+    n[at] = ni + g * g
+
+
+def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weights that the accumulators stand for: 0 within L1."""
+    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
 def _train(frame: pd.DataFrame) -> pd.DataFrame:
     """One learner: its weights that aren't 0. Place 2**BITS is the bias."""
     frame = frame.sort_values(["__order", "doc_id"], kind="stable")
@@ -80,14 +98,8 @@ def _train(frame: pd.DataFrame) -> pd.DataFrame:
             docs.append((np.append(at, size - 1).astype(np.int32), np.append(x, 1.0).astype(np.float32), float(y)))
     for _ in range(EPOCHS):
         for at, x, y in docs:
-            zi, ni = z[at], n[at]
-            w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - y) * x
-            sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
-            z[at] = zi + g - sigma * w
-            n[at] = ni + g * g
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+            ftrl_step(z, n, at, x, y)
+    w = weights_of(z, n)
     at = np.flatnonzero(w)
     return pd.DataFrame({"place": at, "weight": w[at]})
 
