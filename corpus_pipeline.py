@@ -14,32 +14,36 @@ from quotelake.llm.common import bounded_batches, materialize
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier scores below 0.5."""
+    """Drops documents that the quality classifier scores below 0.5. Null and empty texts have the bias' score; repeated rows are scored alike;
+    without labels all stay (a score of 0.5); an empty table stays empty; other columns are kept whatever their names."""
     bounded_batches(spark)
     return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """Keeps one document, the one with the smallest id, of each group of near-duplicates (five-word shingles, similarity 0.8). Null ids stay; null, empty and
+    blank texts are one group; of rows with one id and text one stays; texts under one id are compared like any others."""
     bounded_batches(spark)
     return simhash.keep_one_of_each(spark, docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words or more out of all but the first document that holds them; n_chars follows the text."""
+    """Cuts passages of 50 words or more out of all but the first document that holds them; n_chars follows the text. Null texts and null ids stay as they are;
+    a text of which only white space is left goes; rows repeated under one id lose what the others lose."""
     bounded_batches(spark)
     cut = substring_dedup.remove_repeats(spark, docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources meet their targets."""
+    """Repeats or leaves out documents so that sources meet their targets. Null sources are one source; texts without words are taken as their source's rate says;
+    a source without words isn't taken; null ids draw like one id."""
     bounded_batches(spark)
     return mixing.mix_documents(spark, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document the mix took."""
+    """Token ids of every document the mix took. Null and empty texts have none; rows are independent."""
     bounded_batches(spark)
     return sentencepiece_fst.encode_documents(spark, docs)
 
