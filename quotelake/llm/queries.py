@@ -85,8 +85,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gs), 0)::BIGINT AS n_rem
 FROM w LEFT JOIN sets USING (rid) LEFT JOIN kept USING (rid)
 """
 
-#: The jump walk by recursion on (candidate, next); the generator's state needs 128-bit products. Slots follow doc_id, as they do
-#: in the query while a shard is one bucket (up to 20,000 rows).
+#: The jump walk by recursion on (candidate, next); the generator's state needs 128-bit products. Slots follow doc_id within a shard.
 OP3_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
