@@ -12,8 +12,8 @@ path in the tropical semiring, found by one best-first search for both kinds of
   acceptor gives a border weight 0 if its pieces stay apart, and infinity if not. Each prefix then has one path of finite weight.
 
 No piece crosses from another character to a white space mark, or from a letter to a punctuation sign that the model never
-joins to one, and some characters are in no longer piece; paths therefore split there, and the path of each such stretch is
-remembered (a bounded memory) for the next time it occurs.
+joins to one, and some characters are in no longer piece; paths therefore split there. Of a slice of texts each different
+stretch is worked out once, many together by array operations.
 """
 
 from __future__ import annotations
@@ -41,11 +41,12 @@ MARK = "\u2581"
 # Fixed values of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: A worker remembers so many paths of stretches, and so many borders, at most.
-_REMEMBERED = 160_000
-#: Paths of longer stretches aren't remembered.
+#: A worker remembers so many borders at most.
+_REMEMBERED = 100_000
+#: Longer stretches are walked alone.
 _SHORT = 64
-_RUNS = re.compile(rf"[{MARK}\w]+|[^{MARK}\w]+")
+#: So many stretches are worked out together, of texts of about so many bytes.
+_TOGETHER, _TEXTS = 1 << 13, 1 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -151,12 +152,192 @@ class _Remembered(dict):
         if found is None:
             found = self.work(key)
         if len(key) <= _SHORT:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
+            self.make_room()
             self[key] = found
         return found
 
+    def make_room(self) -> None:
+        """Half of what may be held is full: it becomes the older half."""
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+
+
+class _Table:
+    """A hash table from 64-bit keys to numbers as two arrays, asked for many keys at once; -1 for those it doesn't hold."""
+
+    def __init__(self, entries: dict[int, int]):
+        keys, values = (np.fromiter(x, np.int64, len(entries)) for x in (entries.keys(), entries.values()))
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at] == keys
+            self.values[at[placed]] = values[placed]
+            keys, values, at = keys[~placed], values[~placed], self._next(at[~placed])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & ((1 << self.bits) - 1)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slots(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], -1)
+        todo = np.flatnonzero((held != keys) & (held != -1))
+        at = at[todo]
+        while len(todo):
+            at = self._next(at)
+            held, own = self.keys[at], keys[todo]
+            hit = held == own
+            out[todo[hit]] = self.values[at[hit]]
+            on = ~hit & (held != -1)
+            todo, at = todo[on], at[on]
+        return out
+
+
+class _MergeArcs:
+    """A merge model's machines as arrays, composed with many stretches at once by the search of ``Transducer._shortest``: each stretch goes on from where it
+    is by the longest arc whose border has a finite weight, and back where there is none."""
+
+    def __init__(self, t: Transducer):
+        self.t = t
+        singles = sorted({c for p in t.scores for c in p})
+        self.symbols = [*t.scores, *(c for c in singles if c not in t.scores)]
+        number = {p: i for i, p in enumerate(self.symbols)}
+        self.other = len(self.symbols)  # any character that is in no piece
+        self.classes = np.zeros(0x110000, np.int32)
+        self.classes[[ord(c) for c in singles]] = np.arange(1, len(singles) + 1)
+        self.cuts = np.zeros(0x110000, np.uint8)
+        for mark, signs in ((3, t.alone), (1, MARK), (2, t.signs)):
+            self.cuts[[ord(c) for c in signs]] = mark
+        self.single = np.array([self.other, *(number[c] for c in singles)], np.int64)
+        self.width = len(singles) + 1
+        place = {c: i for i, c in enumerate(singles, 1)}
+        # the trie: transitions by (state, class), and the symbol that a state writes
+        steps: dict[int, int] = {}
+        writes = [-1]
+        stack = [(t.reading, 0)]
+        while stack:
+            node, state = stack.pop()
+            for sign, below in node.items():
+                if sign is None:
+                    writes[state] = number[below]
+                else:
+                    steps[state * self.width + place[sign]] = len(writes)
+                    stack.append((below, len(writes)))
+                    writes.append(-1)
+        self.steps, self.writes = _Table(steps), np.array(writes, np.int64)
+        # merges: when a symbol is made (-1: from the start) and of what, and when two neighbours merge
+        n = self.other + 1
+        when = {s: i for i, s in enumerate(sorted(set(t.scores.values()), reverse=True))}
+        self.made, self.left, self.right, self.astray = (np.full(n, -1, np.int64) for _ in range(4))
+        joins: dict[int, int] = {}
+        for p, s in t.scores.items():
+            i = number[p]
+            self.astray[i] = p in t.astray
+            if p in t.parts:
+                self.made[i], (self.left[i], self.right[i]) = when[s], (number[x] for x in t.parts[p])
+            for k in range(1, len(p)):
+                a, b = number.get(p[:k]), number.get(p[k:])
+                if a is not None and b is not None:
+                    joins[a * n + b] = when[s]
+        self.joins, self.n = _Table(joins), n
+        self.id_of = np.array([t.ids[p][0] if p in t.ids else -1 for p in self.symbols] + [-1], np.int64)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``Transducer._apart`` for many borders."""
+        out = np.ones(len(a), bool)
+        odd = (self.astray[a] == 1) | (self.astray[b] == 1)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.t.borders[tuple(self.symbols[k] if k != self.other else "\ufffe" for k in (a[i], b[i]))]
+        live = np.flatnonzero(~odd)
+        a, b = a[live], b[live]
+        used_a = used_b = np.full(len(live), np.iinfo(np.int64).max)
+        while len(live):
+            joined = self.joins.get(a * self.n + b)
+            across = (joined >= 0) & (joined < used_a) & (joined <= used_b)
+            out[live[across]] = False
+            on = ~across & ((self.made[a] >= 0) | (self.made[b] >= 0))
+            live, a, b, used_a, used_b = (x[on] for x in (live, a, b, used_a, used_b))
+            made_a, made_b = self.made[a], self.made[b]
+            later = made_a > made_b
+            used_a, used_b = np.where(later, made_a, used_a), np.where(later, used_b, made_b)
+            a, b = np.where(later, self.right[a], a), np.where(later, b, self.left[b])
+        return out
+
+    def written(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many are each text's): ``Transducer._written`` for many texts that aren't empty. Each has a place of its own after its last character."""
+        if not texts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        flat = "\0".join([*texts, ""])
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(size + 1) - 1
+        starts, total = ends - size, len(flat)
+        kind = self.classes[np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        limit = np.repeat(ends, size + 1)
+        # arcs: the trie is walked from all places together; a character that is no piece is read as itself
+        alive = np.flatnonzero(np.arange(total) < limit)
+        state, read = np.zeros(len(alive), np.int64), []
+        while len(alive):
+            state = self.steps.get(state * self.width + kind[alive + len(read)])
+            column = np.full(total, -1, np.int32)
+            column[alive] = np.where(state >= 0, self.writes[state], -1)
+            if not read:
+                column[alive] = np.where(column[alive] >= 0, column[alive], self.single[kind[alive]])
+            read.append(column)
+            on = (state >= 0) & (alive + len(read) < limit[alive])
+            alive, state = alive[on], state[on]
+        table = np.stack(read[::-1], axis=1)
+        begin, column = np.nonzero(table >= 0)
+        piece, reached = table[begin, column].astype(np.int64), begin + len(read) - column
+        first = np.zeros(total + 1, np.int64)
+        np.cumsum(np.bincount(begin, minlength=total), out=first[1:])
+        # the search: for each text its place and the next arc to try there; for each place the arc it was reached by
+        came = np.full(total, -1, np.int64)
+        open_, place, arc = np.arange(len(texts)), starts.copy(), first[starts]
+        while len(open_):
+            none = arc[open_] >= first[place[open_] + 1]
+            back, ahead = open_[none], open_[~none]
+            last = came[place[back]]
+            place[back], arc[back] = begin[last], last + 1
+            k, at = arc[ahead], place[ahead]
+            fits = at == starts[ahead]
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self.apart(piece[came[at[inner]]], piece[k[inner]])
+            arc[ahead[~fits]] += 1
+            go, k = ahead[fits], k[fits]
+            came[reached[k]] = k
+            place[go] = reached[k]
+            on = go[reached[k] < ends[go]]
+            arc[on] = first[place[on]]
+            open_ = np.concatenate([back, ahead[~fits], on])
+        # arcs on the paths, from the ends back; sorted they are in order
+        path, at, owner = [], ends, np.arange(len(texts))
+        while len(at):
+            k = came[at]
+            path.append(k)
+            at, owner = begin[k], owner
+            on = at > starts[owner]
+            at, owner = at[on], owner[on]
+        path = np.sort(np.concatenate(path)) if path else np.zeros(0, np.int64)
+        ids, bounds = self.id_of[piece[path]], np.searchsorted(begin[path], [*starts.tolist(), total])
+        counts = np.diff(bounds)
+        spelled = np.flatnonzero(np.add.reduceat(np.append(ids < 0, False), bounds[:-1]) > 0)
+        if not len(spelled):
+            return ids, counts
+        parts, done = [], 0
+        for i in spelled.tolist():
+            own = path[bounds[i] : bounds[i + 1]]
+            fresh = self.t.write([flat[a:b] for a, b in zip(begin[own].tolist(), reached[own].tolist(), strict=True)])
+            parts += [ids[done : bounds[i]], np.array(fresh, np.int64)]
+            counts[i], done = len(fresh), bounds[i + 1]
+        return np.concatenate([*parts, ids[done:]]), counts
+
 
 class Transducer:
     """The compiled model: the machines' arcs. Made from ``Model`` in each Python worker (the model is broadcast).
@@ -188,8 +369,8 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), 0)
         self.borders = _Remembered(self._apart, _REMEMBERED)
-        self.paths = _Remembered(self._stretch, _REMEMBERED)
         self.stretches = self._stretches()
+        self.arcs = _MergeArcs(self) if self.merges and self.stretches is not None else None
         spoken = {NORMAL: lambda p: p.replace(MARK, " ").encode(), UNUSED: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " \u2047 ".encode()}
         self.sounds = [spoken.get(kind, lambda p: b"")(p) for p, _, kind in model.pieces]
 
@@ -201,6 +382,7 @@ class Transducer:
         signs = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
         while crossed := [c for c in signs if any(b == c and a != MARK and a not in signs for a, b in self.joined)]:
             signs = "".join(c for c in signs if c not in crossed)
+        self.alone, self.signs = alone, signs
         other = f"[^{MARK}{re.escape(alone + signs)}]"
         options = [f"{MARK}+[{re.escape(signs)}]*{other}*", f"[{re.escape(signs)}]+{other}*"] if signs else [f"{MARK}+{other}*"]
         if any(MARK in p.lstrip(MARK) for p in self.scores) or not self.model.byte_fallback:
@@ -311,25 +493,10 @@ class Transducer:
             out.append(piece)
         return out[::-1]
 
-    def _cut(self, text: str) -> list[str]:
-        """The stretch cut where letters and signs meet that stand together in no piece."""
-        runs = _RUNS.findall(text)
-        out = runs[:1]
-        for run in runs[1:]:
-            if out[-1][-1] + run[0] in self.joined:
-                out[-1] += run
-            else:
-                out.append(run)
-        return out
-
-    def _stretch(self, text: str) -> tuple[int, ...]:
-        runs = self._cut(text)
-        return self._written(text) if len(runs) == 1 else tuple(chain.from_iterable(map(self.paths.__getitem__, runs)))
-
-    def _written(self, text: str) -> tuple[int, ...]:
-        """The ids that the shortest path of a text writes."""
+    def write(self, pieces: list[str]) -> tuple[int, ...]:
+        """The ids that a path writes."""
         out: list[int] = []
-        for p in self._shortest(text):
+        for p in pieces:
             own = self.ids.get(p)
             if own is None and self.model.byte_fallback and self.bytes:
                 own = tuple(self.bytes[b] for b in p.encode())
@@ -339,13 +506,48 @@ class Transducer:
                 out.append(self.unknown)
         return tuple(out)
 
+    def _written(self, text: str) -> tuple[int, ...]:
+        return self.write(self._shortest(text))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin, and the end). Each different stretch is worked out once, many together; long ones alone."""
+        whole = [self.normalise(t) for t in texts]
+        if self.arcs is None:
+            lists = [list(chain.from_iterable(map(self._written, self.stretches.findall(t) if self.stretches else [t]))) if t else [] for t in whole]
+            return np.array(list(chain.from_iterable(lists)), np.int64), np.cumsum([0, *map(len, lists)])
+        flat = "".join(whole)
+        first = np.cumsum([0, *map(len, whole)])
+        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+        # where stretches begin, by what stands there and before
+        kind = self.arcs.cuts[codes]
+        new = np.zeros(len(codes) + 1, bool)
+        new[1:-1] = (kind[1:] == 3) | (kind[:-1] == 3) | (kind[1:] == 1) & (kind[:-1] != 1) | (kind[1:] == 2) & (kind[:-1] == 0)
+        new[first] = True
+        edges = np.flatnonzero(new)
+        start, length = edges[:-1], np.diff(edges)
+        short = np.flatnonzero(length <= _SHORT)
+        hashes, at = length[short].astype(np.uint64), np.arange(len(short))
+        for k in range(_SHORT):
+            at = at[length[short[at]] > k]
+            if not len(at):
+                break
+            hashes[at] = hashes[at] * np.uint64(0x9E3779B97F4A7C15) + (codes[start[short[at]] + k].astype(np.uint64) ^ np.uint64(0x5851F42D))
+        _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [flat[a : a + n] for a, n in zip(start[short[where]].tolist(), length[short[where]].tolist(), strict=True)]
+        long = np.flatnonzero(length > _SHORT)
+        alone = [self._written(flat[a : a + n]) for a, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
+        found = [self.arcs.written(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
+        ids = np.concatenate([*(f[0] for f in found), *(np.array(x, np.int64) for x in alone)] or [np.zeros(0, np.int64)])
+        counts = np.concatenate([*(f[1] for f in found), np.array([len(x) for x in alone], np.int64)])
+        which = np.zeros(len(start), np.int64)
+        which[short], which[long] = inverse, len(words) + np.arange(len(long))
+        begins, own = np.cumsum(counts) - counts, counts[which]
+        ends = np.cumsum(own)
+        every = ids[np.repeat(begins[which] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return every, np.append(0, ends)[np.searchsorted(start, first)]
+
     def encode(self, text: str) -> list[int]:
-        whole = self.normalise(text)
-        if not whole:
-            return []
-        if self.stretches is None:
-            return list(self._written(whole))
-        return list(chain.from_iterable(map(self.paths.__getitem__, self.stretches.findall(whole))))
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: marks become spaces, bytes join to characters (one U+FFFD for each that doesn't), the dummy prefix goes."""
@@ -367,22 +569,29 @@ def _encode_batches(model, key: str):
         if t is None:
             _compiled.clear()
             t = _compiled[key] = Transducer(read_model(model.value))
-        for part in slices(batches, "__text"):
-            ids, sha, same = [], [], []
-            for body in part.column("__text").to_pylist():
-                text = (body or b"").decode("utf-8", "replace")
-                own = t.encode(text)
-                back = t.decode(own)
-                ids.append(np.array(own, np.int32))
-                sha.append(hashlib.sha256(back.encode()).hexdigest())
-                same.append(back == text)
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum(counts, out=offsets[1:])
-            lists = pa.ListArray.from_arrays(offsets, np.concatenate(ids) if ids else np.zeros(0, np.int32))
+        spoken, marked = pa.array(t.sounds, pa.binary()), [t.model.dummy_prefix and p.startswith(MARK) for p, *_ in t.model.pieces]
+        for part in slices(batches, "__text", _TEXTS):
+            bodies = [body or b"" for body in part.column("__text").to_pylist()]
+            texts = [body.decode("utf-8", "replace") for body in bodies]
+            ids, offsets = t.encode_all(texts)
+            ids = ids.astype(np.int32)
+            # read back: what the ids say stands one after the other in one buffer
+            said = spoken.take(pa.array(ids))
+            ends, data = np.frombuffer(said.buffers()[1], np.int32), memoryview(said.buffers()[2] or b"")
+            sha, same = [], []
+            for body, text, a, b in zip(bodies, texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                back = bytes(data[ends[a] + (a < b and marked[ids[a]]) : ends[b]])
+                if back != body:
+                    back = back.decode("utf-8", "sp_bytes")
+                    same.append(back == text)
+                    back = back.encode()
+                else:
+                    same.append(True)
+                sha.append(hashlib.sha256(back).hexdigest())
+            lists = pa.ListArray.from_arrays(offsets.astype(np.int32), ids)
             names = [c for c in part.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in names), pa.array(counts), lists, pa.array(sha, pa.string()), pa.array(same)], [*names, "n_tokens", "ids", "decoded_sha256", "lossless"]
+                [*(part.column(c) for c in names), pa.array(np.diff(offsets)), lists, pa.array(sha, pa.string()), pa.array(same)], [*names, "n_tokens", "ids", "decoded_sha256", "lossless"]
             )
         give_back()
 

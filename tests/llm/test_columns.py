@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -184,12 +185,49 @@ def test_quality_scores_are_dot_products():
     w = rng.normal(size=(1 << quality.BITS) + 1).astype(np.float32)
     texts = [b"a b a b b", b"", None, b"One two!"]
     places, bounds = quality.features(texts)
-    assert np.diff(bounds).tolist() == [14, 0, 0, 5]
+    assert np.diff(bounds).tolist() == [18, 0, 0, 6]
     for i in range(4):
         own = places[bounds[i] : bounds[i + 1]]
         alone, _ = quality.features([texts[i]])
         assert own.tolist() == alone.tolist()
-    assert w[places].shape == places.shape
+    # the words and pairs of words themselves, hashed one by one
+    mask = (1 << 64) - 1
+
+    def place(x, salt):
+        x = (x + salt * 0x9E3779B97F4A7C15) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return (x ^ x >> 31) >> (64 - quality.BITS)
+
+    h = [xxhash.xxh64_intdigest(x) for x in texts[0].split()]
+    want = [place(x, 0) for x in h] + [place((a * 0x9E3779B97F4A7C15 + b) & mask, 3) for a, b in zip(h, h[1:], strict=False)]
+    first = places[: bounds[1]].tolist()
+    assert all(first.count(p) >= want.count(p) for p in want)
+
+
+def test_quality_scores_of_the_table(spark):
+    rng = np.random.default_rng(1)
+    w = rng.normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark, docs_frame(spark, ODD + [(9, "One two! one two", "en", "s")]), w).collect()}
+    for d, t, *_ in ODD[:3] + [(9, "One two! one two")]:
+        places, _ = quality.features([(t or "").encode()])
+        logit = float(w[-1]) + sum(float(w[p]) for p in places.tolist()) / max(1, len(places)) ** 0.5
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+
+
+def test_ftrl_step_equals_the_published_update():
+    rng = np.random.default_rng(3)
+    z, n = rng.normal(size=6), rng.random(6)
+    at, x = np.array([1, 3, 4]), np.array([0.5, 0.25, 1.0])
+    weight = lambda z, n: 0.0 if abs(z) <= quality.L1 else -(z - (1 if z > 0 else -1) * quality.L1) / ((quality.BETA + n**0.5) / quality.ALPHA + quality.L2)
+    p = 1 / (1 + np.exp(-sum(weight(z[i], n[i]) * v for i, v in zip(at, x, strict=True))))
+    want_z, want_n = z.copy(), n.copy()
+    for i, v in zip(at, x, strict=True):
+        g = (p - 1.0) * v
+        want_z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * weight(z[i], n[i])
+        want_n[i] += g * g
+    quality.ftrl_step(z, n, at, x, 1.0)
+    assert np.allclose(z, want_z) and np.allclose(n, want_n)
 
 
 def test_templates():
@@ -261,7 +299,12 @@ def test_merge_paths_equal_plain_merging(longer, ranks, text):
     own = [("<unk>", 0.0, 2), *((c, -20.0, 1) for c in "abc▁"), *((p, -float(r), 1) for p, r in zip(longer, ranks, strict=False))]
     t = sentencepiece_fst.Transducer(sentencepiece_fst.Model(own, kind=sentencepiece_fst.BPE))
     scores = {p: s for p, s, k in own if k == 1 and len(p) > 1}
-    assert t._shortest(text) == merged(text, scores) if text else True
+    if text:
+        assert t._shortest(text) == merged(text, scores)
+        # all stretches at once
+        parts = [text, text[::-1], text[: len(text) // 2] or "a", "c"]
+        ids, counts = sentencepiece_fst._MergeArcs(t).written(parts)
+        assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == list(t._written(text)) and ids.tolist() == [i for x in parts for i in t._written(x)]
 
 
 def test_merge_model_equals_plain_merging():
@@ -273,12 +316,13 @@ def test_merge_model_equals_plain_merging():
         text = "".join(r.choice(pieces) for _ in range(r.randrange(1, 8))) + r.choice(["", "é", "日", "\n"])
         want = [i for p in merged(text, scores) for i in (t.ids[p] if p in t.ids else [t.bytes[b] for b in p.encode()])]
         assert list(t._written(text)) == want, text
+        assert t.arcs.written([text])[0].tolist() == want, text
 
 
 def test_remembered_paths_are_bounded():
     found = sentencepiece_fst._Remembered(len, 10)
     assert [found["x" * (k % 40)] for k in range(400)] == [k % 40 for k in range(400)]
-    assert len(found) + len(found.older) <= 10 and found["y" * 100] == 100 and "y" * 100 not in found
+    assert len(found) + len(found.older) <= 11 and found["y" * 100] == 100 and "y" * 100 not in found
 
 
 def test_unigram_shortest_path_equals_brute_force():
@@ -310,6 +354,39 @@ def test_language_profiles(spark):
     assert language_id.predict_languages(spark, docs_frame(spark, [])).count() == 0
 
 
+def test_languages_equal_plain_counting(spark):
+    """Learning, cosines and the best language, worked out trigram by trigram."""
+    r = random.Random(2)
+    words = {"en": ["the", "and", "with", "thing"], "fr": ["été", "que", "où", "le"], "de": ["über", "und", "die", "ß"]}
+    rows = [(d, " ".join(r.choice(words[lang]) for _ in range(r.randrange(1, 12))), lang, "s") for d in range(60) for lang in [r.choice(list(words))]]
+    rows += [(100, "the été und", None, "s"), (101, "xyz", None, "s")]
+    letters = language_id.letter_vectors().astype(int)
+
+    def vector(text):
+        signs = [0]
+        for c in [*(ord(c) for c in text), 0]:
+            low = ord(chr(c).lower()[0])
+            sign = (low - 96 if 97 <= low <= 122 else 27 + low % (language_id.SIGNS - 27)) if chr(c).isalpha() else 0
+            if sign or signs[-1]:
+                signs.append(sign)
+        out = np.zeros(language_id.DIM)
+        for a, b, c in zip(signs, signs[1:], signs[2:], strict=False):
+            out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    prototypes = {}
+    for d, t, lang, _ in rows:
+        if lang and zlib.crc32(str(d).encode()) % 4 != 2:
+            prototypes[lang] = prototypes.get(lang, 0) + vector(t)
+    got = {x["doc_id"]: x for x in language_id.predict_languages(spark, docs_frame(spark, rows)).collect()}
+    for d, t, *_ in rows:
+        v = vector(t)
+        cosine = {k: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for k, p in prototypes.items()}
+        best = max(cosine.values())
+        assert got[d]["score"] == pytest.approx(min(1, max(0, best)), abs=1e-6)
+        assert cosine[got[d]["lang_pred"]] == pytest.approx(best, abs=1e-9)
+
+
 def test_hypervectors_equal_plain_sums():
     owner, gram = language_id.trigrams([b"ab a", b"", "é".encode()])
     v = language_id.letter_vectors().astype(int)
