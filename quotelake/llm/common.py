@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -183,3 +184,38 @@ def maybe_among(spark: SparkSession, keys: DataFrame) -> Callable[[Column], Colu
         return pd.Series((np.frombuffer(shared.value, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1)
 
     return among
+
+
+class Memo:
+    """Short texts to runs of integers, each different text worked out once; starts anew beyond ``most`` texts or 16 * ``most`` integers.
+
+    ``work`` takes a list of different texts and returns a run for each.
+    """
+
+    def __init__(self, work: Callable[[list[str]], Iterable[list[int]]], most: int = 1 << 19) -> None:
+        self.work, self.most = work, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.ends, self.values = array("q", [0]), array("i")
+
+    def runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of ``texts`` one after another, and the length of each."""
+        if len(self.codes) > self.most or len(self.values) > 16 * self.most:
+            self._clear()
+        at = list(map(self.codes.get, texts))
+        if None in at:
+            new = list(dict.fromkeys(t for t, i in zip(texts, at, strict=True) if i is None))
+            for text, run in zip(new, self.work(new), strict=True):
+                self.values.extend(run)
+                self.codes[text] = len(self.codes)
+                self.ends.append(len(self.values))
+            at = list(map(self.codes.__getitem__, texts))
+        codes = np.array(at, np.int64)
+        ends, values = np.frombuffer(self.ends, np.int64), np.frombuffer(self.values, np.int32)
+        starts, counts = ends[codes], ends[codes + 1] - ends[codes]
+        placed = np.cumsum(counts)
+        found = values[np.repeat(starts - placed + counts, counts) + np.arange(placed[-1] if len(placed) else 0)]
+        del ends, values  # an array can't grow while a view of it lives
+        return found, counts

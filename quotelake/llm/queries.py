@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over whole tables, the pipeline, and DuckDB SQL for those that SQL can express."""
+"""Queries op1 to op13 over whole tables, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm import chat_format, embedding_dedup, jump_sharding, language_id, mixing, mpeg_audio, quality, sentencepiece_fst, simhash, substring_dedup
+from quotelake.llm import chat_format, embedding_dedup, fill_in_middle, jump_sharding, language_id, mixing, mpeg_audio, packing, quality, sentencepiece_fst, simhash, substring_dedup
 from quotelake.llm.common import documents
 
 SHARDS = 24
@@ -59,8 +59,20 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(spark, documents(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle_digest(documents(spark, sf_dir))
+
+
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op5_embedding_dedup, op6_chat_format, op7_sentencepiece, op8_language_id, op9_simhash_near_dedup, op10_mix_sources)}
+    found = (
+        op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op5_embedding_dedup, op6_chat_format, op7_sentencepiece, op8_language_id,
+        op9_simhash_near_dedup, op10_mix_sources, op12_fill_in_middle, op13_pack,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP1_SQL = """
@@ -183,5 +195,25 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < r
 """.replace("w_ok", "level IS NULL OR level <= own")
 
 
+OP12_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('{fill_in_middle.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), units AS (
+  SELECT doc_id, t, regexp_extract_all(t, '{fill_in_middle.UNIT}') AS u, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS h FROM d
+), cuts AS (
+  SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= {fill_in_middle.CHANGED} THEN 'plain'
+      WHEN h[4] % 100 < {fill_in_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form
+  FROM units
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op3_jump_sharding": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_mix_sources": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_jump_sharding": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_mix_sources": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
