@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.llm import chat_format, embedding_dedup, fill_in_middle, jump_sharding, language_id, mixing, mpeg_audio, packing, quality, sentencepiece_fst, simhash, substring_dedup
+from quotelake.llm import chat_format, embedding_dedup, fill_in_middle, jump_sharding, language_id, mixing, mpeg_audio, packing, quality, sentencepiece_fst, simhash, substring_dedup, whitening
 from quotelake.llm.common import documents
 
 SHARDS = 24
@@ -59,6 +59,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(spark, documents(spark, sf_dir))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.fill_in_middle_digest(documents(spark, sf_dir))
 
@@ -70,7 +74,7 @@ def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_mpeg_audio, op3_jump_sharding, op4_quality_classifier, op5_embedding_dedup, op6_chat_format, op7_sentencepiece, op8_language_id,
-        op9_simhash_near_dedup, op10_mix_sources, op12_fill_in_middle, op13_pack,
+        op9_simhash_near_dedup, op10_mix_sources, op11_whiten, op12_fill_in_middle, op13_pack,
     )
     return {f.__name__: f for f in found}
 
