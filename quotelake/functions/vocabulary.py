@@ -59,10 +59,6 @@ PRODUCTS = (
     ("card_debit", r"card\w*\s+de\s+debit|debit\s+cards?"),
     ("cont_curent", r"cont\w*\s+curent|current\s+accounts?|cont\s+de\s+pl[ăa][țt]i|pachet\w*\s+(de\s+)?cont|cont\s+bancar|cont\s+imm|business\s+accounts?"),
 )
-RATE_SEGMENTS = (
-    ("pj", r"persoane\s+juridice|\bIMM\b|\bPFA\b|companii|firm[ăa]|firme|business|corporate|profesii\s+liberale|\bSRL\b|for\s+business"),
-    ("pf", r"persoane\s+fizice|private\s+individuals"),
-)
 # Segments in document names; letters may not touch them, marks and digits may.
 NAME_SEGMENTS = (
     ("pj", r"(?<![a-z])(pj|imm|pfa|corporate|companii|firme|business)(?![a-z])|persoane[\W_]*juridice"),
@@ -148,5 +144,56 @@ LEAST_TEXT, BLOCKED_TEXT = 400, 1500
 BRANCH, MACHINE, PARTNER = r"agenc|agenti|branch|sucursal|filial", r"\batm\b|bancomat", r"euronet|partener|parteneri|bancomat\s+partener"
 
 
+# How amounts of money are written, with thousands by point, comma or space, and their currencies.
+MONEY = r"[1-9]\d{0,2}(?:,\d{3})+(?:\.\d{1,2})?(?![\d,])|\d{1,3}(?:[.\s]\d{3})*(?:,\d{1,2})?|\d+(?:[.,]\d{1,2})?"
+MONEY_WORD = r"(?:lei|leu|ron|euro|eur|usd|gbp|chf)"
+CURRENCIES = {"lei": "LEI", "leu": "LEI", "ron": "LEI", "eur": "EUR", "euro": "EUR", "usd": "USD", "gbp": "GBP", "chf": "CHF"}
+SPACED_CURRENCIES = ("LEI", "RON", "EUR", "USD")
+# Bands, the interval of sums in which a fee holds. Words that name two ends come before those that name one.
+BAND = (
+    rf"(?:{MONEY})\s*{MONEY_WORD}?\s*[–—-]\s*(?:{MONEY})\s*{MONEY_WORD}"
+    rf"|\b(?:[îi]ntre|de\s+la|between)\s+(?:{MONEY})\s*{MONEY_WORD}?\s*(?:[sșş]i|and|p[âa]n[ăa]\s+la|[-–—])?\s*(?:{MONEY})\s*{MONEY_WORD}"
+    rf"|\b(?:peste|sub|p[âa]n[ăa]\s+(?:la|[îi]n)|[îi]ntre|de\s+la)[\s/]+(?:{MONEY})\s*{MONEY_WORD}"
+    rf"|[<>≤≥]=?\s*(?:{MONEY})\s*{MONEY_WORD}?"
+)
+# Words that make the figure after them a least or largest fee; how far back they are looked for.
+ROLE, ROLE_REACH = r"\b(min|minim|minimum|max|maxim|maximum|cel\s+pu[tț]in|cel\s+mult)\b\.?", 18
+# How often a fee is due, and the words' common names.
+FREQUENCY = (
+    r"\b(lunar|anual|trimestrial|semestrial|zilnic|pe\s+opera[tț]iune|per\s+opera[tț]iune|la\s+fiecare)\b"
+    r"|/\s*(lun[ăa]|an|zi|trimestru|semestru|opera[tț]iune|tranzac[tț]ie|card|mesaj)(?!\p{L})|\bpe\s+(lun[ăa]|an|zi|trimestru|semestru)(?!\p{L})"
+)
+FREQUENCIES = {
+    "luna": "lunar", "lună": "lunar", "lunar": "lunar", "an": "anual", "anual": "anual", "zi": "zilnic", "zilnic": "zilnic",
+    "trimestru": "trimestrial", "trimestrial": "trimestrial", "semestru": "semestrial", "semestrial": "semestrial",
+}
+# Fees of nothing. "Included" counts only as a cell's own statement, not in headings or prose.
+FREE = r"\bgratuit\b|f[aă]r[aă]\s+comision|nu\s+se\s+percepe"
+FREE_INCLUDED = r"^[\W\d]*incluse?\b(?!.*:\s*$)|^\s*[•·▪]\S*.*\bincluse?(?:\s+[îi]n(?:\s+pachet\w*)?)?[\s.*]*$"
+FREE_INCLUDED_LOWER = r"^[a-zăâîșț](?iu:[^()]*\bincluse?\s+[îi]n\s+pachet\w*[\s.*]*$)"
+INCLUDED_HEADING = r"^\W*(?:produse|servicii)(?:\s+[șsş]i\s+(?:produse|servicii))?\s+incluse\b"
+ZERO_IN_WORDS = r"^\W*(?:0\s*\(\s*zero\s*\)|comision\s+zero)\W*$"
+
+# Figures that are conditions or limits, not prices.
+_CLIENT = r"[îi]ncas[ăa]r\w*|rulaj|de[țt]inut\w*|de[țt]iner\w*|resurse|sold|economii|salari\w*|venit\w*"
+CLIENT_CONDITION = (
+    rf"(?:{_CLIENT})[^.;]{{0,30}}?\bminim\w*\b[^.;]{{0,12}}?\d|\bminim\w*\b[^.;]{{0,30}}?(?:{_CLIENT})[^.;]{{0,12}}?\d"
+    rf"|(?:{_CLIENT})[^.;]{{0,40}}?(?:nu\s+)?dep[ăa][șs]e[șs]te[^.;]{{0,12}}?\d"
+)
+REDUCTION = r"reducer[ei][^.;]{0,30}?\d|\d\s*%[^.;]{0,15}?reducere"
+COMPARISON = r"\bmai\s+(?:mic|mar[ei]|mult|pu[țt]in)\w*\s+(?:sau\s+egal\w*\s+)?(?:de|dec[âa]t|cu)\b"
+FEE_LIMIT = r"\bnu\s+mai\s+(?:mic|mar[ei]|mult|pu[țt]in)"
+LIMIT_LABEL = (
+    r"^\s*(?:limit[ăa]|plafon|valoarea\s+maxim\w*\s+a\s+limitei|sold\s+minim|sum[ăa]\s+(?:minim|maxim)|depunere\s+ini[ţțt]ial[ăa]\s+minim"
+    r"|condi[ţțt]i\w*\s+(?:de\s+)?pachet\b)"
+)
+REPAYMENT_LABEL = r"^\s*sum[ăa]\s+minim[ăa]\s+de\s+(?:plat|rambursa)"
+BY_PERCENT, REDUCED = r"^\s*cu\s+\d+(?:[.,]\d+)?\s*%", r"\bredu[sc]"
+LIMIT_WORD, WITHIN_LIMIT = r"limit[ăa]|plafon", r"\blimit[ăa]\s+(?:a|de)\s+(\d[\d.,]*)"
+BAND_IN_BRACKETS, FEE_LIMIT_IN_BRACKETS = r"\b(?:sub|peste|p[âa]n[ăa]\s+la|de\s+la|[îi]ntre)\b|[<>≤≥]", r"\b(?:min|max)\w*\b"
+#: A cell with fewer letters than these besides its figure and currency is only a figure.
+ONLY_FIGURE = 12
+
+
 def insensitive(rules: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return [(label, I + pattern) for label, pattern in rules]

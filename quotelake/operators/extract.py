@@ -80,28 +80,97 @@ def extract_rates(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+_FEE = "struct<kind:string,value:double,currency:string,role:string>"
+
+
+def band_split(line: Column) -> tuple[Column, Column]:
+    """The line without its first band (``peste 1.000 lei``, ``0 - 49.999 lei``), and the band; null if there is none."""
+    whole = V.I + rf"(?s)^(.*?)({V.BAND})(.*)$"
+    part = lambda k: F.regexp_extract(line, whole, k)
+    found = part(2) != ""
+    return F.when(found, F.concat(part(1), F.lit(" "), part(3))).otherwise(line), F.when(found, text.collapse(part(2)))
+
+
+def fees_of(line: Column) -> Column:
+    """All fees of a line without its band, in order, as structs (kind, value, currency, role).
+
+    A percentage is comision_procent, a sum comision_suma; a currency may stand before its sum at the line's start or after min or max. The role is the
+    last such word among the ROLE_REACH characters before the figure, so each figure has its own. A line without figures that says so is gratuit.
+    """
+    inverse = rf"((?:^|\b(?:min|max|minim|maxim|minimum|maximum)\b\.?)\s*({V.MONEY_WORD})\s+)({V.MONEY})(?![\d.,])(?!\s*{V.MONEY_WORD}(?!\p{{L}}))"
+    scan = rf"{V.I}(?s)(.*?)(?:(?<![\d.,])(\d{{1,3}}(?:[.,]\d+)?)\s*%|(?<!\d)(?<!\d[.,])({V.MONEY})\s*({V.MONEY_WORD})(?!\p{{L}})|{inverse})"
+    whole, gap, percent, amount, after, lead, before, turned = (F.regexp_extract_all(line, F.lit(scan), F.lit(k)) for k in range(8))
+    pieces = F.arrays_zip(*(c.alias(n) for c, n in zip((whole, gap, percent, amount, after, lead, before, turned), "wgpabcde", strict=True)))
+    currencies = F.create_map(*(F.lit(x) for pair in V.CURRENCIES.items() for x in pair))
+
+    def step(state: Column, m: Column) -> Column:
+        seen = F.right(F.concat(state["seen"], m["g"], m["c"]), F.lit(V.ROLE_REACH))
+        said = F.lower(F.try_element_at(F.regexp_extract_all(seen, F.lit(V.I + V.ROLE), F.lit(1)), F.lit(-1)))
+        role = F.when(said.startswith("min") | said.contains("pu"), "min").when(said.isNotNull(), "max")
+        is_percent = m["p"] != ""
+        value = F.when(is_percent, numbers.decimal_number(m["p"], True)).otherwise(numbers.decimal_number(F.when(m["a"] != "", m["a"]).otherwise(m["e"])))
+        fee = F.struct(F.when(is_percent, "comision_procent").otherwise("comision_suma").alias("kind"), value.alias("value"), currencies[F.lower(F.when(m["a"] != "", m["b"]).otherwise(m["d"]))].alias("currency"), role.alias("role")).cast(_FEE)
+        found = F.when(value.isNotNull(), F.array_append(state["found"], fee)).otherwise(state["found"])
+        return F.struct(F.right(F.concat(state["seen"], m["w"]), F.lit(V.ROLE_REACH)).alias("seen"), found.alias("found"))
+
+    start = F.struct(F.lit("").alias("seen"), F.array().cast(f"array<{_FEE}>").alias("found"))
+    found = F.aggregate(pieces, start, step, lambda state: state["found"])
+    included = (line.rlike(V.I + V.FREE) | line.rlike(V.I + V.FREE_INCLUDED) | line.rlike(V.FREE_INCLUDED_LOWER)) & ~line.rlike(r"\d") & ~line.rlike(V.I + V.INCLUDED_HEADING)
+    none = F.lit(None).cast("string")
+    free = F.array(F.struct(F.lit("gratuit").alias("kind"), F.lit(0.0).alias("value"), none.alias("currency"), none.alias("role")).cast(_FEE))
+    return F.when(F.size(found) > 0, found).when(line.rlike(V.I + V.ZERO_IN_WORDS) | included, free).otherwise(found)
+
+
+def fee_frequency(line: Column) -> Column:
+    """How often a fee is due: the usual name, or ``pe`` and the words."""
+    said = F.coalesce(*(F.nullif(text.collapse(F.regexp_extract(line, V.I + V.FREQUENCY, k)), F.lit("")) for k in (1, 2, 3)))
+    usual = F.create_map(*(F.lit(x) for pair in V.FREQUENCIES.items() for x in pair))
+    return F.coalesce(usual[F.lower(said)], F.concat(F.lit("pe "), F.lower(said)))
+
+
 def extract_fees(lines: DataFrame, line: str = "line") -> DataFrame:
-    """A row for each fee in a line: kind (comision_procent, comision_suma, gratuit), value, currency, role (min or max by the words just before it), frequency,
-    and the band (a threshold such as ``peste 1.000 lei``) taken off first."""
-    t = F.col(line)
-    band_pattern = V.I + r"((?:peste|p[âa]n[ăa]\s+la|sub|de\s+la|mai\s+mare\s+(?:de|sau\s+egal)|[<>]=?)\s*[\d.,]+\s*(?:lei|ron|eur|euro|usd)(?:\s*(?:inclusiv|[-–]\s*[\d.,]+\s*(?:lei|ron|eur|euro|usd)))?)"
-    band = F.regexp_extract(t, band_pattern, 1)
-    bare = F.regexp_replace(t, band_pattern, " ")
-    amount = V.I + r"(.{0,18})(?<![\d.,])(\d[\d.,]*)\s*(%|lei|ron|eur|euro|usd)\b?|(.{0,18})\b(gratuit|f[ăa]r[ăa]\s+comision|zero)\b"
-    whole = F.regexp_extract_all(bare, F.lit(amount), F.lit(0))
-
-    def fee(x: Column) -> Column:
-        unit = F.lower(F.regexp_extract(x, V.I + r"(%|lei|ron|eur|euro|usd)\s*$", 1))
-        free = x.rlike(V.I + r"(gratuit|f[ăa]r[ăa]\s+comision|zero)$")
-        number = numbers.decimal_number(F.regexp_extract(x, r"(\d[\d.,]*)\s*\S+\s*$", 1), False)
-        percent_value = numbers.decimal_number(F.regexp_extract(x, r"(\d[\d.,]*)\s*%\s*$", 1), True)
-        role = F.when(x.rlike(V.I + r"\bmin(?:im)?\.?\W"), "min").when(x.rlike(V.I + r"\bmax(?:im)?\.?\W"), "max")
-        kind = F.when(free, "gratuit").when(unit == "%", "comision_procent").otherwise("comision_suma")
-        currency = F.when(unit.isin("lei", "ron"), "LEI").when(unit.isin("eur", "euro"), "EUR").when(unit == "usd", "USD")
-        return F.struct(kind.alias("kind"), F.when(free, F.lit(0.0)).when(unit == "%", percent_value).otherwise(number).alias("value"), currency.alias("currency"), role.alias("role"))
-
-    frequency = rules.first_match(t, [("lunar", V.I + r"lun[ăa]|lunar|/\s*lun"), ("anual", V.I + r"\ban(?:ual)?\b|/\s*an\b|p\.?\s*a\."), ("per_operatiune", V.I + r"opera[țt]iune|tranzac[țt]ie")])
-    return lines.select("*", F.explode(F.transform(whole, fee)).alias("__f")).select("*", "__f.*", frequency.alias("frequency"), F.when(band != "", text.collapse(band)).alias("band")).drop("__f").where("value is not null")
+    """A row for each fee of each line: the line's columns, kind, value, currency, role, frequency, band. The band's sums are no fees."""
+    joined = F.col(line)
+    for name in V.SPACED_CURRENCIES:  # "0 L E I"
+        joined = F.regexp_replace(joined, r"(?<!\p{L})" + r"\s+".join(name) + r"(?!\p{L})", name)
+    rest, band = band_split(joined)
+    read = lines.withColumns({"__band": band, "__rest": rest}).withColumns({"frequency": fee_frequency(F.col("__rest")), "__f": fees_of(F.col("__rest"))})
+    return read.select(*lines.columns, F.inline("__f"), "frequency", F.col("__band").alias("band"))
+
+
+def only_figure(words: Column) -> Column:
+    """Is a cell little more than its figure and currency?"""
+    rest = F.regexp_replace(F.regexp_replace(words, r"[\d.,%]+", " "), rf"{V.I}\b{V.MONEY_WORD}\b", " ")
+    return F.length(F.regexp_replace(rest, r"[^A-Za-zĂÂÎȘȚăâîșț]", "")) < V.ONLY_FIGURE
+
+
+def condition_role(words: Column, label: Column, value: Column) -> Column:
+    """``conditie`` if the figure is a demand on the client or a limit, not the price; else null.
+
+    The signs stand on both sides of the figure and in the label above: a limit's label with nothing but a figure (zero too); otherwise, for figures that aren't zero, a
+    repayment's label, a demand, a reduction, a limit's own figure, a comparison that doesn't bound the fee, a bracket opened in the label and closed here, a
+    figure that repeats the label's band. Nulls are empty texts.
+    """
+    words, label = F.coalesce(words, F.lit("")), F.coalesce(label, F.lit(""))
+    has = lambda c, pattern: c.rlike(V.I + pattern)
+    numbers_in = lambda c: F.transform(F.regexp_extract_all(c, F.lit(r"\d[\d.,]*\d|\d"), F.lit(0)), lambda x: numbers.decimal_number(x))
+    count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+    tail = F.regexp_extract(label, r"(?s)\(([^(]*)$", 1)
+    closes = (count(words, ")") > count(words, "(")) & (count(label, "(") > count(label, ")")) & has(tail, V.BAND_IN_BRACKETS) & ~has(tail, V.FEE_LIMIT_IN_BRACKETS)
+    bands = F.flatten(F.transform(F.regexp_extract_all(label, F.lit(V.I + V.BAND), F.lit(0)), numbers_in))
+    within = F.transform(F.regexp_extract_all(words, F.lit(V.I + V.WITHIN_LIMIT), F.lit(1)), lambda x: numbers.decimal_number(x))
+    limit = has(label, V.LIMIT_LABEL) & (words != "") & (only_figure(words) | has(words, V.LIMIT_WORD))
+    condition = (
+        has(label, V.REPAYMENT_LABEL)
+        | has(words, V.CLIENT_CONDITION)
+        | has(words, V.REDUCTION)
+        | (has(words, V.BY_PERCENT) & has(label, V.REDUCED))
+        | F.coalesce(F.exists(within, lambda x: x == value), F.lit(False))
+        | (has(words, V.COMPARISON) & ~has(words, V.FEE_LIMIT))
+        | closes
+        | (only_figure(words) & F.coalesce(F.exists(bands, lambda x: x == value), F.lit(False)))
+    )
+    return F.when(limit | (F.coalesce(value, F.lit(0.0)) != 0) & condition, "conditie")
 
 
 def figure_category(words: Column) -> Column:

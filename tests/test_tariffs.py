@@ -1,0 +1,76 @@
+"""Tariff documents: fees of lines, conditions and limits, section paths."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quotelake.operators import extract
+
+P, S = "comision_procent", "comision_suma"
+
+FEES = [
+    ("Retragere 1% min. 5 lei max. 50 lei", [(P, 1.0, None, None), (S, 5.0, "LEI", "min"), (S, 50.0, "LEI", "max")], None, None),
+    ("0,5%+2,5 lei", [(P, 0.5, None, None), (S, 2.5, "LEI", None)], None, None),
+    ("5 lei/ 10 EUR", [(S, 5.0, "LEI", None), (S, 10.0, "EUR", None)], None, None),
+    ("0,12% min 15 EURO, max 500 EURO", [(P, 0.12, None, None), (S, 15.0, "EUR", "min"), (S, 500.0, "EUR", "max")], None, None),
+    ("RON 4", [(S, 4.0, "LEI", None)], None, None),
+    ("0.50% min. RON 5", [(P, 0.5, None, None), (S, 5.0, "LEI", "min")], None, None),
+    ("0.18% Max. EUR 2,000", [(P, 0.18, None, None), (S, 2000.0, "EUR", "max")], None, None),
+    ("plăți interbancare în LEI 2", [], None, None),
+    ("cel puțin 3 USD 2,5 GBP 3 CHF", [(S, 3.0, "USD", "min"), (S, 2.5, "GBP", "min"), (S, 3.0, "CHF", None)], None, None),
+    ("0 L E I", [(S, 0.0, "LEI", None)], None, None),
+    ("Credit 100,000 lei", [(S, 100000.0, "LEI", None)], None, None),
+    ("2 RON2", [(S, 2.0, "LEI", None)], None, None),
+    ("0,0125% pe an", [(P, 0.0125, None, None)], "anual", None),
+    ("min. 1 LEI/tranzacție", [(S, 1.0, "LEI", "min")], "pe tranzacție", None),
+    ("10 EURIBOR", [], None, None),
+    ("pentru sume până în 50.000 Lei: 5 lei", [(S, 5.0, "LEI", None)], None, "până în 50.000 Lei"),
+    ("între 0 lei – 49.999,99 lei: 3 lei", [(S, 3.0, "LEI", None)], None, "între 0 lei – 49.999,99 lei"),
+    ("> 20.000 LEI 7 lei lunar", [(S, 7.0, "LEI", None)], "lunar", "> 20.000 LEI"),
+    ("Gratuit", [("gratuit", 0.0, None, None)], None, None),
+    ("0 (zero)", [("gratuit", 0.0, None, None)], None, None),
+    ("Inclus în costul lunar al pachetului", [("gratuit", 0.0, None, None)], "lunar", None),
+    ("Produse și servicii incluse", [], None, None),
+    ("Gratuit pentru primele 3", [], None, None),
+    ("", [], None, None),
+    (None, [], None, None),
+]
+
+
+def test_fees_of_lines(spark):
+    frame = spark.createDataFrame([(i, line, 0.0) for i, (line, *_) in enumerate(FEES)], "n int, line string, other double")
+    got = {}
+    for r in extract.extract_fees(frame).collect():
+        got.setdefault(r["n"], []).append(((r["kind"], r["value"], r["currency"], r["role"]), r["frequency"], r["band"]))
+    for i, (line, fees, frequency, band) in enumerate(FEES):
+        assert got.get(i, []) == [(f, frequency, band) for f in fees], line
+
+
+CONDITIONS = [
+    ("există o încasare de minimum 1.000 LEI", "Administrare", 1000.0, True),
+    ("Rulaj al încasărilor de minim 75%", "Cont", 75.0, True),
+    ("al căror venit lunar nu depășește 60% din salariul minim", "Client", 60.0, True),
+    ("0,1% min. 15 EUR", "Transfer", 15.0, False),
+    ("100% reducere față de plățile standard", "Plăți", 100.0, True),
+    ("Gratuit / 12,5 LEI pentru conturile din program", "Cont", 12.5, False),
+    ("Operațiuni de plată de mică valoare (mai mici decât 50.000 lei)", "Plăți", 50000.0, True),
+    ("0,5% din valoarea nominală, dar nu mai puțin de 10 lei", "Plăți", 10.0, False),
+    ("500.000 LEI", "limită zilnică", 500000.0, True),
+    ("5% (minim 10 lei) din suma utilizată", "Limita zilnică de retragere numerar", 10.0, False),
+    ("0,8 LEI", "Comision SMS - peste limita inclusă în abonament", 0.8, False),
+    ("0 LEI", "Suma minimă pentru deschiderea contului de card", 0.0, True),
+    ("0 Lei în limita primelor 5 retrageri", "Retragere", 0.0, False),
+    ("3% din valoarea tranzacțiilor efectuate cu cardul, la care se adaugă dobânda", "Sumă minimă de plată", 3.0, True),
+    ("cu 20% pentru clienții care dețin cont", "Comisionul este redus astfel:", 20.0, True),
+    ("Retrageri gratuite în limita a 5.000 LEI/zi", "Numerar", 5000.0, True),
+    ("50.000 LEI)", "Transfer credit de mică valoare (sub", 50000.0, True),
+    ("500 euro)", "Comision (min 25 ... peste", 500.0, False),
+    ("50,000.00 RON", "Ordin de plată – sume ≥ 50.000,00 RON / Payment order – amounts ≥", 50000.0, True),
+    ("14 RON", "Plată ≥ 50.000 RON", 14.0, False),
+    (None, None, 5.0, False),
+]
+
+
+def test_conditions_and_limits(spark):
+    frame = spark.createDataFrame([(w, t, v) for w, t, v, _ in CONDITIONS], "words string, label string, value double")
+    got = [r[0] for r in frame.select(extract.condition_role(F.col("words"), F.col("label"), F.col("value"))).collect()]
+    assert [(c[0], g) for c, g in zip(CONDITIONS, got, strict=True)] == [(c[0], "conditie" if c[3] else None) for c in CONDITIONS]
