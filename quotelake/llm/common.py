@@ -62,6 +62,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches have ``rows`` rows at most in what Spark runs meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -189,10 +201,10 @@ def maybe_among(spark: SparkSession, keys: DataFrame) -> Callable[[Column], Colu
 class Memo:
     """Short texts to runs of integers, each different text worked out once; starts anew beyond ``most`` texts or 16 * ``most`` integers.
 
-    ``work`` takes a list of different texts and returns a run for each.
+    ``work`` takes a list of different texts and returns their runs one after another, and the length of each.
     """
 
-    def __init__(self, work: Callable[[list[str]], Iterable[list[int]]], most: int = 1 << 19) -> None:
+    def __init__(self, work: Callable[[list[str]], tuple[Iterable[int], Iterable[int]]], most: int = 1 << 19) -> None:
         self.work, self.most = work, most
         self._clear()
 
@@ -200,22 +212,32 @@ class Memo:
         self.codes: dict[str, int] = {}
         self.ends, self.values = array("q", [0]), array("i")
 
-    def runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The runs of ``texts`` one after another, and the length of each."""
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's run starts in ``values``, and its length."""
         if len(self.codes) > self.most or len(self.values) > 16 * self.most:
             self._clear()
         at = list(map(self.codes.get, texts))
         if None in at:
             new = list(dict.fromkeys(t for t, i in zip(texts, at, strict=True) if i is None))
-            for text, run in zip(new, self.work(new), strict=True):
-                self.values.extend(run)
-                self.codes[text] = len(self.codes)
-                self.ends.append(len(self.values))
+            values, counts = self.work(new)
+            self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new)), strict=True))
+            self.values.frombytes(np.ascontiguousarray(values, np.int32).tobytes())
+            self.ends.frombytes((self.ends[-1] + np.cumsum(np.asarray(counts, np.int64))).tobytes())
             at = list(map(self.codes.__getitem__, texts))
-        codes = np.array(at, np.int64)
-        ends, values = np.frombuffer(self.ends, np.int64), np.frombuffer(self.values, np.int32)
-        starts, counts = ends[codes], ends[codes + 1] - ends[codes]
-        placed = np.cumsum(counts)
-        found = values[np.repeat(starts - placed + counts, counts) + np.arange(placed[-1] if len(placed) else 0)]
-        del ends, values  # an array can't grow while a view of it lives
-        return found, counts
+        codes, ends = np.array(at, np.int64), np.array(self.ends, np.int64)
+        return ends[codes], ends[codes + 1] - ends[codes]
+
+    def runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of ``texts`` one after another, and the length of each."""
+        starts, counts = self.places(texts)
+        return gathered(np.array(self.values, np.int32), starts, counts), counts
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that start at ``starts`` and have ``counts`` items, one after another."""
+    placed = np.cumsum(counts)
+    total = int(placed[-1]) if len(placed) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - placed + counts).astype(kind), counts)
+    at += np.arange(total, dtype=kind)
+    return values[at]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,12 @@ class Cutter:
         from tokenizers import Regex, pre_tokenizers
 
         split = pre_tokenizers.Split(Regex(unit), "isolated")
-        self.memo = Memo(lambda texts: [[a for _, (a, _) in split.pre_tokenize_str(t)] for t in texts])
+
+        def starts(texts: list[str]) -> tuple[list[int], list[int]]:
+            runs = [[a for _, (a, _) in split.pre_tokenize_str(t)] for t in texts]
+            return list(chain.from_iterable(runs)), list(map(len, runs))
+
+        self.memo = Memo(starts)
 
     def offsets(self, text: str) -> np.ndarray:
         """Where each unit starts, in code points, and last the text's length. Lone surrogates stand for bytes that aren't UTF-8: one unit each."""

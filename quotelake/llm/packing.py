@@ -10,26 +10,33 @@ and no driver sees all pieces, and a length that a third of all pieces have is s
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotelake.llm.common import Memo, materialize, slices
+from quotelake.llm.common import batches_of, gathered, materialize, slices
 
 CAPACITY = 2048
 END = 0
-#: Long texts are encoded in stretches of about so many code points.
-STRETCH = 1 << 20
+#: An Arrow batch of texts has so many rows at most.
+ROWS = 4000
+#: Texts are encoded by so many bytes at a time, so that each different stretch among them is encoded once; so many stretches in one call.
+TEXTS, TOGETHER = 16 << 20, 1 << 15
 #: A space between two characters that aren't white space begins a pre-token of a byte-level model, whatever stands around.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r"\s | \s")
+UNSAFE = r"(?:^|[\pZ\s\x0b\x1c-\x1f\x85]) | (?:[\pZ\s\x0b\x1c-\x1f\x85]|$)"
+#: Stretches of these letters are one pre-token each; a byte-level model writes a space as SPACE.
+LETTERS, SPACE = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$", "\u0120"
 PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, nth long"
 
 
@@ -40,29 +47,81 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Token ids by the tokenizers library. The model never merges across pre-tokens, and a safe space begins one, so the library is asked
-    once for each different stretch between safe spaces."""
+    """Token ids by the tokenizers library, for byte-level models. No merge crosses pre-tokens, and a safe space begins one, so for a batch of texts the library
+    is asked once for each different stretch between safe spaces: for many stretches in one text, whose ids are told apart by the ids that begin with a space."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.first, self.rest = Memo(ids, 1 << 14), Memo(lambda texts: ids([f" {t}" for t in texts]))
-
-    def ids(self, text: str) -> np.ndarray:
-        found, at = [], 0
-        while at < len(text):
-            cut = SAFE.search(text, at + STRETCH) if len(text) > at + STRETCH else None
-            stretch = text[at : cut.start() if cut else len(text)]
-            parts = SAFE.split(stretch) if UNSAFE.search(stretch) else stretch.split(" ")
-            if not at:
-                found.append(self.first.runs(parts[:1])[0])
-                parts = parts[1:]
-            found.append(self.rest.runs(parts)[0])
-            at = cut.start() + 1 if cut else len(text)
-        return np.concatenate(found) if found else np.zeros(0, np.int32)
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(words.values()) + 1, bool)
+        self.spaced[[i for word, i in words.items() if word.startswith(SPACE)]] = True
+        # a stretch of letters is one pre-token, so only its bytes need writing as the model's letters
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = np.arange(256, dtype=np.uint16)
+        for c in map(chr, range(0xC0, 0x250)):
+            self.written[list(c.encode())] = list(map(ord, bytes_of.pre_tokenize_str(c)[0][0]))
+        self.written[ord("_")] = ord(SPACE)
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids one after another, and how many each text has."""
+        runs = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *runs]), np.fromiter(map(len, runs), np.int64, len(runs))
+
+    def _joined(self, parts: list[str], letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts that each come after a safe space; ``letters``: of parts that hold nothing else."""
+        found = []
+        for i in range(0, len(parts), TOGETHER):
+            some = parts[i : i + TOGETHER]
+            tokenizer, text = self.tokenizer, " " + " ".join(some)
+            if letters:
+                tokenizer, text = self.merges, self.written[np.frombuffer(f"_{' _'.join(some)}".encode(), np.uint8)].tobytes().decode("utf-16-le")
+            found.append(np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32))
+        ids = np.concatenate([np.zeros(0, np.int32), *found])
+        return ids, np.diff(np.flatnonzero(self.spaced[ids]), append=len(ids))
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain = pc.invert(pc.match_substring_regex(pa.array(texts, pa.large_string()), UNSAFE)).to_pylist()
+        marked = [t.replace(" ", "\0") if ok else SAFE.sub("\0", t) for t, ok in zip(texts, plain, strict=True)]
+        split = pc.split_pattern(pa.array(marked, pa.large_string()), "\0")
+        bounds, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        of, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = np.zeros(len(of), bool)
+        first[bounds[:-1]] = True
+        values, starts, counts, at = [], np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), 0
+        letters = pc.match_substring_regex(coded.dictionary, LETTERS).to_numpy(zero_copy_only=False)
+        spaces = np.array([" " in p or p[:1].isspace() or p[-1:].isspace() for p in different], bool) if not all(plain) else np.zeros(len(different), bool)
+        for where, work in (
+            (first, self._alone),
+            (~first & letters[of], lambda parts: self._joined(parts, letters=True)),
+            (~first & ~letters[of] & ~spaces[of], self._joined),
+            (~first & spaces[of], lambda parts: self._alone([f" {p}" for p in parts])),
+        ):
+            codes = np.flatnonzero(np.bincount(of[where], minlength=len(different)))
+            found, sizes = work([different[c] for c in codes])
+            place, n = np.zeros(len(different), np.int64), np.zeros(len(different), np.int64)
+            place[codes], n[codes] = at + np.cumsum(sizes) - sizes, sizes
+            starts[where], counts[where] = place[of[where]], n[of[where]]
+            values.append(found)
+            at += len(found)
+        flat = gathered(np.concatenate(values), starts, counts)
+        ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
+        out = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for i, t in enumerate(texts):  # these can't be marked
+            if "\0" in t:
+                out[i] = self._alone([t])[0]
+        return out
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for a Python worker, whatever number of tasks it runs."""
+    return Encoder(path)
 
 
 def cuts(length: int, capacity: int) -> list[int]:
@@ -72,12 +131,13 @@ def cuts(length: int, capacity: int) -> list[int]:
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXTS):
             rows = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encoder.ids(text.decode("utf-8", "replace") if text else ""), end).astype("<u4")
+            texts = [t.decode("utf-8", "replace") if t else "" for t in batch.column("text").to_pylist()]
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).batch(texts), strict=True):
+                ids = np.append(ids, end).astype("<u4")
                 places = cuts(len(ids), capacity)
                 for piece, (a, b) in enumerate(zip(places, places[1:], strict=False)):
                     rows.append((key, piece, a, b - a, ids[a:b].tobytes(), part, int(seen[b - a])))
@@ -164,6 +224,11 @@ def place(spark: SparkSession, rows: DataFrame, capacity: int = CAPACITY) -> Dat
     return numbered.withColumn("__at", at).select(*[c for c in rows.columns if c not in ("part", "nth")], "__at.sequence_id", "__at.offset")
 
 
+def _written(spark: SparkSession, found: DataFrame) -> DataFrame:
+    with batches_of(spark, ROWS):
+        return materialize(spark, found)
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end: int = END) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids, sequence_id, offset.
 
@@ -171,7 +236,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, capacity: int = CAPACIT
     packed as they come; bytes that aren't UTF-8 are read as U+FFFD; other columns aren't read; an empty table gives none. A length that more pieces have than
     others is numbered by tasks, so no task holds it whole.
     """
-    return place(spark, materialize(spark, pieces(docs, capacity=capacity, path=path, end=end)), capacity)
+    return place(spark, _written(spark, pieces(docs, capacity=capacity, path=path, end=end)), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -182,6 +247,6 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def packing_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """op13's rows: the checksum stands for the ids, so only numbers are shuffled."""
-    rows = materialize(spark, pieces(docs))
+    rows = _written(spark, pieces(docs))
     small = rows.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "part", "nth")
     return place(spark, small)
