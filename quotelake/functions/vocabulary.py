@@ -194,6 +194,10 @@ BAND_IN_BRACKETS, FEE_LIMIT_IN_BRACKETS = r"\b(?:sub|peste|p[âa]n[ăa]\s+la|de\
 #: A cell with fewer letters than these besides its figure and currency is only a figure.
 ONLY_FIGURE = 12
 
+# Words that name no service; how many letters make capitals a title, and how many words a short heading has.
+EMPTY_WORDS = ("lei", "leu", "ron", "eur", "euro", "usd", "gbp", "chf", "sau", "pentru", "din", "prin", "catre", "către", "sub", "peste", "inclusiv", "exclusiv")
+CAPITAL_LETTERS, SHORT_HEADING = 6, 4
+
 
 def insensitive(rules: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return [(label, I + pattern) for label, pattern in rules]
