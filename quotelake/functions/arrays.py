@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +54,8 @@ def first_known(*choices: tuple[str, Column]) -> Column:
 
 def evidence_level(link: Column, page: Column) -> Column:
     return F.when(F.coalesce(link, F.lit("")) != "", "link").when(page.isNotNull(), "page").otherwise("none")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

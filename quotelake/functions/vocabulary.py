@@ -198,6 +198,28 @@ ONLY_FIGURE = 12
 EMPTY_WORDS = ("lei", "leu", "ron", "eur", "euro", "usd", "gbp", "chf", "sau", "pentru", "din", "prin", "catre", "către", "sub", "peste", "inclusiv", "exclusiv")
 CAPITAL_LETTERS, SHORT_HEADING = 6, 4
 
+# A catalogue's figures and clauses.
+CATALOGUE_NUMBER, CATALOGUE_TIMES, CATALOGUE_MONEY = r"\d{1,3}(?:\.\d{3})+(?:,\d+)?|\d+(?:,\d+)?", r"(?:\s*(?:mil\.|k)(?!\p{L}))", r"(?:lei|RON|EUR|euro)\b"
+SUBSCRIPTION, INTEREST, CLAUSE_END = "Abonament", r"(?:\bdob[âa]nd[ăa]\b|(?-i:\bDAE\b))", r";|\.(?=\s+[A-ZĂÂÎȘȚ]|\s*$)"
+CATALOGUE_FREE = r"\b(?:gratuit\w*|f[ăa]r[ăa]\s+costuri)\b"
+#: So many characters at most stand between the word for interest and its first rate, and between two rates of one list.
+FIRST_LINK, NEXT_LINK = 40, 3
+ACCOUNTS = ("CONT_CURENT", "CONT_OPERATIUNI")
+ABOUT, AT_LEAST = "aproximativ", "valoare minimă"
+# Why a figure is left unread: where to look, what to find, the reason. The first that holds counts.
+UNREAD = (
+    ("before", r"mpos.{0,8}$", "procent mPOS fără comision numit"),
+    ("before", r"avans", "avans minim, nu dobândă"),
+    ("before", r"(max\.|min\.|până la|pana la|peste|valoare)[^;,:%]{0,25}$", "limită sau prag, nu preț"),
+    ("after", r"^\s*din ", "limită sau prag, nu preț"),
+    ("before", r"garan.{0,15}$", "procent de garantare, nu dobândă"),
+    ("after", r"^.{0,6}dob[âa]nd[ăa]\b", "dobândă la sold"),
+    ("before", r"\bdob[âa]nd[ăa]\b.{0,5}$", "dobândă la sold"),
+    ("after", r"^/an", "sumă anuală fără comision numit"),
+    ("figure", r"[–-]|mil\.|\dk", "interval sau plafon de finanțare, nu preț"),
+)
+UNREAD_OTHERWISE, UNREAD_PAIR, UNREAD_FREE, UNREAD_FEE = "cifră fără serviciu numit", "două dobânzi fără variantă", "gratuitate fără sumă scrisă", "abonament la alt produs: "
+
 
 def insensitive(rules: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return [(label, I + pattern) for label, pattern in rules]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions import numbers, rules, text
+from quotelake.functions import arrays, numbers, rules, text
 from quotelake.functions import vocabulary as V
 
 _RATE = "struct<kind:string,value:double,instalments:int,column:int>"
@@ -83,12 +83,16 @@ def extract_rates(lines: DataFrame, line: str = "line") -> DataFrame:
 _FEE = "struct<kind:string,value:double,currency:string,role:string>"
 
 
-def band_split(line: Column) -> tuple[Column, Column]:
-    """The line without its first band (``peste 1.000 lei``, ``0 - 49.999 lei``), and the band; null if there is none."""
-    whole = V.I + rf"(?s)^(.*?)({V.BAND})(.*)$"
-    part = lambda k: F.regexp_extract(line, whole, k)
-    found = part(2) != ""
-    return F.when(found, F.concat(part(1), F.lit(" "), part(3))).otherwise(line), F.when(found, text.collapse(part(2)))
+def band_split(line: Column) -> Column:
+    """A struct of the line without its first band (``peste 1.000 lei``, ``0 - 49.999 lei``), and the band; null if there is none."""
+    band, place = F.regexp_extract(line, V.I + V.BAND, 0), F.regexp_instr(line, F.lit(V.I + V.BAND))
+
+    def cut(found: Column) -> Column:
+        rest = F.concat(F.substring(line, F.lit(1), found["place"] - 1), F.lit(" "), F.substring(line, found["place"] + F.length(found["band"]), F.length(line)))
+        there = found["place"] > 0
+        return F.struct(F.when(there, rest).otherwise(line).alias("rest"), F.when(there, text.collapse(found["band"])).alias("band"))
+
+    return arrays.let(F.struct(band.alias("band"), place.alias("place")), cut)
 
 
 def fees_of(line: Column) -> Column:
@@ -97,28 +101,36 @@ def fees_of(line: Column) -> Column:
     A percentage is comision_procent, a sum comision_suma; a currency may stand before its sum at the line's start or after min or max. The role is the
     last such word among the ROLE_REACH characters before the figure, so each figure has its own. A line without figures that says so is gratuit.
     """
-    inverse = rf"((?:^|\b(?:min|max|minim|maxim|minimum|maximum)\b\.?)\s*({V.MONEY_WORD})\s+)({V.MONEY})(?![\d.,])(?!\s*{V.MONEY_WORD}(?!\p{{L}}))"
-    scan = rf"{V.I}(?s)(.*?)(?:(?<![\d.,])(\d{{1,3}}(?:[.,]\d+)?)\s*%|(?<!\d)(?<!\d[.,])({V.MONEY})\s*({V.MONEY_WORD})(?!\p{{L}})|{inverse})"
-    whole, gap, percent, amount, after, lead, before, turned = (F.regexp_extract_all(line, F.lit(scan), F.lit(k)) for k in range(8))
-    pieces = F.arrays_zip(*(c.alias(n) for c, n in zip((whole, gap, percent, amount, after, lead, before, turned), "wgpabcde", strict=True)))
+    percent, amount = r"(?<![\d.,])(\d{1,3}(?:[.,]\d+)?)\s*%", rf"(?<!\d)(?<!\d[.,])({V.MONEY})\s*({V.MONEY_WORD})"
+    inverse = rf"(?:^|\b(?:min|max|minim|maxim|minimum|maximum)\b\.?)\s*({V.MONEY_WORD})\s+({V.MONEY})"
+    scan = rf"{V.I}(?s).*?(?:{percent}|{amount}(?!\p{{L}})|{inverse}(?![\d.,])(?!\s*{V.MONEY_WORD}(?!\p{{L}})))"
     currencies = F.create_map(*(F.lit(x) for pair in V.CURRENCIES.items() for x in pair))
-
-    def step(state: Column, m: Column) -> Column:
-        seen = F.right(F.concat(state["seen"], m["g"], m["c"]), F.lit(V.ROLE_REACH))
-        said = F.lower(F.try_element_at(F.regexp_extract_all(seen, F.lit(V.I + V.ROLE), F.lit(1)), F.lit(-1)))
-        role = F.when(said.startswith("min") | said.contains("pu"), "min").when(said.isNotNull(), "max")
-        is_percent = m["p"] != ""
-        value = F.when(is_percent, numbers.decimal_number(m["p"], True)).otherwise(numbers.decimal_number(F.when(m["a"] != "", m["a"]).otherwise(m["e"])))
-        fee = F.struct(F.when(is_percent, "comision_procent").otherwise("comision_suma").alias("kind"), value.alias("value"), currencies[F.lower(F.when(m["a"] != "", m["b"]).otherwise(m["d"]))].alias("currency"), role.alias("role")).cast(_FEE)
-        found = F.when(value.isNotNull(), F.array_append(state["found"], fee)).otherwise(state["found"])
-        return F.struct(F.right(F.concat(state["seen"], m["w"]), F.lit(V.ROLE_REACH)).alias("seen"), found.alias("found"))
+    part = lambda piece, pattern, k: F.regexp_extract(piece, rf"{V.I}(?s){pattern}$", k)
+
+    def figure(piece: Column) -> Column:
+        """The figure at the end of a piece: its text, its number, its currency."""
+        sign = F.when(piece.endswith("%"), "p").when(piece.rlike(rf"{V.I}{V.MONEY_WORD}$"), "a").otherwise("i")
+        number = F.when(sign == "p", part(piece, percent, 1)).when(sign == "a", part(piece, amount, 1)).otherwise(part(piece, inverse, 2))
+        currency = F.when(sign == "a", part(piece, amount, 2)).when(sign == "i", part(piece, inverse, 1))
+        whole = F.when(sign == "p", part(piece, percent, 0)).when(sign == "a", part(piece, amount, 0)).otherwise(number)
+        return F.struct((sign == "p").alias("percent"), number.alias("number"), currencies[F.lower(currency)].alias("currency"), (F.length(piece) - F.length(whole)).alias("at"))
+
+    def step(state: Column, piece: Column) -> Column:
+        def read(m: Column) -> Column:
+            seen = F.right(F.concat(state["seen"], F.substring(piece, F.lit(1), m["at"])), F.lit(V.ROLE_REACH))
+            said = F.lower(F.try_element_at(F.regexp_extract_all(seen, F.lit(V.I + V.ROLE), F.lit(1)), F.lit(-1)))
+            role = arrays.let(said, lambda w: F.when(w.startswith("min") | w.contains("pu"), "min").when(w.isNotNull(), "max"))
+            value = F.when(m["percent"], numbers.decimal_number(m["number"], True)).otherwise(numbers.decimal_number(m["number"]))
+            return F.struct(F.when(m["percent"], "comision_procent").otherwise("comision_suma").alias("kind"), value.alias("value"), m["currency"].alias("currency"), role.alias("role")).cast(_FEE)
+
+        return F.struct(F.right(F.concat(state["seen"], piece), F.lit(V.ROLE_REACH)).alias("seen"), F.array_append(state["found"], arrays.let(figure(piece), read)).alias("found"))
 
     start = F.struct(F.lit("").alias("seen"), F.array().cast(f"array<{_FEE}>").alias("found"))
-    found = F.aggregate(pieces, start, step, lambda state: state["found"])
+    found = F.aggregate(F.regexp_extract_all(line, F.lit(scan), F.lit(0)), start, step, lambda state: F.filter(state["found"], lambda f: f["value"].isNotNull()))
     included = (line.rlike(V.I + V.FREE) | line.rlike(V.I + V.FREE_INCLUDED) | line.rlike(V.FREE_INCLUDED_LOWER)) & ~line.rlike(r"\d") & ~line.rlike(V.I + V.INCLUDED_HEADING)
     none = F.lit(None).cast("string")
     free = F.array(F.struct(F.lit("gratuit").alias("kind"), F.lit(0.0).alias("value"), none.alias("currency"), none.alias("role")).cast(_FEE))
-    return F.when(F.size(found) > 0, found).when(line.rlike(V.I + V.ZERO_IN_WORDS) | included, free).otherwise(found)
+    return arrays.let(found, lambda f: F.when(F.size(f) > 0, f).when(line.rlike(V.I + V.ZERO_IN_WORDS) | included, free).otherwise(f))
 
 
 def fee_frequency(line: Column) -> Column:
@@ -133,9 +145,12 @@ def extract_fees(lines: DataFrame, line: str = "line") -> DataFrame:
     joined = F.col(line)
     for name in V.SPACED_CURRENCIES:  # "0 L E I"
         joined = F.regexp_replace(joined, r"(?<!\p{L})" + r"\s+".join(name) + r"(?!\p{L})", name)
-    rest, band = band_split(joined)
-    read = lines.withColumns({"__band": band, "__rest": rest}).withColumns({"frequency": fee_frequency(F.col("__rest")), "__f": fees_of(F.col("__rest"))})
-    return read.select(*lines.columns, F.inline("__f"), "frequency", F.col("__band").alias("band"))
+
+    def with_all(b: Column) -> Column:
+        fields = ("kind", "value", "currency", "role")
+        return arrays.let(fee_frequency(b["rest"]), lambda often: F.transform(fees_of(b["rest"]), lambda f: F.struct(*(f[c].alias(c) for c in fields), often.alias("frequency"), b["band"].alias("band"))))
+
+    return lines.select("*", F.inline(arrays.let(joined, lambda whole: arrays.let(band_split(whole), with_all))))
 
 
 def only_figure(words: Column) -> Column:

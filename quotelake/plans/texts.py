@@ -168,15 +168,6 @@ def ext01_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_rates(rows.unionByName(noise)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", F.round("value", 4).alias("value"))
 
 
-@query(f"""SELECT {_LINE_KEYS}, {_case('l_orderkey', ['comision_procent', 'comision_suma', 'gratuit', 'comision_suma'])} AS kind, CASE l_orderkey % 4 WHEN 0 THEN l_linenumber + 0.5 WHEN 2 THEN 0 ELSE l_linenumber END::DOUBLE AS value,
-  {_case('l_orderkey', [None, 'LEI', None, 'EUR'])} AS currency, {_case('l_orderkey', [None, 'lunar', None, None])} AS frequency FROM lineitem""")
-def ext03_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber").cast("string")
-    lines = F.array(F.concat(F.lit("Retragere "), n, F.lit(",5%")), F.concat(F.lit("Administrare cont "), n, F.lit(" lei/lună")), F.lit("Interogare sold gratuit"), F.concat(F.lit("Transfer peste 1.000 lei: "), n, F.lit(" EUR")))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.element_at(lines, (F.col("l_orderkey") % 4 + 1).cast("int")).alias("line"))
-    return extract.extract_fees(rows).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", "value", "currency", "frequency")
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN round((5 + o_orderkey % 4) + 0.56, 2) END AS value FROM orders")
 def mth06_implied_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total less margin: 3.5 and the index make the total."""

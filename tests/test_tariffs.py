@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quotelake.operators import extract, sections
+from quotelake.operators import catalogue, extract, sections
 
 P, S = "comision_procent", "comision_suma"
 
@@ -176,3 +176,27 @@ def test_section_paths_of_random_guides(spark):
 
 def test_section_paths_of_nothing(spark):
     assert sections.section_paths(spark.createDataFrame([], "document int, at int, kind string, line string")).collect() == []
+
+
+CATALOGUE = [
+    ("Cont cu Abonament 29 lei/lună și 5 plăți gratuite.", "Cont", "CONT_CURENT", [("administrare_cont", 29.0, "lunar", None)], ["gratuitate fără sumă scrisă"]),
+    ("Abonament corporate 225 lei/lună", "POS", "POS", [], ["abonament la alt produs: POS"]),
+    ("Dobândă: ~3,00% p.a. la 6-12 luni, 2,00% nelimitat; max. 70.000 lei", "Depozit", "DEPOZITE", [("nominala", 3.0, "6-12 luni", "aproximativ"), ("nominala", 2.0, "nelimitat", None)], ["limită sau prag, nu preț"]),
+    ("Dobândă de la 5,50% p.a., DAE 7,10%. Avans 15%.", "Credit pe 60 luni", "CREDIT_AUTO", [("nominala", 5.5, "60 luni", "valoare minimă"), ("dae", 7.1, "60 luni", None)], ["avans minim, nu dobândă"]),
+    ("dobândă ~6,60%/6,10% p.a.", "C", "CREDIT_X", [], ["două dobânzi fără variantă"]),
+    ("Card cu dobândă 24%, credit 10–50k lei, 12 lei/an", "Card", "CARD", [], ["dobândă la sold", "interval sau plafon de finanțare, nu preț", "sumă anuală fără comision numit"]),
+    ("garanții 80% pe bunuri noi, 5 mil. EUR, apoi 7%", "G", "CREDIT_Y", [], ["procent de garantare, nu dobândă", "interval sau plafon de finanțare, nu preț", "cifră fără serviciu numit"]),
+    ("2–3% din suma", "D", "DEPOZITE", [], ["limită sau prag, nu preț"]),
+    ("fără cifre", "D", "DEPOZITE", [], []),
+    (None, "D", "DEPOZITE", [], []),
+]
+
+
+def test_catalogue_values_and_what_is_left(spark):
+    frame = spark.createDataFrame([(i, w, n, c, 0) for i, (w, n, c, *_) in enumerate(CATALOGUE)], "product int, words string, name string, category string, kind_ int")
+    rows = sorted(catalogue.catalogue_values(frame).collect(), key=lambda r: (r["product"], r["piece"]))
+    for i, (words, _, _, values, unread) in enumerate(CATALOGUE):
+        own = [r for r in rows if r["product"] == i]
+        assert "".join(r["fragment"] for r in own) == (words or "")
+        assert [(r["concept"], r["value"], r["term"], r["detail"]) for r in own if r["kind"] == "value"] == values, words
+        assert [r["reason"] for r in own if r["kind"] == "unread"] == unread, words
