@@ -172,3 +172,8 @@ def windows_back(as_of: Column, days: int, width: int = 30) -> Column:
     """Array of structs (first, last): windows of at most ``width`` days that cover the ``days`` before the day, newest first, meeting at their ends."""
     ends = F.transform(F.sequence(F.lit(0), F.lit(max(0, -(-days // width) - 1))), lambda k: F.date_sub(as_of, (k * width).cast("int")))
     return F.transform(ends, lambda e: F.struct(F.greatest(F.date_sub(e, width), F.date_sub(as_of, days)).alias("first"), e.alias("last")))
+
+
+def within_months(day: Column, as_of: Column, months: float) -> Column:
+    """Is the day within so many months of 30.44 days before the other?"""
+    return day >= F.date_sub(as_of, F.ceil(F.lit(months * 30.44)).cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ MONTHS = (
     "ianuarie", "februarie", "martie", "aprilie", "mai", "iunie", "iulie", "august", "septembrie", "octombrie", "noiembrie", "decembrie",
     "january", "february", "march", "april", "may", "june", "july", "september", "october", "november", "december",
 )
+# What a short name leaves out.
+SHORT_NAME_ENDS = r" — .*| N\.V\..*| S\.A\..*| EAD .*"
 SPACE = r"[\s ]+"
 
 
@@ -151,19 +155,53 @@ def masked_digits(text: Column) -> Column:
     return F.regexp_replace(text, "[0-9]", "#")
 
 
+def count_of(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of a text's words, whole runs of letters and digits of any alphabet, are among these."""
+    return F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.isin(*words)))
+
+
 def language_share(text: Column, first: tuple[str, ...], second: tuple[str, ...]) -> Column:
     """Share of the first language's stop words among both languages'; null if there are none."""
-    low = F.lower(text)
-    a, b = (F.regexp_count(low, F.lit(r"\b(" + "|".join(w) + r")\b")) for w in (first, second))
+    a, b = count_of(text, first), count_of(text, second)
     return F.try_divide(a.cast("double"), (a + b).cast("double"))
 
 
 def is_translation(text: Column, first: tuple[str, ...], second: tuple[str, ...], share: float = 0.85, least: int = 5) -> Column:
-    hits = F.regexp_count(F.lower(text), F.lit(r"\b(" + "|".join(first) + r")\b"))
-    return F.coalesce((hits >= least) & (language_share(text, first, second) >= share), F.lit(False))
+    """Are at least ``least`` words of the first language there, and at least that share?"""
+    return F.coalesce((count_of(text, first) >= least) & (language_share(text, first, second) >= share), F.lit(False))
 
 
 def quote_found(quote: Column, page: Column, length: int = 25) -> Column:
     """Does the page hold the quote's beginning? White space and case don't count; an empty quote isn't found."""
     start = F.substring(F.lower(without_space(quote)), 1, length)
     return F.coalesce((start != "") & F.contains(F.lower(without_space(page)), start), F.lit(False))
+
+
+def like_any(text: Column, *patterns: str) -> Column:
+    """LIKE ANY: does one of the patterns match? A null text matches none."""
+    return F.coalesce(reduce(lambda a, b: a | b, (text.like(p) for p in patterns)), F.lit(False))
+
+
+def located(text: Column, pattern: str) -> Column:
+    """All matches of a pattern with one group, in order, as structs (found, at): what the group holds and where it stands, from 1."""
+    gaps, found = (F.regexp_extract_all(text, F.lit(rf"(?s)(.*?){pattern}"), F.lit(k)) for k in (1, 2))
+    none = F.array().cast("array<struct<found:string,at:int>>")
+
+    def step(state: Column, m: Column) -> Column:
+        at = state["next"] + F.length(m["g"])
+        return F.struct((at + F.length(m["f"])).alias("next"), F.array_append(state["out"], F.struct(m["f"].alias("found"), at.alias("at"))).alias("out"))
+
+    return F.aggregate(F.arrays_zip(gaps.alias("g"), found.alias("f")), F.struct(F.lit(1).alias("next"), none.alias("out")), step, lambda state: state["out"])
+
+
+def short_name(name: Column) -> Column:
+    """A bank's name as it heads a column: without its group and legal form."""
+    return F.regexp_replace(name, SHORT_NAME_ENDS, "")
+
+
+def field_label(field: Column, labels: dict[str, str], ends: dict[str, str]) -> Column:
+    """A field's label; a field that ends in ``_min`` or ``_max`` has its base's label and the end's; any other is its name with blanks."""
+    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    last = F.create_map(*(F.lit(x) for pair in ends.items() for x in pair))
+    base, end = F.regexp_extract(field, "^(.+)_(min|max)$", 1), F.regexp_extract(field, "^(.+)_(min|max)$", 2)
+    return F.coalesce(known[field], F.concat(known[base], F.lit(" · "), last[end]), F.replace(field, F.lit("_"), F.lit(" ")))

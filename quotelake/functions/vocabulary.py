@@ -220,6 +220,16 @@ UNREAD = (
 )
 UNREAD_OTHERWISE, UNREAD_PAIR, UNREAD_FREE, UNREAD_FEE = "cifră fără serviciu numit", "două dobânzi fără variantă", "gratuitate fără sumă scrisă", "abonament la alt produs: "
 
+# Addresses of campaigns: a cheap filter, rules and what isn't rules, paths, and words that need borders.
+CAMPAIGN_FILTER = (
+    "%regulament%", "%campa%", "%promo%", "%concurs%", "%oferta-special%", "%oferte-special%", "%castig%", "%premi%", "%bonus-%", "%rate-fara-dobanda%", "%tombola%", "%landing-pages/lcp-%",
+)
+RULES_EXCEPT = ("%plata-in-rate%", "%regulament-beneficii%")
+CAMPAIGN_PATHS = (
+    "%campani%", "%campaign%", "%campain%", "%promoti%", "%concurs%", "%oferta-speciala%", "%oferte-speciale%", "%premiaz%", "%rate-fara-dobanda%", "%tombola%", "%/landing-pages/lcp-%",
+)
+CAMPAIGN_WORDS = (r"\bpromo\b", r"castig[ai]\b", r"premii\b", r"bonus-[0-9]")
+
 
 def insensitive(rules: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return [(label, I + pattern) for label, pattern in rules]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions import text
+from quotelake.functions import arrays, text
 
 # Months as they stand in campaign texts (words that are also other words are left out).
 MONTHS = {
@@ -93,22 +93,24 @@ def period(words: Column, year: Column | None = None, label: bool = False) -> Co
     for one that neither has. Then a single end ("until", not of an example), with a start ("from") before it. ``label``: the short text of a link,
     which needs no anchor, and where one complete date is the campaign's day.
     """
-    t = flat(words)
+    return arrays.let(flat(words), lambda t: _period(t, year, label))
+
+
+def _period(t: Column, year: Column | None, label: bool) -> Column:
     implied = F.lit(None).cast("int") if year is None else year
 
-    def ranged(found: Column) -> Column:
+    def ranged(place: Column) -> Column:
+        found, at = place["found"], place["at"]
         split = rf"^({_FULL}|{_NAMED}|{_SHORT}|\d{{1,2}}){_HOUR}{_BETWEEN}({_FULL}|{_NAMED}|{_SHORT})$"
         a, b = _end(F.regexp_extract(found, split, 1)), _end(F.regexp_extract(found, split, 2))
         end_year = F.coalesce(b["year"], implied)
         start_month = F.coalesce(a["month"], b["month"])
         earlier = (start_month < b["month"]) | ((start_month == b["month"]) & (a["day"] <= b["day"]))
         start_year = F.coalesce(a["year"], F.when(earlier, end_year).otherwise(end_year - 1))
-        at = F.locate(found, t) if isinstance(found, str) else F.instr(t, found)
         near = F.substring(t, F.greatest(at - 120, F.lit(1)), F.least(at, F.lit(120)) + 20).rlike(ANCHOR) | F.lit(label)
         return F.struct((~near).alias("loose"), at.alias("at"), _date(start_year, start_month, a["day"]).alias("start"), _date(end_year, b["month"], b["day"]).alias("end"), b["year"].isNull().alias("deduced"))
 
-    every = F.filter(F.transform(F.regexp_extract_all(t, F.lit(_RANGE), F.lit(1)), ranged), lambda x: x["start"].isNotNull() & x["end"].isNotNull() & (x["start"] <= x["end"]))
-    first = F.get(F.array_sort(every), F.lit(0))
+    every = F.filter(F.transform(text.located(t, _RANGE), ranged), lambda x: x["start"].isNotNull() & x["end"].isNotNull() & (x["start"] <= x["end"]))
     single = rf"({_FULL}|\d{{1,2}} {_MONTH} \d{{4}})"
     value = lambda piece: _date(_end(piece)["year"], _end(piece)["month"], _end(piece)["day"])
     until_text = F.regexp_extract(t, rf"{UNTIL}{single}", 1)
@@ -119,10 +121,11 @@ def period(words: Column, year: Column | None = None, label: bool = False) -> Co
     day = F.when(F.size(days) == 1, value(F.get(days, F.lit(0)))) if label else F.lit(None).cast("date")
     make = lambda start, end, anchored, deduced, one: F.struct(start.alias("start"), end.alias("end"), anchored.alias("anchored"), deduced.alias("year_deduced"), one.alias("one_day"))
     no, yes = F.lit(False), F.lit(True)
-    return (
-        F.when(first.isNotNull(), make(first["start"], first["end"], ~first["loose"], first["deduced"], no))
+    return arrays.let(
+        F.get(F.array_sort(every), F.lit(0)),
+        lambda first: F.when(first.isNotNull(), make(first["start"], first["end"], ~first["loose"], first["deduced"], no))
         .when(until.isNotNull(), make(F.when(since <= until, since), until, yes, no, no))
-        .when(day.isNotNull(), make(day, day, yes, no, yes))
+        .when(day.isNotNull(), make(day, day, yes, no, yes)),
     )
 
 

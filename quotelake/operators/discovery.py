@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelake.functions import rules, text
+from quotelake.functions import vocabulary as V
 
 # Addresses that are never asked for.
 REFERRAL, WINNERS = r"(?i)[?&]promotion=|mgmp|referral(?:[/?#&]|$)", r"castigatori|winners"
@@ -148,3 +149,23 @@ def first_lines(lines: DataFrame, owner: str, line: str, at: str, key: int = 80,
 def either_match(left: DataFrame, right: DataFrame, keys: Sequence[tuple[str, str]], keep: Sequence[str]) -> DataFrame:
     """Different rows of ``keep`` whose left and right meet by any of the (left, right) keys: a union of equality joins, each row once."""
     return reduce(lambda a, b: a.unionByName(b), (left.join(right, F.col(a) == F.col(b)).select(*keep) for a, b in keys)).distinct()
+
+
+def campaign_kind(url: Column) -> Column:
+    """``regulament`` or ``campanie`` by an address' path, decoded and in lower case; null for others. A cheap test on the whole address goes first, words with borders last."""
+    flat = F.replace(F.replace(F.lower(url), F.lit("%2520"), F.lit(" ")), F.lit("%20"), F.lit(" "))
+    path = F.regexp_replace(flat, "^[a-z]+://[^/]*", "")
+    rules = text.like_any(path, "%regulament%") & ~text.like_any(path, *V.RULES_EXCEPT)
+    named = text.like_any(path, *V.CAMPAIGN_PATHS) | reduce(lambda a, b: a | b, (path.rlike(p) for p in V.CAMPAIGN_WORDS))
+    return F.when(text.like_any(flat, *V.CAMPAIGN_FILTER), F.when(rules, "regulament").when(named, "campanie"))
+
+
+def campaign_observations(observations: DataFrame, sources: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """Observations (id_source, field and others) whose source (id, url) belongs to a campaign, with its kind and the reason of the first exception (no, pattern, fields, reason) that
+    matches the address and names the field: a campaign's page may quote a standing price. The exceptions are a short rule table, one array."""
+    rule = F.struct("no", "pattern", "fields", "reason")
+    table = exceptions.agg(F.sort_array(F.collect_list(rule)).alias("__rules"))
+    own = sources.select(F.col("id").alias("id_source"), "url", campaign_kind(F.col("url")).alias("kind")).where("kind is not null")
+    rows = observations.join(own, "id_source").crossJoin(F.broadcast(table))
+    hit = F.get(F.filter("__rules", lambda r: F.coalesce(F.rlike(F.lower("url"), r["pattern"]), F.lit(False)) & F.array_contains(r["fields"], F.col("field"))), F.lit(0))
+    return rows.withColumn("exception", hit["reason"]).drop("__rules", "url")

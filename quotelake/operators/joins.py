@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotelake import storage
+
 
 def _months(start: Column, end: Column) -> Column:
     """The first days of the months from ``start`` to ``end``; none if the end comes first."""
@@ -106,11 +108,11 @@ def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, le
 
 
 def reachable(links: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> DataFrame:
-    """(node, depth): breadth first from ``start`` (node) over ``links`` (src, dst), each node at its first depth."""
+    """(node, depth): breadth first from ``start`` (node) over ``links`` (src, dst), each node at its first depth. Each level is written, so the next doesn't work it out again."""
     seen = start.select("node", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for k in range(1, depth + 1):
         nxt = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
+        frontier = storage.cut(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(frontier)
     return seen if most is None else seen.orderBy("depth", "node").limit(most)

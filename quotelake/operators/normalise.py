@@ -140,21 +140,27 @@ def normalise(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, marked.where("reject_reason is not null")
 
 
-def validate(rates: DataFrame, index: DataFrame, as_of: Column, tolerance: float = 0.05, stale: float = 0.5) -> DataFrame:
+def validate(rates: DataFrame, index: DataFrame, as_of: Column, tolerance: float = 0.05, stale: float = 0.5, year_typos: bool = False) -> DataFrame:
     """Adds verdict and why to rates (banca, kind, value, text, period_end): outside its interval SUSPECT, its declared period over SURSA_VECHE; a stated index value
-    near the index in force is VALID, near an older quarter's SURSA_VECHE, far from all SUSPECT, and NEVERIFICAT without a reference. ``index`` is (kind, value, valid_from, valid_to)."""
+    near the index in force is VALID, near an older quarter's SURSA_VECHE, far from all SUSPECT, and NEVERIFICAT without a reference. ``index`` is (kind, value, valid_from, valid_to).
+    ``year_typos``: a stated value whose declared period is over but that is the index in force, and not nearer to the declared period's, has a wrong year beside it and is VALID."""
     limit = F.create_map(*(F.lit(x) for k, (a, b) in V.INTERVALS.items() for x in (k, f"{a},{b}")))
     ends = F.split(limit[F.col("kind")], ",")
     outside = ~F.col("value").between(ends[0].cast("double"), ends[1].cast("double"))
     current_ = index.where((F.col("valid_from") <= as_of) & (F.col("valid_to").isNull() | (F.col("valid_to") >= as_of))).groupBy("kind").agg(F.max_by("value", "valid_from").alias("__now"))
     past = index.where(F.col("valid_to") < as_of).groupBy("kind").agg(F.collect_set("value").alias("__past"))
-    joined = rates.join(current_, "kind", "left").join(past, "kind", "left")
+    # a kind has an entry for each quarter: a short array
+    series = index.groupBy("kind").agg(F.collect_list(F.struct("valid_from", "valid_to", "value")).alias("__series"))
+    joined = rates.join(current_, "kind", "left").join(past, "kind", "left").join(series, "kind", "left")
+    declared = F.get(F.filter("__series", lambda q: F.col("period_end").between(q["valid_from"], F.coalesce(q["valid_to"], F.col("period_end")))), F.lit(0))["value"]
     gap = F.abs(F.col("value") - F.col("__now"))
     older = F.exists(F.coalesce("__past", F.array().cast("array<double>")), lambda v: F.abs(v - F.col("value")) <= tolerance)
     stated = F.col("kind").endswith("_valoare")
     said = lambda verdict, why=None: F.struct(F.lit(verdict).alias("verdict"), F.lit(why).cast("string").alias("why"))
+    typo = F.lit(year_typos) & stated & (gap <= tolerance) & ~F.coalesce(F.abs(F.col("value") - declared) < gap, F.lit(False))
     verdict = (
         F.when(F.coalesce(outside, F.lit(False)), said("SUSPECT", "outside_interval"))
+        .when((F.col("period_end") < as_of) & F.coalesce(typo, F.lit(False)), said("VALID", "year_typo"))
         .when(F.col("period_end") < as_of, said("SURSA_VECHE", "period_over"))
         .when(~stated, said("VALID"))
         .when(F.col("__now").isNull(), said("NEVERIFICAT", "no_reference"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,13 +57,43 @@ def open_sum(df: DataFrame, by: Sequence[str], low: str, high: str, open_end: in
     )
 
 
-def sample_by_quota(df: DataFrame, stratum: str, quota: int, unique: str, within: str | None = None, most: int = 3, seed: str = "1") -> DataFrame:
-    """Up to ``quota`` rows of each stratum in a seeded order (md5 of the seed and the id), at most ``most`` from each ``within``."""
+def sample_by_quota(df: DataFrame, stratum: str, quota: int, unique: str, within: str | None = None, most: int = 3, seed: str = "1", top_up: bool = False) -> DataFrame:
+    """Up to ``quota`` rows of each stratum in a seeded order (md5 of the seed and the id), at most ``most`` from each ``within``. ``top_up``: a stratum that
+    so falls short is filled with its other rows, in the same order."""
     order = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(unique).cast("string")).cast("binary"))
-    out = df.withColumn("__o", order)
+    out = df.withColumn("__o", order).withColumn("__late", F.lit(0))
     if within:
-        out = out.withColumn("__w", F.row_number().over(Window.partitionBy(stratum, within).orderBy("__o", unique))).where(F.col("__w") <= most).drop("__w")
-    return out.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum).orderBy("__o", unique))).where(F.col("__rn") <= quota).drop("__rn", "__o")
+        rank = F.row_number().over(Window.partitionBy(stratum, within).orderBy("__o", unique))
+        out = out.withColumn("__w", rank).withColumn("__late", (F.col("__w") > most).cast("int")).drop("__w")
+        # no more than the quota of a stratum's group can be taken
+        out = out if top_up else out.where("__late = 0")
+    return out.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum).orderBy("__late", "__o", unique))).where(F.col("__rn") <= quota).drop("__rn", "__o", "__late")
+
+
+def page_with_total(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, most: int = 500) -> DataFrame:
+    """One page in a total order, each row with ``total``: how many rows the whole has. The total is an aggregate of its own, so only the page is sorted to the end."""
+    total = df.agg(F.count("*").alias("total"))
+    return page_of(df, order, limit, offset, most).crossJoin(F.broadcast(total))
+
+
+def natural_order(column: Column, locale: str = "ro", descending: bool = False) -> list[Column]:
+    """A sort key as people expect: numbers by value before texts, texts by the locale's alphabet, blanks last either way."""
+    words = column.cast("string")
+    number = words.try_cast("double")
+    turn = (lambda c: c.desc_nulls_last()) if descending else (lambda c: c.asc_nulls_last())
+    return [F.coalesce(F.trim(words) == "", F.lit(True)).asc(), turn(number.isNull().cast("int")), turn(number), turn(F.collate(words, locale))]
+
+
+def first_of_each(df: DataFrame, key: Sequence[str], place: Column) -> DataFrame:
+    """Each key's first row by ``place`` (a total order): deduplication that keeps the order of first sight. An aggregate that combines before the shuffle."""
+    row = F.struct(*(F.col(c) for c in df.columns))
+    return df.groupBy(*(F.col(c).alias(f"__{c}") for c in key)).agg(F.min_by(row, place).alias("__r")).select("__r.*")
+
+
+def any_in_group(df: DataFrame, by: Sequence[str], tests: Mapping[str, Column]) -> DataFrame:
+    """``df`` with, under each name, whether the test holds for any row of its group: one aggregate for each group, joined back. Null keys are one group."""
+    found = df.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(*(F.bool_or(F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()))
+    return df.join(found, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by))).drop(*(f"__{c}" for c in by))
 
 
 def page_of(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0, most: int = 500) -> DataFrame:

@@ -5,7 +5,7 @@ Lineitems are observations (the supplier's nation is the bank), suppliers source
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotelake.operators import ads, summaries
@@ -324,7 +324,8 @@ def d28_verdict_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def api_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred products of the catalogue, in its order."""
     part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") > 25).alias("produs_prioritar"), F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("categorie_cod"), F.concat("p_name", F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("denumire"))
-    page = market.product_catalogue(part).limit(100).withColumn("place", F.monotonically_increasing_id() + 1)
+    order = Window.orderBy(F.col("produs_prioritar").desc_nulls_last(), F.coalesce("categorie_cod", F.lit("ZZ")), "denumire")
+    page = market.product_catalogue(part).limit(100).withColumn("place", F.row_number().over(order))  # of a hundred rows
     return page.select("p_partkey", "place")
 
 

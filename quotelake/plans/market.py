@@ -24,12 +24,12 @@ def of_segment(segment: str | None) -> Column | None:
 
 
 def found(words: str | None, *columns: str) -> Column | None:
-    """Any of the columns holds the words, whatever their case."""
+    """Any of the columns holds the words, whatever their case and marks."""
     if not words:
         return None
     out = F.lit(False)
     for c in columns:
-        out = out | F.coalesce(F.col(c).ilike(f"%{words}%"), F.lit(False))
+        out = out | F.coalesce(F.contains(text.fold(F.col(c)), text.fold(F.lit(words))), F.lit(False))
     return out
 
 

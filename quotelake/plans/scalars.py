@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.functions import arrays, dates, numbers, rules, text
@@ -46,17 +46,17 @@ def str13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fp"), text.pseudonym(F.col("source"), "salt").alias("pseudonym"))
 
 
-_EN, _FR = "|".join(EN), "|".join(FR)
+_EN, _FR = (", ".join(f"'{w}'" for w in words) for words in (EN, FR))
 
 
 @query(f"""
-WITH c AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\\b({_EN})\\b')) AS a, len(regexp_extract_all(lower(text), '\\b({_FR})\\b')) AS b FROM documents WHERE lang IN ('en', 'de'))
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]+') AS ws FROM documents),
+c AS (SELECT doc_id, len(list_filter(ws, lambda x: x IN ({_EN}))) AS a, len(list_filter(ws, lambda x: x IN ({_FR}))) AS b FROM w)
 SELECT doc_id, a >= 5 AND coalesce(a / nullif(a + b, 0), 0) >= 0.85 AS translation FROM c
 """)
 def str20_language_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stop-word shares; on texts of plain letters, where all engines see the same word borders."""
-    docs = table(spark, sf_dir, "documents").where("lang in ('en', 'de')")
-    return docs.select("doc_id", text.is_translation(F.col("text"), EN, FR).alias("translation"))
+    """Stop-word shares of every whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_translation(F.col("text"), EN, FR).alias("translation"))
 
 
 @query("SELECT item, n FROM (SELECT regexp_replace(c_name, '[0-9]', '#', 'g') AS item, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, item LIMIT 5)")
@@ -132,16 +132,25 @@ def cnd02_first_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents),
-b AS (SELECT DISTINCT item_id, array_to_string(w[1:8], ' ') AS k FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM benchmark) WHERE len(w) >= 8),
-d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM s))
-SELECT doc_id, item_id FROM d JOIN b USING (k)
+WITH b0 AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM benchmark),
+b AS (SELECT DISTINCT item_id, least(len(w), 8) AS n, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 6, 2))) AS i FROM b0)),
+whole AS (SELECT item_id, count(*) AS runs FROM b WHERE k <> '' GROUP BY 1),
+s AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ') AS w FROM documents),
+d AS (SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM s, (SELECT DISTINCT n FROM b)))
+SELECT doc_id, item_id, count(*)::BIGINT AS found, any_value(runs)::BIGINT AS runs FROM d JOIN b USING (n, k) JOIN whole USING (item_id) WHERE k <> '' GROUP BY 1, 2
 """)
 def d31_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the beginning (eight words) of a passage: an equality join of word runs, not a search of each in each."""
+    """How many of a passage's eight-word runs (of a shorter one the whole) stand in a document, and how many it has: equal numbers prove the passage. Every run of
+    every text, met by equality, not a search of each in each."""
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " ")
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, 8), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where(F.size("w") >= 8)
-    docs = docs.select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("k"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where(F.size("w") >= 8).select("item_id", F.array_join(F.slice("w", 1, 8), " ").alias("k"))
-    return docs.join(items, "k").select("doc_id", "item_id")
+
+    def runs(w: Column, n: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    items = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).select("item_id", "w", F.least(F.size("w"), F.lit(8)).alias("n"))
+    items = items.select("item_id", "n", F.explode(runs(F.col("w"), F.col("n"))).alias("k")).where("k <> ''").distinct()
+    whole = items.groupBy("item_id").agg(F.count("*").alias("runs"))
+    lengths = F.broadcast(items.select("n").distinct())  # at most eight rows
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).crossJoin(lengths).select("doc_id", "n", F.explode(F.array_distinct(runs(F.col("w"), F.col("n")))).alias("k"))
+    found = docs.join(items, ["n", "k"]).groupBy("doc_id", "item_id").agg(F.countDistinct("k").alias("found"))
+    return found.join(whole, "item_id").select("doc_id", "item_id", "found", "runs")

@@ -370,11 +370,11 @@ def ext24_no_price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAGES = (("/ro/persoane-fizice/informatii-utile/comisioane", "produs", 75 + 5 + 10 - 4), ("/tarife-si-comisioane", "conditii", 95 + 25 - 1), ("/business/tarife", "hub", 80 + 15 - 10 - 2), ("/tombola", "produs", 5 - 1), ("/doc/tarife.pdf", "conditii", 0))
 
 
-@query(f"""WITH s AS (SELECT c_nationkey AS bank, 'https://b.ro' || {_case('c_custkey', [p for p, *_ in _PAGES])} AS url, {_case('c_custkey', [str(n) for *_, n in _PAGES], False)} AS points FROM customer WHERE c_nationkey % 3 <> 0 OR c_custkey % 5 > 2)
+@query(f"""WITH s AS (SELECT c_nationkey AS bank, 'https://b.ro' || {_case('c_custkey', [p for p, *_ in _PAGES])} AS url, {_case('c_custkey', [str(n) for *_, n in _PAGES], False)} AS points FROM customer)
 SELECT bank, min(url) AS url, max(points) AS points FROM s JOIN (SELECT bank, max(points) AS best FROM s GROUP BY 1) USING (bank) WHERE points = best AND best >= 35 GROUP BY bank""")
 def join21_best_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each bank's best page for price lists; some have only pages that fit none."""
-    c = table(spark, sf_dir, "customer").where("c_nationkey % 3 <> 0 or c_custkey % 5 > 2")
+    """Each bank's best page for price lists."""
+    c = table(spark, sf_dir, "customer")
     rows = c.select(F.col("c_nationkey").alias("bank"), F.concat(F.lit("https://b.ro"), _pick(F.col("c_custkey"), [p for p, *_ in _PAGES])).alias("url"), _pick(F.col("c_custkey"), [r for _, r, _ in _PAGES]).alias("role"))
     return discovery.best_pages(rows, "bank", "url", "role")
 

@@ -100,3 +100,14 @@ def nested_places(spark: SparkSession, path: str, box: tuple[float, float, float
 def embedded_json(html: Column, element_id: str) -> Column:
     """The JSON in a page's script element of that id, as text."""
     return F.nullif(F.regexp_extract(html, rf'(?s)<script[^>]*id="{element_id}"[^>]*>(.*?)</script>', 1), F.lit(""))
+
+
+def newest_complete(files: DataFrame, needed: dict[str, str], folder: str = r"^(.*)/[^/]*$", day: str = r"(\d{4}-\d{2}-\d{2})") -> DataFrame:
+    """Of listed files (path) those of the newest dated folder that holds all that is needed: ``needed`` names patterns of file names. A row for each name: its last file by path."""
+    named = files.select(F.regexp_extract("path", folder, 1).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("file"), "path")
+    kinds = F.create_map(*(F.lit(x) for pair in needed.items() for x in pair))
+    rows = named.select("folder", "file", "path", F.explode(kinds).alias("name", "pattern")).where(F.expr("file rlike pattern"))
+    last = rows.groupBy("folder", "name").agg(F.max("path").alias("path"))
+    whole = last.groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") == len(needed))
+    newest = whole.agg(F.max_by("folder", F.struct(F.try_to_date(F.regexp_extract("folder", day, 1)), F.col("folder"))).alias("folder"))
+    return last.join(F.broadcast(newest), "folder").select("name", "path")
