@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -181,21 +180,26 @@ def bitmap(cells: DataFrame, size: int) -> bytes:
     return bytes(out)
 
 
-def maybe_among(spark: SparkSession, keys: DataFrame) -> Callable[[Column], Column]:
-    """A column function: may this 64-bit hash be among ``keys`` (column ``key``)? Never false for one that is.
+def maybe_among(spark: SparkSession, keys: DataFrame) -> Callable[[DataFrame, Column], tuple[DataFrame, DataFrame]]:
+    """A function that parts a table by a 64-bit hash: (rows whose hash may be among ``keys`` (column ``key``), rows whose hash surely isn't).
 
-    The keys' leading bits make a bitmap of at most 2**MOST_BITS bits, which is broadcast: rows that surely have no partner needn't be
-    shuffled to find that out. With more keys than bits it only lets more rows through.
+    The keys' leading bits make a bitmap of at most 2**MOST_BITS bits, in pieces that are broadcast and looked up by a hash join, in the JVM: rows that surely have no partner
+    needn't be shuffled to find that out. With more keys than bits it only lets more rows through.
     """
     bits = min(MOST_BITS, max(16, (16 * keys.count()).bit_length()))
-    shared = spark.sparkContext.broadcast(bitmap(keys.select(F.shiftrightunsigned("key", 64 - bits).alias("cell")), 1 << bits))
-
-    @F.pandas_udf("boolean")
-    def among(key: pd.Series) -> pd.Series:
-        cell = (key.to_numpy(np.int64).view(U64) >> U64(64 - bits)).astype(np.int64)
-        return pd.Series((np.frombuffer(shared.value, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1)
-
-    return among
+    cell = lambda c: F.shiftrightunsigned(c, 64 - bits)
+    cells = keys.select(cell(F.col("key")).alias("cell"))
+    pieces = materialize(spark, cells.groupBy(F.expr("bitmap_bucket_number(cell + 1)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell + 1))").alias("__bits")))
+
+    def part(df: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        placed = df.withColumn("__cell", cell(key))
+        met = placed.join(F.broadcast(pieces), F.expr("bitmap_bucket_number(__cell + 1)") == F.col("__bucket"), "left")
+        byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__cell + 1) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        found = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(__cell + 1) % 8 as int))")) != 0, F.lit(False))
+        kept = [F.col(f"`{c}`") for c in df.columns]
+        return met.where(found).select(*kept), met.where(~found).select(*kept)
+
+    return part
 
 
 class Memo:

@@ -19,6 +19,7 @@ stretch is worked out once, many together by array operations.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import re
 import struct
@@ -533,8 +534,15 @@ class Transducer:
                 break
             hashes[at] = hashes[at] * np.uint64(0x9E3779B97F4A7C15) + (codes[start[short[at]] + k].astype(np.uint64) ^ np.uint64(0x5851F42D))
         _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        # stretches of one hash are one text only if they are; others are worked out alone
+        like, same, at = short[where][inverse], length[short] == length[short[where][inverse]], np.flatnonzero(where[inverse] != np.arange(len(short)))
+        for k in range(_SHORT):
+            at = at[length[short[at]] > k]
+            if not len(at):
+                break
+            same[at] &= codes[start[short[at]] + k] == codes[np.minimum(start[like[at]] + k, len(codes) - 1)]
         words = [flat[a : a + n] for a, n in zip(start[short[where]].tolist(), length[short[where]].tolist(), strict=True)]
-        long = np.flatnonzero(length > _SHORT)
+        long = np.concatenate([np.flatnonzero(length > _SHORT), short[~same]])
         alone = [self._written(flat[a : a + n]) for a, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
         found = [self.arcs.written(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
         ids = np.concatenate([*(f[0] for f in found), *(np.array(x, np.int64) for x in alone)] or [np.zeros(0, np.int64)])
@@ -559,16 +567,11 @@ class Transducer:
         return data.decode("utf-8", "sp_bytes")
 
 
-#: The worker's transducer by the model's digest, with its remembered paths.
-_compiled: dict[str, Transducer] = {}
-
+def _encode_batches(model):
+    """A task compiles the model for itself: workers that wait for a task hold none."""
 
-def _encode_batches(model, key: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _compiled.get(key)
-        if t is None:
-            _compiled.clear()
-            t = _compiled[key] = Transducer(read_model(model.value))
+        t = Transducer(read_model(model.value))
         spoken, marked = pa.array(t.sounds, pa.binary()), [t.model.dummy_prefix and p.startswith(MARK) for p, *_ in t.model.pieces]
         for part in slices(batches, "__text", _TEXTS):
             bodies = [body or b"" for body in part.column("__text").to_pylist()]
@@ -593,6 +596,8 @@ def _encode_batches(model, key: str):
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in names), pa.array(np.diff(offsets)), lists, pa.array(sha, pa.string()), pa.array(same)], [*names, "n_tokens", "ids", "decoded_sha256", "lossless"]
             )
+        del t, spoken, marked
+        gc.collect()  # its machines refer to each other
         give_back()
 
     return run
@@ -608,6 +613,4 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = MOD
     with open(model_path, "rb") as f:
         data = f.read()
     rows = docs.select("doc_id", utf8().alias("__text"))
-    return rows.mapInArrow(
-        _encode_batches(spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean"
-    )
+    return rows.mapInArrow(_encode_batches(spark.sparkContext.broadcast(data)), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean")

@@ -478,9 +478,9 @@ def similar_components(spark: SparkSession, docs: DataFrame, similarity: float)
     name = F.struct(F.col("doc_id").alias("rep"), "key", "text_hash")
     classes = materialize(spark, keys.where("doc_id is not null").groupBy("key").agg(F.min(name).alias("name"), F.first("sketch").alias("sketch")).withColumn("rep", F.col("name.rep")))
     some = materialize(spark, maybe_near(classes).select("key", "rep", "name", F.xxhash64("key").alias("node")))
-    near = maybe_among(spark, some.select(F.xxhash64("rep").alias("key")))(F.xxhash64("doc_id"))
+    near, _ = maybe_among(spark, some.select(F.xxhash64("rep").alias("key")))(texts, F.xxhash64("doc_id"))
     # a class's shingles come from a text of its smallest id, which may be repeated with other texts
-    sets = texts.where(near).select("doc_id", "text").mapInArrow(_set_batches(SHINGLE, n_words), "doc_id long, key binary, shingles binary, fp array<long>").withColumnRenamed("doc_id", "rep")
+    sets = near.select("doc_id", "text").mapInArrow(_set_batches(SHINGLE, n_words), "doc_id long, key binary, shingles binary, fp array<long>").withColumnRenamed("doc_id", "rep")
     sets = materialize(spark, sets.join(some.select("rep", "key", "node"), ["rep", "key"]).dropDuplicates(["node"]).select("node", "shingles", "fp"))
     loose = link_fingerprints(spark, sets.select(F.col("node").alias("rep"), "fp"), most=most_bits(similarity, n_words * 64), **SIMILAR)
     rows = materialize(spark, loose.join(sets, F.col("id") == F.col("node")).select("component", F.col("node").alias("rep"), "shingles"))
@@ -512,9 +512,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, similarity: float = 0
     found = materialize(spark, found.groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("__stays"), F.count("*").alias("__times")).where("not __stays or __times > 1"))
     listed = found.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "__stays")
     # the rest, most of the documents, meets nothing and isn't shuffled
-    near = maybe_among(spark, listed.select(F.xxhash64("__doc", "__hash").alias("key")))(F.xxhash64("doc_id", F.xxhash64("text")))
+    some, rest = maybe_among(spark, listed.select(F.xxhash64("__doc", "__hash").alias("key")))(docs, F.xxhash64("doc_id", F.xxhash64("text")))
     same = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
-    rest, some = docs.where(~near), docs.where(near)
     out = rest.unionByName(some.join(listed, same, "left_anti"))
     again = listed.where("__stays")
     if again.isEmpty():

@@ -220,10 +220,10 @@ def _cut_texts(window: int):
 def _with_spans(spark: SparkSession, docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """(the documents that surely repeat nothing, the others with their ``__spans``, which may be null)."""
     spans = materialize(spark, repeated_spans(spark, docs, window))
-    touched = maybe_among(spark, spans.select(F.col("doc_key").alias("key")))(F.xxhash64("text"))
+    touched, clean = maybe_among(spark, spans.select(F.col("doc_key").alias("key")))(docs, F.xxhash64("text"))
     spans = spans.select(F.col("doc_id").alias("__doc"), F.col("doc_key").alias("__key"), F.col("spans").alias("__spans"))
-    marked = docs.where(touched).join(spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__doc", "__key")
-    return docs.where(~touched), marked
+    marked = touched.join(spans, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__doc", "__key")
+    return clean, marked
 
 
 def removal_digest(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
