@@ -52,20 +52,20 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
 
 
-def shard_documents(spark: SparkSession, docs: DataFrame, shards: int, bucket_rows: int = 20_000) -> DataFrame:
+def shard_documents(spark: SparkSession, docs: DataFrame, shards: int, bucket_rows: int = 20_000, most_ranges: int = 20_000) -> DataFrame:
     """Every document with its shard, its slot there and its shard when one more is appended.
 
     Columns: doc_id, size (UTF-8 bytes of the text, null: none, plus 8), text_crc32 (of the UTF-8 bytes, null: of none),
     law ``key``, shard, slot (gapless from 0 in each shard), grown_shard.
 
     Slots follow (doc_id, text_crc32, size) at every size: rows are sorted by ranges of (shard, doc_id, text_crc32, size) of about
-    ``bucket_rows`` rows, numbered within a range and offset by the shard's counts in the ranges before it, so no task holds a whole shard. Only
+    ``bucket_rows`` rows (more where that would be over ``most_ranges``), numbered within a range and offset by the shard's counts in the ranges before it, so no task holds a whole shard. Only
     doc_id, two numbers and the shard are shuffled, never texts. Repeated rows share a shard and get slots of their own; null keys count as key 0;
     an empty table gives no rows; other columns are ignored. The result does not depend on partitioning.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.length(body).cast("long") + F.lit(8)).alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
-    ranges = max(1, -(-docs.count() // bucket_rows))
+    ranges = max(1, min(most_ranges, -(-docs.count() // bucket_rows)))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     rows = rows.withColumns({"shard": jump_hash(key, shards), "grown_shard": jump_hash(key, shards + 1)})
     order = [F.col("shard"), F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")]

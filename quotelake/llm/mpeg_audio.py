@@ -7,7 +7,7 @@ APE tags. It yields exact durations (samples and sampling rate) and the byte off
 
 Writer: MPEG 1 layer I, 48 kHz, mono, CRC protected, variable bitrate. A frame's 12 x 32 subband samples take eight bits each
 (bit allocation code 7), so a full frame holds 384 payload bytes; the last one uses as few subbands as it needs and the lowest
-bitrate that fits. A byte 0xFF isn't a legal eight-bit sample code; payloads that hold one are refused (UTF-8 text never does).
+bitrate that fits. A byte 0xFF isn't a legal eight-bit sample code; payloads that hold one are refused. UTF-8 never does, and bytes that are no UTF-8 are read as U+FFFD.
 An ID3v2.4 tag holds the payload's length; a first frame without samples holds a VBRI table.
 """
 
@@ -331,12 +331,21 @@ def pad(body: bytes) -> bytes:
     return body.ljust(max(64, -(-len(body) // 64) * 64), b"\0")
 
 
+def valid(body: bytes) -> bytes:
+    """The bytes if they are UTF-8, else with U+FFFD for what isn't: strings cast from bytes may hold anything."""
+    try:
+        body.decode()
+    except UnicodeDecodeError:
+        return body.decode("utf-8", "replace").encode()
+    return body
+
+
 # ---- columns
 
 
 def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
-        texts = [t or b"" for t in part.column("text").to_pylist()]
+        texts = [valid(t or b"") for t in part.column("text").to_pylist()]
         media = [encode(pad(t)) for t in texts]
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -387,7 +396,7 @@ def probe_media(media: DataFrame) -> DataFrame:
 
 def media_features(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """op2's rows: every text stored as MPEG audio, read back and described. Equal texts give equal values; null counts as empty;
-    repeated rows each give a row; other columns are ignored; an empty table gives an empty table."""
+    repeated rows each give a row; bytes that are no UTF-8 are read as U+FFFD; other columns are ignored; an empty table gives an empty table."""
     stored = encode_texts(docs)
     kinds = "doc_id long, n_bytes long, " + _PROBE + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
     read = stored.mapInArrow(_probe_batches(True), kinds)
@@ -396,4 +405,4 @@ def media_features(spark: SparkSession, docs: DataFrame) -> DataFrame:
         *(F.concat(F.lit(f"{n}="), F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in ("frames", "samples", "sample_rate", "duration_us", "kbps_low", "kbps_high", "table_kind", "table_frames", "crc_checked", "crc_bad", "junk_bytes")),
         F.concat(F.lit("seek="), F.lower(F.hex(F.crc32(F.array_join("seek", ",").cast("binary"))))),
     )
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "duration_us", "frames")
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "duration_us", "frames", "seek")

@@ -438,3 +438,28 @@ def test_mixing_targets_and_rows(spark):
     assert mixed.columns == docs_frame(spark, rows).columns
     assert mixed.count() == sum(x["taken"] // x["size"] for x in got if x["size"]) + mixed.where("doc_id = 5000 or trim(coalesce(text, '')) = ''").count()
     assert mixing.mixing_report(spark, docs_frame(spark, [])).count() == 0
+
+
+def test_stretches_of_one_hash_are_compared(monkeypatch):
+    """With a hash that knows only lengths every stretch meets others."""
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_fst.MODEL_PATH)
+    with open(sentencepiece_fst.MODEL_PATH, "rb") as f:
+        t = sentencepiece_fst.Transducer(sentencepiece_fst.read_model(f.read()))
+    unique = np.unique
+    monkeypatch.setattr(sentencepiece_fst.np, "unique", lambda x, **kw: unique(x % np.uint64(3), **kw) if kw.get("return_inverse") else unique(x, **kw))
+    texts = ["one two three four", "", "five six seven eight nine ten", "a b c d e f g"]
+    ids, ends = t.encode_all(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [sp.encode(x) for x in texts]
+
+
+def test_bytes_that_are_no_text_are_stored_with_replacements(spark):
+    docs = spark.sql("select 1L doc_id, cast(x'ff41' as string) text union all select 2L, '�A' union all select 3L, cast(x'41e2' as string)")
+    got = {r["doc_id"]: (r["n_bytes"], r["payload_sha256"], r["feature"]) for r in mpeg_audio.media_features(spark, docs).collect()}
+    assert got[1] == got[2] and got[1][0] == 4 and got[3][0] == 4
+    assert all(len(r["seek"]) == r["frames"] for r in mpeg_audio.media_features(spark, docs).collect())
+
+
+def test_slots_are_the_same_whatever_the_ranges(spark):
+    docs = docs_frame(spark, [(i % 37, f"text {i % 11}", "en", "s") for i in range(300)])
+    rows = lambda **kw: sorted(map(tuple, jump_sharding.shard_documents(spark, docs, 5, **kw).collect()))
+    assert rows(bucket_rows=10) == rows(bucket_rows=10, most_ranges=3) == rows()
