@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quotelake.functions import text
+from quotelake.functions import arrays, text
 
 # Term buckets in months.
 TERMS = (("1-3", 1, 3), ("4-6", 4, 6), ("7-12", 7, 12), (">12", 13, None))
@@ -90,7 +90,7 @@ def _month_number(name: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in known.items() for x in pair))[name]
 
 
-def _first_date(text_: Column, last_year: Column) -> Column:
+def first_date(text_: Column, last_year: Column) -> Column:
     """The first plausible date among the forms, one after the other, as a struct (date, precision): day.month.year, year-month-day, day month-name year,
     then month-name year and short month-name year, which know the month only."""
     names, short = "|".join(_MONTH_NO), "|".join(sorted(_SHORT_NO, key=len, reverse=True))
@@ -101,13 +101,18 @@ def _first_date(text_: Column, last_year: Column) -> Column:
     ]
 
     def made(pattern: str, places: tuple, precision: str) -> Column:
-        g = lambda i: F.regexp_extract(text_, pattern, i)
-        month = F.coalesce(g(places[1]).try_cast("int"), _month_number(g(places[1])))
-        day = F.lit(1) if places[2] is None else g(places[2]).try_cast("int")
-        year = g(places[0]).try_cast("int")
-        date = F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")), "y-M-d")
-        good = date.isNotNull() & month.isNotNull() & year.between(F.lit(FIRST_YEAR), last_year)
-        return F.when(good, F.struct(date.alias("date"), F.lit(precision).alias("precision")))
+        def read(found: Column) -> Column:
+            g = lambda i: F.regexp_extract(found, pattern, i)
+            month = arrays.let(g(places[1]), lambda m: F.coalesce(m.try_cast("int"), _month_number(m)))
+            return F.struct(g(places[0]).try_cast("int").alias("year"), month.alias("month"), (F.lit(1) if places[2] is None else g(places[2]).try_cast("int")).alias("day"))
+
+        def whole(d: Column) -> Column:
+            date = F.try_to_date(F.concat_ws("-", d["year"].cast("string"), d["month"].cast("string"), d["day"].cast("string")), "y-M-d")
+            good = d["month"].isNotNull() & d["year"].between(F.lit(FIRST_YEAR), last_year)
+            return arrays.let(F.when(good, date), lambda day: F.when(day.isNotNull(), F.struct(day.alias("date"), F.lit(precision).alias("precision"))))
+
+        # the match alone is taken apart
+        return arrays.let(F.regexp_extract(text_, pattern, 0), lambda found: F.when(found != "", arrays.let(read(found), whole)))
 
     return F.coalesce(*(made(*form) for form in forms))
 
@@ -122,7 +127,7 @@ def date_in_text(text_: Column, as_of: Column) -> Column:
 
     def by(name: str, pattern: str) -> Column:
         zones = F.filter(F.regexp_extract_all(flat, F.lit(f"{pattern}(?=(.{{0,{WINDOW}}}))"), F.lit(1)), lambda z: ~z.rlike(r"^\s*pana\s*(?:la|in)\b"))
-        found = F.get(F.filter(F.transform(zones, lambda z: _first_date(z, last_year)), lambda d: d.isNotNull()), F.lit(0))
+        found = F.get(F.filter(F.transform(zones, lambda z: first_date(z, last_year)), lambda d: d.isNotNull()), F.lit(0))
         return F.when(found.isNotNull(), F.struct(found["date"].alias("date"), found["precision"].alias("precision"), F.lit(name).alias("anchor")))
 
     return F.coalesce(*(by(name, pattern) for name, pattern in ANCHORS))
@@ -136,8 +141,8 @@ def date_in_name(name: Column, last_year: int = 2100) -> Column:
     spaced = text.fold(F.regexp_replace(base, "[-_]+", " "))
     g = lambda p, i: F.regexp_extract(base, p, i)
     glued = [(r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", (1, 2, 3)), (r"(?<!\d)(\d{2})(\d{2})(20\d{2})(?!\d)", (3, 2, 1))]
-    joined = F.coalesce(*(_first_date(F.concat_ws("-", g(p, i[0]), g(p, i[1]), g(p, i[2])), limit) for p, i in glued))
-    return F.coalesce(_first_date(low, limit), _first_date(spaced, limit), joined)
+    joined = F.coalesce(*(first_date(F.concat_ws("-", g(p, i[0]), g(p, i[1]), g(p, i[2])), limit) for p, i in glued))
+    return F.coalesce(first_date(low, limit), first_date(spaced, limit), joined)
 
 
 def header_date(value: Column) -> Column:

@@ -155,3 +155,101 @@ def page_links(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
                     best[url] = words
             out.append([{"url": u, "text": t} for u, t in best.items()])
         yield pd.Series(out, dtype=object)
+
+
+#: An element of these kinds is the block of the links in it.
+_ITEM = ("article", "li")
+
+
+class _Ranges(HTMLParser):
+    """Links, blocks and headings with the range of visible text that each covers. A block is an article or list item, or else the element right around a link."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[list] = []  # tag, start, whether a link stands right in it, address
+        self.parts: list[str] = []
+        self.size = self.muted = 0
+        self.links: list[dict] = []
+        self.blocks: list[dict] = []
+        self.headings: list = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in _VOID:
+            return
+        if tag == "li":  # an item ends where its list's next begins
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i][0] in ("ul", "ol"):
+                    break
+                if self.open[i][0] == "li":
+                    self._close(i)
+                    break
+        if tag == "a" and self.open:
+            self.open[-1][2] = True
+        self.open.append([tag, self.size, False, dict(attrs).get("href") if tag == "a" else None])
+        self.muted += tag in NOISE
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                self._close(i)
+                return
+
+    def handle_data(self, data: str) -> None:
+        if not self.muted and not any(o[0] == "title" for o in self.open):
+            self.parts.append(data + " ")
+            self.size += len(data) + 1
+
+    def _close(self, down_to: int) -> None:
+        while len(self.open) > down_to:
+            tag, start, holds, href = self.open.pop()
+            self.muted -= tag in NOISE
+            if self.muted:
+                continue
+            if tag == "a":
+                self.links.append({"href": href, "start": start, "end": self.size})
+            elif tag in _ITEM or holds:
+                self.blocks.append({"start": start, "end": self.size, "item": tag in _ITEM})
+            if tag in ("h1", "h2", "h3", "h4"):
+                self.headings.append((start, self.size))
+
+    def finish(self) -> str:
+        """Closes what is open and gives the text."""
+        self.close()
+        self._close(0)
+        whole = "".join(self.parts)
+        said = lambda a, b: " ".join(whole[a:b].split())
+        for link in self.links:
+            link["text"] = said(link["start"], link["end"])
+        self.headings = [h for h in (said(*r) for r in self.headings) if h]
+        return whole
+
+
+_INTS = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
+_RANGES = T.StructType(
+    [
+        T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(T.StructType([*_struct("url", "text").fields, *_INTS]))),
+        T.StructField("blocks", T.ArrayType(T.StructType([*_INTS, T.StructField("item", T.BooleanType())]))), T.StructField("headings", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+@F.pandas_udf(_RANGES)
+def page_ranges(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """A page's visible text without noise elements, and the ranges in it of its links (absolute addresses) and blocks; its headings of the first four ranks."""
+    for html, base in parts:
+        rows = []
+        for body, own in zip(html, base, strict=True):
+            p = _Ranges()
+            p.feed(body or "")
+            whole = p.finish()
+            links = []
+            for link in p.links:
+                try:
+                    url = urljoin(own or "", (link["href"] or "").strip().split("#")[0])
+                    ok = link["href"] and urlsplit(url).scheme in ("http", "https")
+                except ValueError:
+                    ok = False
+                if ok:
+                    links.append({"url": url, "text": link["text"], "start": link["start"], "end": link["end"]})
+            rows.append((whole, links, p.blocks, p.headings))
+        yield pd.DataFrame(rows, columns=["text", "links", "blocks", "headings"])

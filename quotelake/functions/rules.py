@@ -20,6 +20,11 @@ def first_match(text: Column, rules: Iterable[tuple[str, str]], default: Column
     return chain if default is None else chain.otherwise(default)
 
 
+def first_true(tests: Iterable[tuple[str, Column]]) -> Column:
+    """The name of the first test that holds; null if none does."""
+    return F.coalesce(*(F.when(test, F.lit(name)) for name, test in tests))
+
+
 def all_matches(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """The labels of all rules that match, in order, each once."""
     return F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in rules))))

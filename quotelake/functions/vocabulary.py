@@ -230,6 +230,23 @@ CAMPAIGN_PATHS = (
 )
 CAMPAIGN_WORDS = (r"\bpromo\b", r"castig[ai]\b", r"premii\b", r"bonus-[0-9]")
 
+# Deposits and savings accounts: words, names in running text, what is no name.
+DEPOSIT_WORDS, DEPOSIT_NAME_WORDS = "depozit|economii", 7
+DEPOSIT_NAMES = (
+    r"Depozit(?:ul|ele|)?\s+(?:la\s+Termen|Online|Simplu|[A-ZȚȘĂÂÎ][\wĂÂÎȚȘăâîțș]*(?:\s+[A-ZȚȘĂÂÎ0-9][\wĂÂÎȚȘăâîțș0-9+]*){0,3})",
+    r"Cont(?:ul)?\s+de\s+Economii(?:\s+[A-ZȚȘĂÂÎ][\wĂÂÎȚȘăâîțș]*){0,3}",
+)
+BARE_DEPOSITS = ("depozit", "depozite", "depozitul", "depozitele", "cont de economii", "contul de economii")
+NO_DEPOSIT_NAME = (
+    "^(?:mergi la|vreau |cum |ce |de ce|care este|care sunt|detalii |aplica pentru|cat |in ce|pe ce|unde |cine |daca |prin ce|cati |cate )"
+)
+# Signs of a page of prices, and the words that prove it.
+PRICE_SIGNS = r"tarif|comisio|taxe|lista[-_ ]?de[-_ ]?preturi|documente|informatii[-_ ]?utile|fees|pricing"
+PRICE_PROOF = "comisio|tarif|taxe|pret"
+# Applications: names that many banks have, categories, the market's signs.
+COMMON_NAMES = ("bank", "banca", "banka", "sucursala", "romania", "internet", "grupe", "societe", "generale")
+APP_GENRES, HOME_MARKET, HOME_LANGUAGE = (6015, 6000), r"(?i)(^|[^a-z])ro([^a-z]|$)|roman|rom[âa]nia", "RO"
+
 
 def insensitive(rules: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
     return [(label, I + pattern) for label, pattern in rules]

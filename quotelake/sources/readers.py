@@ -111,3 +111,19 @@ def newest_complete(files: DataFrame, needed: dict[str, str], folder: str = r"^(
     whole = last.groupBy("folder").agg(F.count("*").alias("n")).where(F.col("n") == len(needed))
     newest = whole.agg(F.max_by("folder", F.struct(F.try_to_date(F.regexp_extract("folder", day, 1)), F.col("folder"))).alias("folder"))
     return last.join(F.broadcast(newest), "folder").select("name", "path")
+
+
+def region_stats(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
+    """(creative_id, region, first_shown, last_shown, low, high, regions, surfaces) of a foreign table with an array of structs for each region, which hold an array of surfaces.
+
+    Only the leaves named here are read. ``regions`` counts the creative's regions; ``surfaces`` lists ``name:low-high`` by name.
+    """
+    shown = F.col("r.surface_serving_stats.surface_serving_stats")
+    bound = lambda s, end: F.coalesce(s[f"times_shown_{end}_bound"].cast("string"), F.lit(""))
+    surfaces = F.array_join(F.array_sort(F.transform(shown, lambda s: F.concat(s["surface"], F.lit(":"), bound(s, "lower"), F.lit("-"), bound(s, "upper")))), ";")
+    rows = spark.read.parquet(path).select("creative_id", F.size("region_stats").alias("regions"), F.explode("region_stats").alias("r"))
+    rows = rows if region is None else rows.where(F.col("r.region_code") == region)
+    return rows.select(
+        "creative_id", F.col("r.region_code").alias("region"), F.col("r.first_shown").cast("date").alias("first_shown"), F.col("r.last_shown").cast("date").alias("last_shown"),
+        F.col("r.times_shown_lower_bound").alias("low"), F.col("r.times_shown_upper_bound").alias("high"), "regions", surfaces.alias("surfaces"),
+    )
