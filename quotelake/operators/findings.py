@@ -17,17 +17,19 @@ def _folded(words: Column) -> Column:
 def link_blocks(pages: DataFrame, page: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """(page, page_url, url, title, start, block): each link of each page with the text of its nearest block.
 
-    The nearest block is the innermost article or list item around the link, else the element right around it: ranges of links and blocks meet by page and containment, and of
-    the blocks around a link the best is an aggregate. Null pages hold no link; a page is parsed whole, one at a time.
+    The nearest block is the innermost article or list item around the link, else the element right around it. Links meet the blocks of their own page by containment of ranges
+    within the page's row, so nothing is shuffled and each page is parsed once. Null pages hold no link.
     """
-    parsed = pages.select(page, F.col(url).alias("page_url"), html.page_ranges(F.col(body), F.col(url)).alias("r"))
-    links = parsed.select(page, "page_url", F.posexplode("r.links").alias("no", "l")).select(page, "page_url", "no", "l.url", F.col("l.text").alias("title"), F.col("l.start").alias("a"), F.col("l.end").alias("b"))
-    blocks = parsed.select(F.col(page).alias("__page"), F.col("page_url").alias("__url"), "r.text", F.explode("r.blocks").alias("k"))
-    blocks = blocks.select("__page", "__url", F.col("k.item").alias("item"), F.col("k.start").alias("start"), F.col("k.end").alias("stop"), F.expr("substring(text, k.start + 1, least(k.`end` - k.start, 2000))").alias("block"))
-    around = F.col(page).eqNullSafe(F.col("__page")) & F.col("page_url").eqNullSafe(F.col("__url")) & (F.col("start") <= F.col("a")) & (F.col("stop") >= F.col("b"))
-    met = links.join(blocks, around, "left")
-    best = F.max_by("block", F.struct("item", F.col("start"), -F.col("stop")))
-    return met.groupBy(page, "page_url", "no", "url", "title").agg(F.min("a").alias("start"), best.alias("block")).drop("no")
+    ranges = html.page_ranges.asNondeterministic()  # or the filter that goes before an explode would parse again
+    parsed = pages.select(page, F.col(url).alias("page_url"), ranges(F.col(body), F.col(url)).alias("r"))
+
+    def with_block(link: Column) -> Column:
+        around = F.filter("r.blocks", lambda k: (k["start"] <= link["start"]) & (k["end"] >= link["end"]))
+        nearest = F.array_max(F.transform(around, lambda k: F.struct(k["item"].alias("item"), k["start"].alias("start"), (-k["end"]).alias("back"))))
+        words = arrays.let(nearest, lambda k: F.substring(F.col("r.text"), k["start"] + 1, F.least(-k["back"] - k["start"], F.lit(2000))))
+        return F.struct(link["url"].alias("url"), link["text"].alias("title"), link["start"].alias("start"), words.alias("block"))
+
+    return parsed.select(page, "page_url", F.explode(F.transform("r.links", with_block)).alias("l")).select(page, "page_url", "l.*")
 
 
 def press_in_blocks(pages: DataFrame, as_of: Column, prefix: str | None = None, page: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
