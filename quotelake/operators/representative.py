@@ -6,10 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-#: A cell's range is cut into so many parts to find the one that holds its middle.
-PARTS = 1000
+#: The middle of a cell lies between two approximate quantiles this far from it; the sketch is exact to one in ACCURACY.
+BRACKET, ACCURACY = 0.004, 1000
+#: Rows that tie for the middle are cut by so many approximate quantiles of their first tie column.
+TIE_PARTS = 100
 
 
 def _same(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -19,55 +22,84 @@ def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return on
 
 
-def counted_values(df: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
-    """(cell, value, __c): how often each value occurs, combined before the shuffle. Rows without a value don't count."""
-    return df.where(F.col(value).isNotNull()).groupBy(*cell, value).agg(F.count("*").alias("__c"))
+def _measure(df: DataFrame, column: str) -> Column:
+    """A number that never falls where the column rises: the value itself, a time in seconds, a text's first six bytes."""
+    c, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return c.cast("timestamp").cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.when(c.isNotNull(), F.lit(0.0))
 
 
-def middles(counted: DataFrame, cell: Sequence[str], value: str) -> DataFrame:
-    """(cell as __k0.., __v, __at, n, low, high, mean): each cell's lower middle value, and which of the rows that hold it is the middle one.
+def finite(df: DataFrame, value: str) -> Column:
+    """Does a value count? Nulls, NaN and infinities don't."""
+    c = F.col(value)
+    return c.isNotNull() & (F.abs(c) < float("inf")) & ~F.isnan(c) if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)) else c.isNotNull()
 
-    The cell's range is cut into PARTS; the part that holds the middle is found among at most so many sums, and only that part's values are put in order.
+
+def middle_values(df: DataFrame, cell: Sequence[str], value: str, tie: str, plausible: Column | None = None) -> DataFrame:
+    """(cell as __k0.., __v, __at, __low, __high, n, low, high, mean, implausible): each cell's lower middle value, the middle row's place among the rows that hold it, and
+    bounds of the ``tie`` column's measure between which that row lies (null: none).
+
+    Two passes, both aggregates that combine before the shuffle: sketches of quantiles bracket the middle whatever the values' distribution, then the values within the bracket are
+    counted, and all those below it together. No task sees a cell's rows.
     """
+    counts = finite(df, value) if plausible is None else finite(df, value) & plausible
     keys = [f"__k{i}" for i in range(len(cell))]
-    named = counted.select(*(F.col(c).alias(k) for c, k in zip(cell, keys, strict=True)), F.col(value).alias("__v"), "__c")
+    named = df.withColumns({**{k: F.col(c) for k, c in zip(keys, cell, strict=True)}, "__good": F.coalesce(counts, F.lit(False)), "__x": F.col(value)})
+    v = F.when(F.col("__good"), F.col("__x"))
     whole = named.groupBy(*keys).agg(
-        F.sum("__c").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"), (F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("mean")
-    )
-    right = whole.select(*(F.col(k).alias(f"_{k}") for k in keys), "n", "low", "high", "mean")
-    share = F.try_divide((F.col("__v") - F.col("low")).cast("double"), (F.col("high") - F.col("low")).cast("double"))
-    placed = named.join(right, _same(keys, [f"_{k}" for k in keys])).drop(*(f"_{k}" for k in keys)).withColumn("__part", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * PARTS), F.lit(PARTS - 1)))
-    upto = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
-    sums = placed.groupBy(*keys, "__part", "n").agg(F.sum("__c").alias("__c")).withColumn("__upto", F.sum("__c").over(upto))
+        F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.count_if(finite(df, value) & ~F.col("__good")).alias("implausible"),
+        F.percentile_approx(v, [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("__q"),
+    )
+    bounds = whole.where("n > 0").select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("__q")[0].alias("__from"), F.col("__q")[1].alias("__to"))
+    inside = named.where("__good").join(bounds, _same(keys, [f"_{k}" for k in keys])).where("__x <= __to")
+    held = F.when(F.col("__x") >= F.col("__from"), F.col("__x"))
+    shares = [i / TIE_PARTS for i in range(1, TIE_PARTS)]
+    tied = F.percentile_approx(F.when(held.isNotNull(), _measure(df, tie)), shares, 10 * TIE_PARTS)
+    counted = inside.groupBy(*keys, held.alias("__v")).agg(F.count("*").alias("__c"), tied.alias("__t"), F.count_if(_measure(df, tie).isNull()).alias("__none"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("__upto", F.sum("__c").over(upto)).select(*(F.col(k).alias(f"_{k}") for k in keys), "__v", "__c", "__t", "__none", "__upto")
+    found = whole.join(placed, _same(keys, [f"_{k}" for k in keys]))
     middle = F.floor((F.col("n") + 1) / 2)
-    holds = (F.col("__upto") >= middle) & (F.col("__upto") - F.col("__c") < middle)
-    part = sums.where(holds).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("__part").alias("__p"), (F.col("__upto") - F.col("__c")).alias("__before"))
-    inside = placed.join(part, _same(keys, [f"_{k}" for k in keys]) & (F.col("__part") == F.col("__p"))).drop(*(f"_{k}" for k in keys), "__part", "__p")
-    ordered = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("__upto", F.col("__before") + F.sum("__c").over(ordered))
-    return inside.where(holds).select(*keys, "__v", (middle - (F.col("__upto") - F.col("__c"))).alias("__at"), "n", "low", "high", "mean")
+    at = middle - (F.col("__upto") - F.col("__c"))
+    # rows without a tie come first; the row is in this part of the others or next to it
+    place, others = at - F.col("__none"), F.col("__c") - F.col("__none")
+    part = F.floor(F.try_divide(place * TIE_PARTS, others)).cast("int")
+    low = F.when(place > 0, F.get("__t", part - 3))
+    high = F.when(place > 0, F.get("__t", part + 1)).otherwise(F.lit(float("-inf")))
+    return found.where((F.col("__upto") >= middle) & (at > 0)).select(
+        *keys, "__v", at.alias("__at"), low.alias("__low"), high.alias("__high"), "n", "low", "high", "mean", "implausible"
+    )
 
 
-def representative_rows(df: DataFrame, cell: Sequence[str], value: str, ties: Sequence[str], counted: DataFrame | None = None) -> DataFrame:
-    """For each cell the row at the lower middle of its rows in order of value, then ``ties``; with n, low, high and mean of the cell.
+def representative_rows(df: DataFrame, cell: Sequence[str], value: str, ties: Sequence[str], plausible: Column | None = None) -> DataFrame:
+    """For each cell the row at the lower middle of its rows in order of value, then ``ties``; with n, low, high and mean of the cell, and how many values aren't plausible.
 
-    Rows without a value don't count. ``counted`` may give the cells' ``counted_values``; only rows that hold a middle value are ranked.
+    Rows without a value, with NaN or an infinite one, and those not ``plausible`` don't count. Three passes over ``df``: two find the middle value (``middle_values``), the third
+    ranks the rows that hold it, of which those surely below the middle by their first tie column are only counted: a price that a third of a cell shares is
+    cut like a cell. Rows equal in all columns are one with a count.
     """
-    found = middles(counted_values(df, cell, value) if counted is None else counted, cell, value)
+    found = middle_values(df, cell, value, ties[0], plausible)
     keys = [f"__k{i}" for i in range(len(cell))]
-    rows = df.join(found, (F.col(value) == F.col("__v")) & _same(cell, keys))
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*cell).orderBy(*ties)))
-    return ranked.where("__rn = __at").drop("__rn", "__at", "__v", *keys)
+    tie = _measure(df, ties[0])
+    rows = df.join(found, (F.col(value) == F.col("__v")) & _same(cell, keys)).where(F.col("__high").isNull() | tie.isNull() | (tie <= F.col("__high")))
+    whole = F.struct(*(F.col(t).alias(f"t{i}") for i, t in enumerate(ties)), F.struct(*(F.col(c) for c in df.columns)).alias("row"))
+    # a null tie comes first, so it is below any bound
+    below = F.col("__low").isNotNull() & (tie.isNull() | (tie < F.col("__low")))
+    counted = rows.groupBy(*keys, "__at", "n", "low", "high", "mean", "implausible", F.when(~below, whole).alias("__row")).agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("__row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("__upto", F.sum("__c").over(upto)).where("__upto >= __at and __upto - __c < __at")
+    return ranked.select("__row.row.*", "n", "low", "high", "mean", "implausible")
 
 
 def matrix(df: DataFrame, row: str, column: str, value: str, ties: Sequence[str], cap: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Long form of the matrix row x column: the representative value of each cell among plausible rows, and the counts left out."""
-    counted = counted_values(df, [row, column], value)
-    plausible = F.lit(True) if cap is None else F.col(value) <= cap
-    best = representative_rows(df.where(plausible), [row, column], value, ties, counted.where(plausible))
-    odd = counted.where(~plausible).groupBy(F.col(row).alias("__r"), F.col(column).alias("__s")).agg(F.sum("__c").alias("__odd"))
-    out = best.join(odd, _same([row, column], ["__r", "__s"]), "left")
-    return out.select(row, column, F.col(value).alias("value"), *keep, "n", "low", "high", "mean", F.coalesce("__odd", F.lit(0)).alias("implausible"))
+    best = representative_rows(df, [row, column], value, ties, None if cap is None else F.col(value) <= cap)
+    return best.select(row, column, F.col(value).alias("value"), *keep, "n", "low", "high", "mean", "implausible")
 
 
 def wide(cells: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -229,3 +230,34 @@ def test_most_alike_part_is_another_part(spark, small):
     assert got == sorted(want) and len(got) > 10
     registered = relational.join20_most_alike(spark, small)
     assert registered.where("p_partkey = other_partkey").isEmpty()
+
+
+def plain_middle(rows, cap=None):
+    """The lower middle row of each cell by plain sorting."""
+    cells = {}
+    for k, v, i, tag in rows:
+        if v is not None and v == v and abs(v) != float("inf") and (cap is None or v <= cap):
+            cells.setdefault(k, []).append((v, (i is not None, i), tag))
+    return {k: (sorted(r)[(len(r) + 1) // 2 - 1][0], sorted(r)[(len(r) + 1) // 2 - 1][1][1], len(r)) for k, r in cells.items()}
+
+
+def test_representative_of_outliers_hot_prices_and_odd_values(spark):
+    rng = random.Random(4)
+    rows = [("outlier", rng.random() * 100, i, "a") for i in range(3000)] + [("outlier", 1e12, -1, "a")]
+    rows += [("hot", 7.0 if i % 3 else rng.random() * 14, rng.randrange(10**6), "b") for i in range(6000)]
+    rows += [("one", 7.0, i, "c") for i in range(5000)] + [("equal", 1.0, 5, "d")] * 400 + [("nulltie", 2.0, None if i % 2 else i, "e") for i in range(301)]
+    rows += [("odd", v, i, "f") for i, v in enumerate([float("nan"), float("inf"), float("-inf"), None, 3.0, 4.0])] + [("none", float("nan"), 1, "g"), (None, 5.0, 1, "h"), (None, 6.0, 2, "h")]
+    frame = spark.createDataFrame(rows, "k string, v double, id long, tag string").repartition(5)
+    got = {r["k"]: (r["v"], r["id"], r["n"]) for r in representative.representative_rows(frame, ["k"], "v", ["id", "tag"]).collect()}
+    assert got == plain_middle(rows)
+    capped = representative.matrix(frame, "k", "tag", "v", ["id"], cap=50.0, keep=["id"]).collect()
+    want = plain_middle(rows, 50.0)
+    assert {r["k"]: (r["value"], r["id"], r["n"]) for r in capped} == want
+    assert {r["k"]: r["implausible"] for r in capped}["outlier"] == sum(v > 50 for k, v, *_ in rows if k == "outlier")
+
+
+def test_representative_by_text_and_date_ties(spark):
+    rows = [("c", 1.0, f"name{i % 17:02d}é{i}", datetime.date(2024, 1, 1) + datetime.timedelta(days=i % 40)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k string, v double, s string, d date")
+    by_text, by_date = (representative.representative_rows(frame, ["k"], "v", t).first() for t in (["s", "d"], ["d", "s"]))
+    assert by_text["s"] == sorted(r[2] for r in rows)[999] and (by_date["d"], by_date["s"]) == sorted((r[3], r[2]) for r in rows)[999]
