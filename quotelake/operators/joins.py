@@ -77,9 +77,10 @@ def first_rule(facts: DataFrame, text: str, rules: DataFrame, pattern: str, labe
 def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float = 0.95, ids: tuple[str, str] | None = None) -> DataFrame:
     """For each left row the right row of its block whose text is most alike (matching share of both texts), if at least ``least``.
 
-    Pairs exist only within a block and only if a bound on the share (from both lengths) reaches ``least``: rows meet by length, so others are never
-    formed. The share itself is worked out in Arrow batches. Repeated left rows each stay. ``ids`` (a left and a right column): rows of equal ids
-    aren't compared, and the right id is given too; of equally alike texts the greatest wins, of equal texts the smallest id.
+    Pairs exist only within a block and only if the texts can be so much alike: texts that share at least that part of their characters share one of the few that come first
+    in a common order of all characters (with how often each came before in its text), and rows meet by these, so a block that a third of all rows are in is spread over its characters,
+    and neither all its pairs nor all pairs of one length are formed. The share itself is worked out in Arrow batches. Repeated left rows each stay. ``ids`` (a left and a right column):
+    rows of equal ids aren't compared, and the right id is given too; of equally alike texts the greatest wins, of equal texts the smallest id. Null texts meet nothing.
     """
 
     @F.pandas_udf("double")
@@ -87,16 +88,23 @@ def most_alike(left: DataFrame, right: DataFrame, block: str, a: str, b: str, le
         for x, y in parts:
             yield pd.Series([SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    # the bound 2 min / (min + max) >= least leaves these lengths, and a little more for rounding
-    n, reach = F.length(a), F.lit(least / (2 - least))
-    low, high = F.floor(n * reach - 1e-6).cast("int"), F.ceil(n / reach + 1e-6).cast("int")
+    # two texts so much alike share at least n * least / (2 - least) characters of either
+    def firsts(c: str) -> Column:
+        signs = F.split(F.col(c), "")
+        signs = F.when(F.length(c) > 0, F.filter(signs, lambda x: x != "")).otherwise(F.array().cast("array<string>"))
+        marked = F.transform(signs, lambda x, i: F.struct((-F.size(F.filter(F.slice(signs, 1, i), lambda y: y == x))).alias("before"), x.alias("sign")))
+        n = F.length(c) - F.ceil(F.length(c) * (least / (2 - least)) - 1e-6).cast("int") + 1
+        # a character's later occurrences are rarer, so they come first
+        return F.when(F.length(c) > 0, F.slice(F.array_sort(marked), 1, F.greatest(n, F.lit(1)))).otherwise(F.array(F.struct(F.lit(0).alias("before"), F.lit("").alias("sign"))))
+
     # equal rows are compared once; the last join gives each its best
-    keyed = left.where(F.col(a).isNotNull()).distinct().withColumn("__length", F.explode(F.sequence(low, high)))
-    pairs = keyed.join(right.where(F.col(b).isNotNull()).withColumn("__length", F.length(b)), [block, "__length"])
+    keyed = left.where(F.col(a).isNotNull()).distinct().withColumn("__first", F.explode(firsts(a)))
+    other = right.where(F.col(b).isNotNull()).distinct().withColumn("__first", F.explode(firsts(b)))
+    pairs = keyed.join(other, [block, "__first"]).drop("__first")
     if ids:
         pairs = pairs.where(F.col(ids[0]) != F.col(ids[1]))
-    bound = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
-    scored = pairs.where(bound >= least).withColumn("share", share(F.col(a), F.col(b))).where(F.col("share") >= least)
+    bound = F.coalesce(F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)), F.lit(1.0)) + 1e-9
+    scored = pairs.where(bound >= least).distinct().withColumn("share", share(F.col(a), F.col(b))).where(F.col("share") >= least)
     out = [F.col(b), F.col("share"), *([F.col(ids[1])] if ids else [])]
     best = F.max_by(F.struct(*out), F.struct(F.col("share"), F.col(b), *([-F.col(ids[1])] if ids else []))).alias("__best")
     found = scored.groupBy(*left.columns).agg(best)

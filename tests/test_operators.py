@@ -1,6 +1,7 @@
 """Operators on small tables: quality, changes, joins, summaries, upserts, ads, sources and streams."""
 
 import datetime
+import difflib
 import json
 import random
 
@@ -261,3 +262,20 @@ def test_representative_by_text_and_date_ties(spark):
     frame = spark.createDataFrame(rows, "k string, v double, s string, d date")
     by_text, by_date = (representative.representative_rows(frame, ["k"], "v", t).first() for t in (["s", "d"], ["d", "s"]))
     assert by_text["s"] == sorted(r[2] for r in rows)[999] and (by_date["d"], by_date["s"]) == sorted((r[3], r[2]) for r in rows)[999]
+
+
+def test_most_alike_equals_brute_force(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(0, 24))) for _ in range(60)]
+    near = [w[:k] + rng.choice("xyz") + w[k + 1 :] for w in words for k in [rng.randrange(len(w) + 1)]]
+    left = [(i, "hot" if i % 3 else "b", w) for i, w in enumerate(words + near + [None])]
+    right = [(i, "hot" if i % 3 else "b", w) for i, w in enumerate(near + words + words[:5])]
+    got = joins.most_alike(spark.createDataFrame(left, "a_id int, block string, a string"), spark.createDataFrame(right, "b_id int, block string, b string"), "block", "a", "b", 0.85, ("a_id", "b_id"))
+    found = {r["a_id"]: (r["b"], round(r["share"], 9), r["b_id"]) for r in got.collect()}
+    want = {}
+    for i, block, a in left:
+        scored = [(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio(), b, -j) for j, other, b in right if a is not None and other == block and i != j]
+        best = max((s for s in scored if s[0] >= 0.85), default=None)
+        if best:
+            want[i] = (best[1], round(best[0], 9), -best[2])
+    assert found == want and len(want) > 60
