@@ -55,7 +55,7 @@ def has_item(text: Column, item: str, separator: str = "[|]") -> Column:
 
 def items(text: Column, separator: str = "[|]") -> Column:
     """Trimmed, non-empty items of a delimited text."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def decoded(url: Column, times: int = 2) -> Column:

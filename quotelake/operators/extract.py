@@ -241,12 +241,12 @@ def extract_points(pages: DataFrame, html: str = "html", within: Sequence[str] |
     return best.select(*own, "kind", "lat", "lon", *(f"__b.{c}" for c in rest))
 
 
-def sitemap_entries(files: DataFrame, body: str = "body") -> DataFrame:
-    """(loc, lastmod, is_index) of sitemap files given as text."""
+def sitemap_entries(files: DataFrame, body: str = "body", keep: Sequence[str] = ()) -> DataFrame:
+    """(loc, lastmod, is_index) of sitemap files given as text (see ``readers.unpacked`` for packed ones), after the columns to ``keep``."""
     entries = F.regexp_extract_all(F.col(body), F.lit(r"(?s)(<(?:url|sitemap)>.*?</(?:url|sitemap)>)"), F.lit(1))
     piece = lambda tag: F.trim(text.xml_unescaped(F.regexp_extract("__e", rf"(?s)<{tag}>\s*(.*?)\s*</{tag}>", 1)))
-    rows = files.select(F.col(body).contains("<sitemapindex").alias("is_index"), F.explode(entries).alias("__e"))
-    return rows.select(piece("loc").alias("loc"), F.nullif(piece("lastmod"), F.lit("")).alias("lastmod"), "is_index")
+    rows = files.select(*keep, F.col(body).contains("<sitemapindex").alias("is_index"), F.explode(entries).alias("__e"))
+    return rows.select(*keep, piece("loc").alias("loc"), F.nullif(piece("lastmod"), F.lit("")).alias("lastmod"), "is_index")
 
 
 def robots_verdict(urls: DataFrame, rules_: DataFrame, agent: str) -> DataFrame:

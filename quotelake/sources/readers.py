@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,3 +130,24 @@ def region_stats(spark: SparkSession, path: str, region: str | None = None) -> D
         "creative_id", F.col("r.region_code").alias("region"), F.col("r.first_shown").cast("date").alias("first_shown"), F.col("r.last_shown").cast("date").alias("last_shown"),
         F.col("r.times_shown_lower_bound").alias("low"), F.col("r.times_shown_upper_bound").alias("high"), "regions", surfaces.alias("surfaces"),
     )
+
+
+@F.pandas_udf(T.BinaryType())
+def gzipped(bodies: pd.Series) -> pd.Series:
+    """Bytes packed by gzip; null stays null."""
+    return bodies.map(lambda b: None if b is None else gzip.compress(b, mtime=0))
+
+
+@F.pandas_udf(T.StringType())
+def unpacked(bodies: pd.Series) -> pd.Series:
+    """Bytes as text, unpacked first if they begin as gzip does; damaged ones are null, what is no UTF-8 is replaced."""
+
+    def read(body: bytes | None) -> str | None:
+        if body is None:
+            return None
+        try:
+            return (gzip.decompress(body) if body[:2] == b"\x1f\x8b" else bytes(body)).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):
+            return None
+
+    return bodies.map(read)

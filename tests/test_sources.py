@@ -61,3 +61,15 @@ def test_workbook_rows(spark, tmp_path):
     write(tmp_path / "c.xlsx", {"Mare": [(i, f"<c><v>{i}</v></c>") for i in range(1, 101)]})
     split = spark.read.format("workbook").option("rowsPerPartition", "30").load(str(tmp_path / "c.xlsx"))
     assert split.rdd.getNumPartitions() == 4 and sorted(r["row"] for r in split.collect()) == list(range(1, 101))
+
+
+def test_items_are_trimmed_and_packed_texts_unpacked(spark):
+    import gzip
+
+    from quotelake.functions import text
+    from quotelake.sources import readers
+
+    frame = spark.createDataFrame([(" a | |b c|  ", gzip.compress("é".encode())), (None, b"plain"), ("", gzip.compress(b"x")[:-6]), ("0 1|1 0", None)], "s string, b binary")
+    got = frame.select(text.items(F.col("s")), readers.unpacked("b")).collect()
+    assert [tuple(r) for r in got] == [(["a", "b c"], "é"), ([], "plain"), ([], None), (["0 1", "1 0"], None)]
+    assert [r[0] for r in frame.select(readers.unpacked(readers.gzipped(F.col("b")))).collect()][1] == "plain"
