@@ -43,21 +43,28 @@ def rates_of(line: Column) -> Column:
 
 
 def _with_columns(line: Column, found: Column) -> Column:
-    """Adds the values of the cells that follow the only kind found in a table row."""
+    """Adds the values of a table row's further cells, under the kind of the rate whose wording begins in the label cell and ends in the first value cell."""
     cells = F.split(line, "\t")
-    rest = F.slice(cells, F.lit(3), F.greatest(F.size(cells), F.lit(0)))
-    state = F.struct(F.lit(True).alias("on"), F.array().cast("array<double>").alias("out"))
-    value = lambda c: numbers.decimal_number(numbers.percent(c), True)
+    head = F.concat_ws("\t", F.get(cells, F.lit(0)), F.get(cells, F.lit(1)))
+    across = lambda pattern: F.exists(F.regexp_extract_all(head, F.lit(V.I + pattern), F.lit(0)), lambda m: m.contains("\t"))
+    kind = F.coalesce(*(F.when(across(pattern), F.lit(kind)) for kind, pattern in V.RATES))
+    any_percent = rf"(?<![\d.,])({V.NUMBER})\s*%"
+    state = F.struct(F.lit(True).alias("on"), F.array().cast("array<struct<v:double,i:int>>").alias("out"))
 
     def step(acc: Column, cell: Column) -> Column:
-        on = acc["on"] & (F.length(cell) <= 28) & ~cell.rlike(V.I + V.NEW_LABEL)
-        return F.struct(on.alias("on"), F.when(on & value(cell).isNotNull(), F.array_append(acc["out"], value(cell))).otherwise(acc["out"]).alias("out"))
-
-    more = F.aggregate(rest, state, step, lambda acc: acc["out"])
-    rows = F.transform(more, lambda v, i: _rate(found[0]["kind"], v, column=(i + 2).cast("int")))
-    fresh = F.filter(rows, lambda r: ~F.exists(found, lambda y: F.abs(y["value"] - r["value"]) <= 0.001))
-    first_cell = value(F.get(cells, F.lit(1))).isNotNull() & ~F.get(cells, F.lit(1)).rlike(V.I + V.NEW_LABEL)
-    return F.when((F.size(found) == 1) & (F.size(cells) > 2) & first_cell, F.concat(found, fresh)).otherwise(found)
+        rest = F.trim(F.regexp_replace(cell["c"], any_percent, " "))
+        on = acc["on"] & (F.length(rest) <= 28) & ~rest.rlike(V.I + V.NEW_LABEL)
+        values = F.transform(F.regexp_extract_all(cell["c"], F.lit(any_percent), F.lit(1)), lambda v: F.struct(numbers.decimal_number(v, True).alias("v"), cell["i"].alias("i")))
+        return F.struct(on.alias("on"), F.when(on, F.concat(acc["out"], values)).otherwise(acc["out"]).alias("out"))
+
+    numbered = F.filter(F.transform(cells, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["i"] >= 2)
+    more = F.aggregate(numbered, state, step, lambda acc: acc["out"])
+
+    def add(k: Column) -> Column:
+        near = lambda acc, x: F.exists(acc, lambda y: F.abs(y["value"] - x["v"]) < 0.001)
+        return F.when(k.isNull(), found).otherwise(F.aggregate(more, found, lambda acc, x: F.when(x["v"].isNull() | near(acc, x), acc).otherwise(F.array_append(acc, _rate(k, x["v"], column=x["i"])))))
+
+    return F.when((F.size(cells) > 2) & (F.size(found) > 0), arrays.let(kind, add)).otherwise(found)
 
 
 def extract_rates(lines: DataFrame, line: str = "line") -> DataFrame:

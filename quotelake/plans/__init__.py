@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quotelake.plans.registry import QUERIES, Query
 
-MODULES = ("relational", "scalars", "pages", "events", "domain", "texts", "tariffs", "surveys", "findings", "records")
+MODULES = ("relational", "scalars", "pages", "events", "domain", "texts", "tariffs", "surveys", "findings", "records", "labels")
 
 
 def load() -> dict[str, Query]:
