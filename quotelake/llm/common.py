@@ -228,13 +228,13 @@ class Memo:
             self.values.frombytes(np.ascontiguousarray(values, np.int32).tobytes())
             self.ends.frombytes((self.ends[-1] + np.cumsum(np.asarray(counts, np.int64))).tobytes())
             at = list(map(self.codes.__getitem__, texts))
-        codes, ends = np.array(at, np.int64), np.array(self.ends, np.int64)
+        codes, ends = np.array(at, np.int64), np.frombuffer(self.ends, np.int64)  # a view: it must be gone before the array grows
         return ends[codes], ends[codes + 1] - ends[codes]
 
     def runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The runs of ``texts`` one after another, and the length of each."""
         starts, counts = self.places(texts)
-        return gathered(np.array(self.values, np.int32), starts, counts), counts
+        return gathered(np.frombuffer(self.values, np.int32), starts, counts), counts
 
 
 def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -65,13 +65,9 @@ def mix_sources(spark: SparkSession, sizes: DataFrame, seed: int = SEED, **shari
     targets = source_targets(spark, sizes, **sharing)
     right = targets.select(F.col("source").alias("__s"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return (
-        sizes.join(right, F.col("source").eqNullSafe(F.col("__s")))
-        .drop("__s")
-        .withColumn("__rate", rate)
-        .withColumn("copies", (F.floor("__rate") + (draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int"))
-        .drop("__rate")
-    )
+    copies = (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("int")
+    joined = sizes.join(right, F.col("source").eqNullSafe(F.col("__s")))
+    return joined.select(*(F.col(f"`{c}`") for c in sizes.columns), "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED, **sharing) -> DataFrame:
@@ -79,15 +75,10 @@ def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = SEED, **shar
     sizes = docs.select("source", n_words(F.col("text")).alias("size"))
     targets = source_targets(spark, sizes, **sharing).select(F.col("source").alias("__s"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
     rate = F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(F.lit(0.0))
-    copies = (F.floor("__rate") + (draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate")).cast("long")).cast("int")
-    return (
-        docs.join(targets, F.col("source").eqNullSafe(F.col("__s")))
-        .withColumn("__rate", rate)
-        .withColumn("__copies", copies)
-        .where("__copies > 0")
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-        .select(docs.columns)
-    )
+    copies = (F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")).cast("int")
+    # a row's columns travel as one, so that their names can't clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "source", "doc_id").join(targets, F.col("source").eqNullSafe(F.col("__s")))
+    return rows.select("__row", copies.alias("__copies")).where("__copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
 
 
 def mixing_report(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quotelake.llm import queries, sentencepiece_fst
+from quotelake.llm import mixing, queries, sentencepiece_fst, simhash
 from quotelake.llm.common import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,3 +95,67 @@ def test_query_equals_sql(spark, small, name):
 
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
+
+
+def brute_components(texts):
+    """Smallest id reachable by pairs of similarity 0.8 or more of distinct five-word shingles, by an inverted index in plain Python."""
+    sets = {}
+    for i, t in texts.items():
+        words = WORD.findall(t or "")
+        sets[i] = frozenset(" ".join(words[k : k + 5]) for k in range(len(words) - 4)) or frozenset([" ".join(words)])
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    pairs = 0
+    for i, s in sets.items():
+        shared = {}
+        for x in s:
+            for j in holders[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if n / (len(s) + len(sets[j]) - n) >= 0.8:
+                pairs += 1
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in sets}, pairs
+
+
+def test_near_dedup_misses_no_pair_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want, pairs = brute_components({r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(spark, docs.select("doc_id", "text"), 0.8).collect()}
+    assert got == want and pairs > 80
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "en", None, 0)], [(None, None, None, None, None), (None, "", "en", "s", 0), (3, "  ", "fr", "s", 2), (3, "  ", "fr", "s", 2), (4, "word " * 80, "en", None, 400), (5, "word " * 80, "en", "t", 400)]])
+def test_stages_on_empty_and_odd_tables(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = materialize(spark, stage(spark, docs, str(tmp_path)))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert docs.count() <= 2 * before
+    assert docs.columns[:2] == ["doc_id", "n_tokens"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_mixing_keeps_columns_that_clash(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}", "s" if i % 3 else None, 1, 2, 3) for i in range(60)], "doc_id long, text string, source string, __rate int, __copies int, __size int")
+    mixed = mixing.mix_documents(spark, docs)
+    assert mixed.columns == docs.columns and {(r["__rate"], r["__copies"], r["__size"]) for r in mixed.collect()} == {(1, 2, 3)}
+    sizes = docs.select("doc_id", "source", F.lit(3).cast("long").alias("size"), "__rate")
+    assert {r["__rate"] for r in mixing.mix_sources(spark, sizes).collect()} == {1}
