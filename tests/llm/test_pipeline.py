@@ -101,7 +101,7 @@ def brute_components(texts):
     """Smallest id reachable by pairs of similarity 0.8 or more of distinct five-word shingles, by an inverted index in plain Python."""
     sets = {}
     for i, t in texts.items():
-        words = WORD.findall(t or "")
+        words = WORD.findall((t or "").encode().lower().decode())  # A-Z only
         sets[i] = frozenset(" ".join(words[k : k + 5]) for k in range(len(words) - 4)) or frozenset([" ".join(words)])
     holders = {}
     for i, s in sets.items():
