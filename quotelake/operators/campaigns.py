@@ -100,9 +100,11 @@ def _period(t: Column, year: Column | None, label: bool) -> Column:
     implied = F.lit(None).cast("int") if year is None else year
 
     def ranged(place: Column) -> Column:
-        found, at = place["found"], place["at"]
         split = rf"^({_FULL}|{_NAMED}|{_SHORT}|\d{{1,2}}){_HOUR}{_BETWEEN}({_FULL}|{_NAMED}|{_SHORT})$"
-        a, b = _end(F.regexp_extract(found, split, 1)), _end(F.regexp_extract(found, split, 2))
+        ends = F.struct(_end(F.regexp_extract(place["found"], split, 1)).alias("a"), _end(F.regexp_extract(place["found"], split, 2)).alias("b"))
+        return arrays.let(ends, lambda e: dated(place["at"], e["a"], e["b"]))
+
+    def dated(at: Column, a: Column, b: Column) -> Column:
         end_year = F.coalesce(b["year"], implied)
         start_month = F.coalesce(a["month"], b["month"])
         earlier = (start_month < b["month"]) | ((start_month == b["month"]) & (a["day"] <= b["day"]))
@@ -110,22 +112,29 @@ def _period(t: Column, year: Column | None, label: bool) -> Column:
         near = F.substring(t, F.greatest(at - 120, F.lit(1)), F.least(at, F.lit(120)) + 20).rlike(ANCHOR) | F.lit(label)
         return F.struct((~near).alias("loose"), at.alias("at"), _date(start_year, start_month, a["day"]).alias("start"), _date(end_year, b["month"], b["day"]).alias("end"), b["year"].isNull().alias("deduced"))
 
-    every = F.filter(F.transform(text.located(t, _RANGE), ranged), lambda x: x["start"].isNotNull() & x["end"].isNotNull() & (x["start"] <= x["end"]))
+    every = F.filter(F.transform(text.located(t, _RANGE, 1), ranged), lambda x: x["start"].isNotNull() & x["end"].isNotNull() & (x["start"] <= x["end"]))
     single = rf"({_FULL}|\d{{1,2}} {_MONTH} \d{{4}})"
-    value = lambda piece: _date(_end(piece)["year"], _end(piece)["month"], _end(piece)["day"])
-    until_text = F.regexp_extract(t, rf"{UNTIL}{single}", 1)
-    before = F.regexp_extract(t, rf"(.{{0,120}}?){UNTIL}{single}", 1)
-    until = F.when(before.rlike(ANCHOR) & ~before.rlike(EXAMPLE), value(until_text))
+    value = lambda piece: arrays.let(_end(piece), lambda e: _date(e["year"], e["month"], e["day"]))
+
+    def ending(at: Column) -> Column:
+        before = F.substring(t, F.greatest(at - 120, F.lit(1)), F.least(at - 1, F.lit(120)))
+        return F.when((at > 0) & before.rlike(ANCHOR) & ~before.rlike(EXAMPLE), value(F.regexp_extract(t, rf"{UNTIL}{single}", 1)))
+
+    until = arrays.let(F.regexp_instr(t, F.lit(rf"{UNTIL}{single}")), ending)
     since = value(F.regexp_extract(t, rf"{SINCE}{single}.{{0,300}}?{UNTIL}{single}", 1))
     days = F.regexp_extract_all(t, F.lit(single), F.lit(1))
     day = F.when(F.size(days) == 1, value(F.get(days, F.lit(0)))) if label else F.lit(None).cast("date")
     make = lambda start, end, anchored, deduced, one: F.struct(start.alias("start"), end.alias("end"), anchored.alias("anchored"), deduced.alias("year_deduced"), one.alias("one_day"))
     no, yes = F.lit(False), F.lit(True)
+
+    def alone(d: Column) -> Column:
+        span = make(F.when(d["since"] <= d["until"], d["since"]), d["until"], yes, no, no)
+        return F.when(d["until"].isNotNull(), span).when(d["day"].isNotNull(), make(d["day"], d["day"], yes, no, yes))
+
     return arrays.let(
         F.get(F.array_sort(every), F.lit(0)),
         lambda first: F.when(first.isNotNull(), make(first["start"], first["end"], ~first["loose"], first["deduced"], no))
-        .when(until.isNotNull(), make(F.when(since <= until, since), until, yes, no, no))
-        .when(day.isNotNull(), make(day, day, yes, no, yes)),
+        .otherwise(arrays.let(F.struct(until.alias("until"), since.alias("since"), day.alias("day")), alone)),
     )
 
 
@@ -168,18 +177,23 @@ def organiser(words: Column, banks: Sequence[str] = (), groups: Sequence[str] =
     """banca, grup, schema_card or partener by the first entity after the first mention of an organiser (patterns over folded text); null without one. Names in
     quotation marks don't count, and what follows the first legal form neither; at one place the longer name wins."""
     t = F.left(flat(words), F.lit(4000))
-    window = F.regexp_replace(F.regexp_extract(t, rf"(?:{ORGANISER})(.{{0,300}})", 1), "[„\"“«][^„\"“”«»]{0,200}[”\"“»]", " ")
-    formed = window.rlike(LEGAL_FORM)
-    near = F.when(formed, F.regexp_extract(window, rf"^(.*?{LEGAL_FORM})", 1)).otherwise(window)
+    after = F.regexp_replace(F.regexp_extract(t, rf"(?:{ORGANISER})(.{{0,300}})", 1), "[„\"“«][^„\"“”«»]{0,200}[”\"“»]", " ")
     named = [(kind, p) for kind, patterns in (("grup", groups), ("banca", banks), ("schema_card", (SCHEME,))) for p in patterns]
-    found = F.array(*(F.struct(F.regexp_instr(near, F.lit(p)).alias("at"), (-F.length(F.regexp_substr(near, F.lit(p)))).alias("n"), F.lit(kind).alias("kind")) for kind, p in named))
-    best = F.get(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), F.lit(0))["kind"]
-    return F.coalesce(best, F.when(formed, "partener"))
+
+    def first_named(near: Column) -> Column:
+        found = F.array(*(F.struct(F.regexp_instr(near, F.lit(p)).alias("at"), (-F.length(F.regexp_substr(near, F.lit(p)))).alias("n"), F.lit(kind).alias("kind")) for kind, p in named))
+        return F.get(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), F.lit(0))["kind"]
+
+    def of(window: Column) -> Column:
+        formed = F.nullif(F.regexp_extract(window, rf"^(.*?{LEGAL_FORM})", 1), F.lit(""))
+        return arrays.let(formed, lambda f: F.coalesce(arrays.let(F.coalesce(f, window), first_named), F.when(f.isNotNull(), "partener")))
+
+    return arrays.let(after, of)
 
 
 def has_added_act(words: Column) -> Column:
     """Is there an additional act or an extension, not only the possibility of one?"""
-    return F.coalesce(flat(words).rlike(rf"(?<!(?:{CONDITION}).{{0,80}})(?:{ADDED_ACT})"), F.lit(False))
+    return F.coalesce(flat(words).rlike(rf"(?=(?:{ADDED_ACT}))(?<!(?:{CONDITION}).{{0,80}})"), F.lit(False))
 
 
 def is_open_ended(words: Column) -> Column:

@@ -110,30 +110,30 @@ def fees_of(line: Column) -> Column:
     """
     percent, amount = r"(?<![\d.,])(\d{1,3}(?:[.,]\d+)?)\s*%", rf"(?<!\d)(?<!\d[.,])({V.MONEY})\s*({V.MONEY_WORD})"
     inverse = rf"(?:^|\b(?:min|max|minim|maxim|minimum|maximum)\b\.?)\s*({V.MONEY_WORD})\s+({V.MONEY})"
-    scan = rf"{V.I}(?s).*?(?:{percent}|{amount}(?!\p{{L}})|{inverse}(?![\d.,])(?!\s*{V.MONEY_WORD}(?!\p{{L}})))"
+    scan = rf"{V.I}{percent}|{amount}(?!\p{{L}})|{inverse}(?![\d.,])(?!\s*{V.MONEY_WORD}(?!\p{{L}}))"
     currencies = F.create_map(*(F.lit(x) for pair in V.CURRENCIES.items() for x in pair))
-    part = lambda piece, pattern, k: F.regexp_extract(piece, rf"{V.I}(?s){pattern}$", k)
+    part = lambda piece, pattern, k: F.regexp_extract(piece, rf"{V.I}^{pattern}$", k)
 
-    def figure(piece: Column) -> Column:
-        """The figure at the end of a piece: its text, its number, its currency."""
-        sign = F.when(piece.endswith("%"), "p").when(piece.rlike(rf"{V.I}{V.MONEY_WORD}$"), "a").otherwise("i")
-        number = F.when(sign == "p", part(piece, percent, 1)).when(sign == "a", part(piece, amount, 1)).otherwise(part(piece, inverse, 2))
-        currency = F.when(sign == "a", part(piece, amount, 2)).when(sign == "i", part(piece, inverse, 1))
-        whole = F.when(sign == "p", part(piece, percent, 0)).when(sign == "a", part(piece, amount, 0)).otherwise(number)
-        return F.struct((sign == "p").alias("percent"), number.alias("number"), currencies[F.lower(currency)].alias("currency"), (F.length(piece) - F.length(whole)).alias("at"))
+    def figure(found: Column) -> Column:
+        """A figure's number and currency, and where in it the number stands."""
+        sign = F.when(found.endswith("%"), "p").when(found.rlike(rf"{V.I}{V.MONEY_WORD}$"), "a").otherwise("i")
+        number = F.when(sign == "p", part(found, percent, 1)).when(sign == "a", part(found, amount, 1)).otherwise(part(found, inverse, 2))
+        currency = F.when(sign == "a", part(found, amount, 2)).when(sign == "i", part(found, inverse, 1))
+        skip = F.when(sign == "i", F.length(found) - F.length(number)).otherwise(0)
+        return F.struct((sign == "p").alias("percent"), number.alias("number"), currencies[F.lower(currency)].alias("currency"), skip.alias("skip"))
 
-    def step(state: Column, piece: Column) -> Column:
+    def fee(place: Column) -> Column:
         def read(m: Column) -> Column:
-            seen = F.right(F.concat(state["seen"], F.substring(piece, F.lit(1), m["at"])), F.lit(V.ROLE_REACH))
+            at = place["at"] + m["skip"]
+            seen = F.substring(line, F.greatest(at - V.ROLE_REACH, F.lit(1)), F.least(at - 1, F.lit(V.ROLE_REACH)))
             said = F.lower(F.try_element_at(F.regexp_extract_all(seen, F.lit(V.I + V.ROLE), F.lit(1)), F.lit(-1)))
             role = arrays.let(said, lambda w: F.when(w.startswith("min") | w.contains("pu"), "min").when(w.isNotNull(), "max"))
             value = F.when(m["percent"], numbers.decimal_number(m["number"], True)).otherwise(numbers.decimal_number(m["number"]))
             return F.struct(F.when(m["percent"], "comision_procent").otherwise("comision_suma").alias("kind"), value.alias("value"), m["currency"].alias("currency"), role.alias("role")).cast(_FEE)
 
-        return F.struct(F.right(F.concat(state["seen"], piece), F.lit(V.ROLE_REACH)).alias("seen"), F.array_append(state["found"], arrays.let(figure(piece), read)).alias("found"))
+        return arrays.let(figure(place["found"]), read)
 
-    start = F.struct(F.lit("").alias("seen"), F.array().cast(f"array<{_FEE}>").alias("found"))
-    found = F.aggregate(F.regexp_extract_all(line, F.lit(scan), F.lit(0)), start, step, lambda state: F.filter(state["found"], lambda f: f["value"].isNotNull()))
+    found = F.filter(F.transform(text.located(line, scan), fee), lambda f: f["value"].isNotNull())
     included = (line.rlike(V.I + V.FREE) | line.rlike(V.I + V.FREE_INCLUDED) | line.rlike(V.FREE_INCLUDED_LOWER)) & ~line.rlike(r"\d") & ~line.rlike(V.I + V.INCLUDED_HEADING)
     none = F.lit(None).cast("string")
     free = F.array(F.struct(F.lit("gratuit").alias("kind"), F.lit(0.0).alias("value"), none.alias("currency"), none.alias("role")).cast(_FEE))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.functions import numbers
+from quotelake.functions import arrays, numbers
 from quotelake.functions import vocabulary as V
 from quotelake.operators import campaigns, extract, normalise
 from quotelake.plans.registry import query, table
@@ -80,11 +80,14 @@ def ext13_ext16_campaign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.concat_ws(" ", act, F.lit(". Bun venit la campania noastră de toamnă."), benefit, organiser, F.lit(". Capital social 1000 lei."), span)
     title = F.when(status == "F", "Oferta pentru companii").when(status == "O", "Oferta pentru persoane fizice").otherwise("Oferta")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", words.alias("words"), title.alias("title"))
-    p = campaigns.period(F.col("words"))
-    return rows.select(
-        "o_orderkey", campaigns.benefit(F.col("words")).alias("benefit"), campaigns.organiser(F.col("words"), ["raiffeisen bank"], []).alias("organiser"), campaigns.has_added_act(F.col("words")).alias("act"),
-        campaigns.is_open_ended(F.col("words")).alias("open"), p["start"].alias("start"), p["end"].alias("end"), campaigns.segment(F.lit("https://b.ro/x"), F.col("title")).alias("segment"),
-    )
+
+    def read(w: Column) -> Column:
+        return F.struct(
+            campaigns.benefit(w).alias("benefit"), campaigns.organiser(w, ["raiffeisen bank"], []).alias("organiser"), campaigns.has_added_act(w).alias("act"), campaigns.is_open_ended(w).alias("open"), campaigns.period(w).alias("p")
+        )
+
+    found = rows.select("o_orderkey", arrays.let(F.col("words"), read).alias("r"), campaigns.segment(F.lit("https://b.ro/x"), F.col("title")).alias("segment"))
+    return found.select("o_orderkey", "r.benefit", "r.organiser", "r.act", "r.open", "r.p.start", "r.p.end", "segment")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN l_quantity * 1000 WHEN 'R' THEN l_quantity * 1000000 ELSE l_quantity END AS n, l_quantity + 0.5 AS share, round(l_extendedprice / 100, 6) AS rate,
