@@ -9,22 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions import arrays
+from quotelake.functions import arrays, text
 from quotelake.functions import vocabulary as V
 
 _SEGMENT = "struct<kind:string,fragment:string,concept:string,value:double,term:string,detail:string,reason:string>"
 #: The pattern's groups that are used.
-_GROUPS = ((1, "gap"), (2, "fee"), (4, "first"), (5, "pair"), (6, "term"), (7, "no_end"), (9, "free"))
+_GROUPS = ((1, "fee"), (3, "first"), (4, "pair"), (5, "term"), (6, "no_end"), (8, "free"))
 
 
 def _figures() -> str:
-    """All figures in one pattern; the group before each is the text since the last one."""
+    """All figures in one pattern."""
     n, times = V.CATALOGUE_NUMBER, V.CATALOGUE_TIMES
     fee = rf"\b{V.SUBSCRIPTION}(?:\s+\p{{L}}+)?\s+({n})\s*lei\s*/\s*lun[ăa]\b"
     rate = rf"~?({n})\s*%(\s*/\s*~?(?:{n})\s*%)?(?:\s*p\.\s?a\.)?(?:\s+(?:la\s+)?(\d+(?:\s*[-–]\s*\d+)?\s+luni)\b|\s+(nelimitat))?"
     span = rf"(~?(?:{n})\s*%?\s*[–-]\s*~?(?:{n})\s*%)"
     amount = rf"~?(?:{n})(?:{times}(?:\s*[–-]\s*~?(?:{n})(?:{times})?)?(?:\s*{V.CATALOGUE_MONEY})?|\s*[–-]\s*~?(?:{n}){times}(?:\s*{V.CATALOGUE_MONEY})?|(?:\s*[–-]\s*~?(?:{n}))?\s*{V.CATALOGUE_MONEY})"
-    return rf"{V.I}(?s)(.*?)(?:{fee}|{span}|{rate}|(?<![\d.,])({amount})|({V.CATALOGUE_FREE}))"
+    return rf"(?:{fee}|{span}|{rate}|(?<![\d.,])({amount})|({V.CATALOGUE_FREE}))"
 
 
 def single_term(*words: Column) -> Column:
@@ -57,16 +57,17 @@ def catalogue_segments(words: Column, name: Column, category: Column) -> Column:
     def number(s: Column) -> Column:
         return F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
 
-    def parsed(piece: Column) -> Column:
-        """A piece of the text up to and with its figure, taken apart."""
-        group = lambda k: F.regexp_extract(piece, pattern, k)
-        return F.struct(piece.alias("whole"), *(group(k).alias(n) for k, n in _GROUPS))
+    def parsed(state: Column, place: Column) -> Column:
+        """A figure taken apart, and the text since the last one."""
+        group = lambda k: F.regexp_extract(place["found"], rf"{V.I}^{pattern}$", k)
+        gap = F.substring(whole, state["at"] + 1, place["at"] - 1 - state["at"])
+        return F.struct(place["found"].alias("figure"), gap.alias("gap"), *(group(k).alias(n) for k, n in _GROUPS))
 
-    def step(state: Column, piece: Column) -> Column:
-        return arrays.let(parsed(piece), lambda m: read_piece(state, m))
+    def step(state: Column, place: Column) -> Column:
+        return arrays.let(parsed(state, place), lambda m: read_piece(state, m))
 
     def read_piece(state: Column, m: Column) -> Column:
-        gap, figure = m["gap"], F.substring(m["whole"], F.length(m["gap"]) + 1, F.length(m["whole"]))
+        gap, figure = m["gap"], m["figure"]
         word = F.regexp_extract(gap, rf"{V.I}(?s)^.*({V.INTEREST})", 1)
         link = F.when(word != "", F.regexp_extract(gap, rf"{V.I}(?s)^.*{V.INTEREST}(.*)$", 1)).otherwise(gap)
         ended = link.rlike(V.CLAUSE_END)
@@ -88,10 +89,10 @@ def catalogue_segments(words: Column, name: Column, category: Column) -> Column:
             .otherwise(segment("unread", figure, reason=unread_reason(before, after, figure)))
         )
         found = F.concat(state["found"], F.when(gap != "", F.array(segment("text", gap))).otherwise(F.array().cast(f"array<{_SEGMENT}>")), F.array(read))
-        return F.struct(F.when(is_rate, concept).alias("open"), (state["at"] + F.length(m["whole"])).alias("at"), found.alias("found"))
+        return F.struct(F.when(is_rate, concept).alias("open"), (state["at"] + F.length(gap) + F.length(figure)).alias("at"), found.alias("found"))
 
     start = F.struct(none.alias("open"), F.lit(0).alias("at"), F.array().cast(f"array<{_SEGMENT}>").alias("found"))
-    done = F.aggregate(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), start, step)
+    done = F.aggregate(text.located(whole, V.I + pattern), start, step)
 
     def finished(d: Column) -> Column:
         rest = F.substring(whole, d["at"] + 1, F.length(whole))
