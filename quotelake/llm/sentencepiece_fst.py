@@ -2,8 +2,9 @@
 
 The model is compiled to machines given by their arcs: the normaliser (a trie of its character map, longest path first), the
 pieces (a trie whose paths write a piece at a weight), byte fallback (a character that is no piece is read as its bytes), and
-for a merge model the acceptor of neighbours. They are composed with each input on the fly, and the encoding is the shortest
-path in the tropical semiring, found by one best-first search for both kinds of model.
+for a merge model the acceptor of neighbours. The normaliser and byte fallback have exactly one path for each input and no weights, so
+composing them with the rest changes no path's weight: the normaliser is run before the search, and bytes are written after it. The pieces and the acceptor
+are composed with the normalised input on the fly, and the encoding is the shortest path in the tropical semiring.
 
 * Unigram models: a piece weighs its negated score; a character without a piece costs the model's lowest score less 10.
 * Merge (BPE) models: scores order merges and don't add up, so pieces weigh 0 and the borders decide. A sequence of pieces is the
