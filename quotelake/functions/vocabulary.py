@@ -59,6 +59,11 @@ PRODUCTS = (
     ("card_debit", r"card\w*\s+de\s+debit|debit\s+cards?"),
     ("cont_curent", r"cont\w*\s+curent|current\s+accounts?|cont\s+de\s+pl[ăa][țt]i|pachet\w*\s+(de\s+)?cont|cont\s+bancar|cont\s+imm|business\s+accounts?"),
 )
+# Segments of rates.
+RATE_SEGMENTS = (
+    ("pj", r"persoane\s+juridice|\bIMM\b|\bPFA\b|companii|firm[ăa]|firme|business|corporate|profesii\s+liberale|\bSRL\b|for\s+business"),
+    ("pf", r"persoane\s+fizice|private\s+individuals"),
+)
 # Segments in document names; letters may not touch them, marks and digits may.
 NAME_SEGMENTS = (
     ("pj", r"(?<![a-z])(pj|imm|pfa|corporate|companii|firme|business)(?![a-z])|persoane[\W_]*juridice"),

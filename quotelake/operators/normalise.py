@@ -71,6 +71,19 @@ def rate_product(words: Column, page: Column) -> Column:
     return F.coalesce(rules.first_match(words, V.insensitive(V.PRODUCTS)), rules.first_match(page, V.insensitive(V.PRODUCTS)))
 
 
+def rate_segment(words: Column, page: Column, category: Column) -> Column:
+    """The segment of a rate by its text and its page together; a page of the business category without one is for legal persons."""
+    found = rules.first_match(F.concat_ws(" ", words, page), V.insensitive(V.RATE_SEGMENTS))
+    return F.coalesce(found, F.when(category == "business", "pj"))
+
+
+def canonical_product(words: Column, page: tuple[Column, ...], category: Column) -> Column:
+    """Struct (product, segment) of a rate from the web: by its own text, which is the evidence at hand, else by its page (title, address, category); dashes are blanks."""
+    plain = lambda c: F.translate(F.coalesce(c, F.lit("")), "-", " ")
+    text_, around = plain(words), F.concat_ws(" ", *map(plain, page), plain(category))
+    return F.struct(rate_product(text_, around).alias("product"), rate_segment(text_, around, category).alias("segment"))
+
+
 def name_segment(name: Column) -> Column:
     """The segment in a document's name; letters on either side don't count as a border."""
     return rules.first_match(F.lower(name), V.NAME_SEGMENTS)

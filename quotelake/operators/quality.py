@@ -89,6 +89,22 @@ def mark_copies(df: DataFrame, content: str, name: str) -> DataFrame:
     return joined.withColumn("copy_of", F.when(F.col("__best.name") != F.col(name), F.col("__best.name"))).select(*df.columns, "copy_of")
 
 
+def document_states(df: DataFrame, content: str, name: str, family: str, day: str, as_of: Column) -> DataFrame:
+    """Adds state, copy_of and replaced_by to documents: DUBLURA for copies (see ``mark_copies``), VIITOR for those of a day to come, DATA_NECUNOSCUTA without a day, ISTORIC for those of a family
+    that has a newer one in force, else IN_VIGOARE.
+
+    Copies and future documents outdate nothing, and one without a day neither outdates nor is outdated. Families are one aggregate, joined back; documents without a family are
+    alone, and null contents no copies.
+    """
+    marked = mark_copies(df, content, name)
+    state = F.when(F.col("copy_of").isNotNull(), "DUBLURA").when(F.col(day).isNull(), "DATA_NECUNOSCUTA").when(F.col(day) > as_of, "VIITOR").otherwise("IN_VIGOARE")
+    marked = marked.withColumn("state", state)
+    newest = marked.where(F.col("state") == "IN_VIGOARE").groupBy(F.col(family).alias("__family")).agg(F.max(day).alias("__newest"))
+    joined = marked.join(newest, F.col(family) == F.col("__family"), "left")
+    old = (F.col("state") == "IN_VIGOARE") & (F.col(day) < F.col("__newest"))
+    return joined.select(*df.columns, F.when(old, "ISTORIC").otherwise(F.col("state")).alias("state"), "copy_of", F.when(old, F.col("__newest")).alias("replaced_by"))
+
+
 def queue(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:
     """Rows that fail a check, with the first that fails as ``motive``."""
     chain = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotelake.functions import arrays, numbers
 from quotelake.functions import vocabulary as V
-from quotelake.operators import campaigns, extract, normalise
+from quotelake.operators import campaigns, extract, normalise, quality
 from quotelake.plans.registry import query, table
 
 #: Services by p_size: label, section, table column, concept. A label takes the part's name with it.
@@ -122,3 +122,29 @@ def d02_channel_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The channel that a service's label names, between the part's brand and name."""
     said = F.coalesce(*(F.when(F.col("p_type") == t, w) for t, (w, _) in zip(("ECONOMY", "STANDARD", "PROMO", "LARGE", "MEDIUM"), _WORDS, strict=True)), F.lit(""))
     return table(spark, sf_dir, "part").select("p_partkey", normalise.channel(F.concat_ws(" ", "p_brand", said, "p_name")).alias("channel"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN 'noua_casa' WHEN p_size < 20 THEN 'credit_auto' WHEN p_size < 30 THEN 'depozit_termen' WHEN p_size < 40 THEN 'card_credit' END AS product,
+  CASE WHEN p_size < 10 THEN 'pf' WHEN p_size < 20 OR p_type = 'PROMO' THEN 'pj' WHEN p_type = 'ECONOMY' THEN 'pf' END AS segment FROM part""")
+def d04_canonical_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate's product by its own text before its page's title, address and category; its segment by all of them, business pages for legal persons."""
+    size, name = F.col("p_size"), F.col("p_name")
+    words = F.concat(F.when(size < 10, "Dobândă pentru Noua Casă, persoane fizice").when(size < 20, "Credit pentru mașini, firme").otherwise("Dobândă de 5%"), F.lit(" "), name)
+    title = F.concat(F.when(size < 20, "Depozite la termen").when(size < 30, "Depozit la termen").when(size < 40, "Carduri").otherwise("Pagina"), F.lit(" "), name)
+    url = F.concat(F.lit("https://b.ro/"), F.when(size.between(30, 39), "carduri-de-credit").otherwise("x"), F.when((F.col("p_type") == "ECONOMY") & (size >= 20), "/persoane-fizice").otherwise(""))
+    category = F.when(F.col("p_type") == "PROMO", "business").otherwise("altele")
+    return table(spark, sf_dir, "part").select("p_partkey", normalise.canonical_product(words, (title, url), F.when(size >= 10, category).otherwise("altele")).alias("c")).select("p_partkey", "c.*")
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderkey % 5000 AS content, 'lista_' || repeat('x', (o_orderkey % 3)::INTEGER) || o_orderkey || '.pdf' AS name, CASE WHEN o_custkey % 20 > 0 THEN o_custkey END AS family, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS day FROM orders),
+c AS (SELECT content, max({'n': length(name), 'name': name}).name AS best FROM d GROUP BY 1),
+m AS (SELECT d.*, CASE WHEN best <> name THEN best END AS copy_of FROM d JOIN c USING (content)),
+s AS (SELECT *, CASE WHEN copy_of IS NOT NULL THEN 'DUBLURA' WHEN day IS NULL THEN 'DATA_NECUNOSCUTA' WHEN day > DATE '1998-01-01' THEN 'VIITOR' ELSE 'IN_VIGOARE' END AS state FROM m),
+n AS (SELECT family, max(day) AS newest FROM s WHERE state = 'IN_VIGOARE' AND family IS NOT NULL GROUP BY 1)
+SELECT o_orderkey, CASE WHEN state = 'IN_VIGOARE' AND day < newest THEN 'ISTORIC' ELSE state END AS state, copy_of, CASE WHEN state = 'IN_VIGOARE' AND day < newest THEN newest END AS replaced_by FROM s LEFT JOIN n USING (family)""")
+def d11_document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents, those to come, those without a date, and the outdated of each family."""
+    key = F.col("o_orderkey")
+    name = F.concat(F.lit("lista_"), F.repeat(F.lit("x"), (key % 3).cast("int")), key, F.lit(".pdf"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (key % 5000).alias("content"), name.alias("name"), F.when(F.col("o_custkey") % 20 > 0, F.col("o_custkey")).alias("family"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date")).alias("day"))
+    return quality.document_states(rows, "content", "name", "family", "day", F.lit("1998-01-01").cast("date")).select("o_orderkey", "state", "copy_of", "replaced_by")
