@@ -199,6 +199,16 @@ BAND_IN_BRACKETS, FEE_LIMIT_IN_BRACKETS = r"\b(?:sub|peste|p[âa]n[ăa]\s+la|de\
 #: A cell with fewer letters than these besides its figure and currency is only a figure.
 ONLY_FIGURE = 12
 
+# What a figure in a tariff document is about besides fees.
+STATE_BUDGET = r"bugetul\s+de\s+stat"
+INTEREST_WORDS, INTEREST_LABEL = r"dob[âa]nd|interest\s+(rate|on)|(?-i:\bDAE\b)|rata\s+anual", r"^\W*(?:valoarea\s+)?(?:rat|marj)\w*\s+(?:\w+\s+){0,2}dob[âa]nz"
+PERCENT_A_YEAR, OVERDRAWN = r"%\s*(?:p\.\s?a\b|pe\s+an\b|/\s*an\b)", r"neautorizat|descoperit|restan[tț]|penaliz"
+INDEX, INDEX_PLUS, INDEX_LABEL, ONLY_PERCENT = r"\b(?:IRCC|EURIBOR|ROBOR)\b", r"\b(?:IRCC|EURIBOR|ROBOR)\s*\+\s*\d", r"^\W*(?:valoare|indice)", r"^\s*\d+(?:[.,]\d+)?\s*%\s*$"
+LIMIT_WORDS, LIMIT_SECTION, CREDIT_SUM = r"limit[ăae]\w*\s+de\s+tranzac|valoare\s+tranzac|num[ăa]r\w*\s+de\s+tranzac", r"(?:^|>)\s*\W*limit", r"^\s*sum[ăa]\s+creditului\b"
+CEILING, BESIDE_CEILING = r"\bplafon", r"(?:\bsub|\bpeste|dep[ăa][șsş]\w*|acord[ăa]r\w*\s+(?:\w+\s+)?de|\bacest)\s+plafon"
+LIMIT_SAID = r"limit[ăae]\w*\s+(?:zilnic|maxim|minim|lunar|cumulativ|per\s+tranzac|pe\s+tranzac)"
+LIMIT_ROW = r"^\W*(?:sum[ăa]\s+per\s+tranzac|volum\w*\s+total|valoare\w*\s+maxim\w*\s+a\s+limit)"
+EXCHANGE_RATE = r"curs\s+(de\s+)?schimb|curs\s+bnr|exchange\s+rate"
 # Words that name no service; how many letters make capitals a title, and how many words a short heading has.
 EMPTY_WORDS = ("lei", "leu", "ron", "eur", "euro", "usd", "gbp", "chf", "sau", "pentru", "din", "prin", "catre", "către", "sub", "peste", "inclusiv", "exclusiv")
 CAPITAL_LETTERS, SHORT_HEADING = 6, 4

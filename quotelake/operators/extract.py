@@ -204,6 +204,28 @@ def figure_category(words: Column) -> Column:
     )
 
 
+def figure_kind(section: Column, service: Column, words: Column, cell: Column, column: Column) -> Column:
+    """What a figure of a tariff document is: ``taxa_stat``, ``dobanda``, ``limita``, ``curs``, else ``comision``; by its section, service, line, own cell and table column.
+
+    The column decides before anything else, interest before limits, limits before exchange rates. A limit that is only said counts where the cell is little more than a figure, so that a price that
+    stands beside it stays a price; a price told relative to a ceiling stays one too. Nulls are empty texts.
+    """
+    section, service, words, cell, column = (F.coalesce(c, F.lit("")) for c in (section, service, words, cell, column))
+    whole = F.concat_ws(" ", section, service, words)
+    has = lambda c, pattern: c.rlike(V.I + pattern)
+    bare = (cell != "") & only_figure(cell)
+    interest = (
+        has(whole, V.INTEREST_WORDS) | has(service, V.INTEREST_LABEL) | (has(words, V.PERCENT_A_YEAR) & has(service, V.OVERDRAWN)) | has(cell, V.INDEX_PLUS)
+        | (has(column, V.INDEX) & has(service, V.INDEX_LABEL) & has(cell, V.ONLY_PERCENT))
+    )
+    beside = has(F.concat_ws(" ", section, service), V.BESIDE_CEILING) & ~has(cell, V.CEILING) & bare
+    limit = (
+        has(whole, V.LIMIT_WORDS) | has(section, V.LIMIT_SECTION) | has(cell, V.CREDIT_SUM) | (has(whole, V.CEILING) & ~beside)
+        | ((has(whole, V.LIMIT_SAID) | has(service, V.LIMIT_ROW)) & bare)
+    )
+    return F.when(has(column, V.STATE_BUDGET), "taxa_stat").when(interest, "dobanda").when(limit, "limita").when(has(whole, V.EXCHANGE_RATE), "curs").otherwise("comision")
+
+
 def figure_in_text(value: Column, words: Column) -> Column:
     """Does the value stand in the text, in any of the forms it can be written in? The proof that an extracted figure was read, not made up."""
     plain = F.regexp_replace(F.format_number(value, 4), "0+$", "")

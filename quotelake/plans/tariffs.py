@@ -154,3 +154,15 @@ def ext19_catalogue_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.sum(F.when(F.col("kind") == "text", F.regexp_count("fragment", F.lit(r"\d"))).otherwise(0)).cast("long")
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "fragment"))), lambda p: p["fragment"]), "")
     return rows.groupBy("p_partkey").agg(digits.alias("lost"), (pieces == F.min("words")).alias("whole"))
+
+
+@query(f"""SELECT {_KEY_LIST}, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'taxa_stat' WHEN l_returnflag = 'A' THEN 'dobanda' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'limita' WHEN l_returnflag = 'R' AND l_quantity > 25 THEN 'limita'
+  WHEN l_returnflag = 'R' THEN 'comision' WHEN l_linestatus = 'F' THEN 'curs' ELSE 'comision' END AS kind FROM lineitem""")
+def ext05_figure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each figure is about, by its section, service, line, own cell and column: prices told beside a limit or ceiling stay prices."""
+    form, price = F.concat("l_returnflag", "l_linestatus"), F.concat(_local(F.col("l_extendedprice")), F.lit(" LEI"))
+    section = F.when(form == "RF", "LIMITELE BĂNCII > Carduri").otherwise("Carduri")
+    service = F.when(form == "AO", "neautorizat").when((form == "RO") & (F.col("l_quantity") > 25), "Limită zilnică").when(form == "RO", "retrageri sub plafonul stabilit").when(form == "NF", "Marjă la curs de schimb").otherwise("Administrare")
+    cell = F.when(form == "AO", F.concat(_whole(F.col("l_quantity")), F.lit("% p.a."))).otherwise(price)
+    column = F.when(form == "AF", "Taxa către bugetul de stat").otherwise("Tarif")
+    return table(spark, sf_dir, "lineitem").select(*_KEYS, extract.figure_kind(section, service, cell, cell, column).alias("kind"))

@@ -200,3 +200,19 @@ def test_catalogue_values_and_what_is_left(spark):
         assert "".join(r["fragment"] for r in own) == (words or "")
         assert [(r["concept"], r["value"], r["term"], r["detail"]) for r in own if r["kind"] == "value"] == values, words
         assert [r["reason"] for r in own if r["kind"] == "unread"] == unread, words
+
+
+KINDS = [
+    (("Carduri", "Administrare", "12 lei", "12 lei", ""), "comision"), (("AEGRM", "Înscriere", "45 lei", "45 lei", "Taxa către bugetul de stat"), "taxa_stat"), (("Carduri", "Dobândă penalizatoare", "20%", "20%", ""), "dobanda"),
+    (("", "Marja fixa a dobanzii", "3%", "3%", ""), "dobanda"), (("", "neautorizat", "20 % p.a. (LEI)", "20 % p.a. (LEI)", ""), "dobanda"), (("Casete", "Casetă", "1,50%/an", "1,50%/an", ""), "comision"),
+    (("", "Descriere", "IRCC + 13,99%", "IRCC + 13,99%", ""), "dobanda"), (("", "Valoare", "5,56%", "5,56%", "IRCC"), "dobanda"), (("", "Evaluare", "5,56%", "5,56%", "IRCC"), "comision"),
+    (("LIMITELE BANCII", "zilnică", "6.000 LEI", "6.000 LEI", ""), "limita"), (("Card", "limită zilnică", "500 LEI", "500 LEI", ""), "limita"), (("Card", "Limita zilnică de retragere", "5% (minim 10 lei) din suma utilizată", "5% (minim 10 lei) din suma utilizată", ""), "comision"),
+    (("", "comision pentru prima acordare de plafon", "25 LEI", "25 LEI", ""), "comision"), (("", "retrageri", "plafonul de 20.000 lei", "plafonul de 20.000 lei", ""), "limita"), (("", "Top-up", "max 5", "Suma creditului: max. 15.000 lei", ""), "limita"),
+    (("", "Sumă per tranzacție top-up", "500 lei", "500 lei", ""), "limita"), (("", "Marjă la curs de schimb", "1%", "1%", ""), "curs"), ((None, None, None, None, None), "comision"),
+]
+
+
+def test_kinds_of_figures(spark):
+    frame = spark.createDataFrame([k for k, _ in KINDS], "section string, service string, words string, cell string, col string")
+    got = [r[0] for r in frame.select(extract.figure_kind(*(F.col(c) for c in ("section", "service", "words", "cell", "col")))).collect()]
+    assert [(k, g) for (k, _), g in zip(KINDS, got, strict=True)] == KINDS
