@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelake.operators import catalogue, extract, sections
+from quotelake.operators import catalogue, extract, sections, tariffs
 from quotelake.plans.registry import query, table
 
 _KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
@@ -166,3 +166,14 @@ def ext05_figure_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = F.when(form == "AO", F.concat(_whole(F.col("l_quantity")), F.lit("% p.a."))).otherwise(price)
     column = F.when(form == "AF", "Taxa către bugetul de stat").otherwise("Tarif")
     return table(spark, sf_dir, "lineitem").select(*_KEYS, extract.figure_kind(section, service, cell, cell, column).alias("kind"))
+
+
+@query(f"""WITH {_GUIDE},
+rows AS (SELECT o_custkey, pos, CASE WHEN no IS NOT NULL THEN 'Emitere și livrare card' ELSE '-' END AS service FROM guide WHERE kind = 'row'),
+parts AS (SELECT o_custkey, n * 100 + l_linenumber AS pos, i.p AS value FROM orders_n JOIN items ON l_orderkey = o_orderkey)
+SELECT o_custkey, pos::BIGINT AS "at", service, value::DOUBLE AS value, 'LEI' AS currency, 'comision' AS category, CASE WHEN service <> '-' THEN 'emitere_card' END AS own_concept FROM rows JOIN parts USING (o_custkey, pos)""")
+def ext03_ext08_tariff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each priced line of each customer's guide with its service, figure, category and concept; what a fragment takes from its section isn't compared."""
+    rows = tariffs.tariff_rows(_guide(spark, sf_dir), "o_custkey", "at")
+    own = F.when(F.col("service") != "-", F.col("concept"))
+    return rows.select("o_custkey", F.col("at").cast("long").alias("at"), "service", "value", "currency", "category", own.alias("own_concept"))

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quotelake.operators import catalogue, extract, sections
+from quotelake.operators import catalogue, extract, sections, tariffs
 
 P, S = "comision_procent", "comision_suma"
 
@@ -216,3 +216,17 @@ def test_kinds_of_figures(spark):
     frame = spark.createDataFrame([k for k, _ in KINDS], "section string, service string, words string, cell string, col string")
     got = [r[0] for r in frame.select(extract.figure_kind(*(F.col(c) for c in ("section", "service", "words", "cell", "col")))).collect()]
     assert [(k, g) for (k, _), g in zip(KINDS, got, strict=True)] == KINDS
+
+
+def test_tariff_rows_end_to_end(spark):
+    lines = [
+        ("title", "1. RETRAGERI DE NUMERAR"), ("row", "1.1 Retragere de la ATM peste 1.000 lei: 1% min. 5 lei max. 50 lei"), ("row", "- în valută 2 EUR/lună"), ("title", "2. Limite și dobânzi"), ("row", "Limită zilnică 5.000 LEI"), ("row", "Dobândă descoperit 20% p.a."),
+        ("row", "fără cifre"), ("text", "5 lei"),
+    ]
+    frame = spark.createDataFrame([(1, i, k, t, 9) for i, (k, t) in enumerate(lines)], "document int, at int, kind string, line string, value int")
+    got = sorted((r["at"], r["fee"], r["value"], r["role"], r["frequency"], r["band"], r["category"], r["concept"], r["service"]) for r in tariffs.tariff_rows(frame).collect())
+    cash = ("retragere_numerar",)
+    assert [g[:7] for g in got if g[0] == 1] == [(1, "comision_procent", 1.0, None, None, "peste 1.000 lei", "comision"), (1, "comision_suma", 5.0, "min", None, "peste 1.000 lei", "comision"), (1, "comision_suma", 50.0, "max", None, "peste 1.000 lei", "comision")]
+    assert {g[7] for g in got if g[0] in (1, 2)} == set(cash) and [g[8] for g in got if g[0] == 2] == ["- în valută /lună"]
+    assert [(g[2], g[3], g[6]) for g in got if g[0] == 4] == [(5000.0, "conditie", "limita")] and [(g[2], g[6]) for g in got if g[0] == 5] == [(20.0, "dobanda")]
+    assert {g[0] for g in got} == {1, 2, 4, 5}
