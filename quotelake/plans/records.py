@@ -276,3 +276,34 @@ def d06_str11_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d06_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw records that no observation is made of, by reason."""
     return quality.reject_report(normalise.normalise(_raw(spark, sf_dir))[1])
+
+
+@query("SELECT c_custkey, c_name AS name, round(c_acctbal, 2) AS balance FROM customer")
+def src03_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that each hold a JSON array of twenty records over several lines."""
+    path = storage.folder(spark, "records")
+    record = F.to_json(F.struct("c_custkey", F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance")))
+    files = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 20").alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return readers.json_records(spark, path, "c_custkey long, name string, balance double").select("c_custkey", "name", "balance")
+
+
+@query("SELECT 'c' || c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer")
+def src04_json_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that each hold a JSON object of twenty records by their ids."""
+    path = storage.folder(spark, "keyed")
+    record = F.concat(F.lit('"c'), F.col("c_custkey"), F.lit('": '), F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))))
+    files = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 20").alias("file")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(record), ",\n"), F.lit("}")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return readers.json_by_key(spark, path, "segment string, nation int", "id")
+
+
+@query("SELECT 'h' || n_nationkey AS name, 'differs' AS state FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT 'h' || n_nationkey, 'missing' FROM nation WHERE n_nationkey % 5 = 1 UNION ALL SELECT 'h' || n_nationkey, 'unlisted' FROM nation WHERE n_nationkey % 5 = 2")
+def src08_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of files against its manifest: one of each five has changed, one isn't there, one isn't listed."""
+    nation = table(spark, sf_dir, "nation")
+    k, body = F.col("n_nationkey") % 5, F.concat(F.col("n_name"), F.lit(" body"))
+    name = F.concat(F.lit("h"), F.col("n_nationkey"))
+    files = nation.where(k != 1).select(F.concat(F.lit("store/package/"), name).alias("path"), F.sha2(body.cast("binary"), 256).alias("hash"))
+    manifest = nation.where(k != 2).select(name.alias("name"), F.upper(F.sha2(F.when(k == 0, "old").otherwise(body).cast("binary"), 256)).alias("sha256"))
+    return readers.check_manifest(files, manifest)

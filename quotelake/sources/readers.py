@@ -39,7 +39,7 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_by_key(spark: SparkSession, path: str, value_schema: str, key: str = "key") -> DataFrame:
     """A JSON object keyed by id: one row for each key."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     kind = T.MapType(T.StringType(), T.StructType.fromDDL(value_schema))
     return text.select(F.explode(F.from_json("value", kind)).alias(key, "v")).select(key, "v.*")
 
