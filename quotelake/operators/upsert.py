@@ -52,6 +52,12 @@ def replace_by(target: DataFrame, new: DataFrame, replaced: Column) -> DataFrame
     return target.where(~F.coalesce(replaced, F.lit(False))).unionByName(new.select(target.columns))
 
 
+def replace_all(new: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
+    """A full snapshot in place of a table: (the new table, the child rows whose parent it still holds). Children of parents that are gone go with them, those without a parent stay."""
+    kept = children.join(new.select(F.col(parent_key).alias("__parent")).distinct(), F.col(child_key) == F.col("__parent"), "left").where(F.col(child_key).isNull() | F.col("__parent").isNotNull())
+    return new, kept.drop("__parent")
+
+
 def annotate(target: DataFrame, updates: DataFrame, key: Sequence[str]) -> DataFrame:
     """Columns of ``updates`` overwrite the target's where they aren't null."""
     u = one_of_each(updates, key).select(*(F.col(c).alias(c if c in key else f"n_{c}") for c in updates.columns))

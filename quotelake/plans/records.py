@@ -307,3 +307,23 @@ def src08_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = nation.where(k != 1).select(F.concat(F.lit("store/package/"), name).alias("path"), F.sha2(body.cast("binary"), 256).alias("hash"))
     manifest = nation.where(k != 2).select(name.alias("name"), F.upper(F.sha2(F.when(k == 0, "old").otherwise(body).cast("binary"), 256)).alias("sha256"))
     return readers.check_manifest(files, manifest)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'")
+def snk07_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose order a new snapshot still holds."""
+    new = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    return upsert.replace_all(new, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "o_orderkey", "l_orderkey")[1]
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 6 AS k, source FROM documents WHERE source IS NOT NULL), s AS (SELECT source, source = (SELECT min(source) FROM d) AS skipped FROM d GROUP BY 1)
+SELECT doc_id, CASE WHEN k = 0 THEN CASE WHEN skipped THEN 'NEVERIFICAT' ELSE 'LIPSA' END WHEN k = 1 THEN 'NOU' WHEN k = 2 THEN 'NEDESCARCAT' WHEN k = 3 THEN 'AMBIGUU' WHEN k = 4 THEN 'SCHIMBAT' ELSE 'NESCHIMBAT' END AS state FROM d JOIN s USING (source)""")
+def stm02_every_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in each state there is: known and gone, known of a source that wasn't crawled, new, seen but not read, seen with two contents, changed, unchanged."""
+    d = table(spark, sf_dir, "documents").where("source is not null").select(F.col("doc_id").alias("url"), F.col("source").alias("owner"), (F.col("doc_id") % 6).alias("k"), F.sha2("text", 256).alias("hash"))
+    known = d.where("k <> 1").select("url", "owner", F.when(F.col("k") == 4, "old").otherwise(F.col("hash")).alias("hash"))
+    seen = d.where("k <> 0").select("url", "owner", F.when(F.col("k") != 2, F.col("hash")).alias("hash"), (F.col("k") != 2).alias("ok"))
+    twice = d.where("k = 3").select("url", "owner", F.lit("other").alias("hash"), F.lit(True).alias("ok"))
+    first = d.agg(F.min("owner").alias("__first"))
+    crawled = d.select("owner").distinct().join(F.broadcast(first), F.col("owner") == F.col("__first"), "left_anti")
+    return incremental.document_states(known, seen.unionByName(twice), crawled).select(F.col("url").alias("doc_id"), "state")
