@@ -47,8 +47,8 @@ _LIST = ", ".join(_KEYS)
 
 
 @query(f"""WITH b AS (SELECT {_LIST}, l_quantity::BIGINT AS q, l_linenumber AS n, l_returnflag AS f FROM lineitem)
-SELECT {_LIST}, 'dae' AS kind, q + n / 10.0 AS value, NULL AS "column" FROM b WHERE f <> 'N'
-UNION ALL SELECT {_LIST}, 'nominala', q + n / 10.0 + 1, NULL FROM b WHERE f <> 'N'
+SELECT {_LIST}, 'dae' AS kind, round(q + n / 10.0, 4) AS value, NULL AS "column" FROM b WHERE f <> 'N'
+UNION ALL SELECT {_LIST}, 'nominala', round(q + n / 10.0 + 1, 4), NULL FROM b WHERE f <> 'N'
 UNION ALL SELECT {_LIST}, 'marja_ircc', n + 0.25, NULL FROM b WHERE f = 'A'
 UNION ALL SELECT {_LIST}, 'nominala', q + 0.5, NULL FROM b WHERE f = 'N'
 UNION ALL SELECT {_LIST}, 'nominala', q + 1.5, 2 FROM b WHERE f = 'N'

@@ -42,7 +42,7 @@ def src06_src07_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.csv(spark, path, "c_custkey long, name string, balance double", verbatim=True)
 
 
-@query("""SELECT 'c' || c_custkey AS id, c_name AS name, c_acctbal / 1000 AS lat, c_nationkey::DOUBLE AS lon, 0.5 AS confidence, c_mktsegment AS address, CASE WHEN c_nationkey % 2 = 0 THEN 'a,b' ELSE 'b,c' END AS datasets
+@query("""SELECT 'c' || c_custkey AS id, c_name AS name, c_acctbal / 1000 AS lat, c_nationkey::DOUBLE AS lon, 0.5::DOUBLE AS confidence, c_mktsegment AS address, CASE WHEN c_nationkey % 2 = 0 THEN 'a,b' ELSE 'b,c' END AS datasets
 FROM customer WHERE c_acctbal / 1000 BETWEEN 1 AND 5 AND c_nationkey BETWEEN 3 AND 20""")
 def src10_arr02_nested_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested table by its leaves and a box; data sets of each place, sorted and once each."""
@@ -140,11 +140,11 @@ def str12_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.signature(F.concat("source", F.lit(" the Running of runners "), "lang"), ("the", "and"), 5, 3).alias("signature"))
 
 
-@query(r"""SELECT p_partkey, split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', 9) AS ninth, list_filter(list_transform(string_split(p_name || '| ' || p_brand || ' || |' || p_type, '|'), lambda x: trim(x)), lambda x: x <> '') AS items FROM part""")
+@query(r"""SELECT p_partkey, split_part(p_name, ' ', 2) AS second, split_part(p_name, ' ', 9) AS ninth, list_filter(list_transform(string_split(p_name || '| ' || p_brand || ' || |' || p_type, '|'), lambda x: trim(x)), lambda x: x <> '').list_aggregate('string_agg', '/') AS items FROM part""")
 def str01_arr06_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of delimited texts, and their trimmed items that aren't empty."""
     whole = F.concat("p_name", F.lit("| "), "p_brand", F.lit(" || |"), "p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", text.part(F.col("p_name"), " ", 2).alias("second"), text.part(F.col("p_name"), " ", 9).alias("ninth"), text.items(whole).alias("items"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.part(F.col("p_name"), " ", 2).alias("second"), text.part(F.col("p_name"), " ", 9).alias("ninth"), F.array_join(text.items(whole), "/").alias("items"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_shipdate::DATE END AS day,
@@ -198,7 +198,7 @@ def mth07_mth08_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT c_custkey, c_nationkey, CASE c_mktsegment WHEN 'BUILDING' THEN '/privat/a' WHEN 'MACHINERY' THEN '/privat/public/b' WHEN 'HOUSEHOLD' THEN '/x.pdf' ELSE '/p' END || c_custkey AS path FROM customer)
-SELECT c_custkey, NOT (path LIKE '/privat/%' AND path NOT LIKE '/privat/public/%') AND NOT (c_nationkey % 2 = 0 AND path LIKE '/p%' AND path NOT LIKE '/privat/public/%') AS allowed, CASE WHEN c_nationkey % 2 = 0 THEN 5.0 END AS crawl_delay FROM u""")
+SELECT c_custkey, NOT (path LIKE '/privat/%' AND path NOT LIKE '/privat/public/%') AND NOT (c_nationkey % 2 = 0 AND path LIKE '/p%' AND path NOT LIKE '/privat/public/%') AS allowed, CASE WHEN c_nationkey % 2 = 0 THEN 5.0::DOUBLE END AS crawl_delay FROM u""")
 def str19_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which addresses a host's rules allow: the agent's own group or everybody's, the longest match, patterns, a delay."""
     path = F.concat(F.when(F.col("c_mktsegment") == "BUILDING", "/privat/a").when(F.col("c_mktsegment") == "MACHINERY", "/privat/public/b").when(F.col("c_mktsegment") == "HOUSEHOLD", "/x.pdf").otherwise("/p"), F.col("c_custkey"))
@@ -228,7 +228,7 @@ def aux02_relevant_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.relevant_links(links, ["depozit", "economii"]).select("c_custkey")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'atm' ELSE 'branch' END AS kind, 44.0 + c_nationkey / 10.0 AS lat, 26.0 AS lon, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'partener' ELSE 'proprie' END AS network FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20""")
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'atm' ELSE 'branch' END AS kind, round(44.0 + c_nationkey / 10.0, 6) AS lat, 26.0::DOUBLE AS lon, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'partener' ELSE 'proprie' END AS network FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20""")
 def ext17_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches and machines out of pages' JSON and elements, within the country, once each."""
     name = F.when(F.col("c_mktsegment") == "BUILDING", "ATM Unirii").when(F.col("c_mktsegment") == "MACHINERY", "Agentia Euronet").otherwise("Agentia Unirii")
@@ -263,7 +263,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", *(given.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds))
 
 
-@query("""SELECT 'banca ' || o_custkey % 5 AS banca, CASE WHEN o_orderstatus = 'O' THEN 'administrare_cont_min' ELSE 'administrare_cont' END AS camp, CASE WHEN o_orderstatus = 'F' THEN 'lei' ELSE 'eur' END AS unitate, 'comision|pf' AS cod_scenariu, 0.6 AS confidence,
+@query("""SELECT 'banca ' || o_custkey % 5 AS banca, CASE WHEN o_orderstatus = 'O' THEN 'administrare_cont_min' ELSE 'administrare_cont' END AS camp, CASE WHEN o_orderstatus = 'F' THEN 'lei' ELSE 'eur' END AS unitate, 'comision|pf' AS cod_scenariu, 0.6::DOUBLE AS confidence,
   300::BIGINT AS service, 500::BIGINT AS quote, count(*) AS n FROM orders WHERE o_orderkey % 10 > 2 GROUP BY ALL""")
 def d06_str11_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records to observations: slugs, fields with their role, scenarios, confidence, texts cut to their limits."""
