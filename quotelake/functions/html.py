@@ -28,8 +28,12 @@ def _struct(*names: str) -> T.StructType:
 class _Page(HTMLParser):
     """Collects text lines, table rows, links, titles and meta description in one pass."""
 
-    def __init__(self) -> None:
+    def __init__(self, source: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        self.source = source
+        self.line_starts: list[int] = []
+        self.heading_from: int | None = None
+        self.heading: str | None = None
         self.open: list[str] = []
         self.text: list[str] = []
         self.main: list[str] = []
@@ -57,8 +61,18 @@ class _Page(HTMLParser):
             self.cell = []
         if tag == "a" and known.get("href"):
             self.link = (known["href"], [])
+        if tag == "h1" and self.heading is None:
+            self.heading_from = self._place() + len(self.get_starttag_text() or "")
+
+    def _place(self) -> int:
+        """Where in the source the parser stands."""
+        self.line_starts = self.line_starts or [0, *(m.end() for m in re.finditer("\n", self.source))]
+        line, column = self.getpos()
+        return self.line_starts[line - 1] + column
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "h1" and self.heading is None and self.heading_from is not None:
+            self.heading = self.source[self.heading_from : self._place()]
         if tag in _BLOCK:
             self._break()
         if tag in ("td", "th") and self.cell is not None:
@@ -94,7 +108,7 @@ class _Page(HTMLParser):
 
 
 def _parsed(html: str | None) -> _Page:
-    page = _Page()
+    page = _Page(html or "")
     page.feed(html or "")
     page.close()
     return page
@@ -125,15 +139,15 @@ def main_text(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"text": texts, "hash": hashes})
 
 
-@F.pandas_udf(_struct("name", "title", "description"))
+@F.pandas_udf(_struct("name", "title", "description", "heading"))
 def page_titles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The product's name (heading, else the title's first segment), the title and the description."""
+    """The product's name (heading, else the title's first segment), the title and the description; the first heading as it is written, its character references unread (null if there is none)."""
     for html in parts:
         rows = []
         for p in map(_parsed, html):
             title, h1 = (" ".join("".join(p.titles[n]).split()) for n in ("title", "h1"))
-            rows.append((h1 or re.split(r"\s+[|–—-]\s+", title)[0] or None, title or None, p.meta))
-        yield pd.DataFrame(rows, columns=["name", "title", "description"])
+            rows.append((h1 or re.split(r"\s+[|–—-]\s+", title)[0] or None, title or None, p.meta, None if p.heading is None else " ".join(re.sub(r"<[^>]*>", " ", p.heading).split())))
+        yield pd.DataFrame(rows, columns=["name", "title", "description", "heading"])
 
 
 @F.pandas_udf(T.ArrayType(_struct("url", "text")))

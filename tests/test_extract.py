@@ -9,6 +9,7 @@ from quotelake import schemas
 from quotelake.functions import dates, html, numbers, text
 from quotelake.functions import vocabulary as V
 from quotelake.operators import extract, normalise
+from quotelake.plans import pages
 
 
 def values(spark, rows, schema, *columns):
@@ -170,3 +171,13 @@ def test_rates_of_long_rows(spark):
     frame = spark.createDataFrame([(line,)], "line string")
     got = frame.select(extract._with_columns(F.col("line"), F.array(extract._rate(F.lit("k"), F.lit(1.0)))).alias("r")).first()["r"]
     assert [round(x["value"], 2) for x in got] == [round(k / 100 + 1, 2) for k in range(130)]
+
+
+def test_headings_keep_references_that_are_no_escapes(spark, tmp_path):
+    """A heading cut within a reference, and quotes written as references, stay as they are written; the operator's own name reads them all."""
+    rows = [(1, "<h1>a &amp;&amp</h1>"), (2, "<p>\n\n<h1 id='x'> b &lt;c&gt; &quot;d&quot; </h1></p><h1>e</h1>"), (3, "<p>none</p>"), (4, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.name for r in pages.ext10_page_name(spark, str(tmp_path)).collect()}
+    assert got == {1: "a &&amp", 2: "b <c> &quot;d&quot;", 3: "", 4: None}
+    read = spark.createDataFrame(rows[:2], "page_id long, html string").select(html.page_titles("html").alias("t")).select("t.name").collect()
+    assert [r.name for r in read] == ["a &&", 'b <c> "d" e']
