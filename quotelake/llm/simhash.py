@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelake.llm.common import U64, flat_words, give_back, materialize, maybe_among, mix, rolling, slices, utf8, word_hashes
-from quotelake.llm.components import connected_components
+from quotelake.llm.components import connected_components, one_hub
 
 SEED = 42
 #: Node pairs that are split at once; the rest waits on a stack.
@@ -310,7 +310,8 @@ def link_fingerprints(spark: SparkSession, reps: DataFrame, n_words: int = 1, bi
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = dealt.repartition(parts, "code").sortWithinPartitions("code")
     links = sorted_.mapInArrow(_join(n_words, bits, budget, budget if most is None else most), "a long, b long")
-    return connected_components(spark, links)
+    # a row is dealt a fixed number of times, and each deal may name another hub for the same group
+    return connected_components(spark, one_hub(links))
 
 
 def near_duplicate_components(spark: SparkSession, docs: DataFrame, width: int = 3, n_words: int = 1, bits: int = 64, budget: int = 3, most: int | None = None, segments: int | None = None, distinct: bool = False) -> DataFrame:
@@ -491,7 +492,7 @@ def similar_components(spark: SparkSession, docs: DataFrame, similarity: float)
     dealt = dealt.select("component", F.least("part", "__other").alias("low"), F.greatest("part", "__other").alias("high"), "rep", "part", "shingles")
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = dealt.repartition(count, "component", "low", "high").sortWithinPartitions("component", "low", "high")
-    found = connected_components(spark, sorted_.mapInArrow(_verify(similarity), "a long, b long"))
+    found = connected_components(spark, one_hub(sorted_.mapInArrow(_verify(similarity), "a long, b long")))
     # a component is called by the smallest name of its classes
     named = materialize(spark, found.join(some, F.col("id") == F.col("node")).select("component", "key", "name"))
     linked = named.join(named.groupBy("component").agg(F.min("name").alias("first")), "component").select("key", "first")

@@ -272,3 +272,19 @@ def test_embeddings_equal_brute_force(spark):
 def test_embeddings_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicate_vectors(spark, frame).count() == 0
+
+
+def test_links_to_many_hubs_become_one_each(spark):
+    """A group that was found in many ways, around another hub each time, meets itself in about as many rows as it has members."""
+    members, ways = list(range(1000, 1400)), 128
+    rng = random.Random(5)
+    links = []
+    for _ in range(ways):
+        found = sorted(rng.sample(members, 40))
+        links += [(x, found[0]) for x in found[1:]]
+    links += [(5, 3), (3, 5), (7, 7)]
+    given = spark.createDataFrame(links, "a long, b long")
+    few = components.one_hub(given)
+    assert few.count() < 2 * len(members) < given.distinct().count() / 4
+    want = {r.id: r.component for r in components.connected_components(spark, given).collect()}
+    assert {r.id: r.component for r in components.connected_components(spark, few).collect()} == want
