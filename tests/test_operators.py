@@ -279,3 +279,18 @@ def test_most_alike_equals_brute_force(spark):
         if best:
             want[i] = (best[1], round(best[0], 9), -best[2])
     assert found == want and len(want) > 60
+
+
+def test_most_alike_compares_texts_once_whatever_their_copies(spark):
+    """Copies of a text have each other, the smallest id but their own; the only row of a text has the best of the others."""
+    rows = [(k, "green apple pie" if k % 2 else "green apple pies", "x") for k in range(200)] + [(900, "blue berry tart", "x"), (901, "blue berry tarts", "x"), (902, "alone", "x"), (903, None, "x"), (None, "blue berry tart", "x")]
+    left = spark.createDataFrame(rows, "id int, t string, b string")
+    right = left.select(F.col("id").alias("other_id"), F.col("t").alias("other"), "b")
+    found = joins.most_alike(left, right, "b", "t", "other", 0.9, ids=("id", "other_id"))
+    got = {r.id: (r.other, r.other_id) for r in found.collect()}
+    want = {}
+    for i, t, _ in rows:
+        near = [(difflib.SequenceMatcher(None, t, u, autojunk=False).ratio(), u, -j) for j, u, _ in rows if i is not None and j is not None and t and u and i != j]
+        if near and max(near)[0] >= 0.9:
+            want[i] = (max(near)[1], -max(near)[2])
+    assert got == want and got[0] == ("green apple pies", 2) and got[900] == ("blue berry tarts", 901)
