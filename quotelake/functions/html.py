@@ -18,6 +18,8 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _BLOCK = {"p", "div", "section", "article", "main", "ul", "ol", "li", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "body", "title", "option", "dd", "dt"}
 #: A main element counts as the root if it holds at least this share of all text.
 MAIN_SHARE = 0.2
+#: Pages are parsed and handed on in pieces of about so many characters.
+PIECE = 1 << 20
 _STAMPS = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?|\b\d{1,2}:\d{2}(:\d{2})?\b")
 
 
@@ -114,6 +116,13 @@ def _parsed(html: str | None) -> _Page:
     return page
 
 
+def _some(column: pd.Series) -> Iterator[pd.Series]:
+    """The column in pieces of about PIECE characters: a batch's results are handed on before the next pages are parsed."""
+    sizes = column.str.len().fillna(0).cumsum() // PIECE
+    for _, piece in column.groupby(sizes, sort=False):
+        yield piece
+
+
 def _lines(chunks: list[str]) -> list[str]:
     out = (" ".join(line.split()) for line in "".join(chunks).split("\n"))
     return [line for line in out if line]
@@ -122,7 +131,7 @@ def _lines(chunks: list[str]) -> list[str]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def html_lines(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Table rows, their cells joined by tabs, then all lines of text."""
-    for html in parts:
+    for html in (piece for part in parts for piece in _some(part)):
         pages = map(_parsed, html)
         yield pd.Series([["\t".join(r) for r in p.rows if any(r)] + _lines(p.text) for p in pages], dtype=object)
 
@@ -130,7 +139,7 @@ def html_lines(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(_struct("text", "hash"))
 def main_text(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The page's content without noise elements, and its fingerprint without times of day and time stamps: a page that only tells the time anew is unchanged."""
-    for html in parts:
+    for html in (piece for part in parts for piece in _some(part)):
         texts = []
         for p in map(_parsed, html):
             whole, main = "\n".join(_lines(p.text)), "\n".join(_lines(p.main))
@@ -142,7 +151,7 @@ def main_text(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 @F.pandas_udf(_struct("name", "title", "description", "heading"))
 def page_titles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The product's name (heading, else the title's first segment), the title and the description; the first heading as it is written, its character references unread (null if there is none)."""
-    for html in parts:
+    for html in (piece for part in parts for piece in _some(part)):
         rows = []
         for p in map(_parsed, html):
             title, h1 = (" ".join("".join(p.titles[n]).split()) for n in ("title", "h1"))
@@ -153,7 +162,7 @@ def page_titles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 @F.pandas_udf(T.ArrayType(_struct("url", "text")))
 def page_links(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Absolute links of a page, one for each address (the longest text stays), without mail, telephone, script and same-page links."""
-    for html, base in parts:
+    for html, base in ((piece, base.loc[piece.index]) for part, base in parts for piece in _some(part)):
         out = []
         for body, own in zip(html, base, strict=True):
             best: dict[str, str] = {}
@@ -250,7 +259,7 @@ _RANGES = T.StructType(
 @F.pandas_udf(_RANGES)
 def page_ranges(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     """A page's visible text without noise elements, and the ranges in it of its links (absolute addresses) and blocks; its headings of the first four ranks."""
-    for html, base in parts:
+    for html, base in ((piece, base.loc[piece.index]) for part, base in parts for piece in _some(part)):
         rows = []
         for body, own in zip(html, base, strict=True):
             p = _Ranges()

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,12 @@ def test_headings_keep_references_that_are_no_escapes(spark, tmp_path):
     assert got == {1: "a &&amp", 2: "b <c> &quot;d&quot;", 3: "", 4: None}
     read = spark.createDataFrame(rows[:2], "page_id long, html string").select(html.page_titles("html").alias("t")).select("t.name").collect()
     assert [r.name for r in read] == ["a &&", 'b <c> "d" e']
+
+
+def test_pages_are_handed_on_in_pieces():
+    """A batch of large pages isn't held with all its results; rows stay in order, null pages too."""
+    bodies = pd.Series([f"<p>{k}</p>" + " " * 400_000 if k % 3 else None for k in range(10)])
+    pieces = list(html.html_lines.func(iter([bodies])))
+    assert len(pieces) > 2 and [x for p in pieces for x in p] == [[str(k)] if k % 3 else [] for k in range(10)]
+    frames = list(html.page_ranges.func(iter([(bodies, bodies)])))
+    assert len(frames) == len(pieces) and sum(map(len, frames)) == 10
