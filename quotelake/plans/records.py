@@ -280,20 +280,20 @@ def d06_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name AS name, round(c_acctbal, 2) AS balance FROM customer")
 def src03_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that each hold a JSON array of twenty records over several lines."""
+    """Files that each hold a JSON array of some thousand records over several lines."""
     path = storage.folder(spark, "records")
     record = F.to_json(F.struct("c_custkey", F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance")))
-    files = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 20").alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
+    files = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 5000").alias("file")).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(record), ",\n"), F.lit("\n]")).alias("value"))
     files.write.partitionBy("file").text(path)
     return readers.json_records(spark, path, "c_custkey long, name string, balance double").select("c_custkey", "name", "balance")
 
 
 @query("SELECT 'c' || c_custkey AS id, c_mktsegment AS segment, c_nationkey AS nation FROM customer")
 def src04_json_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that each hold a JSON object of twenty records by their ids."""
+    """Files that each hold a JSON object of some thousand records by their ids."""
     path = storage.folder(spark, "keyed")
     record = F.concat(F.lit('"c'), F.col("c_custkey"), F.lit('": '), F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))))
-    files = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 20").alias("file")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(record), ",\n"), F.lit("}")).alias("value"))
+    files = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 5000").alias("file")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(record), ",\n"), F.lit("}")).alias("value"))
     files.write.partitionBy("file").text(path)
     return readers.json_by_key(spark, path, "segment string, nation int", "id")
 

@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quotelake.plans import records
 from quotelake.sources import variants, workbook
 
 
@@ -73,3 +74,9 @@ def test_items_are_trimmed_and_packed_texts_unpacked(spark):
     got = frame.select(text.items(F.col("s")), readers.unpacked("b")).collect()
     assert [tuple(r) for r in got] == [(["a", "b c"], "é"), ([], "plain"), ([], None), (["0 1", "1 0"], None)]
     assert [r[0] for r in frame.select(readers.unpacked(readers.gzipped(F.col("b")))).collect()][1] == "plain"
+
+
+def test_record_files_hold_some_thousand_records(spark, small):
+    """The number of files to open and list is far below the number of records."""
+    assert len(records.src03_json_records(spark, small).inputFiles()) == 1
+    assert len(records.src04_json_by_key(spark, small).inputFiles()) == 1
