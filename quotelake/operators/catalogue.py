@@ -15,6 +15,8 @@ from quotelake.functions import vocabulary as V
 _SEGMENT = "struct<kind:string,fragment:string,concept:string,value:double,term:string,detail:string,reason:string>"
 #: The pattern's groups that are used.
 _GROUPS = ((1, "fee"), (3, "first"), (4, "pair"), (5, "term"), (6, "no_end"), (8, "free"))
+#: Stands between groups; no text that is read holds it.
+_MARK = "\x01"
 
 
 def _figures() -> str:
@@ -59,9 +61,11 @@ def catalogue_segments(words: Column, name: Column, category: Column) -> Column:
 
     def parsed(state: Column, place: Column) -> Column:
         """A figure taken apart, and the text since the last one."""
-        group = lambda k: F.regexp_extract(place["found"], rf"{V.I}^{pattern}$", k)
         gap = F.substring(whole, state["at"] + 1, place["at"] - 1 - state["at"])
-        return F.struct(place["found"].alias("figure"), gap.alias("gap"), *(group(k).alias(n) for k, n in _GROUPS))
+        # all groups by one match
+        marked = F.regexp_replace(place["found"], rf"{V.I}^{pattern}$", "".join(f"{_MARK}${k}" for k, _ in _GROUPS))
+        group = lambda parts, i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+        return arrays.let(F.split(marked, _MARK), lambda p: F.struct(place["found"].alias("figure"), gap.alias("gap"), *(group(p, i).alias(n) for i, (_, n) in enumerate(_GROUPS, 1))))
 
     def step(state: Column, place: Column) -> Column:
         return arrays.let(parsed(state, place), lambda m: read_piece(state, m))
