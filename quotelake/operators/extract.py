@@ -39,7 +39,7 @@ def rates_of(line: Column) -> Column:
     found = F.flatten(F.array(*(of_kind(kind, pattern) for kind, pattern in V.RATES)))
     taken = lambda acc, x: F.exists(acc, lambda y: F.abs(y["value"] - x["value"]) <= 0.001)
     once = F.aggregate(found, F.array().cast(f"array<{_RATE}>"), lambda acc, x: F.when(x["value"].isNull() | taken(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return F.when(excluded | line.isNull(), F.array().cast(f"array<{_RATE}>")).when(promo, F.array(_rate(F.lit("rate_fara_dobanda"), F.lit(0.0), count))).otherwise(_with_columns(line, once))
+    return F.when(excluded | line.isNull(), F.array().cast(f"array<{_RATE}>")).when(promo, F.array(_rate(F.lit("rate_fara_dobanda"), F.lit(0.0), count))).otherwise(arrays.let(once, lambda all_: _with_columns(line, all_)))
 
 
 def _with_columns(line: Column, found: Column) -> Column:
