@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelake.functions import vocabulary as V
-from quotelake.operators.scans import SEGMENT, running_max
+from quotelake.operators.scans import SEGMENT, dealt, running_in
 
 #: Levels: a chapter in Roman numerals, a numbered chapter whose numbering starts anew below it, numbered titles by depth, lettered titles, a group's heading in a table.
 ROMAN, CHAPTER, FIRST, DEEPEST, LETTER, HEADING = 0, 5, 10, 80, 90, 990
@@ -94,7 +94,7 @@ def section_paths(lines: DataFrame, document: str = "document", at: str = "at",
     read = read.withColumn("__own", F.struct(F.col(at).alias("at"), F.col("__level").alias("level"), F.when(what == "heading", words).otherwise(F.col("__title")).alias("title"), F.col("__no").alias("no")))
     of_level = {f"__set_{k}": F.when(F.col("__level") == k, F.col("__own")) for k in LEVELS if k != CHAPTER}
     cut_at = {f"__cut_{k}": F.when(F.col("__cut") <= k, F.col(at)) for k in LEVELS}
-    state = running_max(read, [document], at, {**of_level, **cut_at}, segment)
+    state = running_in(dealt(read, [document], at, segment), at, {**of_level, **cut_at})
 
     def is_open(k: int) -> Column:
         return F.coalesce(F.col(f"__set_{k}.at") >= F.coalesce(F.col(f"__cut_{k}"), F.lit(-1)), F.lit(False))
@@ -112,7 +112,7 @@ def section_paths(lines: DataFrame, document: str = "document", at: str = "at",
     state = state.withColumns({"__promoted": promoted, "__closes": closes, "__ends": ends, "__chapter": F.when(promoted, chapter)})
     second = {f"__shut_{k}": F.when(F.col("__closes") <= k, F.col(at)) for k in LEVELS if k not in (ROMAN, CHAPTER)}
     second |= {"__raised": F.col("__chapter"), "__moved": F.when(F.col("__promoted"), F.col(at)), "__ended": F.when(F.col("__ends"), F.col(at))}
-    state = running_max(state, [document], at, second, segment)
+    state = running_in(state, at, second)
 
     def now(name: str, own: Column) -> Column:
         return F.greatest(F.col(name), own)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotelake.operators import catalogue, extract, sections, tariffs
@@ -61,12 +61,11 @@ def ext04_condition_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A guide for each customer: a chapter for each order in order of time, in capitals or not, and a line, title or heading for each of its items."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    place = F.struct("o_orderdate", "o_orderkey")
-    of_customer = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(place)).alias("all"))  # a customer has some tens of orders
-    numbered = of_customer.select("o_custkey", F.posexplode("all").alias("n", "o")).select("o_custkey", (F.col("n") + 1).alias("n"), "o.o_orderkey")
-    item = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")).alias("i"))
+    numbered = orders.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))  # a customer has some tens of orders
+    of_order = table(spark, sf_dir, "lineitem").repartition("l_orderkey")  # for both the grouping and the join
+    item = of_order.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")).alias("i"))
     chapter = F.concat(F.col("n"), F.lit(". "), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("CAPITOLUL "), F.upper("o_orderpriority"))).otherwise(F.concat(F.lit("Capitolul "), F.lower("o_orderpriority"))))
-    heads = numbered.join(orders.drop("o_custkey", "o_orderdate"), "o_orderkey").select("o_custkey", (F.col("n") * 100).alias("at"), F.lit("title").alias("kind"), chapter.alias("line"))
+    heads = numbered.select("o_custkey", (F.col("n") * 100).alias("at"), F.lit("title").alias("kind"), chapter.alias("line"))
     number, part, flag = F.col("l_linenumber"), F.col("i.l_partkey"), F.concat("i.l_returnflag", "i.l_linestatus")
     kind = F.when(flag.isin("RF", "NF"), "title").when(flag == "AO", "heading").when(flag == "RO", "text").otherwise("row")
     line = (
