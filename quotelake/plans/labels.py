@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotelake.functions import arrays, numbers
 from quotelake.functions import vocabulary as V
 from quotelake.operators import campaigns, extract, normalise, quality
-from quotelake.plans.registry import query, table
+from quotelake.plans.registry import query, spread, table
 
 #: Services by p_size: label, section, table column, concept. A label takes the part's name with it.
 _SERVICES = (
@@ -39,7 +39,7 @@ def d01_concept_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat_ws(" ", _at("p_size", tuple(s[0] for s in _SERVICES)), F.when(F.col("p_size").between(43, 46), F.lit(None).cast("string")).otherwise(F.col("p_name")))
     section, column = (_at("p_size", tuple(s[i] for s in _SERVICES)) for i in (1, 2))
     none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "part").select("p_partkey", normalise.service_concept(label, section, column, none, none).alias("concept"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey").select("p_partkey", normalise.service_concept(label, section, column, none, none).alias("concept"))
 
 
 _KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
