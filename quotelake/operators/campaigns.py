@@ -63,7 +63,7 @@ _MONTH = "(?:" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\b\.?"
 _FULL, _NAMED, _SHORT = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d)", rf"\d{{1,2}} {_MONTH}(?: \d{{4}}(?!\d))?", r"\d{2}\.\d{2}(?![\d]|[.,/]\d)"
 _HOUR = r"(?:,? ?ora \d{1,2}[:.]\d{2}(?:[:.]\d{2})?(?: ?[ap]m)?(?:,? ?ora romaniei)?| ?\(inclusiv\))?"
 _BETWEEN = r" ?(?:-|pana (?:la|in|pe)|si(?: pana (?:la|in))?|la) ?(?:data de ?)?(?:ora \d{1,2}[:.]\d{2} ?)?"
-_RANGE = rf"(?<![\d.,/])((?:{_FULL}|{_NAMED}|{_SHORT}|\d{{1,2}}(?= ?(?:-|si) ?\d{{1,2}}(?: [a-z]|\.\d))){_HOUR}{_BETWEEN}(?:{_FULL}|{_NAMED}|{_SHORT}))"
+_RANGE = rf"(?=\d)(?<![\d.,/])((?:{_FULL}|{_NAMED}|{_SHORT}|\d{{1,2}}(?= ?(?:-|si) ?\d{{1,2}}(?: [a-z]|\.\d))){_HOUR}{_BETWEEN}(?:{_FULL}|{_NAMED}|{_SHORT}))"
 
 
 def flat(words: Column) -> Column:
@@ -93,10 +93,11 @@ def period(words: Column, year: Column | None = None, label: bool = False) -> Co
     for one that neither has. Then a single end ("until", not of an example), with a start ("from") before it. ``label``: the short text of a link,
     which needs no anchor, and where one complete date is the campaign's day.
     """
-    return arrays.let(flat(words), lambda t: _period(t, year, label))
+    return arrays.let(flat(words), lambda t: period_in(t, year, label))
 
 
-def _period(t: Column, year: Column | None, label: bool) -> Column:
+def period_in(t: Column, year: Column | None = None, label: bool = False) -> Column:
+    """``period`` of a text that is ``flat`` already."""
     implied = F.lit(None).cast("int") if year is None else year
 
     def ranged(place: Column) -> Column:
@@ -160,7 +161,7 @@ def benefit(words: Column, *heads: Column, most: int = 300) -> Column:
     """The first sentence that names a benefit and an amount, of the page's heads (description, title, label) and then of its text."""
     sentences = F.filter(F.split(text.collapse(words), r"(?<=[.!?])\s+|\s+[•·▪✓✔]\S*\s+|\s+\*\s+"), lambda s: F.length(s).between(12, 600))
     every = F.concat(F.array_compact(F.array(*heads)), F.coalesce(sentences, F.array().cast("array<string>"))) if heads else sentences
-    good = lambda s: text.fold(s).rlike(BENEFIT) & text.fold(s).rlike(AMOUNT) & ~text.fold(s).rlike(NO_BENEFIT)
+    good = lambda s: arrays.let(text.fold(s), lambda f: f.rlike(AMOUNT) & f.rlike(BENEFIT) & ~f.rlike(NO_BENEFIT))
     return F.left(F.get(F.filter(every, good), F.lit(0)), F.lit(most))
 
 
@@ -176,7 +177,12 @@ def segment(url: Column, title: Column) -> Column:
 def organiser(words: Column, banks: Sequence[str] = (), groups: Sequence[str] = ()) -> Column:
     """banca, grup, schema_card or partener by the first entity after the first mention of an organiser (patterns over folded text); null without one. Names in
     quotation marks don't count, and what follows the first legal form neither; at one place the longer name wins."""
-    t = F.left(flat(words), F.lit(4000))
+    return organiser_in(flat(words), banks, groups)
+
+
+def organiser_in(t: Column, banks: Sequence[str] = (), groups: Sequence[str] = ()) -> Column:
+    """``organiser`` of a text that is ``flat`` already."""
+    t = F.left(t, F.lit(4000))
     after = F.regexp_replace(F.regexp_extract(t, rf"(?:{ORGANISER})(.{{0,300}})", 1), "[„\"“«][^„\"“”«»]{0,200}[”\"“»]", " ")
     named = [(kind, p) for kind, patterns in (("grup", groups), ("banca", banks), ("schema_card", (SCHEME,))) for p in patterns]
 
@@ -193,11 +199,21 @@ def organiser(words: Column, banks: Sequence[str] = (), groups: Sequence[str] =
 
 def has_added_act(words: Column) -> Column:
     """Is there an additional act or an extension, not only the possibility of one?"""
-    return F.coalesce(flat(words).rlike(rf"(?=(?:{ADDED_ACT}))(?<!(?:{CONDITION}).{{0,80}})"), F.lit(False))
+    return has_added_act_in(flat(words))
+
+
+def has_added_act_in(t: Column) -> Column:
+    """``has_added_act`` of a text that is ``flat`` already."""
+    return F.coalesce(t.rlike(rf"(?=(?:{ADDED_ACT}))(?<!(?:{CONDITION}).{{0,80}})"), F.lit(False))
 
 
 def is_open_ended(words: Column) -> Column:
-    return F.coalesce(flat(words).rlike(OPEN_ENDED), F.lit(False))
+    return is_open_ended_in(flat(words))
+
+
+def is_open_ended_in(t: Column) -> Column:
+    """``is_open_ended`` of a text that is ``flat`` already."""
+    return F.coalesce(t.rlike(OPEN_ENDED), F.lit(False))
 
 
 def press_word(title: Column) -> Column:

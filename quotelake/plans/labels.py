@@ -81,13 +81,13 @@ def ext13_ext16_campaign_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(status == "F", "Oferta pentru companii").when(status == "O", "Oferta pentru persoane fizice").otherwise("Oferta")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", words.alias("words"), title.alias("title"))
 
-    def read(w: Column) -> Column:
+    def read(t: Column) -> Column:
         return F.struct(
-            campaigns.benefit(w).alias("benefit"), campaigns.organiser(w, ["raiffeisen bank"], []).alias("organiser"), campaigns.has_added_act(w).alias("act"), campaigns.is_open_ended(w).alias("open"), campaigns.period(w).alias("p")
+            campaigns.organiser_in(t, ["raiffeisen bank"], []).alias("organiser"), campaigns.has_added_act_in(t).alias("act"), campaigns.is_open_ended_in(t).alias("open"), campaigns.period_in(t).alias("p")
         )
 
-    found = rows.select("o_orderkey", arrays.let(F.col("words"), read).alias("r"), campaigns.segment(F.lit("https://b.ro/x"), F.col("title")).alias("segment"))
-    return found.select("o_orderkey", "r.benefit", "r.organiser", "r.act", "r.open", "r.p.start", "r.p.end", "segment")
+    found = spread(rows, "o_orderkey").select("o_orderkey", campaigns.benefit(F.col("words")).alias("benefit"), arrays.let(campaigns.flat(F.col("words")), read).alias("r"), campaigns.segment(F.lit("https://b.ro/x"), F.col("title")).alias("segment"))
+    return found.select("o_orderkey", "benefit", "r.organiser", "r.act", "r.open", "r.p.start", "r.p.end", "segment")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'A' THEN l_quantity * 1000 WHEN 'R' THEN l_quantity * 1000000 ELSE l_quantity END AS n, l_quantity + 0.5 AS share, round(l_extendedprice / 100, 6) AS rate,
