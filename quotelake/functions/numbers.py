@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quotelake.functions import arrays
+
 # Confidence words and the caps of doubtful states.
 CONFIDENCE = (("ridicata", 0.9), ("medie", 0.6), ("scazuta", 0.3))
 CAPS = (("DATA_NECUNOSCUTA", 0.7), ("SURSA_VECHE", 0.5), ("SUSPECT", 0.5))
@@ -19,20 +21,24 @@ def percent_change(new: Column, old: Column, digits: int = 1) -> Column:
     return F.when(old != 0, F.round(F.lit(100.0) * (new - old) / old, digits))
 
 
-def decimal_number(text: Column, as_percent: bool = False) -> Column:
+def decimal_number(text: Column, as_percent: bool | Column = False) -> Column:
     """``1.234,56``, ``5,84``, ``20,000`` or ``2.5`` as a double. Three digits after one mark are thousands, unless it is a percentage, where
     they are decimals as long as the value stays at 100 or below. No number gives null."""
     raw = F.regexp_extract(F.regexp_replace(text, r"[\s ]", ""), r"-?\d[\d.,]*\d|-?\d", 0)
-    both = raw.rlike(r"[.].*,|,.*[.]")
-    last_comma = F.regexp_extract(raw, r"([.,])\d*$", 1) == ","
     plain = lambda s: s.try_cast("double")
-    both_value = F.when(last_comma, plain(F.replace(F.regexp_replace(raw, r"[.]", ""), F.lit(","), F.lit(".")))).otherwise(plain(F.replace(raw, F.lit(","), F.lit(""))))
-    many = raw.rlike(r"([.,]\d{3}){2,}$")
-    three = raw.rlike(r"^-?\d{1,3}[.,]\d{3}$")
-    dotted = plain(F.translate(raw, ",", "."))
-    joined = plain(F.regexp_replace(raw, "[.,]", ""))
-    single = F.when(three, F.when(dotted <= 100, dotted).otherwise(joined) if as_percent else joined).otherwise(dotted)
-    return F.when(raw == "", F.lit(None).cast("double")).when(both, both_value).when(many, joined).otherwise(single)
+
+    def value(raw: Column) -> Column:
+        point, comma = F.contains(raw, F.lit(".")), F.contains(raw, F.lit(","))
+        last_comma = ~F.contains(F.substring_index(raw, ",", -1), F.lit("."))
+        both_value = F.when(last_comma, plain(F.translate(raw, ",.", "."))).otherwise(plain(F.translate(raw, ",", "")))
+        many = raw.rlike(r"([.,]\d{3}){2,}$")
+        three = raw.rlike(r"^-?\d{1,3}[.,]\d{3}$")
+        dotted = plain(F.translate(raw, ",", "."))
+        joined = plain(F.translate(raw, ".,", ""))
+        single = F.when(three, F.when(F.lit(as_percent) & (dotted <= 100), dotted).otherwise(joined)).otherwise(dotted)
+        return F.when(raw == "", F.lit(None).cast("double")).when(point & comma, both_value).when(~point & ~comma, plain(raw)).when(many, joined).otherwise(single)
+
+    return arrays.let(raw, value)
 
 
 def percent(text: Column) -> Column:

@@ -155,18 +155,19 @@ MONEY_WORD = r"(?:lei|leu|ron|euro|eur|usd|gbp|chf)"
 CURRENCIES = {"lei": "LEI", "leu": "LEI", "ron": "LEI", "eur": "EUR", "euro": "EUR", "usd": "USD", "gbp": "GBP", "chf": "CHF"}
 SPACED_CURRENCIES = ("LEI", "RON", "EUR", "USD")
 # Bands, the interval of sums in which a fee holds. Words that name two ends come before those that name one.
+# The characters ahead are those a band (a role, a frequency) begins with: everywhere else no alternative is tried.
 BAND = (
-    rf"(?:{MONEY})\s*{MONEY_WORD}?\s*[–—-]\s*(?:{MONEY})\s*{MONEY_WORD}"
+    rf"(?=[\dîidbps<>≤≥])(?:(?:{MONEY})\s*{MONEY_WORD}?\s*[–—-]\s*(?:{MONEY})\s*{MONEY_WORD}"
     rf"|\b(?:[îi]ntre|de\s+la|between)\s+(?:{MONEY})\s*{MONEY_WORD}?\s*(?:[sșş]i|and|p[âa]n[ăa]\s+la|[-–—])?\s*(?:{MONEY})\s*{MONEY_WORD}"
     rf"|\b(?:peste|sub|p[âa]n[ăa]\s+(?:la|[îi]n)|[îi]ntre|de\s+la)[\s/]+(?:{MONEY})\s*{MONEY_WORD}"
-    rf"|[<>≤≥]=?\s*(?:{MONEY})\s*{MONEY_WORD}?"
+    rf"|[<>≤≥]=?\s*(?:{MONEY})\s*{MONEY_WORD}?)"
 )
 # Words that make the figure after them a least or largest fee; how far back they are looked for.
-ROLE, ROLE_REACH = r"\b(min|minim|minimum|max|maxim|maximum|cel\s+pu[tț]in|cel\s+mult)\b\.?", 18
+ROLE, ROLE_REACH = r"(?=[mc])\b(min|minim|minimum|max|maxim|maximum|cel\s+pu[tț]in|cel\s+mult)\b\.?", 18
 # How often a fee is due, and the words' common names.
 FREQUENCY = (
-    r"\b(lunar|anual|trimestrial|semestrial|zilnic|pe\s+opera[tț]iune|per\s+opera[tț]iune|la\s+fiecare)\b"
-    r"|/\s*(lun[ăa]|an|zi|trimestru|semestru|opera[tț]iune|tranzac[tț]ie|card|mesaj)(?!\p{L})|\bpe\s+(lun[ăa]|an|zi|trimestru|semestru)(?!\p{L})"
+    r"(?=[/latszp])(?:\b(lunar|anual|trimestrial|semestrial|zilnic|pe\s+opera[tț]iune|per\s+opera[tț]iune|la\s+fiecare)\b"
+    r"|/\s*(lun[ăa]|an|zi|trimestru|semestru|opera[tț]iune|tranzac[tț]ie|card|mesaj)(?!\p{L})|\bpe\s+(lun[ăa]|an|zi|trimestru|semestru)(?!\p{L}))"
 )
 FREQUENCIES = {
     "luna": "lunar", "lună": "lunar", "lunar": "lunar", "an": "anual", "anual": "anual", "zi": "zilnic", "zilnic": "zilnic",

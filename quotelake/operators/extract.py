@@ -87,77 +87,65 @@ def extract_rates(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
-_FEE = "struct<kind:string,value:double,currency:string,role:string>"
-
-
-def band_split(line: Column) -> Column:
-    """A struct of the line without its first band (``peste 1.000 lei``, ``0 - 49.999 lei``), and the band; null if there is none."""
-    band, place = F.regexp_extract(line, V.I + V.BAND, 0), F.regexp_instr(line, F.lit(V.I + V.BAND))
+def fee_frequency(found: Column) -> Column:
+    """How often a fee is due, by what ``FREQUENCY`` found: the usual name, or ``pe`` and the words."""
+    said = F.lower(F.coalesce(*(F.nullif(text.collapse(F.regexp_extract(found, V.I + V.FREQUENCY, k)), F.lit("")) for k in (1, 2, 3))))
+    usual = F.create_map(*(F.lit(x) for pair in V.FREQUENCIES.items() for x in pair))
+    return F.when(found != "", F.coalesce(usual[said], F.concat(F.lit("pe "), said)))
 
-    def cut(found: Column) -> Column:
-        rest = F.concat(F.substring(line, F.lit(1), found["place"] - 1), F.lit(" "), F.substring(line, found["place"] + F.length(found["band"]), F.length(line)))
-        there = found["place"] > 0
-        return F.struct(F.when(there, rest).otherwise(line).alias("rest"), F.when(there, text.collapse(found["band"])).alias("band"))
 
-    return arrays.let(F.struct(band.alias("band"), place.alias("place")), cut)
+def is_free(line: Column) -> Column:
+    """Does a line without figures say that nothing is due?"""
+    included = (line.rlike(V.I + V.FREE) | line.rlike(V.I + V.FREE_INCLUDED) | line.rlike(V.FREE_INCLUDED_LOWER)) & ~line.rlike(r"\d") & ~line.rlike(V.I + V.INCLUDED_HEADING)
+    return line.rlike(V.I + V.ZERO_IN_WORDS) | included
 
 
-def fees_of(line: Column) -> Column:
-    """All fees of a line without its band, in order, as structs (kind, value, currency, role).
+def extract_fees(lines: DataFrame, line: str = "line") -> DataFrame:
+    """A row for each fee of each line: the line's columns, kind, value, currency, role, frequency, band.
 
-    A percentage is comision_procent, a sum comision_suma; a currency may stand before its sum at the line's start or after min or max. The role is the
-    last such word among the ROLE_REACH characters before the figure, so each figure has its own. A line without figures that says so is gratuit.
+    The line's first band (``peste 1.000 lei``, ``0 - 49.999 lei``) is cut out; its sums are no fees. A percentage is comision_procent, a sum comision_suma; a currency may
+    stand before its sum at the line's start or after min or max. The role is the last such word among the ROLE_REACH characters before the figure, so each figure has its
+    own. A line without figures that says so is gratuit. Each step is a column, so that Spark compiles it; inside lambdas it would be interpreted for every line.
     """
     percent, amount = r"(?<![\d.,])(\d{1,3}(?:[.,]\d+)?)\s*%", rf"(?<!\d)(?<!\d[.,])({V.MONEY})\s*({V.MONEY_WORD})"
     inverse = rf"(?:^|\b(?:min|max|minim|maxim|minimum|maximum)\b\.?)\s*({V.MONEY_WORD})\s+({V.MONEY})"
-    scan = rf"{V.I}{percent}|{amount}(?!\p{{L}})|{inverse}(?![\d.,])(?!\s*{V.MONEY_WORD}(?!\p{{L}}))"
+    # a figure begins with a digit, with min or max, or the line
+    scan = rf"{V.I}(?=[\dm]|^)(?:{percent}|{amount}(?!\p{{L}})|{inverse}(?![\d.,])(?!\s*{V.MONEY_WORD}(?!\p{{L}})))"
     currencies = F.create_map(*(F.lit(x) for pair in V.CURRENCIES.items() for x in pair))
-    part = lambda piece, pattern, k: F.regexp_extract(piece, rf"{V.I}^{pattern}$", k)
-
-    def figure(found: Column) -> Column:
-        """A figure's number and currency, and where in it the number stands."""
-        sign = F.when(found.endswith("%"), "p").when(found.rlike(rf"{V.I}{V.MONEY_WORD}$"), "a").otherwise("i")
-        number = F.when(sign == "p", part(found, percent, 1)).when(sign == "a", part(found, amount, 1)).otherwise(part(found, inverse, 2))
-        currency = F.when(sign == "a", part(found, amount, 2)).when(sign == "i", part(found, inverse, 1))
-        skip = F.when(sign == "i", F.length(found) - F.length(number)).otherwise(0)
-        return F.struct((sign == "p").alias("percent"), number.alias("number"), currencies[F.lower(currency)].alias("currency"), skip.alias("skip"))
-
-    def fee(place: Column) -> Column:
-        def read(m: Column) -> Column:
-            at = place["at"] + m["skip"]
-            seen = F.substring(line, F.greatest(at - V.ROLE_REACH, F.lit(1)), F.least(at - 1, F.lit(V.ROLE_REACH)))
-            said = F.lower(F.try_element_at(F.regexp_extract_all(seen, F.lit(V.I + V.ROLE), F.lit(1)), F.lit(-1)))
-            role = arrays.let(said, lambda w: F.when(w.startswith("min") | w.contains("pu"), "min").when(w.isNotNull(), "max"))
-            value = F.when(m["percent"], numbers.decimal_number(m["number"], True)).otherwise(numbers.decimal_number(m["number"]))
-            return F.struct(F.when(m["percent"], "comision_procent").otherwise("comision_suma").alias("kind"), value.alias("value"), m["currency"].alias("currency"), role.alias("role")).cast(_FEE)
-
-        return arrays.let(figure(place["found"]), read)
-
-    found = F.filter(F.transform(text.located(line, scan), fee), lambda f: f["value"].isNotNull())
-    included = (line.rlike(V.I + V.FREE) | line.rlike(V.I + V.FREE_INCLUDED) | line.rlike(V.FREE_INCLUDED_LOWER)) & ~line.rlike(r"\d") & ~line.rlike(V.I + V.INCLUDED_HEADING)
-    none = F.lit(None).cast("string")
-    free = F.array(F.struct(F.lit("gratuit").alias("kind"), F.lit(0.0).alias("value"), none.alias("currency"), none.alias("role")).cast(_FEE))
-    return arrays.let(found, lambda f: F.when(F.size(f) > 0, f).when(line.rlike(V.I + V.ZERO_IN_WORDS) | included, free).otherwise(f))
+    c = lambda name: F.col(f"__{name}")
 
-
-def fee_frequency(line: Column) -> Column:
-    """How often a fee is due: the usual name, or ``pe`` and the words."""
-    said = F.coalesce(*(F.nullif(text.collapse(F.regexp_extract(line, V.I + V.FREQUENCY, k)), F.lit("")) for k in (1, 2, 3)))
-    usual = F.create_map(*(F.lit(x) for pair in V.FREQUENCIES.items() for x in pair))
-    return F.coalesce(usual[F.lower(said)], F.concat(F.lit("pe "), F.lower(said)))
-
-
-def extract_fees(lines: DataFrame, line: str = "line") -> DataFrame:
-    """A row for each fee of each line: the line's columns, kind, value, currency, role, frequency, band. The band's sums are no fees."""
     joined = F.col(line)
     for name in V.SPACED_CURRENCIES:  # "0 L E I"
         joined = F.regexp_replace(joined, r"(?<!\p{L})" + r"\s+".join(name) + r"(?!\p{L})", name)
-
-    def with_all(b: Column) -> Column:
-        fields = ("kind", "value", "currency", "role")
-        return arrays.let(fee_frequency(b["rest"]), lambda often: F.transform(fees_of(b["rest"]), lambda f: F.struct(*(f[c].alias(c) for c in fields), often.alias("frequency"), b["band"].alias("band"))))
-
-    return lines.select("*", F.inline(arrays.let(joined, lambda whole: arrays.let(band_split(whole), with_all))))
+    spaced = F.col(line).rlike("[" + "".join(w[0] for w in V.SPACED_CURRENCIES) + r"]\s+[" + "".join(w[1] for w in V.SPACED_CURRENCIES) + "]")
+    after = lambda n: F.substring(c("whole"), F.length(c("before")) + 1 + n, F.length(c("whole")))
+    banded = (
+        lines.withColumn("__whole", F.when(spaced, joined).otherwise(F.col(line)))
+        .withColumn("__before", F.regexp_extract(c("whole"), rf"{V.I}(?s)^.*?(?={V.BAND})", 0))
+        .withColumn("__cut", F.regexp_extract(after(F.lit(0)), rf"{V.I}^{V.BAND}", 0))
+        .withColumn("__rest", F.when(c("cut") != "", F.concat(c("before"), F.lit(" "), after(F.length(c("cut"))))).otherwise(c("whole")))
+        .withColumn("__often", F.regexp_extract(c("rest"), V.I + V.FREQUENCY, 0))
+    )
+    # a figure holds one number and, unless it is a percentage, one currency on either side of it; the empty figure is a fee of nothing
+    valued = F.transform(text.located(c("rest"), scan), lambda f: F.struct(f["found"].alias("found"), f["at"].alias("at"), numbers.decimal_number(f["found"], f["found"].endswith("%")).alias("value")))
+    nothing = F.array(F.struct(F.lit("").alias("found"), F.lit(0).alias("at"), F.lit(0.0).alias("value")))
+    own = [F.col(f"`{x}`") for x in lines.columns]
+    band = F.when(c("cut") != "", text.collapse(c("cut")))
+    placed = banded.select(*own, "__rest", fee_frequency(c("often")).alias("__frequency"), band.alias("__band"), F.filter(valued, lambda f: f["value"].isNotNull()).alias("__all"))
+    each = placed.select("*", F.explode(F.when(F.size(c("all")) > 0, c("all")).when(is_free(c("rest")), nothing)).alias("__f"))
+    figure, percentage = c("f")["found"], c("f")["found"].endswith("%")
+    seen = F.substring(c("rest"), F.greatest(c("at") - V.ROLE_REACH, F.lit(1)), F.least(c("at") - 1, F.lit(V.ROLE_REACH)))
+    said = F.lower(F.try_element_at(F.regexp_extract_all(seen, F.lit(V.I + V.ROLE), F.lit(1)), F.lit(-1)))
+    fees = each.withColumn("__at", c("f")["at"] + F.regexp_instr(figure, F.lit(r"\d")) - 1).withColumn("__said", said)
+    return fees.select(
+        *own,
+        F.when(figure == "", "gratuit").when(percentage, "comision_procent").otherwise("comision_suma").alias("kind"),
+        c("f")["value"].alias("value"),
+        F.when(~percentage, currencies[F.lower(F.regexp_extract(figure, V.I + V.MONEY_WORD, 0))]).alias("currency"),
+        F.when(c("said").startswith("min") | c("said").contains("pu"), "min").when(c("said").isNotNull(), "max").alias("role"),
+        c("frequency").alias("frequency"),
+        c("band").alias("band"),
+    )
 
 
 def only_figure(words: Column) -> Column:
