@@ -157,7 +157,7 @@ SPACED_CURRENCIES = ("LEI", "RON", "EUR", "USD")
 # Bands, the interval of sums in which a fee holds. Words that name two ends come before those that name one.
 # The characters ahead are those a band (a role, a frequency) begins with: everywhere else no alternative is tried.
 BAND = (
-    rf"(?=[\dîidbps<>≤≥])(?:(?:{MONEY})\s*{MONEY_WORD}?\s*[–—-]\s*(?:{MONEY})\s*{MONEY_WORD}"
+    rf"(?=[\dîidbps<>≤≥])(?:(?=[\d.,\s]++(?:{MONEY_WORD}\s*+)?[–—-])(?:{MONEY})\s*{MONEY_WORD}?\s*[–—-]\s*(?:{MONEY})\s*{MONEY_WORD}"
     rf"|\b(?:[îi]ntre|de\s+la|between)\s+(?:{MONEY})\s*{MONEY_WORD}?\s*(?:[sșş]i|and|p[âa]n[ăa]\s+la|[-–—])?\s*(?:{MONEY})\s*{MONEY_WORD}"
     rf"|\b(?:peste|sub|p[âa]n[ăa]\s+(?:la|[îi]n)|[îi]ntre|de\s+la)[\s/]+(?:{MONEY})\s*{MONEY_WORD}"
     rf"|[<>≤≥]=?\s*(?:{MONEY})\s*{MONEY_WORD}?)"
