@@ -107,6 +107,13 @@ RATES = (
     ("comision_procent", rf"fee[^%]{{0,30}}?({NUMBER})\s*%"),
     ("comision_procent", rf"({NUMBER})\s*%\s*fee"),
 )
+# Words and marks that a pattern of RATES can't do without wherever they stand in it; marks as they are written in patterns.
+RATE_WORDS = ("ircc", "euribor", "robor", "marj", "dae", "efectiv", "cashback", "comision", "tax", "dob", "rat", "fix", "apy", "interest", "fee")
+RATE_MARKS = {r"\s*%": "%", r"\+": "+", r"\(": "(", r"\.\d": "."}
+# What follows the percentage that a pattern of RATES begins with.
+AFTER_PERCENT = r"%[\d*]{0,3}\s*%?\s*[+dctpaf]"
+# Letters for which small letters and patterns without regard to case disagree: what patterns take for i, s and k, and two that only newer tables of Unicode know.
+ODD_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a", "\ua7cb", "\ua7dc")
 # Lines with these hold percentages that are no rates.
 NO_RATES = (
     r"avans", r"din\s+(?:dob[âa]nda\s+)?brut", r"impozit", r"discount|reducere\s+(?:de|la)\s+dob|\d+[.,]?\d*\s*%\s*reducere", r"[îi]ndator", r"\bTVA\b", r"100\s*%\s*on",
@@ -114,11 +121,17 @@ NO_RATES = (
     r"din\s+dob[âa]nda\s+acumulat|din\s+soldul", r"rat[ăa]\s+Lombard|a\s+cotat", r"marj[ăa][^.]{0,40}(?:curs|schimb\s+valutar)", r"conversie\s+valutar",
     r"recupereze|ajutor\s+de\s+stat|\bgrant", r"retrager[ei][^.]{0,30}limita|o\s+singur[ăa]\s+retragere",
 )
+# Of these, one at least stands in every line that NO_RATES match.
+NO_RATES_WORDS = (
+    "avans", "din", "impozit", "discount", "reducere", "ndator", "tva", "100", "ltv", "subven", "libor", "garantare", "cifra", "puncte", "lombard", "cotat", "marj", "conversie",
+    "recupereze", "ajutor", "grant", "retrager",
+)
 # Instalments without interest; the number of instalments in group 1 where there is one.
 INSTALMENTS = (
     r"(\d{1,2})\s*(?:de\s+)?rate[^.%]{0,25}?0\s*%\s*dob", r"(\d{1,2})\s*(?:de\s+)?rate\s*(?:lunare\s*)?f[ăa]r[ăa]\s*dob", r"(\d{1,2})\s*(?:monthly\s+)?instal?ments?[^.%]{0,20}?0\s*%",
     r"()0\s*%\s*dob[âa]nd[ăa]?[^.]{0,30}?\brate\b", r"()\brate\s+f[ăa]r[ăa]\s+dob[âa]nd", r"()interest[- ]free\s+instal?ments?",
 )
+INSTALMENTS_WORDS = ("rate", "instal")
 # Words that begin another measure in a table row.
 NEW_LABEL = r"dob[âa]nd|comision|tax[ăa]|\bDAE\b|IRCC|EURIBOR|ROBOR|marj|cashback|\bfee\b|interest|\bAPY\b|avans|\bLTV\b"
 # Plausible intervals of rates.

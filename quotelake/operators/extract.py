@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,60 +20,119 @@ def _rate(kind: Column, value: Column, instalments: Column | None = None, column
     return F.struct(kind.alias("kind"), value.alias("value"), (none if instalments is None else instalments).alias("instalments"), (none if column is None else column).alias("column")).cast(_RATE)
 
 
-def rates_of(line: Column) -> Column:
-    """The rates in a line as an array of structs (kind, value, instalments, column), in the order of the patterns.
+def _signs_of(pattern: str) -> int:
+    """What a line must hold, in small letters, for a pattern of ``RATES`` to match, a bit for each: those of ``RATE_WORDS`` and ``RATE_MARKS`` that stand in the pattern, and
+    what follows a percentage if it begins with one."""
+    there = [w in pattern.lower() for w in V.RATE_WORDS] + [written in pattern for written in V.RATE_MARKS] + [pattern.startswith(rf"({V.NUMBER})\s*%")]
+    return sum(1 << k for k, t in enumerate(there) if t)
 
-    A line about something else (an advance, a tax, a discount ...) has none. Instalments without interest are one rate of 0. A value that an
-    earlier pattern took isn't taken again. In a table row, values in the cells after the first value go on under its kind, up to a cell that
-    is long or begins another measure.
-    """
-    excluded = line.rlike(V.I + "|".join(f"(?:{p})" for p in V.NO_RATES))
-    promo = line.rlike(V.I + "|".join(f"(?:{p})" for p in V.INSTALMENTS))
-    count = F.coalesce(*(F.regexp_extract(line, V.I + p, 1).try_cast("int") for p in V.INSTALMENTS))
 
-    def of_kind(kind: str, pattern: str) -> Column:
-        values = F.transform(F.regexp_extract_all(line, F.lit(V.I + pattern), F.lit(1)), lambda v: _rate(F.lit(kind), numbers.decimal_number(v, True)))
-        if kind.endswith("_valoare") and pattern.endswith(r"\)"):
-            # brackets after a margin and an index hold the total
-            return F.when(line.rlike(V.I + V.TOTAL_IN_BRACKETS), F.array().cast(f"array<{_RATE}>")).otherwise(values)
-        return values
+def _signs_in(text: Column) -> Column:
+    """The signs of a text in small letters."""
+    tests = [*(F.contains(text, F.lit(w)) for w in (*V.RATE_WORDS, *V.RATE_MARKS.values())), text.rlike(V.AFTER_PERCENT)]
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.when(test, F.lit(1 << k)).otherwise(F.lit(0)) for k, test in enumerate(tests)))
+
+
+def _percent(number: Column) -> Column:
+    """``numbers.decimal_number`` of a percentage for what ``NUMBER`` matches: no blanks, one mark at most."""
+    value = F.translate(number, ",", ".").try_cast("double")
+    thousands = (F.length(number) == 7) & number.rlike(r"^\d{3}[.,]") & (value > 100)
+    return F.when(thousands, F.translate(number, ".,", "").try_cast("double")).otherwise(value)
 
-    found = F.flatten(F.array(*(of_kind(kind, pattern) for kind, pattern in V.RATES)))
-    taken = lambda acc, x: F.exists(acc, lambda y: F.abs(y["value"] - x["value"]) <= 0.001)
-    once = F.aggregate(found, F.array().cast(f"array<{_RATE}>"), lambda acc, x: F.when(x["value"].isNull() | taken(acc, x), acc).otherwise(F.array_append(acc, x)))
-    return F.when(excluded | line.isNull(), F.array().cast(f"array<{_RATE}>")).when(promo, F.array(_rate(F.lit("rate_fara_dobanda"), F.lit(0.0), count))).otherwise(arrays.let(once, lambda all_: _with_columns(line, all_)))
 
+def _matches(text: Column, pattern: str, group: int, odd: Column | None = None) -> Column:
+    """All matches. A text in small letters needs no pattern without regard to case, which is slower; one that ``odd`` tells of isn't."""
+    whole = F.regexp_extract_all(text, F.lit(V.I + pattern), F.lit(group))
+    return whole if odd is None else F.when(odd, whole).otherwise(F.regexp_extract_all(text, F.lit(pattern.lower()), F.lit(group)))
 
-def _with_columns(line: Column, found: Column) -> Column:
+
+def _row_kind(head: Column, odd: Column | None = None, may: Sequence[Column] | None = None) -> Column:
+    """The kind of the first pattern of ``RATES`` that matches across the border of a row's first two cells; only patterns that ``may``, as far as it tells."""
+    across = [F.contains(F.array_join(_matches(head, pattern, 0, odd), ""), F.lit("\t")) for _, pattern in V.RATES]
+    return F.coalesce(*(F.when(test if may is None else may[k] & test, F.lit(kind)) for k, ((kind, _), test) in enumerate(zip(V.RATES, across, strict=True))))
+
+
+def _head(line: Column) -> Column:
+    """A line's first two cells, if it has more; else null."""
+    return arrays.let(F.substring_index(line, "\t", 2), lambda head: F.when(F.length(head) < F.length(line), head))
+
+
+def _with_columns(line: Column, found: Column, kind: Column | None = None) -> Column:
     """Adds the values of a table row's further cells, under the kind of the rate whose wording begins in the label cell and ends in the first value cell."""
-    cells = F.split(line, "\t")
-    head = F.concat_ws("\t", F.get(cells, F.lit(0)), F.get(cells, F.lit(1)))
-    across = lambda pattern: F.exists(F.regexp_extract_all(head, F.lit(V.I + pattern), F.lit(0)), lambda m: m.contains("\t"))
-    kind = F.coalesce(*(F.when(across(pattern), F.lit(kind)) for kind, pattern in V.RATES))
+    kind = _row_kind(_head(line)) if kind is None else kind
     any_percent = rf"(?<![\d.,])({V.NUMBER})\s*%"
-    state = F.struct(F.lit(True).alias("on"), F.array().cast("array<struct<v:double,i:int>>").alias("out"))
+    state = F.struct(F.lit(True).alias("on"), F.array().cast("array<array<struct<v:double,i:int>>>").alias("out"))
 
     def step(acc: Column, cell: Column) -> Column:
-        rest = F.trim(F.regexp_replace(cell["c"], any_percent, " "))
-        on = acc["on"] & (F.length(rest) <= 28) & ~rest.rlike(V.I + V.NEW_LABEL)
-        values = F.transform(F.regexp_extract_all(cell["c"], F.lit(any_percent), F.lit(1)), lambda v: F.struct(numbers.decimal_number(v, True).alias("v"), cell["i"].alias("i")))
-        return F.struct(on.alias("on"), F.when(on, F.concat(acc["out"], values)).otherwise(acc["out"]).alias("out"))
+        percents = F.contains(cell["c"], F.lit("%"))
+        rest = F.trim(F.when(percents, F.regexp_replace(cell["c"], any_percent, " ")).otherwise(cell["c"]))
+        goes_on = acc["on"] & arrays.let(rest, lambda r: (F.length(r) <= 28) & ((r == "") | ~r.rlike(V.I + V.NEW_LABEL)))
+        values = F.transform(F.regexp_extract_all(cell["c"], F.lit(any_percent), F.lit(1)), lambda v: F.struct(_percent(v).alias("v"), cell["i"].alias("i")))
+        more = F.when(percents, F.array_append(acc["out"], values)).otherwise(acc["out"])
+        return F.when(goes_on, F.struct(F.lit(True).alias("on"), more.alias("out"))).otherwise(F.struct(F.lit(False).alias("on"), acc["out"].alias("out")))
 
-    numbered = F.filter(F.transform(cells, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["i"] >= 2)
-    more = F.aggregate(numbered, state, step, lambda acc: acc["out"])
+    numbered = F.filter(F.transform(F.split(line, "\t"), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["i"] >= 2)
+    more = F.aggregate(numbered, state, step, lambda acc: F.flatten(acc["out"]))
 
     def add(k: Column) -> Column:
         near = lambda acc, x: F.exists(acc, lambda y: F.abs(y["value"] - x["v"]) < 0.001)
         return F.when(k.isNull(), found).otherwise(F.aggregate(more, found, lambda acc, x: F.when(x["v"].isNull() | near(acc, x), acc).otherwise(F.array_append(acc, _rate(k, x["v"], column=x["i"])))))
 
-    return F.when((F.size(cells) > 2) & (F.size(found) > 0), arrays.let(kind, add)).otherwise(found)
+    return F.when(F.size(found) > 0, arrays.let(kind, add)).otherwise(found)
+
+
+def rates_in(lines: DataFrame, line: str = "line") -> tuple[DataFrame, Column]:
+    """``lines`` with the steps' columns, and over these each line's rates: an array of structs (kind, value, instalments, column), in the order of the patterns; null if there are none.
+
+    A line about something else (an advance, a tax, a discount ...) has none. Instalments without interest are one rate of 0. A value that an
+    earlier pattern took isn't taken again. In a table row, values in the cells after the first value go on under its kind, up to a cell that
+    is long or begins another measure.
+
+    A pattern is tried only where the words and marks stand that it can't do without, which is much cheaper to see, and in small letters. Each step is a column, so that Spark
+    compiles it; only what was found is gone through in lambdas. The rates are no column: Spark would infer a filter from exploding one and write all steps into it again.
+    """
+    c = lambda name: F.col(f"__{name}")
+    own = [F.col(f"`{x}`") for x in lines.columns]
+
+    def tried(words: Sequence[str], patterns: Sequence[str]) -> Column:
+        there = c("odd") | F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c("text"), w))
+        return F.when(there, c("text").rlike(V.I + "|".join(f"(?:{p})" for p in patterns))).otherwise(False)
+
+    odd = reduce(or_, (F.contains(F.col(line), F.lit(x)) for x in V.ODD_LETTERS))
+    read = lines.select(*own, odd.alias("__odd"), F.when(odd, F.col(line)).otherwise(F.lower(F.col(line))).alias("__text"))
+    read = read.select(*own, "__odd", "__text", tried(V.NO_RATES_WORDS, V.NO_RATES).alias("__excluded"), tried(V.INSTALMENTS_WORDS, V.INSTALMENTS).alias("__promo"))
+    all_signs = (1 << len(V.RATE_WORDS) + len(V.RATE_MARKS) + 1) - 1
+    signs = F.when(c("excluded") | c("promo") | c("text").isNull(), 0).when(c("odd"), all_signs).otherwise(_signs_in(c("text")))
+    read = read.select(*own, "__odd", F.when(~c("excluded"), c("text")).alias("__text"), (c("promo") & ~c("excluded")).alias("__promo"), signs.alias("__signs"))
+
+    may = [c("signs").bitwiseAND(F.lit(need)) == need for need in (_signs_of(pattern) for _, pattern in V.RATES)]
+    none = F.array().cast(f"array<{_RATE}>")
+
+    def of_kind(kind: str, pattern: str, test: Column) -> Column:
+        if kind.endswith("_valoare") and pattern.endswith(r"\)"):
+            # brackets after a margin and an index hold the total
+            test = test & ~c("text").rlike(V.I + V.TOTAL_IN_BRACKETS)
+        return F.when(test, F.transform(_matches(c("text"), pattern, 1, c("odd")), lambda v: _rate(F.lit(kind), _percent(v)))).otherwise(none)
+
+    every = F.flatten(F.array(*(of_kind(kind, pattern, test) for (kind, pattern), test in zip(V.RATES, may, strict=True))))
+    read = read.select(*own, "__odd", "__text", "__promo", "__signs", F.when(c("signs") > 0, every).alias("__every"), F.when(F.contains(c("text"), F.lit("\t")), _head(c("text"))).alias("__head"))
+
+    again = lambda acc, x: F.exists(acc, lambda y: F.abs(y["value"] - x["value"]) <= 0.001)
+    once = F.aggregate(c("every"), none, lambda acc, x: F.when(x["value"].isNull() | again(acc, x), acc).otherwise(F.array_append(acc, x)))
+    kind = F.when(c("head").isNotNull() & (F.size(c("every")) > 0), _row_kind(c("head"), c("odd"), may))
+    read = read.select(*own, "__text", "__promo", F.when(F.size(c("every")) > 0, once).alias("__once"), kind.alias("__kind"))
+    count = F.coalesce(*(F.regexp_extract(c("text"), V.I + p, 1).try_cast("int") for p in V.INSTALMENTS))
+    free = F.array(_rate(F.lit("rate_fara_dobanda"), F.lit(0.0), count))
+    return read, F.when(c("promo"), free).when(c("kind").isNull(), c("once")).otherwise(_with_columns(c("text"), c("once"), c("kind")))
 
 
 def extract_rates(lines: DataFrame, line: str = "line") -> DataFrame:
     """A row for each rate: the line's columns, kind, value, instalments, column, currency, period, low and high of a stated interval, plausible."""
     n = V.NUMBER
     between = rf"{V.I}(?:de\s+la|[îi]ntre)\s+({n})\s*%\s*(?:[-–—]|[șs]i|la|p[âa]n[ăa]\s+la)\s*({n})\s*%"
-    found = lines.select("*", F.explode(rates_of(F.col(line))).alias("__r")).select("*", "__r.*").drop("__r")
+    own = [F.col(f"`{x}`") for x in lines.columns]
+    read, rates = rates_in(lines, line)
+    found = read.select(*own, F.explode(rates).alias("__r")).select(*own, "__r.*")
     limit = F.create_map(*(F.lit(x) for k, (a, b) in V.INTERVALS.items() for x in (k, f"{a},{b}")))
     ends = F.split(limit[F.col("kind")], ",")
     currency = F.upper(F.regexp_extract(F.col(line), V.I + V.CURRENCY, 1))
